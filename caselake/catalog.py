@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from caselake.plans import analytics, graph, intake, relational, retrieval, structure, text, windows  # noqa: F401
+from caselake.plans.registry import QUERIES, SQL  # noqa: F401

@@ -1,0 +1,3 @@
+"""Text functions under their operator names."""
+
+from caselake.functions.scalar import *  # noqa: F403
