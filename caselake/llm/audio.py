@@ -66,6 +66,7 @@ def from_wav(data: bytes) -> tuple[int, bytes]:
 
 def media_column(df: DataFrame, payload: str, to: str = "media") -> DataFrame:
     """df with its binary column ``payload`` stored as audio."""
+    df = df.drop(to)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,6 +173,7 @@ SPANS = "array<struct<start: double, stop: double>>"
 
 def audio_features(df: DataFrame, media: str = "media") -> DataFrame:
     """df with ``tensor`` (the windows' values, WINDOW x MELS each), ``spans`` of the windows and ``voiced`` segments."""
+    df = df.drop("tensor", "spans", "voiced")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     span = pa.list_(pa.struct([("start", pa.float64()), ("stop", pa.float64())]))
 
@@ -205,6 +207,7 @@ def tensor_column(windows: pa.ChunkedArray | pa.Array) -> pa.FixedShapeTensorArr
 
 def stored_payload(df: DataFrame, media: str = "media") -> DataFrame:
     """df with ``payload``: the samples read back from the stored audio, and the CRC-32 of their last 64."""
+    df = df.drop("payload", "tail_crc32")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,8 @@ before a non-space; white space.
 
 Cases: a null text is empty; an empty text has no ids; a very long text is one
 piece of work of linear size, and a very long run that isn't cut is merged with
-a heap; repeated rows give equal results; further columns are kept as they are.
+a heap; repeated rows give equal results; further columns are kept as they are, but
+for ones named ids, ends or decoded, which give way.
 """
 
 from __future__ import annotations
@@ -335,6 +336,7 @@ def int_lists(lists: list, kind) -> pa.ListArray:
 
 def encode(df: DataFrame, path: str, text: str = "text", offsets: bool = True) -> DataFrame:
     """df with ``ids`` array<int> and, if asked for, ``ends`` array<long>: the byte offset in the text where each token ends."""
+    df = df.drop("ids", "ends")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     schema = f"{fields}, ids array<int>" + ", ends array<long>" * offsets
 
@@ -357,6 +359,7 @@ def encode(df: DataFrame, path: str, text: str = "text", offsets: bool = True) -
 
 def decode(df: DataFrame, path: str) -> DataFrame:
     """df with ``decoded`` binary: the bytes that its ``ids`` stand for."""
+    df = df.drop("decoded")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -98,6 +98,7 @@ class Scanner:
 
 def scan_licenses(df: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """df with license, score and license_lines (places of matching lines, from 0)."""
+    df = df.drop("license", "score", "license_lines")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,14 +120,14 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     rows = ", ".join(f"({k}, {quote(n)}, {quote(t)})" for k, (n, t) in enumerate(TEMPLATES))
-    words = "list_filter(string_split(regexp_replace(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'), lambda w: w <> '')"
+    words = "list_filter(string_split(regexp_replace(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
     grams = "list_distinct(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END)"
     return f"""
 WITH templates AS (SELECT k, name, {grams} AS g FROM (SELECT k, name, {words.format(x='t')} AS w FROM (VALUES {rows}) v(k, name, t))),
 units AS (
   SELECT doc_id, i AS pos, {words.format(x='parts[i]')} AS w FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents), LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS i)
   UNION ALL SELECT doc_id, 0, {words.format(x='text')} FROM documents WHERE contains(text, chr(10))),
-sets AS (SELECT doc_id, pos, {grams} AS g FROM units WHERE len(w) > 0 AND len(w) < 100000),
+sets AS (SELECT doc_id, pos, {grams} AS g FROM units WHERE len(w) > 0),
 grams AS (SELECT doc_id, pos, len(g) AS n, unnest(g) AS x FROM sets),
 marks AS (SELECT k, len(g) AS n, unnest(g) AS x FROM templates),
 hits AS (SELECT a.doc_id, a.pos, b.k, 2.0 * count(*) / (any_value(a.n) + any_value(b.n)) AS score FROM grams a JOIN marks b USING (x) GROUP BY 1, 2, 3 HAVING score >= {THRESHOLD}),
