@@ -84,7 +84,7 @@ def strip_quoted(c: str | Column) -> Column:
     """The text up to the first quotation pattern that occurs in it."""
     out = col(c)
     for p in reversed(QUOTES):
-        out = F.when(col(c).rlike(p), F.rtrim(F.regexp_replace(col(c), p + r"[\s\S]*$", ""))).otherwise(out)
+        out = F.when(col(c).rlike(p), F.regexp_replace(F.regexp_replace(col(c), p + r"[\s\S]*$", ""), r"\s+$", "")).otherwise(out)
     return out
 
 
@@ -127,7 +127,7 @@ def mail_field(c: str | Column, name: str) -> Column:
 
 def mail_body(c: str | Column) -> Column:
     """What follows the header block."""
-    return F.trim(F.regexp_replace(col(c), r"\A(?:[A-Za-z-]+:[^\n]*\n)+\s*", ""))
+    return F.regexp_replace(F.regexp_replace(col(c), r"\A(?:[A-Za-z-]+:[^\n]*\n)+\s*", ""), r"\s+$", "")
 
 
 def short_line_share(c: str | Column, most: int = 40) -> Column:
