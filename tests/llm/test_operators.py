@@ -362,8 +362,10 @@ def test_op9_template_generalises_fields(spark):
     rows = spark.createDataFrame([(1, k, t) for k, t in enumerate(lines)], "leaf long, h long, masked string")
     got = {r["h"]: r["template"] for r in line_dedup.template_links(rows, 0.8).collect()}
     assert got == {1: 0, 2: 0}
-    deep = line_dedup.leaves(rows.select("h", "masked"), leaf_rows=1).collect()
-    assert len({r["leaf"] for r in deep}) == 4
+    same = [F.lit(1).cast("long").alias(f"leaf{k}") for k in line_dedup.DEPTHS]
+    assert len({r["leaf"] for r in line_dedup.leaves(rows.select("h", "masked", *same), leaf_rows=1).collect()}) == 4
+    assert len({r["leaf"] for r in line_dedup.leaves(rows.select("h", "masked", *same), leaf_rows=4).collect()}) == 1
+    assert line_dedup.masked_tokens(b" a  b1 c@d e/f\tg ") == [b"a", b"<*>", b"<*>", b"<*>", b"g"]
 
 
 # -- op10 ------------------------------------------------------------------------------------
