@@ -244,6 +244,21 @@ def shared_party_edges(nodes: DataFrame, source_docs: DataFrame, target_docs: Da
     return s.join(t, ["case_id", "canonical_id"]).select("src", "dst").distinct().withColumn("edge_type", F.lit(edge_type))
 
 
+#: Words in a claim that tell of a breach.
+BREACH_WORDS = ("breach", "violat", "fail to perform", "non-performance", "default")
+
+
+def breached_by(obligations: DataFrame, claims: DataFrame, confidence: float = 0.7) -> DataFrame:
+    """Contract obligations to complaint claims that tell of a breach by the party obligated.
+
+    obligations: node_id, case_id, party (canonical, obligated); claims: node_id, case_id, claim_text, party (canonical, defendant).
+    """
+    words = F.lower("claim_text")
+    told = claims.filter(F.col("party").isNotNull()).filter(words.rlike("|".join(BREACH_WORDS))).select("case_id", "party", F.col("node_id").alias("dst"))
+    o = obligations.filter(F.col("party").isNotNull()).select("case_id", "party", F.col("node_id").alias("src"))
+    return o.join(told, ["case_id", "party"]).select("src", "dst").distinct().withColumn("edge_type", F.lit("breached_by")).withColumn("confidence", F.lit(confidence))
+
+
 def promote_case(cases: DataFrame, names: DataFrame) -> DataFrame:
     """Empty case fields filled from extracted names. names: case_id, plaintiff, defendant."""
     rows = cases.join(names, "case_id", "left")

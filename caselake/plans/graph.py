@@ -92,7 +92,7 @@ def _(v):
     return G.follow_canonical(own)
 
 
-@query("set_membership_edges", "SELECT a.document_id AS src, b.document_id AS dst, 'challenges' AS edge_type FROM v_docs a JOIN v_docs b ON a.case_id = b.case_id AND a.document_type = 'Pleading - Motion' AND b.document_type = 'Pleading - Complaint' WHERE EXISTS (SELECT 1 FROM v_nodes x JOIN v_nodes y ON x.node_type = 'party' AND y.node_type = 'party' AND x.document_id = a.document_id AND y.document_id = b.document_id AND substring(x.node_label, 1, 4) = substring(y.node_label, 1, 4))")
+@query("challenges_edges", "SELECT a.document_id AS src, b.document_id AS dst, 'challenges' AS edge_type FROM v_docs a JOIN v_docs b ON a.case_id = b.case_id AND a.document_type = 'Pleading - Motion' AND b.document_type = 'Pleading - Complaint' WHERE EXISTS (SELECT 1 FROM v_nodes x JOIN v_nodes y ON x.node_type = 'party' AND y.node_type = 'party' AND x.document_id = a.document_id AND y.document_id = b.document_id AND substring(x.node_label, 1, 4) = substring(y.node_label, 1, 4))")
 def _(v):
     canonical = v("v_nodes").filter("node_type = 'party'").select("node_id", F.substring("node_label", 1, 4).alias("canonical_id"))
     d = v("v_docs").select("document_id", "case_id", "document_type")
@@ -213,3 +213,11 @@ def _(v):
     deps = i.filter("intake_id % 50 = 0").select(F.col("job_id").alias("task"), F.col("intake_id").alias("needs"))
     results = i.filter("intake_id % 50 = 0").select(F.col("intake_id").alias("task"), "status", F.col("file_hash").alias("answer"))
     return G.task_context(tasks, deps, results, 10)
+
+
+@query("breached_by", "WITH d AS (SELECT document_id, case_id, document_type FROM v_docs WHERE case_id IS NOT NULL), o AS (SELECT n.node_id AS src, case_id, n.section_id % 5 AS party FROM v_nodes n JOIN d USING (document_id) WHERE node_type = 'obligation' AND starts_with(document_type, 'Contract')), c AS (SELECT n.node_id AS dst, case_id, n.section_id % 5 AS party FROM v_nodes n JOIN d USING (document_id) WHERE node_type = 'claim' AND document_type = 'Pleading - Complaint' AND contains(node_label, 'URGENT')) SELECT DISTINCT src, dst, 'breached_by' AS edge_type, 0.7 AS confidence FROM o JOIN c USING (case_id, party)")
+def _(v):
+    d = v("v_docs").filter("case_id IS NOT NULL").select("document_id", "case_id", "document_type")
+    n = v("v_nodes").join(d, "document_id").withColumn("party", F.col("section_id") % 5)
+    text = F.when(F.col("node_label").contains("URGENT"), F.concat(F.lit("Breach of "), "node_label")).otherwise(F.col("node_label"))
+    return G.breached_by(n.filter("node_type = 'obligation' AND document_type LIKE 'Contract%'"), n.filter("node_type = 'claim' AND document_type = 'Pleading - Complaint'").withColumn("claim_text", text))

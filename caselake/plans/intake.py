@@ -71,3 +71,11 @@ def _(v):
 def _(v):
     catalog = v.spark.createDataFrame([("plaintiff", "a", "A", 1), ("plaintiff", "b", "B", 2), ("general", "g", "General", 1)], "matter_type string, folder string, label string, ord int")
     return Q.propose_folders(v("v_cases").select("case_id", F.col("party_role").alias("matter_type")), catalog)
+
+
+@query("scan_files_mime")
+def _(v):
+    """The tables' own files as a listing."""
+    from caselake.sources.files import read_files
+
+    return read_files(v.spark, v.sf_dir, ("parquet",)).select("name", "ext", "mime", "length")

@@ -59,11 +59,11 @@ def _(v):
     return R.find_sections(v("v_sections"), "license", pages=(1, 4)).select("section_id")
 
 
-@query("near_duplicates", "SELECT a.document_id AS a, b.document_id AS b FROM v_sections a JOIN v_sections b ON a.pos = 0 AND b.pos = 0 AND a.section_text = b.section_text AND a.document_id < b.document_id WHERE length(a.section_text) > 100")
+@query("near_duplicates", "SELECT first AS a, document_id AS b FROM (SELECT document_id, min(document_id) OVER (PARTITION BY section_text) AS first FROM v_sections WHERE pos = 0 AND length(section_text) > 100) WHERE first < document_id")
 def _(v):
-    first = v("v_sections").filter("pos = 0 AND length(section_text) > 100").select("document_id", "section_text")
-    a, b = first.select(F.col("document_id").alias("a"), "section_text"), first.select(F.col("document_id").alias("b"), "section_text")
-    return a.join(b, "section_text").filter("a < b").select("a", "b")
+    s = v("v_sections").filter("pos = 0 AND length(section_text) > 100").select("document_id", "section_text")
+    first = s.groupBy("section_text").agg(F.min("document_id").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    return s.join(first, "section_text").filter("a < document_id").select("a", F.col("document_id").alias("b"))
 
 
 _ITEMS = "SELECT document_id AS item_id, case_id, CASE WHEN document_id % 3 = 0 THEN 'A' WHEN document_id % 3 = 1 THEN lang ELSE 'zzz' END AS ref FROM v_docs WHERE case_id IS NOT NULL AND document_id % 4 = 0"

@@ -113,6 +113,15 @@ def _(v):
     return D.split_exhibits(lines, lines.select("document_id").distinct().withColumn("label", F.lit("D")))
 
 
+_SCAN = "SELECT document_id, pos, CASE WHEN pos % 10 = 0 THEN '[Page ' || CAST(CAST(floor(pos / 10) AS BIGINT) + 1 AS STRING) || ']' WHEN document_id % 2 = 0 AND pos % 10 = 2 THEN 'Exhibit ' || chr(65 + CAST(floor(pos / 10) AS INT)) WHEN document_id % 2 = 1 AND pos % 10 = 6 THEN 'Exhibit Z' ELSE 'x ' || line END AS line FROM v_lines WHERE pos < 60"
+
+
+@query("exhibits_by_scan", f"WITH l AS ({_SCAN}), n AS (SELECT document_id, max(pos) + 1 AS n FROM l GROUP BY 1) SELECT document_id, chr(65 + CAST(floor(pos / 10) AS INT)) AS label, pos AS start, coalesce(lead(pos) OVER (PARTITION BY document_id ORDER BY pos), n) AS stop FROM l JOIN n USING (document_id) WHERE document_id % 2 = 0 AND pos % 10 = 2")
+def _(v):
+    v("v_lines").createOrReplaceTempView("v_lines")
+    return D.exhibits_by_scan(v.spark.sql(_SCAN))
+
+
 @query("exhibit_start", f"SELECT document_id, min(page) AS exhibit_page FROM ({_PL}) WHERE pos % 18 = 3 GROUP BY 1")
 def _(v):
     return D.exhibit_start(page_lines(v))

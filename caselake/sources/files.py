@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Extensions that are taken in, with their media types.
-MIME = {"pdf": "application/pdf", "txt": "text/plain", "md": "text/markdown", "html": "text/html", "htm": "text/html", "csv": "text/csv", "json": "application/json", "eml": "message/rfc822", "png": "image/png", "jpg": "image/jpeg"}
+MIME = {"pdf": "application/pdf", "txt": "text/plain", "md": "text/markdown", "html": "text/html", "htm": "text/html", "csv": "text/csv", "json": "application/json", "eml": "message/rfc822", "png": "image/png", "jpg": "image/jpeg", "parquet": "application/vnd.apache.parquet"}
 
 
 def read_files(spark: SparkSession, path: str, exts: tuple[str, ...] = tuple(MIME)) -> DataFrame:
