@@ -24,11 +24,13 @@ from __future__ import annotations
 import base64
 import heapq
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -255,7 +257,7 @@ class Encoder:
         self.path = path
         self.ranks, self.tokens = vocabulary(path)
         self.lengths = np.array([len(x) for x in self.tokens], np.int64)
-        self.seen: dict[bytes, list[int]] = {}
+        self.seen: dict[bytes, bytes] = {}
         self.most = most
 
     def slices(self, texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -271,25 +273,26 @@ class Encoder:
         per_text = np.diff(np.searchsorted(at, ends), prepend=-1) - 1
         return joined.encode("utf-8", "surrogatepass"), np.append(place[at], place[-1]), per_text
 
-    def learn(self, pieces: set[bytes]) -> dict[bytes, list[int]]:
-        """Ids of the pieces that are too long to be held; those of ordinary length are held from now on."""
+    def learn(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+        """Packed ids of the pieces that are too long to be held; those of ordinary length are held from now on."""
         got = {}
         short = []
         for x in pieces:
             if x in self.ranks:
-                got[x] = [self.ranks[x]]
+                got[x] = array("i", [self.ranks[x]]).tobytes()
             elif len(x) > 48:
-                got[x] = merge_long(x, self.ranks)
+                got[x] = array("i", merge_long(x, self.ranks)).tobytes()
             else:
                 short.append(x)
         short.sort(key=len)
         for at in range(0, len(short), 4096):
             part = short[at : at + 4096]
-            got.update(zip(part, merge_many(part, self.path), strict=True))
+            got.update((x, array("i", ids).tobytes()) for x, ids in zip(part, merge_many(part, self.path), strict=True))
         self.seen.update((x, ids) for x, ids in got.items() if len(x) <= 48)
         return {x: ids for x, ids in got.items() if len(x) > 48}
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. Ids of pieces are kept packed, so that a text's are joined without an object per token."""
         data, place, per_text = self.slices(texts)
         bounds = place.tolist()
         pieces = [data[s:e] for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
@@ -299,15 +302,17 @@ class Encoder:
             self.seen.clear()
             new = known
         long_ = self.learn(new)
-        seen = self.seen
-        k, out = 0, []
+        self.seen.update(long_)
+        k, out, packed = 0, [], self.seen.__getitem__
         for count in per_text.tolist():
-            out.append([x for piece in pieces[k : k + count] for x in (seen.get(piece) or long_[piece])])
+            out.append(np.frombuffer(b"".join(map(packed, pieces[k : k + count])), np.int32))
             k += count + 1
+        for piece in long_:
+            del self.seen[piece]
         return out
 
-    def ends(self, ids: list[int]) -> np.ndarray:
-        return np.cumsum(self.lengths[ids]) if ids else np.empty(0, np.int64)
+    def ends(self, ids: np.ndarray) -> np.ndarray:
+        return np.cumsum(self.lengths[ids])
 
 
 @lru_cache(maxsize=2)
@@ -357,20 +362,36 @@ def encode(df: DataFrame, path: str, text: str = "text", offsets: bool = True) -
     return spread(df).mapInArrow(run, schema)
 
 
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens' bytes one after the other, where each begins, and its length."""
+    tokens = vocabulary(path)[1]
+    length = np.array([len(x) for x in tokens], np.int64)
+    return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(length) - length, length
+
+
+def decode_lists(lists: pa.ListArray, path: str) -> pa.Array:
+    """The bytes that each list of ids stands for: one gather from the vocabulary's bytes for all of them."""
+    data, start, length = token_bytes(path)
+    ids = lists.flatten().to_numpy(zero_copy_only=False)
+    per_list = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    n = length[ids]
+    upto = np.cumsum(n)
+    place = np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(start[ids] - (upto - n), n)
+    edges = np.concatenate(([0], upto))[np.concatenate(([0], np.cumsum(per_list)))]
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data[place])])
+
+
 def decode(df: DataFrame, path: str) -> DataFrame:
-    """df with ``decoded`` binary: the bytes that its ``ids`` stand for."""
+    """df with ``decoded`` binary: the bytes that its ``ids`` stand for (null ids: none)."""
     df = df.drop("decoded")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = vocabulary(path)[1]
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                lists = part.column("ids")
-                flat, ends = lists.flatten().to_pylist(), np.cumsum([0, *(len(x) if x.is_valid else 0 for x in lists)])
-                texts = [b"".join(map(tokens.__getitem__, flat[s:e])) for s, e in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=[*part.schema.names, "decoded"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([*part.columns, decode_lists(part.column("ids"), path)], names=[*part.schema.names, "decoded"])
 
     return df.mapInArrow(run, f"{fields}, decoded binary")
 
