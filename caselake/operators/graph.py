@@ -35,7 +35,8 @@ ENTITY_SCHEMA = ", ".join(f"{k} {_ENTITY}" for k in ENTITY_KINDS)
 def flatten_entities(results: DataFrame, least: float = 0.5) -> DataFrame:
     """One row per entity of a nested extraction result. results: section_id, json; broken JSON gives nothing."""
     parsed = results.select("section_id", F.from_json("json", ENTITY_SCHEMA, {"mode": "PERMISSIVE"}).alias("r"))
-    tagged = F.flatten(F.array(*[F.coalesce(F.transform(f"r.{k}", lambda e, k=k: F.struct(F.lit(k).alias("kind"), e["name"].alias("name"), e["value"].alias("value"), e["confidence"].alias("confidence"), e["role"].alias("role"))), F.array()) for k in ENTITY_KINDS]))
+    tag = lambda kind: lambda e: F.struct(F.lit(kind).alias("kind"), e["name"].alias("name"), e["value"].alias("value"), e["confidence"].alias("confidence"), e["role"].alias("role"))
+    tagged = F.flatten(F.array(*[F.coalesce(F.transform(f"r.{k}", tag(k)), F.array()) for k in ENTITY_KINDS]))
     rows = parsed.select("section_id", F.explode(tagged).alias("e")).select("section_id", "e.*")
     return rows.filter((F.col("confidence") >= least) & (F.trim("name") != "")).withColumn("needs_review", F.col("confidence") < 0.7)
 
