@@ -268,13 +268,18 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     return spots.mapInArrow(records, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary")
 
 
-def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
-    """pages (page_id, url, payload binary) with refers_to: the smallest page_id of an equal payload of at least ``least`` bytes, null for that page itself."""
+def with_revisits(pages: DataFrame, least: int = 0, most_broadcast: int = 200_000) -> DataFrame:
+    """pages (page_id, url, payload binary) with refers_to: the smallest page_id of an equal payload of at least ``least`` bytes, null for that page itself.
+
+    Revisits are broadcast up to ``most_broadcast`` of them, so that payloads stay where they are, and joined by key beyond.
+    """
     keys = pages.select("page_id", F.sha1("payload").alias("sha"), F.octet_length("payload").alias("size")).filter(F.col("size") >= least)
     first = keys.groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     later = keys.join(first, ["sha", "size"]).filter("page_id <> first").select("page_id", "sha", F.col("first").alias("refers_to")).distinct()
+    later = cut(later)
+    few = later.limit(most_broadcast + 1).count() <= most_broadcast
     own = pages.withColumn("sha", F.sha1("payload"))
-    return own.join(later, ["page_id", "sha"], "left").select("page_id", "url", "payload", "refers_to")
+    return own.join(F.broadcast(later) if few else later, ["page_id", "sha"], "left").select("page_id", "url", "payload", "refers_to")
 
 
 def op5_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
