@@ -9,9 +9,9 @@ Only lines of leaves with several lines have their text compared.
 
 A template that recurs across documents is dropped from all of them but the
 one of smallest doc_id, if it has ``least_tokens`` tokens or more. Copies of one
-document don't make its lines recur: documents that share a key of three
-min-hashes over their words (one of four) count once, together with all that they are
-linked with. Copies are the near-dedup's business, which needs them whole.
+document don't make its lines recur: the documents of one group of the near-dedup
+(``simhash.similar_documents``: five-word shingles, Jaccard similarity 0.8, closed)
+count once, since all but one of them go there. What it leaves apart counts apart.
 
 Cases: a null text stays null; blank lines are never dropped; lines of a null
 doc_id are never dropped but count as one document; rows with equal doc_id are
@@ -30,10 +30,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, group_numbers, grouped, spread, table, whole_groups
+from .common import cut, group_numbers, grouped, spread, table, whole_groups
+from .simhash import similar_documents
 
-KEYS, PER_KEY = 4, 3
-_MUL = np.random.default_rng(11).integers(1, 1 << 63, KEYS * PER_KEY, dtype=np.uint64) * 2 + 1
 FIELD = b"<*>"
 MARKS = b"0123456789@/"
 
@@ -80,34 +79,10 @@ def masked_lines(docs: DataFrame, least_tokens: int) -> DataFrame:
     return spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, schema)
 
 
-def document_keys(docs: DataFrame) -> DataFrame:
-    """(doc_id, key): four keys of three min-hashes over each document's set of words; (doc_id, null) without words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, keys = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = set((text or "").encode("utf-8", "surrogatepass").lower().split())
-                if not words:
-                    continue
-                h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-                low = np.full(KEYS * PER_KEY, np.iinfo(np.uint64).max, np.uint64)
-                for at in range(0, len(h), 1 << 14):
-                    part = h[at : at + (1 << 14), None] * _MUL
-                    np.minimum(low, (part ^ (part >> np.uint64(32))).min(0), out=low)
-                ids += [doc] * KEYS
-                keys += [xxhash.xxh64_intdigest(low[k * PER_KEY : (k + 1) * PER_KEY].tobytes(), k) for k in range(KEYS)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(keys, np.uint64).view(np.int64))], names=["doc_id", "key"])
-
-    return spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, "doc_id long, key long")
-
-
 def copy_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class) of documents that are near copies of another; class is the smallest doc_id linked."""
-    keys = cut(document_keys(docs).filter("doc_id IS NOT NULL"))
-    first = keys.groupBy("key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last")).filter("b < last").select("key", "b")
-    links = keys.join(first, "key").select(F.col("doc_id").alias("a"), "b")
-    return components(links).selectExpr("node AS doc_id", "root AS class")
+    """(doc_id, class) of documents that the near-dedup puts in one group with another; class is the group's smallest doc_id."""
+    groups = similar_documents(docs.select("doc_id", "text"))
+    return groups.filter("doc_id <> component_id").groupBy("doc_id").agg(F.min("component_id").alias("class"))
 
 
 def template_links(lines: DataFrame, alike: float) -> DataFrame:

@@ -356,6 +356,17 @@ def test_op9_drops_what_recurs(spark):
     assert line_dedup.without_recurring_lines(docs_of(spark, [])).count() == 0
 
 
+def test_op9_counts_apart_what_near_dedup_leaves_apart(spark):
+    rng = random.Random(19)
+    line, common = "the same notice stands in all of these texts", ["".join(rng.choices("abcdefghij", k=8)) for _ in range(40)]
+    rows = []
+    for d in range(1, 9):  # the same words in another order: word sets alike, shingles not
+        rng.shuffle(common)
+        rows.append((d, " ".join(common) + "\n" + line))
+    out = {r["doc_id"]: r["dropped"] for r in line_dedup.without_recurring_lines(docs_of(spark, rows)).collect()}
+    assert out == {1: None, **{d: [1] for d in range(2, 9)}}
+
+
 def test_op9_template_generalises_fields(spark):
     words = "alpha beta gamma delta epsilon zeta eta theta iota".split()
     lines = [" ".join([*words, w]) for w in ("red", "green", "blue")] + ["alpha beta other words that differ in most of these places"]
