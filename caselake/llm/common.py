@@ -150,3 +150,96 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             return edges.selectExpr("a AS node", "b AS root")
         was = now
     raise RuntimeError("links did not settle")
+
+
+def linked(rows: DataFrame, alike, most: int) -> DataFrame:
+    """(node, root) of what ``alike`` links, directly or through others, among the rows of each key; root is the smallest node.
+
+    rows: key, node (once a key), and the columns that ``alike(table)`` reads; it
+    returns a function that confirms pairs (i, j) of the table's row numbers.
+    A task compares about ``most`` rows at once, whatever a key holds: a larger key is dealt
+    into blocks that all get its first row. Where a key's blocks don't
+    join into one component, every row outside its largest component then meets every
+    other row, block by block, so no pair that could join two components is left out.
+    """
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first"))
+    large = cut(sizes.filter(F.col("n") > most))
+    if large.isEmpty():
+        return components(linked_blocks(rows.withColumn("label", F.col("node")), alike))
+    half = max(1, most // 2)
+    members = rows.join(large, "key")
+    dealt = members.withColumn("part", F.expr(f"explode(IF(node = first, sequence(0L, n DIV {half}), array(pmod(xxhash64(node, key), n DIV {half} + 1))))"))
+    dealt = dealt.withColumn("key", F.expr("xxhash64(key, part)")).drop("n", "first", "part")
+    once = rows.join(large.select("key"), "key", "left_anti").unionByName(dealt).withColumn("label", F.col("node"))
+    roots = cut(components(linked_blocks(once, alike)))
+    placed = cut(members.select("key", "node", "n").join(roots, "node", "left").selectExpr("key", "node", "n", "coalesce(root, node) AS label"))
+    counts = placed.groupBy("key", "label").agg(F.count("*").alias("c"))
+    open_ = counts.groupBy("key").agg(F.expr("max_by(label, struct(c, label))").alias("main"), F.sum("c").alias("all"), F.max("c").alias("c")).filter("c < all").selectExpr("key", "main", "all - c AS others")
+    open_ = cut(open_)
+    if open_.isEmpty():
+        return roots
+    met = placed.join(open_, "key").withColumn("i", F.expr(f"pmod(xxhash64(node, key, 1), others DIV {half} + 1)")).withColumn("j", F.expr(f"pmod(xxhash64(node, key, 2), n DIV {half} + 1)"))
+    everyone = met.withColumn("i", F.expr(f"explode(sequence(0L, others DIV {half}))"))
+    others = met.filter("label <> main").withColumn("j", F.expr(f"explode(sequence(0L, n DIV {half}))"))
+    blocks = everyone.unionByName(others).selectExpr("key", "node", "label", "xxhash64(key, i, j) AS block").distinct()
+    again = rows.join(blocks, ["key", "node"]).withColumn("key", F.col("block")).drop("block")
+    return components(roots.selectExpr("node AS a", "root AS b").unionByName(linked_blocks(again, alike)))
+
+
+def linked_blocks(rows: DataFrame, alike, at_once: int = 1 << 16) -> DataFrame:
+    """Links (a, b) that join what is alike in each key, as a spanning forest; pairs of one label are joined already.
+
+    Pairs are made and compared ``at_once`` at a time: first every row with its key's first, then all that is not joined yet.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, "key", 1 << 14):
+            key = t.column("key").to_numpy()
+            group, _ = group_numbers(key)
+            several = np.flatnonzero(np.bincount(group)[group] > 1)
+            if not several.size:
+                continue
+            t = t.take(several)
+            group, root = group_numbers(key[several])
+            node, n = t.column("node").to_numpy(), len(group)
+            test, label = alike(t), np.arange(n)
+
+            def join(i: np.ndarray, j: np.ndarray, label: np.ndarray) -> np.ndarray:
+                return unions(n, label[i], label[j])[label]
+
+            for same in (t.column("label").to_numpy(), node):
+                _, first, inverse = np.unique(same, return_index=True, return_inverse=True)
+                label = join(np.arange(n), first[inverse], label)
+
+            def compare(i: np.ndarray, j: np.ndarray, label: np.ndarray) -> np.ndarray:
+                apart = label[i] != label[j]
+                i, j = i[apart], j[apart]
+                if not i.size:
+                    return label
+                ok = test(i, j)
+                return join(i[ok], j[ok], label)
+
+            for at in range(0, n, at_once):
+                i = np.arange(at, min(n, at + at_once))
+                label = compare(i, root[group[i]], label)
+            apart = np.minimum.reduceat(label, root) != np.maximum.reduceat(label, root)
+            before = np.where(apart[group], np.arange(n) - root[group], 0)
+            ends = np.cumsum(before)
+            s = 0
+            while s < n:
+                done = ends[s - 1] if s else 0
+                e = max(s + 1, int(np.searchsorted(ends, done + at_once, side="right")))
+                count = before[s:e]
+                i = np.repeat(np.arange(s, e), count)
+                j = root[group[i]] + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+                for at in range(0, len(i), at_once):
+                    label = compare(i[at : at + at_once], j[at : at + at_once], label)
+                s = e
+            least = np.full(n, np.iinfo(np.int64).max)
+            np.minimum.at(least, label, np.minimum(node, t.column("label").to_numpy()))
+            least = least[label]
+            own = least != node
+            if own.any():
+                yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(least[own])], names=["a", "b"])
+
+    return grouped(rows, "key").mapInArrow(run, "a long, b long")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, group_numbers, grouped, many, spread, table, unions, whole_groups
+from .common import components, cut, group_numbers, grouped, linked, many, spread, table, unions, whole_groups
 
 PAIRS = list(combinations(range(4), 2))
 
@@ -202,99 +202,102 @@ def min_hashes(hashes: np.ndarray) -> np.ndarray:
     return low
 
 
-def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(doc_id, fp, sig, shingles, keys) of every document: fingerprint, 128 16-bit minima, the set of 32-bit shingle hashes in order, and the band keys."""
+def sketches(docs: DataFrame, shingle: int = 5, sets: bool = False) -> DataFrame:
+    """(doc_id, sig, keys) of every document: 128 16-bit minima and the band keys; with ``sets`` the set of 32-bit shingle hashes in order instead of the keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                fps, sigs, sets, keys = [], [], [], []
+                sigs, found, keys = [], [], []
                 for t in part.column(1):
                     h = shingle_hashes(t.as_py(), shingle)
                     low = min_hashes(h) if h.size else np.zeros(SIGNS, np.uint64)
-                    fps.append(fold(h))
                     sigs.append((low >> np.uint64(48)).astype("<u2").tobytes())
-                    sets.append(np.unique((h >> np.uint64(32)).astype("<u4")).tobytes())
-                    keys.append([xxhash.xxh64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)])
-                flat = np.array(keys, np.uint64).view(np.int64).reshape(-1)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, BANDS, dtype=np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sigs, pa.binary()), pa.array(sets, pa.binary()), lists], names=["doc_id", "fp", "sig", "shingles", "keys"])
+                    if sets:
+                        found.append(np.unique((h >> np.uint64(32)).astype("<u4")).tobytes())
+                    else:
+                        keys.append([xxhash.xxh64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)])
+                if sets:
+                    last = pa.array(found, pa.binary())
+                else:
+                    flat = np.array(keys, np.uint64).view(np.int64).reshape(-1)
+                    last = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, BANDS, dtype=np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sigs, pa.binary()), last], names=["doc_id", "sig", "shingles" if sets else "keys"])
 
-    return spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, "doc_id long, fp long, sig binary, shingles binary, keys array<long>")
+    return spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, f"doc_id long, sig binary, {'shingles binary' if sets else 'keys array<long>'}")
 
 
 def alike(similarity: float, slack: float = 0.15):
-    """Accepts pairs whose sets of shingles have the Jaccard similarity.
+    """Confirms pairs whose sets of shingles have the Jaccard similarity.
 
     Equal minima give an estimate (standard error 0.035 at 0.8); pairs within
     ``slack`` below the similarity or above are computed exactly, the likeliest first,
-    but for those that accepted pairs connect already.
+    but for those that accepted pairs connect already. A pair at 0.8 is estimated
+    lower than that in about 3 of 100,000 cases.
     """
 
-    def accept(t: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    def prepare(t: pa.Table):
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, SIGNS)
-        estimate = np.concatenate([(sig[i[at : at + (1 << 16)]] == sig[j[at : at + (1 << 16)]]).mean(1) for at in range(0, len(i), 1 << 16)])
-        ok = np.zeros(len(i), bool)
-        near = np.flatnonzero(estimate >= similarity - slack)
-        column, sets, root = t.column("shingles"), {}, {}
-
-        def shingles(k: int) -> np.ndarray:
-            if k not in sets:
-                sets[k] = np.frombuffer(column[k].as_py(), "<u4")
-            return sets[k]
-
-        def top(k: int) -> int:
-            while root.get(k, k) != k:
-                root[k] = root.get(root[k], root[k])
-                k = root[k]
-            return k
-
-        for k in near[np.argsort(-estimate[near], kind="stable")].tolist():
-            a, b = int(i[k]), int(j[k])
-            ta, tb = top(a), top(b)
-            if ta == tb:
-                continue
-            x, y = shingles(a), shingles(b)
-            if min(len(x), len(y)) < similarity * max(len(x), len(y)):
-                continue
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if both >= similarity * (len(x) + len(y) - both):
-                ok[k] = True
-                root[max(ta, tb)] = min(ta, tb)
-        return ok
-
-    return accept
-
-
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 22, most: int = 2048, most_broadcast: int = 500_000) -> DataFrame:
+        column = t.column("shingles")
+
+        def accept(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            estimate = (sig[i] == sig[j]).mean(1)
+            ok = np.zeros(len(i), bool)
+            near = np.flatnonzero(estimate >= similarity - slack)
+            sets, root = {}, {}
+
+            def shingles(k: int) -> np.ndarray:
+                if k not in sets:
+                    sets[k] = np.frombuffer(column[k].as_py(), "<u4")
+                return sets[k]
+
+            def top(k: int) -> int:
+                while root.get(k, k) != k:
+                    root[k] = root.get(root[k], root[k])
+                    k = root[k]
+                return k
+
+            for k in near[np.argsort(-estimate[near], kind="stable")].tolist():
+                a, b = int(i[k]), int(j[k])
+                ta, tb = top(a), top(b)
+                if ta == tb:
+                    continue
+                x, y = shingles(a), shingles(b)
+                if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= similarity * (len(x) + len(y) - both):
+                    ok[k] = True
+                    root[max(ta, tb)] = min(ta, tb)
+            return ok
+
+        return accept
+
+    return prepare
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, most: int = 2048, most_broadcast: int = 500_000) -> DataFrame:
     """(doc_id, component_id): documents linked by the Jaccard similarity of their word shingles.
 
-    A radius of two bits reaches only copies that hardly differ, so here
-    shards come from min-hash bands (20 of 5 minima: a pair at 0.8 shares one with
-    probability 0.9996), the BK-tree of a shard drops pairs whose fingerprints
-    are further apart than documents that alike can be, and the exact similarity of
-    their shingles decides. Keys of a single document are dropped before any
-    set is moved. A shard of over ``most`` documents is dealt again by each further
-    band that its documents may share.
+    A radius of two bits reaches only copies that hardly differ, and no radius holds
+    all documents alike by their sets (a fingerprint counts repeats), so here shards
+    come from min-hash bands (20 of 5 minima: a pair at 0.8 shares one with
+    probability 0.9996), and the exact similarity of the shingles decides on every pair
+    of a shard that the estimate doesn't rule out. Keys of a single document are dropped
+    before any set is made. A shard of over ``most`` documents is compared in blocks (``linked``).
     """
     rows = cut(sketches(docs, shingle))
     reps = rows.filter("doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("node"), F.min_by("keys", "doc_id").alias("keys"))
-    light = cut(reps.selectExpr("node", "explode(keys) AS key"))
-    shared = cut(light.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
-    light = cut(light.join(shared, "key"))
+    light = cut(reps.selectExpr("node", "explode(keys) AS key").distinct())
+    shared = light.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    light = cut(light.join(shared, "key"), light)
     wanted = cut(light.select("node").distinct())
     few = wanted.limit(most_broadcast + 1).count() <= most_broadcast
-    sets = rows.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("node"), "left_semi").dropDuplicates(["doc_id"])
-    full = light.join(sets.select(F.col("doc_id").alias("node"), "fp", "sig", "shingles", "keys"), "node")
-    parts = [full.filter(F.col("n") <= most)]
-    if not shared.filter(F.col("n") > most).isEmpty():
-        parts.append(full.filter(F.col("n") > most).selectExpr("node", "fp", "sig", "shingles", "explode(transform(filter(keys, k -> k <> key), k -> xxhash64(least(k, key), greatest(k, key)))) AS key").dropDuplicates(["node", "key"]))
-    links = None
-    for part in parts:
-        found = shard_forest(part.select("key", "fp", "node", "sig", "shingles"), radius, alike(similarity))
-        links = found if links is None else links.unionByName(found)
-    roots = components(links)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = own.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("node"), "left_semi")
+    sets = cut(sketches(own, shingle, sets=True).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node"))
+    roots = linked(light.join(sets, "node"), alike(similarity), most)
     firsts = rows.filter("doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("node"))
     by_sig = firsts.join(roots, "node", "left").selectExpr("sig", "coalesce(root, node) AS component_id")
     return rows.select("doc_id", "sig").join(by_sig, "sig", "left").select("doc_id", "component_id")

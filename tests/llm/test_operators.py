@@ -91,6 +91,42 @@ def test_similar_documents_finds_what_jaccard_says(spark):
     assert got[100] == got[101] == 100 and len(set(got.values())) == 31
 
 
+def jaccard(a, b):
+    x, y = set(simhash.shingle_hashes(a, 5)), set(simhash.shingle_hashes(b, 5))
+    return len(x & y) / len(x | y)
+
+
+def test_similar_documents_with_repeated_lines(spark):
+    rng = random.Random(3)
+    rows = []
+    for d in range(0, 40, 2):
+        text, line = (" ".join(f"v{rng.randrange(10**6)}" for _ in range(k)) for k in (300, 10))
+        rows += [(d, f"{text}\n{line}"), (d + 1, "\n".join([text] + [line] * 60))]
+    assert all(jaccard(rows[d][1], rows[d + 1][1]) > 0.9 for d in range(0, 40, 2))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs_of(spark, rows)).collect()}
+    assert got == {d: d - d % 2 for d in range(40)}
+
+
+def test_similar_documents_at_the_threshold_in_hot_shards(spark):
+    rng = random.Random(4)
+    keys = lambda t: {tuple([b, *low[b * simhash.ROWS : (b + 1) * simhash.ROWS]]) for low in [simhash.min_hashes(simhash.shingle_hashes(t, 5))] for b in range(simhash.BANDS)}
+    texts = []
+    while len(texts) < 4:  # pairs just above 0.8 with a single band in common
+        a = [f"u{rng.randrange(10**6)}" for _ in range(200)]
+        b = a[:178] + [f"u{rng.randrange(10**6)}" for _ in range(20)]
+        if jaccard(" ".join(a), " ".join(b)) >= 0.8 and len(keys(" ".join(a)) & keys(" ".join(b))) == 1:
+            texts += [" ".join(a), " ".join(b)]
+    chain = [f"t{k}" for k in range(240)]  # a chain whose far ends aren't alike, and copies at 0.8 to 0.85 of one text
+    texts += [" ".join(chain[k * 5 : k * 5 + 150]) for k in range(10)]
+    base = [f"s{k}" for k in range(300)]
+    texts += [" ".join(base[: 300 - rng.randrange(30)] + [f"r{d}_{k}" for k in range(rng.randrange(22, 30))]) for d in range(30)]
+    near = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if jaccard(texts[i], texts[j]) >= 0.8]
+    label = common.unions(len(texts), *np.array(near).T)
+    for most in (1, 2048):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs_of(spark, list(enumerate(texts))), most=most).collect()}
+        assert [got[k] for k in range(len(texts))] == label.tolist(), most
+
+
 # -- op2 -------------------------------------------------------------------------------------
 
 
