@@ -2,9 +2,11 @@
 
 Tokens that hold a digit, an at sign or a slash are variable fields from the start. The
 tree branches by token count and by four leading tokens; within a leaf lines whose
-tokens agree at ``alike`` of their places or more join one template, whose
-differing places become variable. A leaf with more than ``leaf_rows`` lines branches
-by 8 leading tokens, then by all of them, so that no task holds an unbounded leaf.
+tokens agree at ``alike`` of their places or more join one template, together with
+all that they are linked with. A leaf with more than ``leaf_rows`` lines is compared
+in blocks of lines that agree on a run of places (``position_blocks``), and a large
+block piece by piece (``common.linked``), so that no task holds an unbounded leaf and
+size doesn't change the result.
 Only lines of leaves with several lines have their text compared.
 
 A template that recurs across documents is dropped from all of them but the
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, group_numbers, grouped, spread, table, whole_groups
+from .common import cut, linked, spread, table
 from .simhash import similar_documents
 
 FIELD = b"<*>"
@@ -49,7 +51,7 @@ DEPTHS = (4, 8)
 
 
 def masked_lines(docs: DataFrame, least_tokens: int) -> DataFrame:
-    """(doc_id, pos, h, leaf4, leaf8, masked) of every line of enough tokens: its hash, its nodes in the tree by 4 and 8 leading tokens, its masked text."""
+    """(doc_id, pos, h, leaf4, masked) of every line of enough tokens: its hash, its leaf by token count and 4 leading tokens, its masked text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
@@ -66,16 +68,15 @@ def masked_lines(docs: DataFrame, least_tokens: int) -> DataFrame:
                         ids.append(doc)
                         places.append(pos)
                         hashes.append(digest(flat))
-                        nodes.append([digest(b" ".join(tokens[:k]), len(tokens)) for k in DEPTHS])
+                        nodes.append(digest(b" ".join(tokens[: DEPTHS[0]]), len(tokens)))
                         texts.append(flat)
                 longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-                node = np.array(nodes, np.uint64).reshape(-1, len(DEPTHS))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), longs(hashes), *(longs(node[:, k].copy()) for k in range(len(DEPTHS))), pa.array(texts, pa.binary()).cast(pa.string())],
-                    names=["doc_id", "pos", "h", *(f"leaf{k}" for k in DEPTHS), "masked"],
+                    [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), longs(hashes), longs(nodes), pa.array(texts, pa.binary()).cast(pa.string())],
+                    names=["doc_id", "pos", "h", "leaf4", "masked"],
                 )
 
-    schema = "doc_id long, pos int, h long, leaf4 long, leaf8 long, masked string"
+    schema = "doc_id long, pos int, h long, leaf4 long, masked string"
     return spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, schema)
 
 
@@ -85,42 +86,69 @@ def copy_classes(docs: DataFrame) -> DataFrame:
     return groups.filter("doc_id <> component_id").groupBy("doc_id").agg(F.min("component_id").alias("class"))
 
 
-def template_links(lines: DataFrame, alike: float) -> DataFrame:
-    """(h, template) of each line that joins an earlier one. lines: leaf, h, masked; distinct by h."""
+def agreeing(alike: float):
+    """Confirms pairs of lines whose tokens agree at ``alike`` of their places or more."""
+
+    def prepare(t: pa.Table):
+        rows = [x.split(" ") for x in t.column("masked").to_pylist()]
+        count = np.array([len(r) for r in rows])
+        start = np.cumsum(count) - count
+        vocabulary: dict[str, int] = {}
+        ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for r in rows for w in r], np.int32)
+
+        def accept(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            ok = count[i] == count[j]
+            for n in np.unique(count[i[ok]]):
+                pick, step = np.flatnonzero(ok & (count[i] == n)), max(1, (1 << 22) // int(n))
+                for at in range(0, len(pick), step):
+                    part = pick[at : at + step]
+                    ok[part] = (ids[start[i[part], None] + np.arange(n)] == ids[start[j[part], None] + np.arange(n)]).mean(1) >= alike
+            return ok
+
+        return accept
+
+    return prepare
+
+
+def position_blocks(lines: DataFrame, alike: float) -> DataFrame:
+    """(key, node): lines by leaf and by each of m + 1 runs of the places after the leading ones, m the most places that may differ: lines that are alike agree on one run whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, "leaf"):
-            leaf, h = t.column("leaf").to_numpy(), t.column("h").to_numpy()
-            _, root = group_numbers(leaf)
-            a, b = [], []
-            for s, e in zip(root, np.append(root[1:], len(leaf)), strict=True):
-                if e - s < 2:
-                    continue
-                order = np.argsort(h[s:e], kind="stable")
-                texts = t.column("masked").slice(s, e - s).to_pylist()
-                rows = [texts[k].split(" ") for k in order]
-                n = len(rows[0])
-                vocabulary: dict[str, int] = {}
-                ids = np.array([[vocabulary.setdefault(w, len(vocabulary)) for w in r] for r in rows if len(r) == n], np.int32)
-                own = h[s:e][order][[len(r) == n for r in rows]]
-                free = np.ones(len(ids), bool)
-                for k in range(len(ids)):  # each template takes what is alike, as its own places allow
-                    if not free[k]:
-                        continue
-                    later = np.flatnonzero(free[k + 1 :]) + k + 1
-                    if not later.size:
-                        break
-                    near = later[(ids[later] == ids[k]).mean(1) >= alike]
-                    free[near] = False
-                    a += own[near].tolist()
-                    b += [int(own[k])] * len(near)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["h", "template"])
-
-    return grouped(lines, "leaf").mapInArrow(run, "h long, template long")
+        digest = xxhash.xxh64_intdigest
+        for batch in batches:
+            keys, nodes = [], []
+            for leaf, h, masked in zip(*(batch.column(c).to_pylist() for c in ("leaf", "h", "masked")), strict=True):
+                tokens = masked.encode().split(b" ")
+                n, rest = len(tokens), tokens[DEPTHS[0] :]
+                m = sum((n - k) / n >= alike for k in range(1, n + 1))
+                runs = [rest[k * len(rest) // (m + 1) : (k + 1) * len(rest) // (m + 1)] for k in range(m + 1)] if m < len(rest) else [[]]
+                keys += [digest(b"%d %d " % (leaf, k) + b" ".join(r)) for k, r in enumerate(runs)]
+                nodes += [h] * len(runs)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(nodes, pa.int64())], names=["key", "node"])
+
+    return lines.select("leaf", "h", "masked").mapInArrow(run, "key long, node long")
+
+
+def template_links(lines: DataFrame, alike: float, leaf_rows: int = 4000) -> DataFrame:
+    """(h, template) of each line that is joined with one of smaller hash, its leaf's smallest that it is linked with. lines: leaf, h, masked; distinct by h.
+
+    A leaf of over ``leaf_rows`` lines is compared within its blocks of agreeing
+    places, which no pair that is alike escapes; the result is the same.
+    """
+    sizes = lines.groupBy("leaf").agg(F.count("*").alias("n"))
+    large = cut(sizes.filter(F.col("n") > leaf_rows).select("leaf"))
+    texts = lines.select(F.col("h").alias("node"), "masked")
+    keyed = lines.selectExpr("leaf AS key", "h AS node", "masked")
+    if not large.isEmpty():
+        keyed = lines.join(large, "leaf", "left_anti").selectExpr("leaf AS key", "h AS node", "masked")
+        blocks = cut(position_blocks(lines.join(large, "leaf", "left_semi"), alike).distinct())
+        several = blocks.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+        keyed = keyed.unionByName(blocks.join(several, "key").join(texts, "node").select("key", "node", "masked"))
+    return linked(keyed, agreeing(alike), leaf_rows).filter("node <> root").selectExpr("node AS h", "root AS template")
 
 
 def leaves(lines: DataFrame, leaf_rows: int) -> DataFrame:
-    """(leaf, h, masked): lines in the tree's leaves; full leaves branch by more leading tokens. lines: h, leaf4, leaf8, masked."""
+    """(leaf, h, masked): lines in the leaves of a deeper tree, which parts lines that are alike and so isn't used by op9; full leaves branch by more leading tokens. lines: h, leaf4, leaf8, masked."""
     rows, picked, over = lines, F.col("leaf4"), F.lit(True)
     for depth, nxt in zip(DEPTHS, ("leaf8", "h"), strict=True):
         full = cut(rows.groupBy(f"leaf{depth}").agg(F.count("*").alias("n")).filter(F.col("n") > leaf_rows).select(F.col(f"leaf{depth}").alias("full")))
@@ -141,8 +169,8 @@ def recurring_lines(docs: DataFrame, least_documents: int = 2, least_tokens: int
     spots = lines.select("doc_id", "pos", "h")
     several = cut(lines.groupBy("leaf4").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low < high").select("leaf4"))
     few = several.limit(most_broadcast + 1).count() <= most_broadcast
-    distinct = cut(lines.join(F.broadcast(several) if few else several, "leaf4", "left_semi").groupBy("h").agg(*[F.min(c).alias(c) for c in ("leaf4", "leaf8", "masked")]))
-    joined = cut(template_links(leaves(distinct, leaf_rows), alike))
+    distinct = cut(lines.join(F.broadcast(several) if few else several, "leaf4", "left_semi").groupBy("h").agg(*[F.min(c).alias(c) for c in ("leaf4", "masked")]))
+    joined = cut(template_links(distinct.withColumnRenamed("leaf4", "leaf"), alike, leaf_rows))
     placed = spots.join(joined, "h", "left").selectExpr("doc_id", "pos", "coalesce(template, h) AS t")
     placed = cut(placed)
     pairs = placed.groupBy("t", "doc_id").agg(F.lit(1).alias("one"))

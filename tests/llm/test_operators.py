@@ -415,6 +415,27 @@ def test_op9_template_generalises_fields(spark):
     assert line_dedup.masked_tokens(b" a  b1 c@d e/f\tg ") == [b"a", b"<*>", b"<*>", b"<*>", b"g"]
 
 
+def test_op9_large_leaves_give_what_small_ones_give(spark):
+    rng = random.Random(29)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    base = [word() for _ in range(12)]
+    lines = []
+    for _ in range(40):
+        line = list(base)
+        for k in rng.sample(range(4, 12), rng.choice((1, 2, 3, 4, 5))):
+            line[k] = word() if rng.random() < 0.7 else "other"
+        lines.append(" ".join(line))
+    lines += [" ".join([*base[:4], word()]) for _ in range(5)]  # a free word in the fifth of five places
+    docs = docs_of(spark, list(enumerate(lines)))
+    rows = [x.split() for x in lines]
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if len(rows[i]) == len(rows[j]) and sum(map(str.__eq__, rows[i], rows[j])) >= 0.8 * len(rows[i])]
+    label = common.unions(len(rows), *np.array(pairs).T).tolist()
+    want = {k for k, root in enumerate(label) if root != k}
+    for leaf_rows in (4, 4000):
+        got = {r["doc_id"] for r in line_dedup.recurring_lines(docs, leaf_rows=leaf_rows).collect()}
+        assert got == want and 0 < len(want) < len(rows) - 2, leaf_rows
+
+
 # -- op10 ------------------------------------------------------------------------------------
 
 
