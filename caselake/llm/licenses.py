@@ -1,20 +1,28 @@
 """Licence scans: Dice coefficient over word bigrams against licence templates.
 
 Text is normalised to lower-case runs of ASCII letters and digits. The units
-compared are every line and every whole text. With A and B the sets of word
+compared are all spans of words, within a line and across lines, so every line and
+whole text too. With A and B the sets of word
 bigrams of a unit and a template, the coefficient is 2 |A and B| / (|A| + |B|); since
 |A and B| is at most min(|A|, |B|), templates whose size isn't within
 [t / (2 - t), (2 - t) / t] of the unit's can't reach a threshold t and are
 pruned before anything is counted. A unit of one word has that word as its set.
 
+A template's best span begins and ends with one of its own bigrams, the first
+not met again and the last not met before in the span: cutting off anything else at an
+end never lowers the coefficient. Spans are sought only for templates of which the text
+holds t / (2 - t) of the bigrams, fewer can't reach t. The lines that match are
+those that reach t themselves and those touched by the best spans that don't overlap.
+
 Cases: a null, empty or wordless text matches nothing (license null, score 0, no
-lines); ties go to the template listed first; a very long text is scanned line
-by line and as a whole, with memory for one document; repeated rows give equal
+lines); ties go to the template listed first; a very long text is scanned
+with memory for one document, each place by at most one span per bigram of a template; repeated rows give equal
 results; empty tables give empty results; further columns are kept.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -67,7 +75,7 @@ class Scanner:
     def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD):
         self.names, self.threshold = [n for n, _ in templates], threshold
         sets = [bigrams(normal_words(t)) for _, t in templates]
-        self.sizes = [len(s) for s in sets]
+        self.sets, self.sizes = sets, [len(s) for s in sets]
         self.where: dict = {}
         for k, s in enumerate(sets):
             for g in s:
@@ -86,14 +94,53 @@ class Scanner:
         shared = Counter(k for g in own & self.where.keys() for k in self.where[g] if t * (n + self.sizes[k]) <= 2 * min(n, self.sizes[k]))
         return max(((2 * c / (n + self.sizes[k]), -k) for k, c in shared.items() if 2 * c / (n + self.sizes[k]) >= t), default=None)
 
+    def spans(self, words: list[bytes]) -> list[tuple[float, int, int, int]]:
+        """(coefficient, -template, first word, last word) of each template's best span from each of its bigrams, if it reaches the threshold."""
+        grams = list(zip(words, words[1:], strict=False))
+        t, out = self.threshold, []
+        present = set(grams) & self.where.keys()
+        if not present:
+            return out
+        held = Counter(k for g in present for k in self.where[g])
+        for k, count in held.items():
+            size, own = self.sizes[k], self.sets[k]
+            if count * (2 - t) < t * size:
+                continue
+            for p in [i for i, g in enumerate(grams) if g in own]:
+                seen, shared, best = set(), 0, None
+                for q in range(p, len(grams)):
+                    g = grams[q]
+                    if q > p and g == grams[p] or t * (len(seen) + size) > 2 * size:
+                        break
+                    if g in seen:
+                        continue
+                    seen.add(g)
+                    if g in own:
+                        shared += 1
+                        score = 2 * shared / (len(seen) + size)
+                        if score >= t and (best is None or score > best[0]):
+                            best = (score, -k, p, q + 1)
+                if best:
+                    out.append(best)
+        return out
+
     def scan(self, text: str | None) -> tuple[str | None, float, list[int]]:
         """Best licence of a text, its coefficient, and the lines that match any."""
-        parts = (text or "").split("\n")
-        words = [normal_words(p) for p in parts]
+        words = [normal_words(p) for p in (text or "").split("\n")]
         found = [self.best(w) for w in words]
-        whole = self.best([w for line in words for w in line]) if len(parts) > 1 else None
-        top = max([f for f in [*found, whole] if f], default=None)
-        return (self.names[-top[1]] if top else None), (top[0] if top else 0.0), [k for k, f in enumerate(found) if f]
+        flat = [w for line in words for w in line]
+        spans = sorted(self.spans(flat), key=lambda x: (-x[0], -x[1], x[2]))
+        top = max([f for f in [*found, *((x[0], x[1]) for x in spans[:1])] if f], default=None)
+        lines = {k for k, f in enumerate(found) if f}
+        if spans:
+            line_of = [k for k, line in enumerate(words) for _ in line]
+            taken: list[tuple[int, int]] = []
+            for _, _, a, b in spans:
+                at = bisect_left(taken, (a, b))
+                if (at == 0 or taken[at - 1][1] < a) and (at == len(taken) or b < taken[at][0]):
+                    taken.insert(at, (a, b))
+                    lines.update(line_of[a : b + 1])
+        return (self.names[-top[1]] if top else None), (top[0] if top else 0.0), sorted(lines)
 
 
 def scan_licenses(df: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -261,6 +261,29 @@ def test_op4_equals_sql(spark):
     assert [tuple(map(str, r)) for r in got.fillna("").values] == [tuple(map(str, r)) for r in want.fillna("").values]
 
 
+def test_op4_spans_across_and_inside_lines():
+    rng = random.Random(31)
+    filler = lambda n: [rng.choice(["the", "of", "license", "this", "software", "rights", "and", "under", "word", "all"]) for _ in range(n)]
+    scanner = licenses.Scanner()
+    sets = [licenses.bigrams(licenses.normal_words(t)) for _, t in licenses.TEMPLATES]
+    gpl = licenses.TEMPLATES[8][1].split()
+    wrapped = "\n".join(" ".join(gpl[k : k + 10]) for k in range(0, len(gpl), 10))
+    long = f"a program of ours\n\n{wrapped}\n" + "\n".join("nothing more to say here" for _ in range(90))
+    assert scanner.scan(long) == ("GPL-3.0", 1.0, list(range(2, 2 + wrapped.count("\n") + 1)))
+    inside = " ".join(["one"] * 20 + "Released under the MIT License.".split() + ["two"] * 20)
+    assert scanner.scan(f"first\n{inside}\nlast") == ("MIT", 1.0, [1])
+    assert scanner.scan("all rights reserved " * 5000)[:2] == ("All-rights-reserved", 1.0)
+    for _ in range(25):
+        words = [*filler(rng.randrange(12)), *rng.choice(licenses.TEMPLATES)[1].split()[: rng.randrange(4, 30)], *filler(rng.randrange(12))]
+        for k in rng.sample(range(len(words)), 2):
+            words[k] = rng.choice(["the", "license", "x"])
+        text = " ".join(w + rng.choice(["", "", "\n"]) for w in words)
+        flat = licenses.normal_words(text)
+        best = max(((2 * len(g & s) / (len(g) + len(s)), -k) for a, b in itertools.combinations(range(len(flat) + 1), 2) for g in [licenses.bigrams(flat[a:b])] for k, s in enumerate(sets)), default=(0, 0))
+        got = scanner.scan(text)
+        assert got[:2] == ((licenses.TEMPLATES[-best[1]][0], best[0]) if best[0] >= licenses.THRESHOLD else (None, 0.0))
+
+
 # -- op5 -------------------------------------------------------------------------------------
 
 
