@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spread, table
+from .common import field, spread, table
 
 END, LETTER, NUMBER, OTHER, SHORT, LONG, SPACE, BLANK, WHITE = range(9)
 #: States: a token must start; within letters, numbers, other signs; after a leading space; within white space; one or two letters of a contraction to come.
@@ -339,24 +339,27 @@ def int_lists(lists: list, kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(kind)))
 
 
-def encode(df: DataFrame, path: str, text: str = "text", offsets: bool = True) -> DataFrame:
-    """df with ``ids`` array<int> and, if asked for, ``ends`` array<long>: the byte offset in the text where each token ends."""
-    df = df.drop("ids", "ends")
+def encode(df: DataFrame, path: str, text: str = "text", offsets: bool = True, decoded: bool = False) -> DataFrame:
+    """df with ``ids`` array<int> and, if asked for, ``ends`` array<long>: the byte offset in the text where each token ends, and ``decoded`` binary, what the ids stand for."""
+    df = df.drop("ids", *["ends"] * offsets, *["decoded"] * decoded)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    schema = f"{fields}, ids array<int>" + ", ends array<long>" * offsets
+    schema = f"{fields}, ids array<int>" + ", ends array<long>" * offsets + ", decoded binary" * decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = [t or "" for t in part.column(text).to_pylist()]
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = [t or "" for t in field(part, text).to_pylist()]
                 ids = [x for held in portions(texts) for x in coder.encode(held)]
                 columns = [*part.columns, int_lists(ids, np.int32)]
                 names = [*part.schema.names, "ids"]
                 if offsets:
                     columns.append(int_lists([coder.ends(x) for x in ids], np.int64))
                     names.append("ends")
+                if decoded:
+                    columns.append(decode_lists(columns[len(part.columns)], path))
+                    names.append("decoded")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return spread(df).mapInArrow(run, schema)
@@ -404,9 +407,9 @@ def default_path() -> str:
 
 def digests(df: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of the ids and of what they decode to."""
-    coded = encode(df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), path, offsets=False).select("doc_id", "ids")
+    coded = encode(df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), path, offsets=False, decoded=True)
     ids = "sha2(array_join(CAST(ids AS array<string>), ','), 256)"
-    return decode(coded, path).selectExpr("doc_id", "CAST(size(ids) AS long) AS n_tokens", f"{ids} AS ids_sha256", "sha2(decoded, 256) AS decoded_sha256")
+    return coded.selectExpr("doc_id", "CAST(size(ids) AS long) AS n_tokens", f"{ids} AS ids_sha256", "sha2(decoded, 256) AS decoded_sha256")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

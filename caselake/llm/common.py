@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,8 +56,15 @@ def many(df: DataFrame, least: int = 1) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Rows of an Arrow batch at most: Spark's 10,000 whole texts take hundreds of MB at both ends of the pipe.
+ROWS_AT_ONCE = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers find this package where the driver was started from elsewhere."""
+    """Let Python workers find this package where the driver was started from elsewhere, and keep Arrow batches of whole texts small."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= ROWS_AT_ONCE:
+        spark.conf.set(rows, ROWS_AT_ONCE)
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if top not in env.get("PYTHONPATH", "").split(os.pathsep):
@@ -70,6 +78,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= sc.defaultParallelism else df.repartition(sc.defaultParallelism)
 
 
+def field(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column, or a field of a struct column where the name says ``column.field``."""
+    if name in batch.schema.names:
+        return batch.column(name)
+    column, _, rest = name.partition(".")
+    return pc.struct_field(batch.column(column), rest)
+
+
 def grouped(df: DataFrame, key: str) -> DataFrame:
     """Rows of a key side by side in one partition: the form that ``whole_groups`` reads."""
     ship(df.sparkSession)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spread, table
+from .common import field, spread, table
 
 THRESHOLD = 0.7
 
@@ -153,7 +153,7 @@ def scan_licenses(df: DataFrame, text: str = "text", threshold: float = THRESHOL
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                got = [scanner.scan(t) for t in part.column(text).to_pylist()]
+                got = [scanner.scan(t) for t in field(part, text).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.list_(pa.int32()))], names=[*part.schema.names, "license", "score", "license_lines"])
 
     return spread(df).mapInArrow(run, f"{fields}, license string, score double, license_lines array<int>")

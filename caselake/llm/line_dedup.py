@@ -181,12 +181,22 @@ def recurring_lines(docs: DataFrame, least_documents: int = 2, least_tokens: int
     return placed.join(drop, "t").filter("doc_id <> low").select("doc_id", "pos").distinct()
 
 
+def dropped_lines(docs: DataFrame, **how) -> DataFrame:
+    """(_doc, dropped): the places of the lines to drop, in order, of each document that has any."""
+    return recurring_lines(docs, **how).groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_list("pos")).alias("dropped"))
+
+
+def without(text: str) -> F.Column:
+    """The text without the lines at the places in ``dropped``."""
+    kept = "transform(array_except(sequence(0, size(parts) - 1), dropped), i -> parts[i])"
+    return F.expr(f"transform(array(split(CAST({text} AS string), '\\n')), parts -> array_join({kept}, '\\n'))[0]")
+
+
 def without_recurring_lines(docs: DataFrame, **how) -> DataFrame:
     """docs with their recurring lines cut out of text, and ``dropped``, the places of those lines."""
-    gone = recurring_lines(docs, **how).groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("dropped")).withColumnRenamed("doc_id", "_doc")
+    gone = dropped_lines(docs, **how)
     out = docs.drop("dropped").join(gone, docs["doc_id"].cast("long") == gone["_doc"], "left").drop("_doc")
-    kept = "array_join(transform(filter(transform(split(CAST(text AS string), '\\n'), (x, i) -> struct(x AS line, i AS pos)), l -> NOT array_contains(dropped, l.pos)), l -> l.line), '\\n')"
-    return out.withColumn("text", F.expr(f"CASE WHEN dropped IS NULL THEN text ELSE {kept} END"))
+    return out.withColumn("text", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(without("text")))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

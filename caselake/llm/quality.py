@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spread, table
+from .common import field, spread, table
 from .learning import Adam, calibrate, fold, labelled_sample, sigmoid
 
 BINS = 10
@@ -176,7 +176,7 @@ def score(df: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.scores(part.column(text).to_pylist()))], names=[*part.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.scores(field(part, text).to_pylist()))], names=[*part.schema.names, "score"])
 
     return spread(df).mapInArrow(run, f"{fields}, score double")
 
