@@ -140,11 +140,24 @@ def unions(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = nxt
 
 
+def beside_least(rows: DataFrame, total: int) -> DataFrame:
+    """rows (a, b) with m, the least of a and of all b that rows hold for that a.
+
+    A node with over total / (4 x partitions) rows isn't dealt to one task: there are at most
+    4 x partitions of them, so that their minima are broadcast and their rows stay where they are.
+    """
+    most = total // (4 * many(rows))
+    least = rows.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+    hot = F.broadcast(least.filter(F.col("n") > most).select("a", "m"))
+    rest = least.filter(F.col("n") <= most).select("a", "m")
+    return rows.join(hot, "a").unionByName(rows.join(hot.select("a"), "a", "left_anti").join(rest, "a"))
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the undirected links (a, b); root is the smallest node reachable.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014),
-    each a group minimum and an equi-join; a round's links are checkpointed.
+    each a group minimum and an equi-join. A round's links are written to the shared folder.
     Rounds are logarithmic in the number of nodes, and links never leave the
     cluster: the driver sees a count and a checksum.
     """
@@ -153,13 +166,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     was = edges.selectExpr(*sign).first()
     if not was["n"]:
         return edges.selectExpr("a AS node", "b AS root")
+    large = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.selectExpr("b AS a", "a AS b"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").selectExpr("b AS a", "m AS b")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = joined.filter("b <> m").selectExpr("b AS a", "m AS b").unionByName(least.selectExpr("a", "m AS b"))
+        large = cut(beside_least(both, 2 * was["n"]).filter("b > a").selectExpr("b AS a", "m AS b").distinct(), large)
+        found = beside_least(large, was["n"])
+        small = found.filter("b <> m").selectExpr("b AS a", "m AS b").unionByName(found.selectExpr("a", "m AS b"))
         edges = cut(small.filter("a <> b").distinct(), edges)
         now = edges.selectExpr(*sign).first()
         if now == was:

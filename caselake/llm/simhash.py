@@ -23,6 +23,7 @@ result; further columns of the input are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -188,44 +189,102 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 4096) -> Data
 # -- documents alike by Jaccard similarity ---------------------------------------------------
 
 BANDS, ROWS, SIGNS = 20, 5, 128
-_SEEDS = np.random.default_rng(7).integers(1, 1 << 63, SIGNS, dtype=np.uint64) * 2 + 1
-_SHIFT = np.random.default_rng(8).integers(0, 1 << 63, SIGNS, dtype=np.uint64)
-
-
-def min_hashes(hashes: np.ndarray) -> np.ndarray:
+_SEEDS = (np.random.default_rng(7).integers(0, 1 << 31, SIGNS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
+_SHIFT = np.random.default_rng(8).integers(0, 1 << 32, SIGNS, dtype=np.uint32)[:, None]
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+_GAP = np.zeros(256, bool)
+_GAP[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0x9E3779B1
+
+
+@lru_cache(maxsize=2)
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2^32."""
+    up, down = (np.cumprod(np.concatenate(([1], np.full(size - 1, x))).astype(np.uint32), dtype=np.uint32) for x in (_BASE, pow(_BASE, -1, 1 << 32)))
+    return up, down
+
+
+def word_hashes(text: str | None, at_once: int = 1 << 18) -> np.ndarray:
+    """A 32-bit hash of each word (lower-cased A-Z), a polynomial of its bytes; long texts in pieces that end between words."""
+    data = (text or "").encode("utf-8", "surrogatepass").lower()
+    every, at, out = np.frombuffer(data, np.uint8), 0, [np.empty(0, np.uint32)]
+    while at < len(data):
+        stop = min(len(data), at + at_once)
+        while stop < len(data) and not _GAP[data[stop]]:
+            stop += 1
+        raw = every[at:stop]
+        at = stop
+        gap = _GAP[raw]
+        first = np.flatnonzero(gap[:-1] > gap[1:]) + 1
+        if not gap[0]:
+            first = np.concatenate(([0], first))
+        if not first.size:
+            continue
+        up, down = powers(max(at_once, 1 << (len(raw) - 1).bit_length()))
+        value = raw.astype(np.uint32)
+        value += np.uint32(257)
+        value *= up[: len(raw)]
+        value[gap] = 0
+        h = np.add.reduceat(value, first, dtype=np.uint32) * down[first]
+        h ^= h >> np.uint32(15)
+        out.append(h)
+    return np.concatenate(out)
+
+
+def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
+    """A 32-bit hash of each run of n words (of the whole sequence, where it is shorter), repeats included. words: their hashes."""
+    if not len(words):
+        return np.empty(0, np.uint32)
+    n = min(n, len(words))
+    out = words[: len(words) - n + 1].astype(np.uint64)
+    for k in range(1, n):
+        out *= _MIX
+        out += words[k : len(words) - n + 1 + k]
+    out ^= out >> np.uint64(32)
+    out *= _MIX
+    return (out >> np.uint64(32)).astype(np.uint32)
+
+
+def min_hashes(codes: np.ndarray) -> np.ndarray:
     """SIGNS minima of multiply-shift hashes over a set of shingle hashes."""
-    low = np.full(SIGNS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 1 << 12):
-        part = hashes[at : at + (1 << 12), None] * _SEEDS
+    low = np.full(SIGNS, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(codes), 1 << 12):
+        part = _SEEDS * codes[None, at : at + (1 << 12)]
         part += _SHIFT
-        np.minimum(low, part.min(0), out=low)
+        np.minimum(low, part.min(1), out=low)
     return low
 
 
+def band_keys(low: np.ndarray) -> list[int]:
+    return [xxhash.xxh64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
+
+
 def sketches(docs: DataFrame, shingle: int = 5, sets: bool = False) -> DataFrame:
-    """(doc_id, sig, keys) of every document: 128 16-bit minima and the band keys; with ``sets`` the set of 32-bit shingle hashes in order instead of the keys."""
+    """(doc_id, same, keys) of every document: a hash of its words in order and its band keys; with ``sets`` (doc_id, sig, shingles): the minima's last 16 bits, and the set of shingle hashes in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                sigs, found, keys = [], [], []
-                for t in part.column(1):
-                    h = shingle_hashes(t.as_py(), shingle)
-                    low = min_hashes(h) if h.size else np.zeros(SIGNS, np.uint64)
-                    sigs.append((low >> np.uint64(48)).astype("<u2").tobytes())
-                    if sets:
-                        found.append(np.unique((h >> np.uint64(32)).astype("<u4")).tobytes())
-                    else:
-                        keys.append([xxhash.xxh64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)])
+            same, keys, sigs, found = [], [], [], []
+            for t in batch.column(1):
+                words = word_hashes(t.as_py())
+                codes = shingle_set(words, shingle)
+                low = min_hashes(codes)
                 if sets:
-                    last = pa.array(found, pa.binary())
+                    sigs.append((low & np.uint32(0xFFFF)).astype("<u2").tobytes())
+                    found.append(np.unique(codes).astype("<u4").tobytes())
                 else:
-                    flat = np.array(keys, np.uint64).view(np.int64).reshape(-1)
-                    last = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, BANDS, dtype=np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sigs, pa.binary()), last], names=["doc_id", "sig", "shingles" if sets else "keys"])
+                    same.append(xxhash.xxh3_128_digest(words.tobytes()))
+                    keys.append(band_keys(low))
+            if sets:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.binary()), pa.array(found, pa.binary())], names=["doc_id", "sig", "shingles"])
+            else:
+                flat = np.array(keys, np.uint64).view(np.int64).reshape(-1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, BANDS, dtype=np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), lists], names=["doc_id", "same", "keys"])
 
-    return spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, f"doc_id long, sig binary, {'shingles binary' if sets else 'keys array<long>'}")
+    return spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, f"doc_id long, {'sig binary, shingles binary' if sets else 'same binary, keys array<long>'}")
 
 
 def alike(similarity: float, slack: float = 0.15):
@@ -284,23 +343,23 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     all documents alike by their sets (a fingerprint counts repeats), so here shards
     come from min-hash bands (20 of 5 minima: a pair at 0.8 shares one with
     probability 0.9996), and the exact similarity of the shingles decides on every pair
-    of a shard that the estimate doesn't rule out. Keys of a single document are dropped
-    before any set is made. A shard of over ``most`` documents is compared in blocks (``linked``).
+    of a shard that the estimate doesn't rule out. Documents of equal words in order are
+    one from the start. Keys of a single document, and all but one of the keys that hold the same
+    documents, are dropped before any set is made. A shard of over ``most`` documents is compared in blocks (``linked``).
     """
     rows = cut(sketches(docs, shingle))
-    reps = rows.filter("doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("node"), F.min_by("keys", "doc_id").alias("keys"))
-    light = cut(reps.selectExpr("node", "explode(keys) AS key").distinct())
-    shared = light.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    light = cut(light.join(shared, "key"), light)
+    reps = cut(rows.filter("doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("node"), F.min_by("keys", "doc_id").alias("keys")))
+    light = cut(reps.selectExpr("node", "explode(keys) AS key"))
+    members = light.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y")).filter("n > 1")
+    light = cut(light.join(members.groupBy("n", "first", "x", "y").agg(F.min("key").alias("key")).select("key"), "key"), light)
     wanted = cut(light.select("node").distinct())
     few = wanted.limit(most_broadcast + 1).count() <= most_broadcast
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = own.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("node"), "left_semi")
     sets = cut(sketches(own, shingle, sets=True).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node"))
     roots = linked(light.join(sets, "node"), alike(similarity), most)
-    firsts = rows.filter("doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("node"))
-    by_sig = firsts.join(roots, "node", "left").selectExpr("sig", "coalesce(root, node) AS component_id")
-    return rows.select("doc_id", "sig").join(by_sig, "sig", "left").select("doc_id", "component_id")
+    by_same = reps.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("component_id"))
+    return rows.select("doc_id", "same").join(by_same, "same", "left").select("doc_id", "component_id")
 
 
 def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

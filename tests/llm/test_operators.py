@@ -109,7 +109,7 @@ def test_similar_documents_with_repeated_lines(spark):
 
 def test_similar_documents_at_the_threshold_in_hot_shards(spark):
     rng = random.Random(4)
-    keys = lambda t: {tuple([b, *low[b * simhash.ROWS : (b + 1) * simhash.ROWS]]) for low in [simhash.min_hashes(simhash.shingle_hashes(t, 5))] for b in range(simhash.BANDS)}
+    keys = lambda t: set(simhash.band_keys(simhash.min_hashes(simhash.shingle_set(simhash.word_hashes(t), 5))))
     texts = []
     while len(texts) < 4:  # pairs just above 0.8 with a single band in common
         a = [f"u{rng.randrange(10**6)}" for _ in range(200)]
