@@ -2,27 +2,35 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from itertools import count
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from caselake.functions.scalar import date_sort_key, norm_party
-from caselake.operators.structure import ratio
+from caselake.operators.structure import ratio, rule_array
 from caselake.operators.windows import first_seen
 
 
 def kept(df: DataFrame) -> DataFrame:
     """df computed once and read back, so that loops don't grow a lineage or estimates: in the cluster's shared checkpoint folder."""
-    spark = df.sparkSession
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; in local mode, where driver and executors are one process, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-kept-", dir="/tmp")
-    path = f"{folder}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 # -- flattening ------------------------------------------------------------------------------
@@ -80,7 +88,7 @@ def link_elements(allegations: DataFrame, elements: DataFrame) -> DataFrame:
 
 def fill_schema(counts: DataFrame, present: DataFrame, schema: DataFrame, confidence: float = 0.6) -> DataFrame:
     """Elements that a count's claim type asks for and that it lacks, numbered. schema: claim_type, ord, element."""
-    wanted = counts.join(F.broadcast(schema.limit(5000)), "claim_type")
+    wanted = counts.join(schema, "claim_type")
     missing = wanted.join(present.select("count_id", "element").distinct(), ["count_id", "element"], "left_anti")
     n = F.row_number().over(Window.partitionBy("count_id").orderBy("ord"))
     return missing.select("count_id", n.alias("number"), "element", F.lit(confidence).alias("confidence"))
@@ -148,15 +156,20 @@ def same_label_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def match_party(names: DataFrame, parties: DataFrame, threshold: float = 0.80) -> DataFrame:
-    """Best party node of the same document for each name. names: name_id, document_id, name."""
+    """Best party node of the same document for each name: equal (1.0), by ratio, or one within the other (the threshold). names: name_id, document_id, name.
+
+    Equal names meet by an equi-join; unequal ones by the blocking of ``similar_pairs`` within their document, over the distinct names of both sides.
+    """
     n = names.select("name_id", "document_id", norm_party("name").alias("x"))
-    p = parties.select("document_id", "node_id", norm_party("node_label").alias("y"))
-    pairs = n.join(p, "document_id")
-    exact = pairs.filter("x = y").withColumn("score", F.lit(1.0))
+    p = parties.groupBy("document_id", norm_party("node_label").alias("y")).agg(F.min("node_id").alias("node_id"))
+    exact = n.join(p, (n["document_id"] == p["document_id"]) & (F.col("x") == F.col("y"))).select("name_id", "node_id", F.lit(1.0).alias("score"))
+    left = n.join(exact.select("name_id"), "name_id", "left_anti")
+    labels = left.select("document_id", F.col("x").alias("norm")).unionByName(p.select("document_id", F.col("y").alias("norm")))
+    pairs = similar_pairs(labels, threshold, ("document_id",))
+    both = pairs.select("document_id", F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select("document_id", F.col("b").alias("x"), F.col("a").alias("y")))
+    near = left.join(both, ["document_id", "x"]).join(p, ["document_id", "y"])
     inside = F.when((F.length("x") >= 3) & (F.length("y") >= 3) & (F.col("x").contains(F.col("y")) | F.col("y").contains(F.col("x"))), threshold).otherwise(0.0)
-    fit = F.least(F.length("x"), F.length("y")) / F.greatest(F.length("x"), F.length("y")) >= threshold / (2 - threshold)
-    fuzzy = pairs.filter("x <> y").filter(fit | (inside > 0)).withColumn("score", F.greatest(F.when(fit, ratio("x", "y", threshold)).otherwise(0.0), inside))
-    scored = exact.unionByName(fuzzy).filter(F.col("score") >= threshold)
+    scored = exact.unionByName(near.select("name_id", "node_id", F.greatest(ratio("x", "y", threshold), inside).alias("score")).filter(F.col("score") >= threshold))
     return first_seen(scored, ["name_id"], F.col("score").desc(), F.col("node_id")).select("name_id", "node_id", "score")
 
 
@@ -232,9 +245,10 @@ def exhibit_edges(nodes: DataFrame, docs: DataFrame, k: int = 10, kind: str = "e
     """Evidence to the parent document's nodes when its exhibit's file name carries the label: parties first, ``k`` each."""
     children = docs.filter("parent_document_id IS NOT NULL AND file_name LIKE '%exhibit%'").select("document_id", "parent_document_id")
     e = nodes.filter(F.col("node_type") == kind).join(children, "document_id").select(F.col("node_id").alias("src"), "parent_document_id")
-    t = nodes.select(F.col("document_id").alias("parent_document_id"), F.col("node_id").alias("dst"), (F.col("node_type") != "party").alias("later"))
-    n = F.row_number().over(Window.partitionBy("src").orderBy("later", "dst"))
-    return e.join(t, "parent_document_id").withColumn("n", n).filter(F.col("n") <= k).select("src", "dst", F.lit("exhibit_of").alias("edge_type"), F.lit(0.85).alias("confidence"))
+    parents = nodes.join(children.select(F.col("parent_document_id").alias("document_id")).distinct(), "document_id", "left_semi")
+    n = F.row_number().over(Window.partitionBy("document_id").orderBy(F.col("node_type") != "party", "node_id"))
+    t = parents.withColumn("n", n).filter(F.col("n") <= k).select(F.col("document_id").alias("parent_document_id"), F.col("node_id").alias("dst"))
+    return e.join(t, "parent_document_id").select("src", "dst", F.lit("exhibit_of").alias("edge_type"), F.lit(0.85).alias("confidence"))
 
 
 def shared_party_edges(nodes: DataFrame, source_docs: DataFrame, target_docs: DataFrame, canonical: DataFrame, edge_type: str) -> DataFrame:
@@ -307,26 +321,34 @@ def claim_bundles(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     return nodes.filter("node_type = 'claim'").select("node_id").join(sums, "node_id", "left").withColumn("paths", F.coalesce("paths", F.lit(0))).withColumn("unsupported", F.col("paths") == 0)
 
 
-def topo_levels(tasks: DataFrame, deps: DataFrame, most: int = 50) -> DataFrame:
-    """Level of each task: 0 without prerequisites, else one more than the deepest of them; members of cycles get -1. deps: task, needs."""
-    known = deps.join(tasks.select(F.col("task").alias("needs")), "needs", "left_semi").join(tasks.select("task"), "task", "left_semi")
-    left = kept(known)
-    done = kept(tasks.select("task").join(left.select("task").distinct(), "task", "left_anti").withColumn("level", F.lit(0)))
-    for level in range(1, most):
-        ready = known.join(done.select(F.col("task").alias("needs"), F.lit(1).alias("ok")), "needs", "left").groupBy("task").agg(F.min(F.coalesce("ok", F.lit(0))).alias("all_ok"))
-        fresh = ready.filter("all_ok = 1").select("task").join(done.select("task"), "task", "left_anti").withColumn("level", F.lit(level))
-        nxt = kept(done.unionByName(fresh))
-        if nxt.count() == done.count():
+def topo_levels(tasks: DataFrame, deps: DataFrame) -> DataFrame:
+    """Level of each task: 0 without prerequisites, else one more than the deepest of them; members of cycles, and what needs them, get -1. deps: task, needs.
+
+    A round settles one level and hands on only what still waits; each level is written to the shared folder. Rounds go on until nothing new is ready.
+    """
+    open_ = kept(tasks.select("task").distinct())
+    waits = kept(deps.join(open_.withColumnRenamed("task", "needs"), "needs", "left_semi").join(open_, "task", "left_semi").select("task", "needs"))
+    folder = f"{shared_folder(tasks.sparkSession)}/levels-{uuid.uuid4().hex}"
+    for level in count():
+        ready = open_.join(waits.select("task").distinct(), "task", "left_anti")
+        ready.write.parquet(f"{folder}/level={level}")
+        ready = tasks.sparkSession.read.schema(open_.schema).parquet(f"{folder}/level={level}")
+        if ready.isEmpty():
             break
-        done = nxt
+        open_ = kept(open_.join(ready, "task", "left_anti"))
+        waits = kept(waits.join(ready.withColumnRenamed("task", "needs"), "needs", "left_anti"))
+    done = tasks.sparkSession.read.schema(StructType([*open_.schema, StructField("level", IntegerType())])).parquet(folder)
     return tasks.join(done, "task", "left").withColumn("level", F.coalesce("level", F.lit(-1)))
 
 
-def detect_addons(docs: DataFrame, rules: DataFrame) -> DataFrame:
-    """Templates that a case's document types call for. rules: template, keyword, built."""
-    r = F.broadcast(rules.filter("built").limit(5000))
-    d = docs.filter("case_id IS NOT NULL").select("case_id", F.lower("document_type").alias("t")).distinct()
-    return d.join(r, F.col("t").contains(F.col("keyword"))).select("case_id", "template").distinct()
+def detect_addons(docs: DataFrame, rules: DataFrame, claims: DataFrame | None = None) -> DataFrame:
+    """Templates that a case's document types call for, or its claims. rules: template, keyword, built, claims: case_id, label, where given."""
+    table = rule_array(rules.filter("built").select("template", "keyword"))
+    d = docs.filter("case_id IS NOT NULL").select("case_id", F.lower("document_type").alias("t"))
+    if claims is not None:
+        d = d.unionByName(claims.filter("case_id IS NOT NULL").select("case_id", F.lower("label").alias("t")))
+    hits = F.filter(table, lambda r: F.col("t").contains(r["keyword"]))
+    return d.distinct().select("case_id", F.explode(F.transform(hits, lambda r: r["template"])).alias("template")).distinct()
 
 
 def task_context(tasks: DataFrame, deps: DataFrame, results: DataFrame, most: int = 2000) -> DataFrame:

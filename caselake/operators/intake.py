@@ -12,10 +12,19 @@ STAGE = ("item_id", "case_id", "confidence", "stage", "candidates")
 
 
 def route_by_hint(items: DataFrame, cases: DataFrame, most: int = 5) -> DataFrame:
-    """Case by hint: its id (0.99), its only name match (0.95), or several (0.5, with up to ``most`` candidates)."""
+    """Case by hint: its id (0.99), its only name match (0.95), or several (0.5, with up to ``most`` candidates).
+
+    Distinct hints meet the names that hold their rarest trigram; the exact test follows.
+    """
     c = cases.select("firm_id", F.col("case_id").alias("c_id"), F.lower("case_name").alias("c_name"))
     by_id = items.join(c, (items["firm_id"] == c["firm_id"]) & (F.col("hint") == F.col("c_id").cast("string"))).select("item_id", F.col("c_id").alias("case_id"), F.lit(0.99).alias("confidence"), F.lit("hint_id").alias("stage"), F.lit(None).cast("string").alias("candidates"))
-    hits = items.filter(F.length("hint") > 2).join(c, "firm_id").filter(F.contains("c_name", F.lower("hint"))).groupBy("item_id").agg(F.count("*").alias("n"), F.min("c_id").alias("first"), F.slice(F.array_sort(F.collect_list("c_id")), 1, most).alias("ids"))
+    grams = lambda x: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - 2), lambda i: F.substring(x, i, 3)))).alias("g")
+    known = c.filter(F.length("c_name") > 2).select("firm_id", "c_id", "c_name", grams("c_name"))
+    often = known.groupBy("firm_id", "g").agg(F.count("*").alias("df"))
+    hints = items.filter(F.length("hint") > 2).select("firm_id", F.lower("hint").alias("hint")).distinct()
+    rarest = hints.select("firm_id", "hint", grams("hint")).join(often, ["firm_id", "g"]).groupBy("firm_id", "hint").agg(F.min_by("g", F.struct("df", "g")).alias("g"))
+    named = rarest.join(known, ["firm_id", "g"]).filter(F.contains("c_name", "hint")).select("firm_id", "hint", "c_id")
+    hits = items.withColumn("hint", F.lower("hint")).join(named, ["firm_id", "hint"]).groupBy("item_id").agg(F.count("*").alias("n"), F.min("c_id").alias("first"), F.slice(F.array_sort(F.collect_list("c_id")), 1, most).alias("ids"))
     by_name = hits.select("item_id", F.when(F.col("n") == 1, F.col("first")).alias("case_id"), F.when(F.col("n") == 1, 0.95).otherwise(0.5).alias("confidence"), F.lit("hint_name").alias("stage"), F.when(F.col("n") > 1, F.array_join(F.col("ids").cast("array<string>"), ",")).alias("candidates"))
     return by_id.unionByName(by_name.join(by_id.select("item_id"), "item_id", "left_anti"))
 
@@ -80,7 +89,7 @@ def apply_routing(files: DataFrame, rules: DataFrame, default_bucket: str = "inb
 
 def propose_folders(cases: DataFrame, catalog: DataFrame) -> DataFrame:
     """Sub-folders of each case's matter type, or of the general one. catalog: matter_type, folder, label, ord."""
-    c = F.broadcast(catalog.limit(5000))
+    c = catalog
     own = cases.join(c, "matter_type")
     rest = cases.join(catalog.select("matter_type").distinct(), "matter_type", "left_anti").withColumn("matter_type", F.lit("general")).join(c, "matter_type")
     rows = own.unionByName(rest)

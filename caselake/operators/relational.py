@@ -266,11 +266,19 @@ def trim_parent(sections: DataFrame, exhibits: DataFrame) -> DataFrame:
 
 
 def match_evidence_ref(refs: DataFrame, evidence: DataFrame) -> DataFrame:
-    """First evidence node of the document whose label equals the reference or either begins with the other."""
+    """First evidence node of the document whose label equals the reference or either begins with the other.
+
+    Both ways are equi-joins: the shorter text with each beginning of the longer one.
+    """
     e = evidence.select("document_id", F.col("node_id").alias("evidence_id"), F.lower(F.trim("node_label")).alias("_label"))
     r = refs.withColumn("_ref", F.lower(F.trim("ref")))
-    pairs = r.join(e, "document_id").filter(F.col("_label").startswith(F.col("_ref")) | F.col("_ref").startswith(F.col("_label")))
-    return latest(pairs, ["ref_id"], F.col("evidence_id")).select("ref_id", "document_id", "ref", "evidence_id")
+    starts = lambda c: F.explode(F.transform(F.sequence(F.lit(0), F.length(c)), lambda n: F.substring(c, F.lit(1), n)))
+    longer = e.select("document_id", "evidence_id", starts("_label").alias("_ref")).groupBy("document_id", "_ref").agg(F.min("evidence_id").alias("evidence_id"))
+    by_ref = r.join(longer, ["document_id", "_ref"])
+    shorter = r.select("document_id", "_ref").distinct().select("document_id", "_ref", starts("_ref").alias("_label")).join(e, ["document_id", "_label"]).groupBy("document_id", "_ref").agg(F.min("evidence_id").alias("evidence_id"))
+    by_label = r.join(shorter, ["document_id", "_ref"])
+    cols = ["ref_id", "document_id", "ref", "evidence_id"]
+    return latest(by_ref.select(cols).unionByName(by_label.select(cols)), ["ref_id"], F.col("evidence_id")).select(cols)
 
 
 def resolve_case(folders: DataFrame, cases: DataFrame) -> DataFrame:

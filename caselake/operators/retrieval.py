@@ -80,12 +80,18 @@ def find_sections(sections: DataFrame, text: str | None = None, label: str | Non
 
 
 def explicit_links(items: DataFrame, docs: DataFrame) -> DataFrame:
-    """Cited labels to documents of the case: by exhibit label, else by file name; 0.95, or 0 without a document. items: item_id, case_id, ref."""
-    d = docs.select("case_id", "document_id", F.lower("file_name").alias("_f"))
-    by_label = items.join(d, "case_id").filter(F.col("_f").endswith(F.concat(F.lit("exhibit_"), F.lower("ref")))).withColumn("rule", F.lit(1))
-    by_name = items.join(d, "case_id").filter(F.col("_f").contains(F.lower("ref"))).withColumn("rule", F.lit(2))
-    found = by_label.unionByName(by_name).groupBy("item_id", "ref").agg(F.min(F.struct("rule", "document_id")).alias("m"))
-    return items.join(found, ["item_id", "ref"], "left").select("item_id", "ref", "m.document_id", F.when(F.col("m").isNull(), 0.0).otherwise(0.95).alias("confidence"))
+    """Cited labels to documents of the case: by exhibit label, else by file name; 0.95, or 0 without a document. items: item_id, case_id, ref.
+
+    A case's distinct labels meet its distinct file names, each name standing for its smallest document, through the trigram they must share; labels of one or two characters through the name's own pieces of that length.
+    """
+    pieces = lambda c: F.explode(F.array_distinct(F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, n))))))
+    d = docs.groupBy("case_id", F.lower("file_name").alias("_f")).agg(F.min("document_id").alias("document_id"))
+    refs = items.select("case_id", F.lower("ref").alias("_r")).distinct().filter("_r <> ''").withColumn("g", F.substring("_r", 1, 3))
+    pairs = refs.join(d.select("case_id", "_f", "document_id", pieces("_f").alias("g")), ["case_id", "g"]).filter(F.col("_f").contains(F.col("_r")))
+    rule = F.when(F.col("_f").endswith(F.concat(F.lit("exhibit_"), F.col("_r"))), 1).otherwise(2)
+    found = pairs.groupBy("case_id", "_r").agg(F.min(F.struct(rule.alias("rule"), "document_id")).alias("m"))
+    rows = items.withColumn("_r", F.lower("ref")).join(found, ["case_id", "_r"], "left")
+    return rows.select("item_id", "ref", "m.document_id", F.when(F.col("m").isNull(), 0.0).otherwise(0.95).alias("confidence"))
 
 
 def implicit_links(items: DataFrame, emb: DataFrame, explicit: DataFrame, k: int = 2, least: float = 0.3) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from html.parser import HTMLParser
@@ -9,9 +10,10 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from caselake.functions.scalar import heading_level, page_number
-from caselake.operators.windows import first_seen, fill_forward, largest_block
+from caselake.operators.windows import fill_forward, first_seen, largest_block, levels_of
 
 
 def lines_of(docs: DataFrame, text: str = "text", key: str = "document_id") -> DataFrame:
@@ -207,13 +209,21 @@ def merge_lines(lines: DataFrame) -> DataFrame:
 def label_sections(sections: DataFrame, rules: DataFrame) -> DataFrame:
     """Label by the first title rule (1.0), else the first body rule within 500 characters (0.9), else unrecognised.
 
-    rules: place ('title' or 'body'), pattern, label, rank; a small table.
+    rules: place ('title' or 'body'), pattern, label, rank. They become one array that every row is tested against where it lies, without a join.
     """
+    table = rule_array(rules.select((F.col("place") != "title").alias("late"), "rank", "label", "pattern").orderBy("late", "rank", "label"))
     s = sections.select("section_id", F.lower("section_title").alias("_t"), F.lower(F.substring("section_text", 1, 500)).alias("_b"))
-    r = F.broadcast(rules.limit(5000))
-    hit = F.when(F.col("place") == "title", F.col("_t").contains(F.col("pattern"))).otherwise(F.col("_b").contains(F.col("pattern")))
-    found = s.join(r, hit).groupBy("section_id").agg(F.min(F.struct((F.col("place") != "title").alias("late"), "rank", "label")).alias("m"))
-    return s.select("section_id").join(found, "section_id", "left").select("section_id", F.coalesce("m.label", F.lit("unrecognized")).alias("label"), F.when(F.col("m").isNull(), 0.0).when(F.col("m.late"), 0.9).otherwise(1.0).alias("label_confidence"))
+    hit = F.filter(table, lambda r: F.when(r["late"], F.col("_b")).otherwise(F.col("_t")).contains(r["pattern"]))
+    s = s.withColumn("m", F.get(hit, F.lit(0)))
+    return s.select("section_id", F.coalesce("m.label", F.lit("unrecognized")).alias("label"), F.when(F.col("m").isNull(), 0.0).when(F.col("m.late"), 0.9).otherwise(1.0).alias("label_confidence"))
+
+
+def rule_array(rules: DataFrame, most: int = 5000) -> Column:
+    """A table of rules as one array literal, in its order; one of over ``most`` rows isn't a table of rules and is refused."""
+    rows = rules.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules")
+    return F.from_json(F.lit(json.dumps([r.asDict() for r in rows])), ArrayType(rules.schema))
 
 
 def drop_subtrees(entries: DataFrame, pattern: str = "(?i)^exhibit") -> DataFrame:
@@ -223,7 +233,7 @@ def drop_subtrees(entries: DataFrame, pattern: str = "(?i)^exhibit") -> DataFram
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     rows = entries.withColumn("_hit", hit)
     inside = F.lit(False)
-    for k in range(9):
+    for k in levels_of(entries):
         at = F.max(F.when(F.col("_hit") & (F.col("level") == k), F.col("pos"))).over(upto)
         closed = F.max(F.when(~F.col("_hit") & (F.col("level") <= k), F.col("pos"))).over(upto)
         inside = inside | (at.isNotNull() & (closed.isNull() | (at > closed)) & (F.col("level") > k))

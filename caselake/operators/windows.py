@@ -7,7 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEVELS = 6
+
+def levels_of(df: DataFrame, column: str = "level") -> list[int]:
+    """The distinct levels of an outline, however deep; one column of few values comes to the driver."""
+    return sorted(r[0] for r in df.select(column).distinct().collect() if r[0] is not None)
 
 
 def next_boundary(df: DataFrame, key: str, pos: str, last: Column) -> DataFrame:
@@ -18,14 +21,14 @@ def next_boundary(df: DataFrame, key: str, pos: str, last: Column) -> DataFrame:
 def assign_end_pages(entries: DataFrame, total: Column) -> DataFrame:
     """End page of an outline entry: the page before the next entry of its level or above, at least its own start, else ``total``."""
     after = Window.partitionBy("document_id").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    nxt = reduce(lambda c, k: F.when(F.col("level") == k, F.first(F.when(F.col("level") <= k, F.col("page")), ignorenulls=True).over(after)).otherwise(c), range(LEVELS), F.lit(None))
+    nxt = reduce(lambda c, k: F.when(F.col("level") == k, F.first(F.when(F.col("level") <= k, F.col("page")), ignorenulls=True).over(after)).otherwise(c), levels_of(entries), F.lit(None))
     return entries.withColumn("_next", nxt).withColumn("end_page", F.when(F.col("_next").isNull(), F.greatest("page", total)).otherwise(F.greatest("page", F.col("_next") - 1))).drop("_next")
 
 
 def build_parents(sections: DataFrame, order: str = "pos") -> DataFrame:
     """Parent: the nearest section before of a strictly smaller level."""
     before = Window.partitionBy("document_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    parent = reduce(lambda c, k: F.when(F.col("level") == k, F.last(F.when(F.col("level") < k, F.col("section_id")), ignorenulls=True).over(before)).otherwise(c), range(LEVELS), F.lit(None))
+    parent = reduce(lambda c, k: F.when(F.col("level") == k, F.last(F.when(F.col("level") < k, F.col("section_id")), ignorenulls=True).over(before)).otherwise(c), levels_of(sections), F.lit(None))
     return sections.withColumn("parent_section_id", parent)
 
 

@@ -46,7 +46,7 @@ def _(v):
 
 
 def _case_parties(v):
-    return v("v_nodes").filter("node_type = 'party'").withColumn("case_id", F.col("document_id") % 25)
+    return v("v_nodes").filter("node_type = 'party'").join(v("v_docs").select("document_id", "case_id"), "document_id")
 
 
 @query("similar_pairs")
@@ -73,9 +73,9 @@ def _(v):
     return G.match_party(names, p)
 
 
-@query("components", "WITH RECURSIVE e AS (SELECT src AS a, dst AS b FROM v_edges WHERE edge_type = 'references' UNION SELECT dst, src FROM v_edges WHERE edge_type = 'references'), r(node, root) AS (SELECT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node) SELECT node, min(root) AS root FROM r GROUP BY 1")
+@query("components", "WITH RECURSIVE e AS (SELECT src AS a, dst AS b FROM v_edges WHERE edge_type = 'breached_by' UNION SELECT dst, src FROM v_edges WHERE edge_type = 'breached_by'), r(node, root) AS (SELECT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node) SELECT node, min(root) AS root FROM r GROUP BY 1")
 def _(v):
-    return G.components(v("v_edges").filter("edge_type = 'references'").select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return G.components(v("v_edges").filter("edge_type = 'breached_by'").select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
 @query("same_as_edges", "WITH k AS (SELECT DISTINCT node_id, node_type || CAST(section_id AS VARCHAR) AS g FROM v_nodes WHERE node_type = 'party'), c AS (SELECT g, min(node_id) AS canon FROM k GROUP BY 1) SELECT node_id AS src, canon AS dst, 'same_as' AS edge_type, 0.8 AS confidence FROM k JOIN c USING (g) WHERE node_id <> canon")
@@ -92,9 +92,9 @@ def _(v):
     return G.follow_canonical(own)
 
 
-@query("challenges_edges", "SELECT a.document_id AS src, b.document_id AS dst, 'challenges' AS edge_type FROM v_docs a JOIN v_docs b ON a.case_id = b.case_id AND a.document_type = 'Pleading - Motion' AND b.document_type = 'Pleading - Complaint' WHERE EXISTS (SELECT 1 FROM v_nodes x JOIN v_nodes y ON x.node_type = 'party' AND y.node_type = 'party' AND x.document_id = a.document_id AND y.document_id = b.document_id AND substring(x.node_label, 1, 4) = substring(y.node_label, 1, 4))")
+@query("challenges_edges", "SELECT a.document_id AS src, b.document_id AS dst, 'challenges' AS edge_type FROM v_docs a JOIN v_docs b ON a.case_id = b.case_id AND a.document_type = 'Pleading - Motion' AND b.document_type = 'Pleading - Complaint' WHERE EXISTS (SELECT 1 FROM v_nodes x JOIN v_nodes y ON x.node_type = 'party' AND y.node_type = 'party' AND x.document_id = a.document_id AND y.document_id = b.document_id AND regexp_extract(x.node_label, '\\S+$') = regexp_extract(y.node_label, '\\S+$'))")
 def _(v):
-    canonical = v("v_nodes").filter("node_type = 'party'").select("node_id", F.substring("node_label", 1, 4).alias("canonical_id"))
+    canonical = v("v_nodes").filter("node_type = 'party'").select("node_id", F.regexp_extract("node_label", r"\S+$", 0).alias("canonical_id"))
     d = v("v_docs").select("document_id", "case_id", "document_type")
     return G.shared_party_edges(v("v_nodes"), d.filter("document_type = 'Pleading - Motion'").drop("document_type"), d.filter("document_type = 'Pleading - Complaint'").drop("document_type"), canonical, "challenges")
 
@@ -177,19 +177,19 @@ def _(v):
     return G.timeline(v("v_nodes"), v("v_edges")).select("node_id", "node_type", "date_key", "parties")
 
 
-_PATHS = """WITH RECURSIVE st AS (SELECT src AS u, dst AS v, CAST(confidence AS DOUBLE) AS c FROM v_edges WHERE edge_type IN ('supported_by', 'references') AND confidence >= {least} UNION ALL SELECT dst, src, CAST(confidence AS DOUBLE) FROM v_edges WHERE edge_type IN ('supported_by', 'references') AND confidence >= {least}),
+_PATHS = """WITH RECURSIVE st AS (SELECT src AS u, dst AS v, CAST(confidence AS DOUBLE) AS c FROM v_edges WHERE edge_type IN ('supported_by', 'references', 'breached_by') AND confidence >= {least} UNION ALL SELECT dst, src, CAST(confidence AS DOUBLE) FROM v_edges WHERE edge_type IN ('supported_by', 'references', 'breached_by') AND confidence >= {least}),
  p(claim, u, t, path, confidence, hops) AS (SELECT node_id, node_id, node_type, [node_id], CAST(1.0 AS DOUBLE), 0 FROM v_nodes WHERE node_type = 'claim'
  UNION ALL SELECT p.claim, st.v, n.node_type, list_append(p.path, st.v), least(p.confidence, st.c), p.hops + 1 FROM p JOIN st ON st.u = p.u JOIN v_nodes n ON n.node_id = st.v WHERE p.hops < {hops} AND p.t NOT IN ('evidence', 'legal_authority') AND NOT list_contains(p.path, st.v))"""
 
 
 @query("evidence_paths", _PATHS.format(least=0.9, hops=3) + " SELECT claim, u AS target, array_to_string(path, '>') AS path, round(confidence, 4) AS confidence, hops FROM p WHERE t IN ('evidence', 'legal_authority')")
 def _(v):
-    return G.evidence_paths(v("v_nodes"), v("v_edges"), 3, 0.9, ("supported_by", "references")).withColumn("confidence", F.round("confidence", 4))
+    return G.evidence_paths(v("v_nodes"), v("v_edges"), 3, 0.9, ("supported_by", "references", "breached_by")).withColumn("confidence", F.round("confidence", 4))
 
 
 @query("unsupported_claims", _PATHS.format(least=0.94, hops=2) + ", k AS (SELECT claim, count(*) AS paths, round(max(confidence), 4) AS best FROM p WHERE t IN ('evidence', 'legal_authority') GROUP BY 1) SELECT n.node_id, coalesce(k.paths, 0) AS paths, k.best, coalesce(k.paths, 0) = 0 AS unsupported FROM v_nodes n LEFT JOIN k ON k.claim = n.node_id WHERE n.node_type = 'claim'")
 def _(v):
-    paths = G.evidence_paths(v("v_nodes"), v("v_edges"), 2, 0.94, ("supported_by", "references"))
+    paths = G.evidence_paths(v("v_nodes"), v("v_edges"), 2, 0.94, ("supported_by", "references", "breached_by"))
     return G.claim_bundles(v("v_nodes"), paths)
 
 
@@ -206,12 +206,12 @@ def _(v):
     return G.detect_addons(v("v_docs"), rules)
 
 
-@query("task_context", "SELECT t.task, string_agg(CAST(r.intake_id AS VARCHAR) || ': ' || CASE WHEN r.status = 'failed' THEN '(failed)' ELSE substring(r.file_hash, 1, 10) END, chr(10) ORDER BY r.intake_id) AS context FROM (SELECT DISTINCT job_id AS task FROM v_intake) t LEFT JOIN v_intake r ON r.job_id = t.task AND r.intake_id % 50 = 0 GROUP BY 1")
+@query("task_context", "SELECT t.task, string_agg(CAST(r.intake_id AS VARCHAR) || ': ' || CASE WHEN r.status = 'failed' THEN '(failed)' ELSE substring(r.file_hash, 1, 10) END, chr(10) ORDER BY r.intake_id) AS context FROM (SELECT DISTINCT job_id AS task FROM v_intake) t LEFT JOIN v_intake r ON r.job_id = t.task GROUP BY 1")
 def _(v):
     i = v("v_intake")
     tasks = i.select(F.col("job_id").alias("task")).distinct()
-    deps = i.filter("intake_id % 50 = 0").select(F.col("job_id").alias("task"), F.col("intake_id").alias("needs"))
-    results = i.filter("intake_id % 50 = 0").select(F.col("intake_id").alias("task"), "status", F.col("file_hash").alias("answer"))
+    deps = i.select(F.col("job_id").alias("task"), F.col("intake_id").alias("needs"))
+    results = i.select(F.col("intake_id").alias("task"), "status", F.col("file_hash").alias("answer"))
     return G.task_context(tasks, deps, results, 10)
 
 

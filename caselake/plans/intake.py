@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from caselake.operators import intake as Q
 from caselake.plans.registry import query
+from caselake.sources.views import CASES
 
 _CASES = "SELECT case_id, firm_id, case_name, '24-CV-' || CAST(10000 + case_id AS STRING) AS docket FROM v_cases"
-_ITEMS = "SELECT intake_id AS item_id, firm_id, CASE intake_id % 4 WHEN 0 THEN CAST(intake_id % 25 AS STRING) WHEN 1 THEN 'nation_1' WHEN 2 THEN 'nation_7' ELSE '' END AS hint, CASE intake_id % 3 WHEN 0 THEN 'filing_24-cv_' || CAST(10000 + intake_id % 25 AS STRING) || '.pdf' WHEN 1 THEN 'letter nation america.pdf' ELSE 'scan.pdf' END AS file_name FROM v_intake WHERE intake_id % 7 = 0"
+_ITEMS = f"SELECT intake_id AS item_id, firm_id, CASE intake_id % 4 WHEN 0 THEN CAST(intake_id % {CASES} AS STRING) WHEN 1 THEN 'nation_1' WHEN 2 THEN 'nation_7' ELSE '' END AS hint, CASE intake_id % 3 WHEN 0 THEN 'filing_24-cv_' || CAST(10000 + intake_id % {CASES} AS STRING) || '.pdf' WHEN 1 THEN 'letter supplier nation.pdf' ELSE 'scan.pdf' END AS file_name FROM v_intake"
 
 
 def _inputs(v):
-    for n in ("v_cases", "v_intake"):
+    for n in ("v_cases", "v_intake", "supplier"):
         v(n).createOrReplaceTempView(n)
     return v.spark.sql(_ITEMS), v.spark.sql(_CASES)
 

@@ -43,9 +43,9 @@ def _(v):
     return R.batch_search(e.select("section_id", "case_id", "embedding"), q)
 
 
-@query("enrich_hits", "SELECT e.section_id, s.section_title, d.file_name, s.start_page FROM (SELECT section_id, document_id * 100000 AS target FROM v_embeddings WHERE section_id % 5 = 0) e LEFT JOIN v_sections s ON s.section_id = e.target LEFT JOIN v_docs d ON d.document_id = s.document_id")
+@query("enrich_hits", "SELECT e.section_id, s.section_title, d.file_name, s.start_page FROM (SELECT section_id, document_id * 100000 AS target FROM v_embeddings) e LEFT JOIN v_sections s ON s.section_id = e.target LEFT JOIN v_docs d ON d.document_id = s.document_id")
 def _(v):
-    hits = v("v_embeddings").filter("section_id % 5 = 0").select(F.col("section_id").alias("hit"), (F.col("document_id") * 100000).alias("section_id"))
+    hits = v("v_embeddings").select(F.col("section_id").alias("hit"), (F.col("document_id") * 100000).alias("section_id"))
     return R.enrich_hits(hits, v("v_sections"), v("v_docs")).select(F.col("hit").alias("section_id"), "section_title", "file_name", "start_page")
 
 
@@ -66,7 +66,7 @@ def _(v):
     return s.join(first, "section_text").filter("a < document_id").select("a", F.col("document_id").alias("b"))
 
 
-_ITEMS = "SELECT document_id AS item_id, case_id, CASE WHEN document_id % 3 = 0 THEN 'A' WHEN document_id % 3 = 1 THEN lang ELSE 'zzz' END AS ref FROM v_docs WHERE case_id IS NOT NULL AND document_id % 4 = 0"
+_ITEMS = "SELECT document_id AS item_id, case_id, CASE WHEN document_id % 3 = 0 THEN 'A' WHEN document_id % 3 = 1 THEN lang ELSE 'zzz' END AS ref FROM v_docs WHERE case_id IS NOT NULL"
 _EXPL = f"WITH i AS ({_ITEMS}), m AS (SELECT i.item_id, i.ref, min(row(CASE WHEN ends_with(lower(d.file_name), 'exhibit_' || lower(i.ref)) THEN 1 ELSE 2 END, d.document_id)) AS m FROM i JOIN v_docs d USING (case_id) WHERE contains(lower(d.file_name), lower(i.ref)) GROUP BY 1, 2), x AS (SELECT i.item_id, i.ref, struct_extract_at(m.m, 2) AS document_id, CASE WHEN m.m IS NULL THEN 0.0 ELSE 0.95 END AS confidence FROM i LEFT JOIN m USING (item_id, ref))"
 
 
@@ -93,10 +93,10 @@ def _(v):
     return R.implicit_links(q, e.select("section_id", "case_id", "embedding", "document_id"), own, 2, 0.05).select("item_id", "document_id", "score", "rank")
 
 
-@query("provenance_links", "WITH a AS (SELECT document_id AS answer_id, text AS answer FROM v_docs WHERE document_id % 5 = 0), h AS (SELECT s.document_id AS answer_id, d.file_name, trim(substring(s.section_text, 1, 12)) AS title, ((s.pos * 37) % 100) / 100.0 AS score, s.section_id, s.section_text AS text FROM v_sections s JOIN v_docs d USING (document_id) WHERE s.document_id % 5 = 0) SELECT answer_id, file_name, title, section_id, substring(text, 1, 200) AS snippet FROM a JOIN h USING (answer_id) WHERE (length(title) > 4 AND contains(lower(answer), lower(title))) OR score >= 0.65 QUALIFY row_number() OVER (PARTITION BY answer_id, file_name, title ORDER BY score DESC, section_id) = 1")
+@query("provenance_links", "WITH a AS (SELECT document_id AS answer_id, text AS answer FROM v_docs), h AS (SELECT s.document_id AS answer_id, d.file_name, trim(substring(s.section_text, 1, 12)) AS title, ((s.pos * 37) % 100) / 100.0 AS score, s.section_id, s.section_text AS text FROM v_sections s JOIN v_docs d USING (document_id)) SELECT answer_id, file_name, title, section_id, substring(text, 1, 200) AS snippet FROM a JOIN h USING (answer_id) WHERE (length(title) > 4 AND contains(lower(answer), lower(title))) OR score >= 0.65 QUALIFY row_number() OVER (PARTITION BY answer_id, file_name, title ORDER BY score DESC, section_id) = 1")
 def _(v):
-    a = v("v_docs").filter("document_id % 5 = 0").select(F.col("document_id").alias("answer_id"), F.col("text").alias("answer"))
-    h = v("v_sections").filter("document_id % 5 = 0").join(v("v_docs").select("document_id", "file_name"), "document_id")
+    a = v("v_docs").select(F.col("document_id").alias("answer_id"), F.col("text").alias("answer"))
+    h = v("v_sections").join(v("v_docs").select("document_id", "file_name"), "document_id")
     h = h.select(F.col("document_id").alias("answer_id"), "file_name", F.trim(F.substring("section_text", 1, 12)).alias("title"), ((F.col("pos") * 37) % 100 / 100).alias("score"), "section_id", F.col("section_text").alias("text"))
     return R.provenance(a, h)
 

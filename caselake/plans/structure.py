@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from caselake.operators import structure as D
 from caselake.plans.registry import query
 
-_PAGED = "SELECT document_id, pos, CASE WHEN pos % 6 = 0 THEN '## Page ' || CAST(CAST(floor(pos / 6) AS BIGINT) + 1 AS STRING) WHEN pos % 6 = 1 THEN 'Case No. ' || CAST(document_id AS STRING) || ' page ' || CAST(CAST(floor(pos / 6) AS BIGINT) + 1 AS STRING) WHEN pos % 6 = 5 THEN '- ' || CAST(CAST(floor(pos / 6) AS BIGINT) + 1 AS STRING) || ' -' WHEN pos % 18 = 3 THEN 'EXHIBIT ' || chr(65 + CAST(document_id % 5 AS INT)) ELSE line END AS line FROM v_lines WHERE pos < 90"
+_PAGED = "SELECT document_id, pos, CASE WHEN pos % 6 = 0 THEN '## Page ' || CAST(CAST(floor(pos / 6) AS BIGINT) + 1 AS STRING) WHEN pos % 6 = 1 THEN 'Case No. ' || CAST(document_id AS STRING) || ' page ' || CAST(CAST(floor(pos / 6) AS BIGINT) + 1 AS STRING) WHEN pos % 6 = 5 THEN '- ' || CAST(CAST(floor(pos / 6) AS BIGINT) + 1 AS STRING) || ' -' WHEN pos % 18 = 3 THEN 'EXHIBIT ' || chr(65 + CAST(document_id % 5 AS INT)) ELSE line END AS line FROM v_lines"
 _PL = f"SELECT document_id, pos, CAST(floor(pos / 6) AS BIGINT) + 1 AS page, pos % 6 - 1 AS line_no, line FROM ({_PAGED}) WHERE pos % 6 <> 0"
 
 
@@ -49,9 +49,9 @@ def _(v):
     return D.detect_toc(d)
 
 
-@query("parse_toc", "SELECT document_id, pos, CAST(0 AS INTEGER) AS part, CAST(pos % 3 AS INTEGER) AS level, trim(substring(line, 1, 20)) AS title, CAST(pos + 1 AS INTEGER) AS page FROM v_lines WHERE NOT contains(substring(line, 1, 20), '..') AND trim(substring(line, 1, 20)) <> '' UNION ALL SELECT document_id, pos, 1, 0, 'Next', 9 FROM v_lines WHERE pos % 4 = 0 AND NOT contains(substring(line, 1, 20), '..') AND trim(substring(line, 1, 20)) <> ''")
+@query("parse_toc", "SELECT document_id, pos, CAST(0 AS INTEGER) AS part, CAST(pos % 3 AS INTEGER) AS level, trim(line) AS title, CAST(pos + 1 AS INTEGER) AS page FROM v_lines WHERE NOT contains(line, '..') AND trim(line) <> '' UNION ALL SELECT document_id, pos, 1, 0, 'Next', 9 FROM v_lines WHERE pos % 4 = 0 AND NOT contains(line, '..') AND trim(line) <> ''")
 def _(v):
-    lines = v("v_lines").filter("NOT contains(substring(line, 1, 20), '..') AND trim(substring(line, 1, 20)) <> ''").withColumn("line", F.expr("repeat('  ', CAST(pos % 3 AS int)) || trim(substring(line, 1, 20)) || ' ...... ' || CAST(pos + 1 AS string) || CASE WHEN pos % 4 = 0 THEN ' - Next .... 9' ELSE '' END"))
+    lines = v("v_lines").filter("NOT contains(line, '..') AND trim(line) <> ''").withColumn("line", F.expr("repeat('  ', CAST(pos % 3 AS int)) || trim(line) || ' ...... ' || CAST(pos + 1 AS string) || CASE WHEN pos % 4 = 0 THEN ' - Next .... 9' ELSE '' END"))
     return D.parse_toc(lines)
 
 
@@ -64,8 +64,8 @@ def _(v):
 @query("calibrate_offset")
 def _(v):
     pl = page_lines(v)
-    entries = pl.filter("line_no = 2 AND length(line) > 10").select("document_id", "pos", F.substring("line", 1, 60).alias("title"), (F.col("page") - F.col("document_id") % 3).alias("page"))
-    return D.calibrate_offset(entries, pl.withColumn("line", F.substring("line", 1, 60)))
+    entries = pl.filter("line_no = 2 AND length(line) > 10").select("document_id", "pos", F.col("line").alias("title"), (F.col("page") - F.col("document_id") % 3).alias("page"))
+    return D.calibrate_offset(entries, pl)
 
 
 _HEADS = "SELECT document_id, pos, CASE pos % 9 WHEN 0 THEN 'ARTICLE IV' WHEN 2 THEN 'A. Facts' WHEN 4 THEN '1.2 Terms' WHEN 6 THEN '(a) item' ELSE 'x ' || line END AS line FROM v_lines"
@@ -89,7 +89,7 @@ def _(v):
     return D.skeleton(v("v_lines"))
 
 
-_EX = "SELECT document_id, pos, CASE WHEN document_id % 3 = 0 AND pos % 7 = 3 THEN '## Exhibit ' || chr(65 + CAST(pos % 20 AS INT)) WHEN document_id % 3 = 1 AND pos % 7 = 3 THEN 'Exhibit ' || chr(65 + CAST(pos % 20 AS INT)) || ' follows' ELSE line END AS line FROM v_lines WHERE pos < 20"
+_EX = "SELECT document_id, pos, CASE WHEN document_id % 3 = 0 AND pos % 7 = 3 THEN '## Exhibit ' || chr(65 + CAST(pos % 20 AS INT)) WHEN document_id % 3 = 1 AND pos % 7 = 3 THEN 'Exhibit ' || chr(65 + CAST(pos % 20 AS INT)) || ' follows' ELSE line END AS line FROM v_lines"
 
 
 @query("exhibits_by_heading", f"WITH l AS ({_EX}), n AS (SELECT document_id, max(pos) + 1 AS n FROM l GROUP BY 1) SELECT document_id, chr(65 + CAST(pos % 20 AS INT)) AS label, pos AS start, coalesce(lead(pos) OVER (PARTITION BY document_id ORDER BY pos), n) AS stop FROM l JOIN n USING (document_id) WHERE document_id % 3 = 0 AND pos % 7 = 3")
@@ -98,7 +98,7 @@ def _(v):
     return D.exhibits_by_heading(v.spark.sql(_EX))
 
 
-@query("exhibits_by_label", f"WITH l AS ({_EX}), n AS (SELECT document_id, max(pos) + 1 AS n FROM l GROUP BY 1) SELECT document_id, chr(65 + CAST(pos % 20 AS INT)) AS label, pos AS start, coalesce(lead(pos) OVER (PARTITION BY document_id ORDER BY pos), n) AS stop FROM l JOIN n USING (document_id) WHERE document_id % 3 < 2 AND pos % 7 = 3 AND pos % 20 <> 10")
+@query("exhibits_by_label", f"WITH l AS ({_EX}), n AS (SELECT document_id, max(pos) + 1 AS n FROM l GROUP BY 1), h AS (SELECT document_id, chr(65 + CAST(pos % 20 AS INT)) AS label, min(pos) AS start FROM l WHERE document_id % 3 < 2 AND pos % 7 = 3 AND pos % 20 IN (3, 17) GROUP BY 1, 2) SELECT document_id, label, start, coalesce(lead(start) OVER (PARTITION BY document_id ORDER BY start), n) AS stop FROM h JOIN n USING (document_id)")
 def _(v):
     v("v_lines").createOrReplaceTempView("v_lines")
     lines = v.spark.sql(_EX)
@@ -113,10 +113,10 @@ def _(v):
     return D.split_exhibits(lines, lines.select("document_id").distinct().withColumn("label", F.lit("D")))
 
 
-_SCAN = "SELECT document_id, pos, CASE WHEN pos % 10 = 0 THEN '[Page ' || CAST(CAST(floor(pos / 10) AS BIGINT) + 1 AS STRING) || ']' WHEN document_id % 2 = 0 AND pos % 10 = 2 THEN 'Exhibit ' || chr(65 + CAST(floor(pos / 10) AS INT)) WHEN document_id % 2 = 1 AND pos % 10 = 6 THEN 'Exhibit Z' ELSE 'x ' || line END AS line FROM v_lines WHERE pos < 60"
+_SCAN = "SELECT document_id, pos, CASE WHEN pos % 10 = 0 THEN '[Page ' || CAST(CAST(floor(pos / 10) AS BIGINT) + 1 AS STRING) || ']' WHEN document_id % 2 = 0 AND pos % 10 = 2 THEN 'Exhibit ' || chr(65 + CAST(floor(pos / 10) AS INT) % 26) WHEN document_id % 2 = 1 AND pos % 10 = 6 THEN 'Exhibit Z' ELSE 'x ' || line END AS line FROM v_lines"
 
 
-@query("exhibits_by_scan", f"WITH l AS ({_SCAN}), n AS (SELECT document_id, max(pos) + 1 AS n FROM l GROUP BY 1) SELECT document_id, chr(65 + CAST(floor(pos / 10) AS INT)) AS label, pos AS start, coalesce(lead(pos) OVER (PARTITION BY document_id ORDER BY pos), n) AS stop FROM l JOIN n USING (document_id) WHERE document_id % 2 = 0 AND pos % 10 = 2")
+@query("exhibits_by_scan", f"WITH l AS ({_SCAN}), n AS (SELECT document_id, max(pos) + 1 AS n FROM l GROUP BY 1), h AS (SELECT document_id, chr(65 + CAST(floor(pos / 10) AS INT) % 26) AS label, min(pos) AS start FROM l WHERE document_id % 2 = 0 AND pos % 10 = 2 GROUP BY 1, 2) SELECT document_id, label, start, coalesce(lead(start) OVER (PARTITION BY document_id ORDER BY start), n) AS stop FROM h JOIN n USING (document_id)")
 def _(v):
     v("v_lines").createOrReplaceTempView("v_lines")
     return D.exhibits_by_scan(v.spark.sql(_SCAN))

@@ -40,11 +40,11 @@ def _(v):
     return v("v_sections").select("section_id", F.round(S.trgm_similarity("section_title", F.substring("section_text", 10, 40)), 4).alias("sim"))
 
 
-@query("cosine_pairs", "SELECT a.section_id AS a, b.section_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS sim FROM v_embeddings a JOIN v_embeddings b ON a.document_id = b.document_id AND a.section_id < b.section_id")
+@query("cosine_pairs", "SELECT a.section_id AS a, b.section_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS sim FROM v_embeddings a JOIN v_embeddings b ON b.section_id = a.section_id + 1")
 def _(v):
     e = v("v_embeddings")
-    a, b = e.select("document_id", F.col("section_id").alias("a"), F.col("embedding").alias("x")), e.select("document_id", F.col("section_id").alias("b"), F.col("embedding").alias("y"))
-    return a.join(b, "document_id").filter("a < b").select("a", "b", F.round(S.cosine("x", "y"), 4).alias("sim"))
+    a, b = e.select(F.col("section_id").alias("a"), (F.col("section_id") + 1).alias("b"), F.col("embedding").alias("x")), e.select(F.col("section_id").alias("b"), F.col("embedding").alias("y"))
+    return a.join(b, "b").select("a", "b", F.round(S.cosine("x", "y"), 4).alias("sim"))
 
 
 @query("clean_md", "SELECT document_id, regexp_replace(translate(regexp_replace(t, '\\r\\n?', chr(10), 'g'), '“”‘’', '\"\"'''''), '\\n{3,}', chr(10) || chr(10), 'g') AS text FROM (SELECT document_id, '“' || replace(text, chr(10), chr(13) || chr(10) || chr(10) || chr(10)) || '’' AS t FROM v_docs)")
@@ -57,9 +57,9 @@ def _(v):
     return v("v_lines").select("document_id", "pos", S.clean_line(F.concat("line", F.lit("  ---- x"))).alias("line"))
 
 
-@query("exhibit_refs", "SELECT section_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(t, '(?i)\\bex(?:hibit|\\.)\\s+([a-z]{1,2}|\\d{1,3})\\b', 1), lambda x: upper(x)))), ',') AS refs FROM (SELECT section_id, 'See Exhibit ' || chr(65 + CAST(level AS INTEGER)) || ', ex. ' || CAST(pos % 9 AS VARCHAR) || ' and EXHIBIT b ' || section_text AS t FROM v_sections WHERE pos % 3 = 0)")
+@query("exhibit_refs", "SELECT section_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(t, '(?i)\\bex(?:hibit|\\.)\\s+([a-z]{1,2}|\\d{1,3})\\b', 1), lambda x: upper(x)))), ',') AS refs FROM (SELECT section_id, 'See Exhibit ' || chr(65 + CAST(level AS INTEGER)) || ', ex. ' || CAST(pos % 9 AS VARCHAR) || ' and EXHIBIT b ' || section_text AS t FROM v_sections)")
 def _(v):
-    s = v("v_sections").filter("pos % 3 = 0").withColumn("t", F.expr("'See Exhibit ' || char(65 + level) || ', ex. ' || CAST(pos % 9 AS string) || ' and EXHIBIT b ' || section_text"))
+    s = v("v_sections").withColumn("t", F.expr("'See Exhibit ' || char(65 + level) || ', ex. ' || CAST(pos % 9 AS string) || ' and EXHIBIT b ' || section_text"))
     return s.select("section_id", F.array_join(S.exhibit_refs("t"), ",").alias("refs"))
 
 
@@ -89,7 +89,7 @@ def _(v):
     return v("v_docs").select("document_id", S.is_bad_text("text").alias("bad"))
 
 
-@query("split_parties", "SELECT c.case_id, n_name AS plaintiff, r_name AS defendant FROM v_cases c JOIN nation ON n_nationkey = c.case_id JOIN region ON n_regionkey = r_regionkey")
+@query("split_parties", "SELECT s_suppkey AS case_id, s_name AS plaintiff, n_name AS defendant FROM supplier JOIN nation ON n_nationkey = s_nationkey")
 def _(v):
     return v("v_cases").select("case_id", S.split_parties("case_name", 1).alias("plaintiff"), S.split_parties("case_name", 2).alias("defendant"))
 
@@ -109,10 +109,10 @@ def _(v):
     return v("v_sections").select("section_id", S.snippet("section_title", "section_text").alias("snip"))
 
 
-@query("embedding_input", "SELECT s.section_id, substring('[' || d.document_type || ']' || coalesce(' [' || s.semantic_label || ']', '') || ' ' || s.section_title || chr(10) || chr(10) || s.section_text, 1, 900) AS input FROM v_sections s JOIN v_docs d USING (document_id)")
+@query("embedding_input", "SELECT s.section_id, substring('[' || d.document_type || ']' || coalesce(' [' || s.semantic_label || ']', '') || ' ' || s.section_title || chr(10) || chr(10) || s.section_text, 1, 28000) AS input FROM v_sections s JOIN v_docs d USING (document_id)")
 def _(v):
     s = v("v_sections").join(v("v_docs").select("document_id", "document_type"), "document_id")
-    return s.select("section_id", S.embedding_input("document_type", "semantic_label", "section_title", "section_text", 900).alias("input"))
+    return s.select("section_id", S.embedding_input("document_type", "semantic_label", "section_title", "section_text").alias("input"))
 
 
 @query("date_sort_key", "SELECT node_id, CASE WHEN regexp_matches(date_value, '^\\d{4}-\\d{2}-\\d{2}') THEN substring(date_value, 1, 10) WHEN regexp_matches(date_value, '^\\d{4}$') THEN date_value || '-00-00' WHEN regexp_matches(date_value, '\\b(1[89]\\d\\d|20\\d\\d)\\b') THEN regexp_extract(date_value, '\\b(1[89]\\d\\d|20\\d\\d)\\b', 1) || '-00-00' ELSE '9999-99-99' END AS k FROM v_nodes")

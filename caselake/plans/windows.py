@@ -13,28 +13,28 @@ def _(v):
     return W.next_boundary(v("v_sections").filter("level <= 1"), "document_id", "pos", F.col("pos") + 1).select("section_id", "stop")
 
 
-@query("end_pages", "WITH s AS (SELECT section_id, document_id, pos, level, CAST(floor(pos / 3) AS BIGINT) + 1 AS page FROM v_sections WHERE pos < 120) SELECT a.section_id, CASE WHEN count(b.pos) = 0 THEN greatest(any_value(a.page), 50) ELSE greatest(any_value(a.page), arg_min(b.page, b.pos) - 1) END AS end_page FROM s a LEFT JOIN s b ON b.document_id = a.document_id AND b.pos > a.pos AND b.level <= a.level GROUP BY a.section_id")
+@query("end_pages", "WITH s AS (SELECT section_id, document_id, pos, level, CAST(floor(pos / 3) AS BIGINT) + 1 AS page FROM v_sections) SELECT a.section_id, CASE WHEN count(b.pos) = 0 THEN greatest(any_value(a.page), 50) ELSE greatest(any_value(a.page), arg_min(b.page, b.pos) - 1) END AS end_page FROM s a LEFT JOIN s b ON b.document_id = a.document_id AND b.pos > a.pos AND b.level <= a.level GROUP BY a.section_id")
 def _(v):
-    s = v("v_sections").filter("pos < 120").withColumn("page", F.floor(F.col("pos") / 3) + 1)
+    s = v("v_sections").withColumn("page", F.floor(F.col("pos") / 3) + 1)
     return W.assign_end_pages(s, F.lit(50)).select("section_id", "end_page")
 
 
-@query("build_parents", "WITH s AS (SELECT section_id, document_id, pos, level FROM v_sections WHERE pos < 120) SELECT a.section_id, arg_max(b.section_id, b.pos) AS parent_section_id FROM s a LEFT JOIN s b ON b.document_id = a.document_id AND b.pos < a.pos AND b.level < a.level GROUP BY 1")
+@query("build_parents", "WITH s AS (SELECT section_id, document_id, pos, level FROM v_sections) SELECT a.section_id, arg_max(b.section_id, b.pos) AS parent_section_id FROM s a LEFT JOIN s b ON b.document_id = a.document_id AND b.pos < a.pos AND b.level < a.level GROUP BY 1")
 def _(v):
-    return W.build_parents(v("v_sections").filter("pos < 120")).select("section_id", "parent_section_id")
+    return W.build_parents(v("v_sections")).select("section_id", "parent_section_id")
 
 
 @query("page_fill", "SELECT document_id, pos, last_value(CASE WHEN pos % 20 = 0 THEN pos / 20 + 1 END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY pos) AS page FROM v_lines")
 def _(v):
-    from caselake.operators.text import page_number
+    from caselake.functions.scalar import page_number
 
     lines = v("v_lines").withColumn("line", F.expr("CASE WHEN pos % 20 = 0 THEN '## Page ' || CAST(pos DIV 20 + 1 AS string) ELSE line END"))
     return W.fill_forward(lines.withColumn("n", page_number("line")), "document_id", "pos", "n", "page").select("document_id", "pos", F.col("page").cast("double").alias("page"))
 
 
-@query("boundary_context", "WITH l AS (SELECT document_id, pos, CASE WHEN pos % 4 = 2 THEN ' ' ELSE line END AS line FROM v_lines WHERE pos < 80) SELECT a.document_id, a.pos, a.pos - max(b.pos) FILTER (b.pos % 20 = 0) AS since_marker, a.pos - 1 - coalesce(max(b.pos) FILTER (b.pos < a.pos AND trim(b.line) <> ''), -1) AS blanks_before FROM l a JOIN l b ON b.document_id = a.document_id AND b.pos <= a.pos GROUP BY 1, 2")
+@query("boundary_context", "WITH l AS (SELECT document_id, pos, CASE WHEN pos % 4 = 2 THEN ' ' ELSE line END AS line FROM v_lines) SELECT a.document_id, a.pos, a.pos - max(b.pos) FILTER (b.pos % 20 = 0) AS since_marker, a.pos - 1 - coalesce(max(b.pos) FILTER (b.pos < a.pos AND trim(b.line) <> ''), -1) AS blanks_before FROM l a JOIN l b ON b.document_id = a.document_id AND b.pos <= a.pos GROUP BY 1, 2")
 def _(v):
-    lines = v("v_lines").filter("pos < 80").withColumn("line", F.expr("CASE WHEN pos % 4 = 2 THEN ' ' ELSE line END"))
+    lines = v("v_lines").withColumn("line", F.expr("CASE WHEN pos % 4 = 2 THEN ' ' ELSE line END"))
     return W.boundary_context(lines, F.col("pos") % 20 == 0).select("document_id", "pos", "since_marker", "blanks_before")
 
 
@@ -60,9 +60,9 @@ def _(v):
     return W.largest_block(pages)
 
 
-@query("margin_numbers", "WITH c AS (SELECT document_id, pos, CASE WHEN pos % 9 = 8 THEN 500 ELSE pos + 1 END AS number FROM v_lines WHERE pos < 60), k AS (SELECT document_id, number - lag(number) OVER (PARTITION BY document_id ORDER BY pos) AS s FROM c WHERE number BETWEEN 1 AND 400), a AS (SELECT document_id, count(*) AS candidates, count(*) FILTER (s = 1) AS steps FROM k GROUP BY 1) SELECT *, candidates >= 8 AND steps >= greatest(4.0, 0.35 * candidates) AS has_margin FROM a")
+@query("margin_numbers", "WITH c AS (SELECT document_id, pos, CASE WHEN pos % 9 = 8 THEN 500 ELSE pos + 1 END AS number FROM v_lines), k AS (SELECT document_id, number - lag(number) OVER (PARTITION BY document_id ORDER BY pos) AS s FROM c WHERE number BETWEEN 1 AND 400), a AS (SELECT document_id, count(*) AS candidates, count(*) FILTER (s = 1) AS steps FROM k GROUP BY 1) SELECT *, candidates >= 8 AND steps >= greatest(4.0, 0.35 * candidates) AS has_margin FROM a")
 def _(v):
-    lines = v("v_lines").filter("pos < 60").withColumn("number", F.expr("CASE WHEN pos % 9 = 8 THEN 500 ELSE pos + 1 END"))
+    lines = v("v_lines").withColumn("number", F.expr("CASE WHEN pos % 9 = 8 THEN 500 ELSE pos + 1 END"))
     return W.margin_numbers(lines)
 
 

@@ -13,22 +13,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 NOW = "2024-01-31 00:00:00"
 
+#: How many cases and documents there are: foreign keys are made from all rows, so that groups stay as large as they are when tables grow.
+CASES, DOCS = "(SELECT count(*) FROM supplier)", "(SELECT max(doc_id) + 1 FROM documents)"
+
 VIEWS: dict[str, str] = {
     "v_cases": """
-SELECT CAST(n_nationkey AS BIGINT) AS case_id, CAST(n_regionkey AS BIGINT) AS firm_id,
-       n_name || ' v. ' || r_name AS case_name,
-       CASE WHEN n_nationkey % 2 = 0 THEN 'plaintiff' ELSE 'defendant' END AS party_role,
-       CASE WHEN n_nationkey % 5 = 0 THEN CAST(NULL AS STRING) ELSE n_name END AS our_client,
-       CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE r_name END AS opposing_party,
-       CASE WHEN n_nationkey % 7 = 0 THEN TIMESTAMP '2024-01-05 00:00:00' ELSE CAST(NULL AS TIMESTAMP) END AS deleted_at
-FROM nation JOIN region ON n_regionkey = r_regionkey""",
+SELECT s_suppkey AS case_id, CAST(floor(s_suppkey / 4) AS BIGINT) AS firm_id, s_name || ' v. ' || n_name AS case_name,
+       CASE WHEN s_suppkey % 2 = 0 THEN 'plaintiff' ELSE 'defendant' END AS party_role,
+       CASE WHEN s_suppkey % 5 = 0 THEN CAST(NULL AS STRING) ELSE s_name END AS our_client,
+       CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE n_name END AS opposing_party,
+       CASE WHEN s_suppkey % 7 = 0 THEN TIMESTAMP '2024-01-05 00:00:00' ELSE CAST(NULL AS TIMESTAMP) END AS deleted_at
+FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
     "v_corpora": """
-SELECT CAST(n_nationkey AS BIGINT) AS corpus_id, CAST(n_regionkey AS BIGINT) AS firm_id, (n_nationkey % 6 = 0) AS is_shared
-FROM nation WHERE n_nationkey % 2 = 0""",
-    "v_docs": """
+SELECT s_suppkey AS corpus_id, CAST(floor(s_suppkey / 4) AS BIGINT) AS firm_id, (s_suppkey % 6 = 0) AS is_shared
+FROM supplier WHERE s_suppkey % 2 = 0""",
+    "v_docs": f"""
 SELECT d.doc_id AS document_id,
-       CASE WHEN d.doc_id % 11 = 0 THEN CAST(NULL AS BIGINT) ELSE d.doc_id % 25 END AS case_id,
-       CASE WHEN d.doc_id % 3 = 0 THEN (d.doc_id % 12) * 2 ELSE CAST(NULL AS BIGINT) END AS corpus_id,
+       CASE WHEN d.doc_id % 11 = 0 THEN CAST(NULL AS BIGINT) ELSE CAST(floor(d.doc_id / 6) AS BIGINT) % {CASES} END AS case_id,
+       CASE WHEN d.doc_id % 3 = 0 THEN d.doc_id % {CASES} - d.doc_id % {CASES} % 2 ELSE CAST(NULL AS BIGINT) END AS corpus_id,
        CASE WHEN d.doc_id % 10 = 9 THEN d.doc_id - 9 ELSE CAST(NULL AS BIGINT) END AS parent_document_id,
        d.source || '_' || d.lang || CASE WHEN d.doc_id % 10 = 9 THEN '_exhibit_A' ELSE '' END AS file_name,
        CASE d.doc_id % 6 WHEN 0 THEN 'Pleading - Complaint' WHEN 1 THEN 'Contract - NDA'
@@ -43,54 +45,58 @@ SELECT document_id * 100000 + pos AS section_id, document_id, pos, (pos * 7 + do
        CASE pos % 5 WHEN 0 THEN 'causes_of_action' WHEN 1 THEN 'factual_allegations'
             WHEN 2 THEN 'obligation.payment' WHEN 3 THEN 'signature_block' ELSE CAST(NULL AS STRING) END AS semantic_label
 FROM v_lines""",
-    "v_embeddings": """
-SELECT v.vec_id AS section_id, v.vec_id % 200 AS document_id, (v.vec_id % 200) % 25 AS case_id,
+    "v_embeddings": f"""
+SELECT v.vec_id AS section_id, v.document_id, CAST(floor(v.document_id / 6) AS BIGINT) % {CASES} AS case_id,
        v.embedding, 'L' || CAST(v.label AS STRING) AS semantic_label, v.label % 4 AS level,
        CASE v.vec_id % 3 WHEN 0 THEN 'Contract - NDA' WHEN 1 THEN 'Pleading - Complaint' ELSE 'Evidence - Exhibit' END AS document_type,
-       substring(d.text, 1, 300) AS search_text
-FROM embeddings v JOIN documents d ON d.doc_id = v.vec_id % 200""",
-    "v_extractions": """
-SELECT l_orderkey * 10 + l_linenumber AS extraction_id, l_orderkey % 200 AS document_id,
-       (l_orderkey % 200) * 100000 + l_linenumber AS section_id,
+       d.text AS search_text
+FROM (SELECT vec_id, embedding, label, vec_id % {DOCS} AS document_id FROM embeddings) v JOIN documents d ON d.doc_id = v.document_id""",
+    "v_extractions": f"""
+SELECT l_orderkey * 10 + l_linenumber AS extraction_id, l_orderkey % {DOCS} AS document_id,
+       l_orderkey % {DOCS} * 100000 + l_linenumber AS section_id,
        CASE l_linenumber % 4 WHEN 0 THEN 'court' WHEN 1 THEN 'party' WHEN 2 THEN 'judge' ELSE 'date' END AS extraction_type,
        p_name AS entity_name, p_type AS entity_value, l_discount * 10 AS confidence,
-       '{"role_in_document":"' || CASE l_returnflag WHEN 'A' THEN 'plaintiff' WHEN 'R' THEN 'defendant' ELSE 'mentioned' END || '"}' AS properties
+       '{{"role_in_document":"' || CASE l_returnflag WHEN 'A' THEN 'plaintiff' WHEN 'R' THEN 'defendant' ELSE 'mentioned' END || '"}}' AS properties
 FROM lineitem JOIN part ON p_partkey = l_partkey""",
-    "v_nodes": """
+    "v_nodes": f"""
 SELECT 'p' || CAST(p_partkey AS STRING) AS node_id, 'party' AS node_type, p_name || ' ' || p_brand AS node_label,
-       p_partkey % 200 AS document_id, p_partkey % 50 AS section_id, CAST(NULL AS STRING) AS date_value FROM part
+       p_partkey % {DOCS} AS document_id, p_partkey % 50 AS section_id, CAST(NULL AS STRING) AS date_value FROM part
 UNION ALL
 SELECT 'c' || CAST(o_orderkey AS STRING), 'claim', o_orderpriority || ' ' || o_orderstatus,
-       o_orderkey % 200, o_orderkey % 50, CAST(NULL AS STRING) FROM orders WHERE o_orderkey % 10 = 0
+       o_orderkey % {DOCS}, o_orderkey % 50, CAST(NULL AS STRING) FROM orders
+UNION ALL
+SELECT 's' || CAST(s_suppkey AS STRING), 'evidence', s_name, s_suppkey % {DOCS}, s_suppkey % 50, CAST(NULL AS STRING) FROM supplier
 UNION ALL
-SELECT 's' || CAST(s_suppkey AS STRING), CASE WHEN s_suppkey % 2 = 0 THEN 'evidence' ELSE 'obligation' END, s_name,
-       s_suppkey % 200, s_suppkey % 50, CAST(NULL AS STRING) FROM supplier
+SELECT 'o' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING), CASE WHEN max(l_returnflag) = 'R' THEN 'obligation' WHEN max(l_returnflag) = 'A' THEN 'amount' ELSE 'condition' END,
+       'Item ' || CAST(min(l_partkey) AS STRING), l_orderkey % {DOCS}, l_orderkey % 50, CAST(NULL AS STRING) FROM lineitem GROUP BY l_orderkey, l_linenumber
 UNION ALL
 SELECT 'n' || CAST(n_nationkey AS STRING), 'legal_authority', n_name,
        CAST(n_nationkey AS BIGINT), CAST(n_nationkey AS BIGINT) % 50, CAST(NULL AS STRING) FROM nation
 UNION ALL
 SELECT 'e' || CAST(o_orderkey AS STRING), CASE WHEN o_orderkey % 3 = 0 THEN 'procedural_event' ELSE 'event' END, o_orderpriority,
-       o_orderkey % 200, o_orderkey % 50,
+       o_orderkey % {DOCS}, o_orderkey % 50,
        CASE o_orderkey % 4 WHEN 0 THEN substring(CAST(o_orderdate AS STRING), 1, 10)
             WHEN 1 THEN substring(CAST(o_orderdate AS STRING), 1, 4)
             WHEN 2 THEN 'around ' || substring(CAST(o_orderdate AS STRING), 1, 4) ELSE 'soon after' END
-FROM orders WHERE o_orderkey % 7 = 0""",
+FROM orders""",
     "v_edges": """
 SELECT DISTINCT 'c' || CAST(l_orderkey AS STRING) AS src, 's' || CAST(l_suppkey AS STRING) AS dst,
-       'supported_by' AS edge_type, 1.0 - l_discount AS confidence FROM lineitem WHERE l_orderkey % 20 = 0
+       'supported_by' AS edge_type, 1.0 - l_discount AS confidence FROM lineitem
+UNION ALL
+SELECT DISTINCT 'o' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING), 'c' || CAST(l_orderkey AS STRING), 'breached_by', 0.95 FROM lineitem WHERE l_returnflag = 'R'
 UNION ALL
-SELECT 's' || CAST(s_suppkey AS STRING), 'n' || CAST(s_nationkey AS STRING), 'references', 0.8 FROM supplier WHERE s_suppkey % 2 = 1
+SELECT DISTINCT 'o' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING), 'n' || CAST(s_nationkey AS STRING), 'references', 0.95 FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag = 'R'
 UNION ALL
-SELECT DISTINCT 'p' || CAST(l_partkey AS STRING), 'e' || CAST(l_orderkey AS STRING), 'involved_in', 0.7 FROM lineitem WHERE l_orderkey % 7 = 0""",
-    "v_intake": """
-SELECT event_id AS intake_id, user_id % 5 AS firm_id, md5(event_type || CAST(CAST(floor(value) AS BIGINT) AS STRING)) AS file_hash,
+SELECT DISTINCT 'p' || CAST(l_partkey AS STRING), 'e' || CAST(l_orderkey AS STRING), 'involved_in', 0.7 FROM lineitem""",
+    "v_intake": f"""
+SELECT event_id AS intake_id, CAST(floor(user_id % {CASES} / 4) AS BIGINT) AS firm_id, md5(event_type || CAST(CAST(floor(value) AS BIGINT) AS STRING)) AS file_hash,
        CASE event_type WHEN 'signup' THEN 'pending' WHEN 'click' THEN 'confirmed' WHEN 'view' THEN 'processing'
             WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS status,
        CASE event_id % 4 WHEN 0 THEN 'immediate' WHEN 1 THEN 'soon' WHEN 2 THEN 'overnight' ELSE 'manual' END AS process_priority,
-       user_id % 40 AS job_id, ts AS created_at, value, props
+       user_id AS job_id, ts AS created_at, value, props
 FROM events""",
-    "v_responses": """
-SELECT conv_id AS session_id, conv_id % 25 AS case_id, turn, role, text, ((conv_id * 7 + turn * 13) % 101) / 100.0 AS confidence
+    "v_responses": f"""
+SELECT conv_id AS session_id, conv_id % {CASES} AS case_id, turn, role, text, ((conv_id * 7 + turn * 13) % 101) / 100.0 AS confidence
 FROM conversations""",
 }
 
