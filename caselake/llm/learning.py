@@ -23,7 +23,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, used: str, p
     ids = {r["doc_id"]: r["y"] for y in (0, 1) for r in rated.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()}
     if not ids:
         return [], {}
-    rows = docs.filter(F.col("doc_id").isin(list(ids))).filter(F.col("text").isNotNull() & (F.length("text") <= most_chars)).selectExpr("doc_id", "CAST(text AS string) AS text", f"{more} AS more").collect()
+    rows = docs.filter(F.col("doc_id").isin(list(ids))).filter(F.col("text").isNotNull() & (F.length("text") <= most_chars)).selectExpr("doc_id", "CAST(text AS string) AS text", f"{more} AS more")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "more")).alias("r")).select("doc_id", "r.*").collect()  # one row per id
     got = [(r["text"], ids[r["doc_id"]], r["more"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
     share = {y: sum(g[1] == y for g in got) for y in (0, 1)}
     total = sum(counts.values())

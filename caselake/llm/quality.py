@@ -19,6 +19,7 @@ empty results; further columns aren't read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +52,7 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             (
                 np.log1p(n), np.log1p(size), size / n, (size - len(raw.translate(None, _UPPER))) / size, marks / n,
                 raw.count(b"!") / n, raw.count(b"|") / n, (size - len(raw.translate(None, _SIGNS))) / n, (size - len(raw.translate(None, _DIGITS))) / n,
-                len(few) / n, sum(map(bytes.__eq__, words, words[1:])) / n, (max(map(words.count, few)) if len(few) * n <= 2000 and len(few) < n else 1 + (n - len(few)) / len(few)) / n,
+                len(few) / n, sum(map(bytes.__eq__, words, words[1:])) / n, (max(Counter(words).values()) if len(few) < n else 1) / n,
                 raw[:1].isupper() or raw[:1] > b"\x7f", raw.rstrip()[-1:] == b".", raw == before,
             )
         )
