@@ -5,7 +5,7 @@ meet it, the ones closest to 1 in relative entropy have the form
 min(2, exp(lambda * size / mean size)), with one lambda for each source: the minimum of a
 convex dual, found by Newton steps that are kept inside a shrinking bracket.
 A step is one aggregate over (source, size, count), to which documents are
-reduced first. Rates become whole copies: a document gets the integral part of
+reduced first. Repeated rows are one row with a count, weighed by it. Rates become whole copies: a document gets the integral part of
 its rate and one more copy if its hash, less the fraction, lies under a
 source's cut; three passes over 1,024 bins each place the cut where the
 taken words come nearest to the target, and up to four documents a source are
@@ -64,8 +64,11 @@ def with_source(rows: DataFrame, state: DataFrame, most_sources: int = 20_000) -
 RATE = "CASE WHEN target >= 2 * source_size THEN 2D ELSE least(2D, exp(least(lam * size / mean_size, 700D))) END"
 
 
-def tilts(counts: DataFrame, goals: DataFrame, rounds: int = 60) -> DataFrame:
-    """goals with lam, the exponent's factor that meets each target. counts: source, size, n."""
+def tilts(counts: DataFrame, goals: DataFrame, rounds: int = 400) -> DataFrame:
+    """goals with lam, the exponent's factor that meets each target. counts: source, size, n.
+
+    A bracket that halves settles in far fewer rounds than ``rounds``; one that hasn't is an error.
+    """
     state = cut(goals.selectExpr("*", "0D AS lam", "-1e6D AS low", "1e6D AS high", "target <= 0 OR target >= 2 * source_size AS done"))
     for _ in range(rounds):
         if state.filter("NOT done").isEmpty():
@@ -79,6 +82,8 @@ def tilts(counts: DataFrame, goals: DataFrame, rounds: int = 60) -> DataFrame:
         halfway = "CASE WHEN high = 1e6D THEN 2 * greatest(lam, 0.5D) WHEN low = -1e6D THEN 2 * least(lam, -0.5D) ELSE (low + high) / 2 END"
         moved = moved.selectExpr("source", "source_size", "mean_size", "target", f"CASE WHEN done OR mass IS NULL THEN lam WHEN slope > 0 AND {step} > low AND {step} < high THEN {step} ELSE {halfway} END AS lam", "low", "high", "done OR high - low < 1e-12 * abs(high) AS done")
         state = cut(moved, state)
+    else:
+        raise RuntimeError("the dual did not settle")
     return state.select("source", "source_size", "mean_size", "target", "lam")
 
 
@@ -91,13 +96,13 @@ def rated(rows: DataFrame, state: DataFrame) -> DataFrame:
 
 def cuts(small: DataFrame, state: DataFrame) -> DataFrame:
     """state with ``edge``: documents with mix_v below it get one more copy."""
-    rows = rated(small, state).select("source", "mix_size", "mix_base", "mix_v")
-    sure = rows.groupBy("source").agg(F.sum(F.col("mix_base") * F.col("mix_size")).alias("sure")).withColumnRenamed("source", "mix_source")
+    rows = rated(small, state).select("source", "mix_size", "mix_base", "n")
+    sure = rows.groupBy("source").agg(F.sum(F.col("mix_base") * F.col("mix_size") * F.col("n")).alias("sure")).withColumnRenamed("source", "mix_source")
     state = state.join(sure, state["source"].eqNullSafe(sure["mix_source"]), "left").drop("mix_source")
     state = cut(state.selectExpr("source", "source_size", "mean_size", "target", "lam", "-1D AS edge", "2D AS wide", "target - sure AS want"))
     for turn in range(3):
-        near = rated(small, state).filter(f"mix_v >= edge AND mix_v < edge + wide").selectExpr("source", "mix_size", f"least({BINS - 1}, CAST(floor((mix_v - edge) / wide * {BINS}) AS int)) AS bin")
-        sums = near.groupBy("source", "bin").agg(F.sum("mix_size").alias("s"))
+        near = rated(small, state).filter(f"mix_v >= edge AND mix_v < edge + wide").selectExpr("source", "mix_size * n AS words", f"least({BINS - 1}, CAST(floor((mix_v - edge) / wide * {BINS}) AS int)) AS bin")
+        sums = near.groupBy("source", "bin").agg(F.sum("words").alias("s"))
         upto = Window.partitionBy("source").orderBy("bin")
         sums = sums.withColumn("through", F.sum("s").over(upto)).withColumnRenamed("source", "mix_source")
         found = with_source(sums.withColumnRenamed("mix_source", "source"), state.select("source", "want"))
@@ -114,13 +119,13 @@ COPIES = "(mix_base + CASE WHEN mix_v < edge THEN 1 ELSE 0 END + coalesce(aggreg
 
 
 def flips(small: DataFrame, state: DataFrame, rounds: int = 4) -> DataFrame:
-    """state with ``flips``: in each round the one document per source that, taken once more or once less, brings its source nearest to the target."""
+    """state with ``flips``: in each round the one document per source, all its repeats with it, that, taken once more or once less, brings its source nearest to the target."""
     state = state.withColumn("flips", F.expr("CAST(array() AS array<struct<u: double, size: bigint, delta: int>>)"))
     for _ in range(rounds):
-        rows = rated(small, state).selectExpr("source", "target", "mix_size", "mix_u", f"{COPIES} AS c")
-        taken = rows.groupBy("source").agg(F.expr("first(target) - sum(c * mix_size) AS want"))
-        options = with_source(rows.filter("mix_size > 0").selectExpr("source", "mix_u", "mix_size", "explode(filter(array(1, -1), d -> c + d BETWEEN 0 AND 2)) AS delta"), taken)
-        best = options.groupBy("source").agg(F.expr("min(struct(abs(want - delta * mix_size) AS off, mix_u AS u, mix_size AS size, delta, abs(want) AS was)) AS b")).filter("b.off < b.was").withColumnRenamed("source", "mix_source")
+        rows = rated(small, state).selectExpr("source", "target", "mix_size", "mix_u", "n", f"{COPIES} AS c")
+        taken = rows.groupBy("source").agg(F.expr("first(target) - sum(c * mix_size * n) AS want"))
+        options = with_source(rows.filter("mix_size > 0").selectExpr("source", "mix_u", "mix_size", "n", "explode(filter(array(1, -1), d -> c + d BETWEEN 0 AND 2)) AS delta"), taken)
+        best = options.groupBy("source").agg(F.expr("min(struct(abs(want - delta * mix_size * n) AS off, mix_u AS u, mix_size AS size, delta, abs(want) AS was)) AS b")).filter("b.off < b.was").withColumnRenamed("source", "mix_source")
         joined = state.join(best, state["source"].eqNullSafe(best["mix_source"]), "left").drop("mix_source")
         state = cut(joined.withColumn("flips", F.expr("CASE WHEN b IS NULL THEN flips ELSE concat(flips, array(named_struct('u', b.u, 'size', b.size, 'delta', b.delta))) END")).drop("b"))
     return state
@@ -128,8 +133,8 @@ def flips(small: DataFrame, state: DataFrame, rounds: int = 4) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total: float = 1.5) -> DataFrame:
     """docs with mix_size, source_size, target and copies (0, 1 or 2)."""
-    small = cut(sized(docs).select("source", "mix_size", "mix_u"))
-    counts = cut(small.groupBy("source", F.col("mix_size").alias("size")).agg(F.count("*").alias("n")))
+    small = cut(sized(docs).groupBy("source", "mix_size", "mix_u").agg(F.count("*").alias("n")))
+    counts = cut(small.groupBy("source", F.col("mix_size").alias("size")).agg(F.sum("n").alias("n")))
     sources = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.expr("coalesce(sum(size * n) / sum(CASE WHEN size > 0 THEN n END), 1D) AS mean_size"))
     state = flips(small, cuts(small, tilts(counts, targets(sources, weights, total))))
     out = rated(sized(docs.drop("source_size", "target", "mean_size", "lam", "edge", "wide", "want", "flips", "copies", "mix_source")), state)
