@@ -3,22 +3,23 @@
 Features: polyphase resampling to a common rate, log-mel filterbanks over
 overlapping frames, and segments found by an energy threshold with hysteresis
 (a segment opens above the higher limit and closes below the lower one). Log-mel
-frames are cut into windows of a fixed shape (``WINDOW`` x ``MELS``, the last
-one padded with zeros), each with its time span; ``tensor_column`` gives them as an Arrow
-fixed-shape tensor array.
+frames, rounded to hundredths, are cut into windows of a fixed shape (``WINDOW`` x ``MELS``, the last
+one padded with zeros). A row's windows and their time spans are stored as one Arrow
+stream whose ``window`` column is a fixed-shape tensor array (``windows_of`` reads it).
 
-Frames of a document are computed in blocks of fixed length by its own samples only, so
-equal audio has equal features wherever it lies and a very long one needs no more memory.
+Storing, reading back and features take one Arrow pass. Samples are resampled and framed in
+blocks of ``BLOCK_FRAMES`` frames by a document's own samples only, so equal audio has equal features
+wherever it lies, and beside its bytes a very long one needs memory for a block and for the features.
 
 Cases: null media gives null features; media without samples gives no window and no
 segment; silence gives windows at the floor and no segment; broken media
-raises ValueError; repeated rows give equal results; further columns are kept.
+raises ValueError; repeated rows give equal results; further columns are kept,
+but for ones with the names of the results, which give way.
 """
 
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from math import gcd
@@ -26,7 +27,6 @@ from math import gcd
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import spread, table
 
@@ -64,21 +64,6 @@ def from_wav(data: bytes) -> tuple[int, bytes]:
     raise ValueError("no samples")
 
 
-def media_column(df: DataFrame, payload: str, to: str = "media") -> DataFrame:
-    """df with its binary column ``payload`` stored as audio."""
-    df = df.drop(to)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                wavs = [None if p is None else to_wav(p) for p in part.column(payload).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(wavs, pa.binary())], names=[*part.schema.names, to])
-
-    return spread(df).mapInArrow(run, f"{fields}, `{to}` binary")
-
-
 # -- features --------------------------------------------------------------------------------
 
 
@@ -94,24 +79,29 @@ def low_pass(up: int, down: int, half: int = 10) -> np.ndarray:
     return padded.reshape(per, up).T.copy()
 
 
-def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """Polyphase rate conversion: each output sample takes one phase of the filter, and no sample between is computed."""
-    if rate == to or not len(x):
-        return x.astype(np.float64)
+def resampled_length(n: int, rate: int, to: int) -> int:
+    return -(-n * (to // gcd(rate, to)) // (rate // gcd(rate, to)))
+
+
+def resample(samples: np.ndarray, rate: int, to: int, start: int = 0, stop: int | None = None) -> np.ndarray:
+    """Output samples start to stop of a polyphase rate conversion: each takes one phase of the filter, and no sample between is computed. 8-bit samples are scaled to [-1, 1)."""
+    stop = resampled_length(len(samples), rate, to) if stop is None else stop
+    scaled = (lambda x: (x.astype(np.float64) - 128) / 128) if samples.dtype == np.uint8 else (lambda x: x.astype(np.float64))
+    if rate == to or stop <= start:
+        return scaled(samples[start:stop])
     up, down = to // gcd(rate, to), rate // gcd(rate, to)
     phases = low_pass(up, down)
-    per = phases.shape[1]
-    delay = 10 * max(up, down)
-    n_out = -(-len(x) * up // down)
-    out = np.empty(n_out)
-    padded = np.concatenate((np.zeros(per), x, np.zeros(per + delay // up + 1)))
-    for k0 in range(min(up, n_out)):
-        # output m reads input floor((m * down + delay) / up) and before it, with the phase of the remainder
-        m = np.arange(k0, n_out, up)
-        at = m * down + delay
-        phase, last = int(at[0] % up), at // up
-        views = np.lib.stride_tricks.sliding_window_view(padded, per)
-        out[m] = sum(views[last + 1, per - 1 - j] * phases[phase, j] for j in range(per))
+    per, delay = phases.shape[1], 10 * max(up, down)
+    # output m reads input (m * down + delay) // up and the per - 1 before it, with the phase of the remainder
+    low, high = (start * down + delay) // up - per + 1, ((stop - 1) * down + delay) // up + 1
+    held = np.zeros(high - low)
+    inside = samples[max(low, 0) : max(0, min(high, len(samples)))]
+    held[max(low, 0) - low : max(low, 0) - low + len(inside)] = scaled(inside)
+    out = np.empty(stop - start)
+    for k in range(min(up, stop - start)):
+        at = (start + k) * down + delay
+        last, taps, count = at // up - low, phases[at % up], -(-(stop - start - k) // up)
+        out[k::up] = sum(held[last - j : last - j + down * (count - 1) + 1 : down] * taps[j] for j in range(per))
     return out
 
 
@@ -125,20 +115,21 @@ def mel_bank(rate: int) -> np.ndarray:
     return np.maximum(0, np.minimum(up, down))
 
 
-def log_mels(x: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
-    """(frames x MELS) log energies, and each frame's level in dB."""
-    if not len(x):
-        return np.zeros((0, MELS), np.float32), np.zeros(0)
-    n = 1 + max(0, -(-(len(x) - FRAME) // HOP))
-    x = np.concatenate((x, np.zeros((n - 1) * HOP + FRAME - len(x)))) if (n - 1) * HOP + FRAME > len(x) else x
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP][:n]
-    window, bank = np.hanning(FRAME + 1)[:-1], mel_bank(rate)
+def log_mels(samples: np.ndarray, rate: int, to: int = RATE_OUT) -> tuple[np.ndarray, np.ndarray]:
+    """(frames x MELS) log energies in hundredths, and each frame's level in dB, of the resampled samples, block by block."""
+    total = resampled_length(len(samples), rate, to)
+    n = 1 + max(0, -(-(total - FRAME) // HOP)) if total else 0
+    window, bank = np.hanning(FRAME + 1)[:-1], mel_bank(to)
     mels, level = np.empty((n, MELS), np.float32), np.empty(n)
     for at in range(0, n, BLOCK_FRAMES):
-        part = frames[at : at + BLOCK_FRAMES]
+        count = min(BLOCK_FRAMES, n - at)
+        x = np.zeros((count - 1) * HOP + FRAME)
+        got = resample(samples, rate, to, at * HOP, min(total, at * HOP + len(x)))
+        x[: len(got)] = got
+        part = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
         power = np.abs(np.fft.rfft(part * window, axis=1)) ** 2
-        mels[at : at + len(part)] = np.log(power @ bank + 1e-8)
-        level[at : at + len(part)] = 10 * np.log10(np.mean(part * part, axis=1) + 1e-10)
+        mels[at : at + count] = np.round(np.log(power @ bank + 1e-8), 2)
+        level[at : at + count] = 10 * np.log10(np.mean(part * part, axis=1) + 1e-10)
     return mels, level
 
 
@@ -155,70 +146,68 @@ def segments(level: np.ndarray, rate: int, high: float = OPEN_DB, low: float = C
     return [(float(s * HOP / rate), float(((e - 1) * HOP + FRAME) / rate)) for s, e in zip(starts, ends, strict=True)]
 
 
-def features(media: bytes) -> tuple[np.ndarray, list[tuple[float, float]], list[tuple[float, float]]]:
-    """Windows (n x WINDOW x MELS), their time spans, and the segments of one stored audio."""
-    rate, raw = from_wav(media)
-    x = resample((np.frombuffer(raw, np.uint8).astype(np.float64) - 128) / 128, rate, RATE_OUT)
-    mels, level = log_mels(x, RATE_OUT)
+def features(samples: bytes, rate: int) -> tuple[np.ndarray, list[tuple[float, float]], list[tuple[float, float]]]:
+    """Windows (n x WINDOW x MELS), their time spans, and the segments of one audio's samples."""
+    raw = np.frombuffer(samples, np.uint8)
+    mels, level = log_mels(raw, rate)
     n = -(-len(mels) // WINDOW)
     tensor = np.zeros((n, WINDOW, MELS), np.float32)
     tensor.reshape(-1, MELS)[: len(mels)] = mels
-    step = WINDOW * HOP / RATE_OUT
-    spans = [(k * step, min((k + 1) * step, len(x) / RATE_OUT)) for k in range(n)]
+    step, whole = WINDOW * HOP / RATE_OUT, resampled_length(len(raw), rate, RATE_OUT) / RATE_OUT
+    spans = [(k * step, min((k + 1) * step, whole)) for k in range(n)]
     return tensor, spans, segments(level, RATE_OUT)
 
 
-SPANS = "array<struct<start: double, stop: double>>"
+TENSOR = pa.fixed_shape_tensor(pa.float32(), (WINDOW, MELS))
+STORED = pa.schema([("start", pa.float64()), ("stop", pa.float64()), ("window", TENSOR)])
 
 
-def audio_features(df: DataFrame, media: str = "media") -> DataFrame:
-    """df with ``tensor`` (the windows' values, WINDOW x MELS each), ``spans`` of the windows and ``voiced`` segments."""
-    df = df.drop("tensor", "spans", "voiced")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    span = pa.list_(pa.struct([("start", pa.float64()), ("stop", pa.float64())]))
+def pack_windows(tensor: np.ndarray, spans: list[tuple[float, float]]) -> bytes:
+    """Windows and time spans as an Arrow stream with a fixed-shape tensor column."""
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(tensor.reshape(-1)), WINDOW * MELS)
+    columns = [pa.array([x[0] for x in spans], pa.float64()), pa.array([x[1] for x in spans], pa.float64()), pa.ExtensionArray.from_storage(TENSOR, flat)]
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, STORED) as writer:
+        writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=STORED))
+    return sink.getvalue().to_pybytes()
 
-    def pairs(lists: list) -> pa.Array:
-        return pa.array([None if x is None else [{"start": a, "stop": b} for a, b in x] for x in lists], span)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                got = [(None, None, None) if m is None else features(m) for m in part.column(media).to_pylist()]
-                flat = pa.array([None if g[0] is None else g[0].reshape(-1) for g in got], pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, flat, pairs([g[1] for g in got]), pairs([g[2] for g in got])], names=[*part.schema.names, "tensor", "spans", "voiced"])
-
-    return df.mapInArrow(run, f"{fields}, tensor array<float>, spans {SPANS}, voiced {SPANS}")
+def windows_of(stored: bytes) -> pa.Table:
+    """start, stop and window (fixed-shape tensor) of a stored ``tensors`` value."""
+    return pa.ipc.open_stream(stored).read_all()
 
 
-def window_rows(df: DataFrame) -> DataFrame:
-    """One row per window: the other columns, start, stop and its WINDOW * MELS values."""
-    n = WINDOW * MELS
-    others = [c for c in df.columns if c not in ("tensor", "spans", "voiced")]
-    return df.selectExpr(*[f"`{c}`" for c in others], "tensor", "posexplode(spans) AS (k, span)").selectExpr(*[f"`{c}`" for c in others], "span.start", "span.stop", f"slice(tensor, k * {n} + 1, {n}) AS window")
+VOICED = "array<struct<start: double, stop: double>>"
 
 
-def tensor_column(windows: pa.ChunkedArray | pa.Array) -> pa.FixedShapeTensorArray:
-    """A collected ``window`` column as an Arrow fixed-shape tensor array."""
-    flat = windows.combine_chunks() if isinstance(windows, pa.ChunkedArray) else windows
-    storage = pa.FixedSizeListArray.from_arrays(flat.flatten().cast(pa.float32()), WINDOW * MELS)
-    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), (WINDOW, MELS)), storage)
+def audio_columns(df: DataFrame, payload: str | None = None, media: str = "media") -> DataFrame:
+    """df with ``samples`` (read back from the stored audio), ``tensors``, ``n_windows`` and ``voiced`` segments of its audio in ``media``.
 
-
-def stored_payload(df: DataFrame, media: str = "media") -> DataFrame:
-    """df with ``payload``: the samples read back from the stored audio, and the CRC-32 of their last 64."""
-    df = df.drop("payload", "tail_crc32")
+    With ``payload``, a binary column, the audio is made from its bytes first, and ``media`` is added.
+    """
+    made = [media] if payload else []
+    df = df.drop(*made, "samples", "tensors", "n_windows", "voiced")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    names = [*df.columns, *made, "samples", "tensors", "n_windows", "voiced"]
+    span = pa.list_(pa.struct([("start", pa.float64()), ("stop", pa.float64())]))
+
+    def described(value: bytes | None) -> tuple:
+        stored = to_wav(value) if payload and value is not None else value
+        if stored is None:
+            return (None,) * 5
+        rate, samples = from_wav(stored)
+        tensor, spans, voiced = features(samples, rate)
+        return stored, samples, pack_windows(tensor, spans), len(spans), [{"start": a, "stop": b} for a, b in voiced]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                back = [None if m is None else from_wav(m)[1] for m in part.column(media).to_pylist()]
-                crc = [None if b is None else zlib.crc32(b[-64:]) for b in back]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(back, pa.binary()), pa.array(crc, pa.int64())], names=[*part.schema.names, "payload", "tail_crc32"])
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                got = list(zip(*(described(x.as_py()) for x in part.column(payload or media)), strict=True))
+                columns = [pa.array(x, t) for x, t in zip(got, (pa.binary(), pa.binary(), pa.binary(), pa.int32(), span), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns[0 if payload else 1 :]], names=names)
 
-    return df.mapInArrow(run, f"{fields}, payload binary, tail_crc32 long")
+    return spread(df).mapInArrow(run, ", ".join([fields, *[f"`{m}` binary" for m in made], f"samples binary, tensors binary, n_windows int, voiced {VOICED}"]))
 
 
 def padded(text: str = "text") -> str:
@@ -229,11 +218,9 @@ def padded(text: str = "text") -> str:
 
 def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").selectExpr("CAST(doc_id AS long) AS doc_id", "CAST(text AS string) AS text")
-    raw = docs.selectExpr("doc_id", "CAST(octet_length(coalesce(text, '')) AS long) AS n_bytes", f"{padded()} AS raw")
-    held = media_column(raw, "raw").select("doc_id", "n_bytes", "media")
-    read = stored_payload(audio_features(held))
-    return read.selectExpr(
-        "doc_id", "n_bytes", "CAST(octet_length(payload) AS long) AS payload_bytes", "sha2(payload, 256) AS payload_sha256", "tail_crc32",
+    raw = docs.selectExpr("doc_id", "CAST(octet_length(coalesce(text, '')) AS long) AS n_bytes", f"{padded()} AS payload")
+    return audio_columns(raw, "payload").selectExpr(
+        "doc_id", "n_bytes", "CAST(octet_length(samples) AS long) AS payload_bytes", "sha2(samples, 256) AS payload_sha256", "crc32(substring(samples, -64, 64)) AS tail_crc32",
         "CAST(octet_length(media) AS long) AS media_bytes", "sha2(media, 256) AS media_sha256",
-        "concat_ws('-', size(spans), size(voiced), hex(xxhash64(transform(tensor, v -> round(v, 2)))), hex(xxhash64(voiced))) AS feature",
+        "concat_ws('-', n_windows, size(voiced), sha2(tensors, 256), hex(xxhash64(voiced))) AS feature",
     )
