@@ -41,12 +41,20 @@ def cut(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
-    if instead_of is not None and (old := getattr(instead_of, "_cut_path", None)):
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if instead_of is not None:
+        forget(instead_of)
     return out
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete the folders of tables from ``cut`` that nothing reads any more: all that was made from them has been written."""
+    for t in tables:
+        if path := getattr(t, "_cut_path", None):
+            sc = t.sparkSession.sparkContext
+            where = sc._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -140,17 +148,21 @@ def unions(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = nxt
 
 
-def beside_least(rows: DataFrame, total: int) -> DataFrame:
-    """rows (a, b) with m, the least of a and of all b that rows hold for that a.
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with ``counted``, which has one row per key and in ``n`` how many of the ``total`` rows (or more) bear it.
 
-    A node with over total / (4 x partitions) rows isn't dealt to one task: there are at most
-    4 x partitions of them, so that their minima are broadcast and their rows stay where they are.
+    A key with over total / (4 x partitions) rows isn't dealt to one task: there are at most
+    4 x partitions of them, so that they are broadcast and their rows stay where they are.
     """
     most = total // (4 * many(rows))
-    least = rows.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-    hot = F.broadcast(least.filter(F.col("n") > most).select("a", "m"))
-    rest = least.filter(F.col("n") <= most).select("a", "m")
-    return rows.join(hot, "a").unionByName(rows.join(hot.select("a"), "a", "left_anti").join(rest, "a"))
+    hot = F.broadcast(counted.filter(F.col("n") > most).drop("n"))
+    rest = counted.filter(F.col("n") <= most).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
+
+
+def beside_least(rows: DataFrame, total: int) -> DataFrame:
+    """rows (a, b) with m, the least of a and of all b that rows hold for that a."""
+    return join_counted(rows, rows.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), "a", total)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -175,6 +187,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         edges = cut(small.filter("a <> b").distinct(), edges)
         now = edges.selectExpr(*sign).first()
         if now == was:
+            forget(large)
             return edges.selectExpr("a AS node", "b AS root")
         was = now
     raise RuntimeError("links did not settle")
@@ -205,13 +218,16 @@ def linked(rows: DataFrame, alike, most: int) -> DataFrame:
     open_ = counts.groupBy("key").agg(F.expr("max_by(label, struct(c, label))").alias("main"), F.sum("c").alias("all"), F.max("c").alias("c")).filter("c < all").selectExpr("key", "main", "all - c AS others")
     open_ = cut(open_)
     if open_.isEmpty():
+        forget(large, placed, open_)
         return roots
     met = placed.join(open_, "key").withColumn("i", F.expr(f"pmod(xxhash64(node, key, 1), others DIV {half} + 1)")).withColumn("j", F.expr(f"pmod(xxhash64(node, key, 2), n DIV {half} + 1)"))
     everyone = met.withColumn("i", F.expr(f"explode(sequence(0L, others DIV {half}))"))
     others = met.filter("label <> main").withColumn("j", F.expr(f"explode(sequence(0L, n DIV {half}))"))
     blocks = everyone.unionByName(others).selectExpr("key", "node", "label", "xxhash64(key, i, j) AS block").distinct()
     again = rows.join(blocks, ["key", "node"]).withColumn("key", F.col("block")).drop("block")
-    return components(roots.selectExpr("node AS a", "root AS b").unionByName(linked_blocks(again, alike)))
+    out = components(roots.selectExpr("node AS a", "root AS b").unionByName(linked_blocks(again, alike)))
+    forget(large, placed, open_, roots)
+    return out
 
 
 def linked_blocks(rows: DataFrame, alike, at_once: int = 1 << 16) -> DataFrame:

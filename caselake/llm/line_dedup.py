@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, linked, spread, table
+from .common import cut, forget, join_counted, linked, spread, table
 from .simhash import similar_documents
 
 FIELD = b"<*>"
@@ -171,14 +171,18 @@ def recurring_lines(docs: DataFrame, least_documents: int = 2, least_tokens: int
     few = several.limit(most_broadcast + 1).count() <= most_broadcast
     distinct = cut(lines.join(F.broadcast(several) if few else several, "leaf4", "left_semi").groupBy("h").agg(*[F.min(c).alias(c) for c in ("leaf4", "masked")]))
     joined = cut(template_links(distinct.withColumnRenamed("leaf4", "leaf"), alike, leaf_rows))
-    placed = spots.join(joined, "h", "left").selectExpr("doc_id", "pos", "coalesce(template, h) AS t")
-    placed = cut(placed)
-    pairs = placed.groupBy("t", "doc_id").agg(F.lit(1).alias("one"))
-    often = placed.groupBy("t").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max(F.col("doc_id").isNull()).alias("none")).filter("low < high OR none")
+    placed = cut(spots.join(joined, "h", "left").selectExpr("doc_id", "pos", "coalesce(template, h) AS t"))
+    total = placed.count()
+    forget(lines, several, distinct, joined)
+    often = placed.groupBy("t").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max(F.col("doc_id").isNull()).alias("none"), F.count("*").alias("n"))
+    hits = cut(join_counted(placed, often.filter("low < high OR none").select("t", "low", "n"), "t", total))
     classes = copy_classes(docs)
-    classed = pairs.join(often.select("t"), "t", "left_semi").join(classes, "doc_id", "left").selectExpr("t", "coalesce(class, doc_id, -9223372036854775808L) AS class").distinct()
-    drop = classed.groupBy("t").agg(F.count("*").alias("n")).filter(F.col("n") >= least_documents).select("t").join(often, "t").select("t", "low")
-    return placed.join(drop, "t").filter("doc_id <> low").select("doc_id", "pos").distinct()
+    classed = hits.select("t", "doc_id").distinct().join(classes, "doc_id", "left").selectExpr("t", "coalesce(class, doc_id, -9223372036854775808L) AS class").distinct()
+    recurs = classed.groupBy("t").agg(F.count("*").alias("c")).filter(F.col("c") >= least_documents).select("t")
+    counts = hits.groupBy("t").agg(F.count("*").alias("n"))
+    out = cut(join_counted(hits, recurs.join(counts, "t"), "t", total).filter("doc_id <> low").select("doc_id", "pos").distinct())
+    forget(placed, hits)
+    return out
 
 
 def dropped_lines(docs: DataFrame, **how) -> DataFrame:

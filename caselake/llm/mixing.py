@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table
+from .common import WORD, cut, forget, table
 
 BINS = 1024
 
@@ -137,6 +137,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total: float =
     counts = cut(small.groupBy("source", F.col("mix_size").alias("size")).agg(F.sum("n").alias("n")))
     sources = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.expr("coalesce(sum(size * n) / sum(CASE WHEN size > 0 THEN n END), 1D) AS mean_size"))
     state = flips(small, cuts(small, tilts(counts, targets(sources, weights, total))))
+    forget(small, counts)
     out = rated(sized(docs.drop("source_size", "target", "mean_size", "lam", "edge", "wide", "want", "flips", "copies", "mix_source")), state)
     return out.withColumn("copies", F.expr(COPIES)).drop("mean_size", "lam", "edge", "wide", "want", "flips", "mix_u", "mix_v", "mix_base", "mix_rate")
 

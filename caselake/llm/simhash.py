@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, group_numbers, grouped, linked, many, spread, table, unions, whole_groups
+from .common import components, cut, forget, group_numbers, grouped, linked, many, spread, table, unions, whole_groups
 
 PAIRS = list(combinations(range(4), 2))
 
@@ -350,7 +350,9 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     rows = cut(sketches(docs, shingle))
     reps = cut(rows.filter("doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("node"), F.min_by("keys", "doc_id").alias("keys")))
     light = cut(reps.selectExpr("node", "explode(keys) AS key"))
-    members = light.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y")).filter("n > 1")
+    shared = light.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    light = cut(light.join(shared, "key"), light)
+    members = light.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"))
     light = cut(light.join(members.groupBy("n", "first", "x", "y").agg(F.min("key").alias("key")).select("key"), "key"), light)
     wanted = cut(light.select("node").distinct())
     few = wanted.limit(most_broadcast + 1).count() <= most_broadcast
@@ -358,6 +360,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     own = own.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("node"), "left_semi")
     sets = cut(sketches(own, shingle, sets=True).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node"))
     roots = linked(light.join(sets, "node"), alike(similarity), most)
+    forget(light, wanted, sets)
     by_same = reps.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("component_id"))
     return rows.select("doc_id", "same").join(by_same, "same", "left").select("doc_id", "component_id")
 
