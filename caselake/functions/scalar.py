@@ -200,6 +200,76 @@ def heading_level(c: str | Column) -> Column:
     return reduce(lambda out, s: F.when(t.rlike(s[0]), s[1]).otherwise(out), reversed(styles), F.lit(None).cast("int"))
 
 
+def search_text(title: str, text: str) -> Column:
+    """What keyword search reads of a section: its title and its text."""
+    return F.concat_ws("\n", F.nullif(F.trim(title), F.lit("")), F.col(text))
+
+
+def by_words(c: str | Column, rules: list[tuple[str, tuple[str, ...]]], default: str) -> Column:
+    """The first value one of whose words lies in the lower-cased column."""
+    low = F.lower(F.coalesce(col(c), F.lit("")))
+    return reduce(lambda out, r: F.when(reduce(lambda x, y: x | y, (low.contains(w) for w in r[1])), r[0]).otherwise(out), reversed(rules), F.lit(default))
+
+
+# Words of a document type, or of an exhibit's title and first text, that decide its kind, in the order in which they are tried.
+GRAPH_KINDS = [
+    ("contract", ("contract", "agreement", "nda", "license", "lease", "purchase")),
+    ("complaint", ("complaint", "pleading", "petition", "counterclaim")),
+    ("brief", ("appeal", "brief", "motion", "opposition", "reply brief")),
+    ("court_order", ("order", "opinion", "judgment", "ruling", "decision")),
+    ("answer", ("answer", "response", "admission", "denial")),
+]
+EXHIBIT_KINDS = [
+    ("Declaration", ("declaration of", "i declare", "under penalty of perjury")),
+    ("Order", ("order", "it is hereby ordered", "it is so ordered")),
+    ("Contract", ("agreement", "contract", "license", "term sheet")),
+    ("Subpoena", ("subpoena",)),
+    ("Deposition", ("deposition", "transcript", "q.")),
+    ("Motion", ("motion", "memorandum", "brief", "reply")),
+    ("Complaint", ("complaint", "petition")),
+    ("Correspondence", ("letter", "correspondence", "email", "dear")),
+    ("Discovery", ("privilege log",)),
+]
+EVIDENCE_KINDS = [("exhibit", ("exhibit",)), ("declaration", ("decl",)), ("deposition", ("dep",)), ("declaration", ("affidavit",))]
+STAGE_PREFIXES = [("discovery", "discovery"), ("pleading - appeal", "appeal"), ("pleading - motion", "motions"), ("court - trial", "trial"), ("court - scheduling", "motions"), ("pleading - complaint", "filing"), ("pleading - amended", "filing")]
+FOLDERS = [("pleading", "pleadings"), ("exhibit", "evidence"), ("discovery", "discovery"), ("contract", "contracts"), ("communication", "correspondence"), ("financial", "evidence"), ("corporate", "administrative"), ("evidence", "evidence"), ("regulatory", "administrative"), ("court", "court-orders"), ("administrative", "administrative")]
+GATE_KINDS = [
+    ("appeal", ("appeal", "brief", "motion", "memorandum", "opposition", "petition")),
+    ("complaint", ("pleading", "complaint", "answer", "counterclaim")),
+    ("court_order", ("opinion", "order", "judgment", "ruling", "decision", "decree")),
+    ("discovery", ("interrogator", "request for production", "subpoena", "deposition", "discovery")),
+    ("exhibit", ("exhibit", "attachment", "schedule", "appendix")),
+]
+
+
+def graph_kind(c: str | Column) -> Column:
+    """Kind of a document for edges between documents."""
+    return by_words(c, GRAPH_KINDS, "other")
+
+
+def gate_kind(c: str | Column) -> Column:
+    """Kind of a document for the rules within it."""
+    return F.when(F.lower(F.ltrim(col(c))).startswith("contract"), "contract").otherwise(by_words(c, GATE_KINDS, "other"))
+
+
+def exhibit_kind(title: str, text: str) -> Column:
+    return by_words(F.expr(f"concat({title}, ' ', substring({text}, 1, 500))"), EXHIBIT_KINDS, "Exhibit")
+
+
+def evidence_kind(c: str | Column) -> Column:
+    return by_words(c, EVIDENCE_KINDS, "document")
+
+
+def case_stage(c: str | Column) -> Column:
+    return by_rules(c, STAGE_PREFIXES, "filing")
+
+
+def folder_of(c: str | Column) -> Column:
+    """Folder by the part of the type before the dash."""
+    head = F.trim(F.lower(F.split(col(c), " - ")[0]))
+    return F.coalesce(reduce(lambda out, r: F.when(head == r[0], r[1]).otherwise(out), reversed(FOLDERS), F.lit("administrative")), F.lit("administrative"))
+
+
 def snippet(title: str, text: str) -> Column:
     """Fewer characters of the text the more its title says."""
     words = f"length(trim(coalesce({title}, '')))"

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from caselake.functions.scalar import date_sort_key, norm_party
+from caselake.functions.scalar import date_sort_key, gate_kind, graph_kind, norm_authority, norm_party
+from caselake.operators.relational import match_evidence_ref, union_edges
 from caselake.operators.structure import ratio, rule_array
 from caselake.operators.windows import first_seen
 
@@ -50,24 +52,26 @@ def flatten_entities(results: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 STRUCTURE_SCHEMA = """claims array<struct<label: string, counts: array<struct<number: int, label: string,
- elements: array<struct<number: int, text: string>>, allegations: array<struct<text: string, element: int, evidence: array<string>>>>>>>,
+ elements: array<struct<number: int, text: string>>, defenses: array<struct<number: int, label: string>>, allegations: array<struct<text: string, element: int, evidence: array<string>>>>>>>,
  theories array<struct<name: string, count_number: int, count_label: string>>"""
 
 
 def flatten_structure(results: DataFrame) -> dict[str, DataFrame]:
-    """Claims, counts, elements, allegations, evidence links and theories of nested results (document_id, json), with ids made from places."""
+    """Claims, counts, elements, defences, allegations, evidence links and theories of nested results (document_id, json), with ids made from places."""
     r = results.select("document_id", F.from_json("json", STRUCTURE_SCHEMA).alias("r"))
     ident = lambda *c: F.concat_ws("/", *[F.col(x).cast("string") for x in c])
     claims = r.select("document_id", F.posexplode("r.claims").alias("i", "c")).withColumn("claim_id", ident("document_id", "i"))
     counts = claims.select("document_id", "claim_id", F.posexplode("c.counts").alias("j", "n")).withColumn("count_id", ident("claim_id", "j"))
     elements = counts.select("count_id", F.explode("n.elements").alias("e")).select("count_id", F.col("e.number").alias("number"), F.col("e.text").alias("text"), F.concat_ws("#", "count_id", F.col("e.number").cast("string")).alias("element_id"))
     allegations = counts.select("count_id", F.posexplode("n.allegations").alias("k", "a")).withColumn("allegation_id", ident("count_id", "k"))
+    defenses = counts.select("count_id", F.explode("n.defenses").alias("d")).select("count_id", F.col("d.number").alias("number"), F.col("d.label").alias("label"))
     links = allegations.select("allegation_id", F.explode("a.evidence").alias("ref"))
     theories = r.select("document_id", F.posexplode("r.theories").alias("t", "x")).select("document_id", ident("document_id", "t").alias("theory_id"), "x.*")
     return {
         "claims": claims.select("document_id", "claim_id", F.col("c.label").alias("label")),
         "counts": counts.select("document_id", "claim_id", "count_id", F.col("n.number").alias("number"), F.col("n.label").alias("label")),
         "elements": elements,
+        "defenses": defenses,
         "allegations": allegations.select("count_id", "allegation_id", F.col("a.text").alias("text"), F.col("a.element").alias("element")),
         "evidence_links": links,
         "theories": theories,
@@ -124,7 +128,7 @@ def bigrams(c: str) -> Column:
 
 
 def similar_pairs(labels: DataFrame, threshold: float = 0.85, scope: tuple[str, ...] = ("case_id", "node_type")) -> DataFrame:
-    """(scope, a, b): pairs of distinct normalised labels of a scope whose ratio reaches the threshold, or one of which (3 characters or more) lies in the other.
+    """(scope, a, b, score, method): pairs of distinct normalised labels of a scope whose ratio reaches the threshold (similarity), or one of which (3 characters or more) lies in the other (substring, without a score).
 
     labels: scope columns and norm. Let U = 2 n (1 - t) / t, which bounds the
     unmatched characters of a label of n characters and any partner. They and the
@@ -132,7 +136,7 @@ def similar_pairs(labels: DataFrame, threshold: float = 0.85, scope: tuple[str,
     must share one of the label's first 2 U + 1 in any fixed order; the rarest come
     first. (For t of 0.8 or more, labels of 6 characters in all always share one.)
     """
-    rows = labels.select(*scope, "norm").distinct().withColumn("n", F.length("norm")).filter("n > 0")
+    rows = kept(labels.select(*scope, "norm").distinct().withColumn("n", F.length("norm")).filter("n > 0"))
     grams = rows.select(*scope, "norm", "n", F.explode(bigrams("norm")).alias("g"))
     often = grams.groupBy(*scope, "g").agg(F.count("*").alias("df"))
     ranked = grams.join(often, [*scope, "g"]).withColumn("k", F.row_number().over(Window.partitionBy(*scope, "norm").orderBy("df", "g")))
@@ -141,11 +145,12 @@ def similar_pairs(labels: DataFrame, threshold: float = 0.85, scope: tuple[str,
     b = grams.select(*scope, "g", F.col("norm").alias("b"), F.col("n").alias("nb"))
     fit = F.least("na", "nb") / F.greatest("na", "nb") >= threshold / (2 - threshold)
     near = a.join(b, [*scope, "g"]).filter((F.col("a") != F.col("b")) & fit).select(*scope, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    near = near.withColumn("_r", ratio("a", "b", threshold)).filter(F.col("_r") >= threshold).drop("_r")
+    near = kept(near.withColumn("score", ratio("a", "b", threshold)).filter(F.col("score") >= threshold).withColumn("method", F.lit("similarity")))
     short = rows.filter("n >= 3").select(*scope, F.col("norm").alias("s"), F.substring("norm", 1, 3).alias("g3"))
     long_ = rows.filter("n > 3").select(*scope, F.col("norm").alias("l"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("n") - 2), lambda i: F.substring("norm", i, 3)))).alias("g3"))
     inside = short.join(long_, [*scope, "g3"]).filter((F.length("l") > F.length("s")) & F.col("l").contains(F.col("s"))).select(*scope, F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b"))
-    return near.unionByName(inside).distinct()
+    inside = inside.distinct().join(near.select(*scope, "a", "b"), [*scope, "a", "b"], "left_anti")
+    return near.unionByName(inside.withColumn("score", F.lit(None).cast("double")).withColumn("method", F.lit("substring")))
 
 
 def same_label_pairs(nodes: DataFrame) -> DataFrame:
@@ -160,8 +165,8 @@ def match_party(names: DataFrame, parties: DataFrame, threshold: float = 0.80) -
 
     Equal names meet by an equi-join; unequal ones by the blocking of ``similar_pairs`` within their document, over the distinct names of both sides.
     """
-    n = names.select("name_id", "document_id", norm_party("name").alias("x"))
-    p = parties.groupBy("document_id", norm_party("node_label").alias("y")).agg(F.min("node_id").alias("node_id"))
+    n = kept(names.select("name_id", "document_id", norm_party("name").alias("x")))
+    p = kept(parties.groupBy("document_id", norm_party("node_label").alias("y")).agg(F.min("node_id").alias("node_id")))
     exact = n.join(p, (n["document_id"] == p["document_id"]) & (F.col("x") == F.col("y"))).select("name_id", "node_id", F.lit(1.0).alias("score"))
     left = n.join(exact.select("name_id"), "name_id", "left_anti")
     labels = left.select("document_id", F.col("x").alias("norm")).unionByName(p.select("document_id", F.col("y").alias("norm")))
@@ -196,24 +201,45 @@ def elect_canonical(nodes: DataFrame, comp: DataFrame) -> DataFrame:
     return rows.join(best, "root").select("node_id", "canonical_id")
 
 
-def fuzzy_dedup(nodes: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """Near-duplicate parties inside a document: (node_id, canonical_id)."""
-    return resolve(nodes, ("document_id", "node_type"), threshold)
+#: Similarity at which labels of a kind are one, within a document and across documents; 1 stands for equality.
+WITHIN = {"party": 0.85, "legal_authority": 0.80}
+ACROSS = {"party": 0.85, "legal_authority": 0.85, "evidence": 1.0}
 
 
-def resolve_entities(nodes: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """Parties of a case's documents resolved to one node: (node_id, canonical_id)."""
-    return resolve(nodes, ("case_id", "node_type"), threshold)
+def fuzzy_dedup(nodes: DataFrame, thresholds: dict[str, float] = WITHIN) -> DataFrame:
+    """Near-duplicate nodes inside a document: (node_id, canonical_id)."""
+    return elect_canonical(nodes, components(merge_log(nodes, "document_id", thresholds).select("a", "b")))
 
 
-def resolve(nodes: DataFrame, scope: tuple[str, ...], threshold: float) -> DataFrame:
-    labelled = nodes.withColumn("norm", norm_party("node_label"))
-    first = labelled.groupBy(*scope, "norm").agg(F.min("node_id").alias("first"))
-    same = labelled.join(first, [*scope, "norm"]).filter("node_id <> first").select(F.col("first").alias("a"), F.col("node_id").alias("b"))
-    pairs = similar_pairs(labelled, threshold, scope)
-    fa, fb = first.select(*scope, F.col("norm").alias("a"), F.col("first").alias("ia")), first.select(*scope, F.col("norm").alias("b"), F.col("first").alias("ib"))
-    fuzzy = pairs.join(fa, [*scope, "a"]).join(fb, [*scope, "b"]).select(F.col("ia").alias("a"), F.col("ib").alias("b"))
-    return elect_canonical(nodes, components(same.unionByName(fuzzy)))
+def resolve_entities(nodes: DataFrame, thresholds: dict[str, float] = ACROSS) -> DataFrame:
+    """Nodes of a case's documents resolved to one node: (node_id, canonical_id)."""
+    return elect_canonical(nodes, components(merge_log(nodes, "case_id", thresholds).select("a", "b")))
+
+
+def normal_label(kind: str) -> Column:
+    return {"party": norm_party, "legal_authority": norm_authority}.get(kind, lambda c: F.lower(F.trim(c)))("node_label")
+
+
+def merge_log(nodes: DataFrame, scope: str, thresholds: dict[str, float]) -> DataFrame:
+    """(a, b, node_type, score, method): the merges that join the nodes of a scope, enough of them to join all that belong together; nodes without a scope stay apart.
+
+    Equal labels (exact) are joined with their first node; labels alike by ratio, or a party's within another's where the roles don't contradict, first node with first node. With a column ``role``, nodes of one label and several roles count by role.
+    """
+    rows = nodes if "role" in nodes.columns else nodes.withColumn("role", F.lit(None).cast("string"))
+    logs = []
+    for kind, threshold in thresholds.items():
+        own = kept(rows.filter(F.col("node_type") == kind).filter(F.col(scope).isNotNull()).select("node_id", scope, "role", normal_label(kind).alias("norm")))
+        first = own.groupBy(scope, "norm").agg(F.min("node_id").alias("first"), F.array_distinct(F.collect_set(F.coalesce("role", F.lit("")))).alias("roles"))
+        log = own.join(first, [scope, "norm"]).filter("node_id <> first").select(F.col("first").alias("a"), F.col("node_id").alias("b"), F.lit(1.0).alias("score"), F.lit("exact").alias("method"))
+        if threshold < 1:
+            pairs = similar_pairs(own, threshold, (scope,))
+            fa, fb = (first.select(scope, F.col("norm").alias(c), F.col("first").alias("i" + c), F.col("roles").alias("r" + c)) for c in "ab")
+            both = pairs.join(fa, [scope, "a"]).join(fb, [scope, "b"])
+            agree = F.array_contains("ra", "") | F.array_contains("rb", "") | F.arrays_overlap("ra", "rb")
+            fuzzy = both.filter((F.col("method") == "similarity") | (agree & F.lit(kind == "party")))
+            log = log.unionByName(fuzzy.select(F.col("ia").alias("a"), F.col("ib").alias("b"), "score", "method"))
+        logs.append(log.withColumn("node_type", F.lit(kind)))
+    return reduce(DataFrame.unionByName, logs)
 
 
 def follow_canonical(pointers: DataFrame, most_rounds: int = 30) -> DataFrame:
@@ -241,6 +267,89 @@ def intra_edges(nodes: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+#: Kinds of documents in which rules about suits, and about contracts, apply.
+SUITS, CONTRACTS = ("complaint", "appeal", "court_order"), ("contract", "exhibit")
+
+
+def document_edges(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """All edges that follow from a document's own nodes: (src, dst, edge_type, confidence), each by the first rule that makes it.
+
+    nodes: node_id, node_type, node_label, document_id, section_id, confidence, the names plaintiff, defendant, obligated_party,
+    beneficiary_party, payer and payee, and evidence_references (array). Named parties are sought by ``match_party``, an inexact match costs 0.1;
+    nodes that share a section are joined on it.
+    """
+    rows = kept(nodes.join(docs.select("document_id", gate_kind("document_type").alias("_kind")), "document_id").withColumn("confidence", F.coalesce(F.col("confidence").cast("double"), F.lit(0.8))))
+    of = lambda *kinds: rows.filter(F.col("node_type").isin(*kinds))
+    named = [
+        (of("claim").filter(F.col("_kind").isin(*SUITS)), (("plaintiff", "alleged_by", False), ("defendant", "alleged_against", True))),
+        (of("obligation").filter(F.col("_kind").isin(*CONTRACTS)), (("obligated_party", "obligated_to", False), ("beneficiary_party", "beneficiary_of", False))),
+        (of("amount").filter(F.col("_kind").isin(*SUITS)), (("payee", "damages_sought_by", True), ("payer", "damages_from", True))),
+    ]
+    wanted = reduce(DataFrame.unionByName, [n.select("node_id", "document_id", "confidence", F.col(c).alias("name"), F.lit(t).alias("edge_type"), F.lit(out).alias("_out")) for n, cols in named for c, t, out in cols])
+    wanted = kept(wanted.filter("trim(name) <> ''").withColumn("name_id", F.concat_ws("|", "node_id", "edge_type")))
+    found = match_party(wanted.select("name_id", "document_id", "name"), of("party")).withColumnRenamed("node_id", "_party")
+    by_name = wanted.join(found, "name_id").select(F.when(F.col("_out"), F.col("node_id")).otherwise(F.col("_party")).alias("src"), F.when(F.col("_out"), F.col("_party")).otherwise(F.col("node_id")).alias("dst"), "edge_type", (F.col("confidence") - F.when(F.col("score") < 1, 0.1).otherwise(0.0)).alias("confidence"))
+    refs = of("claim").select("node_id", "document_id", "confidence", F.posexplode("evidence_references").alias("k", "ref")).withColumn("ref_id", F.concat_ws("|", "node_id", F.col("k").cast("string")))
+    cited = match_evidence_ref(refs.select("ref_id", "document_id", "ref"), of("evidence")).select("ref_id", "evidence_id")
+    by_ref = refs.join(cited, "ref_id").select(F.col("node_id").alias("src"), F.col("evidence_id").alias("dst"), F.lit("supported_by").alias("edge_type"), (F.col("confidence") - 0.05).alias("confidence"))
+    # kind that gives the confidence, kind beside it, edge type, from the first to the second, penalty
+    beside = [(("claim",), "legal_authority", "relies_on", True, 0.05), (("condition",), "obligation", "conditioned_on", False, 0.05), (("event", "procedural_event"), "party", "involved_in", False, 0.1), (("amount",), "claim", "quantifies", True, 0.05)]
+    near = []
+    for kinds, other, edge_type, out, penalty in beside:
+        own = of(*kinds) if edge_type != "conditioned_on" else of(*kinds).filter(F.col("_kind").isin(*CONTRACTS))
+        pairs = own.select("document_id", "section_id", F.col("node_id").alias("x"), "confidence").join(of(other).select("document_id", "section_id", F.col("node_id").alias("y")), ["document_id", "section_id"])
+        near.append(pairs.select(F.col("x" if out else "y").alias("src"), F.col("y" if out else "x").alias("dst"), F.lit(edge_type).alias("edge_type"), (F.col("confidence") - penalty).alias("confidence")))
+    out = union_edges(by_name, by_ref, *near)
+    return out.withColumn("confidence", F.round(F.greatest(F.lit(0.0), "confidence"), 3))
+
+
+def cross_edges(nodes: DataFrame, docs: DataFrame, labels: DataFrame, confidence: float = 0.7) -> DataFrame:
+    """Edges between a case's documents: (src, dst, edge_type, confidence).
+
+    nodes: node_id, node_type, node_label, document_id, section_id, party and opponent (canonical ids of the obligated party or the defendant, and of the plaintiff), canonical_id of party nodes;
+    docs: document_id, case_id, document_type; labels: section_id, semantic_label. breached_by: a contract's obligation to a claim that tells of a breach by the party obligated;
+    challenges: a brief's argument to a holding whose section names a common party; responds_to: an admission or denial to a claim against the same party.
+    """
+    rows = nodes.join(docs.select("document_id", "case_id", graph_kind("document_type").alias("_kind")), "document_id").filter("case_id IS NOT NULL")
+    rows = kept(rows.join(labels.select("section_id", F.coalesce("semantic_label", F.lit("")).alias("_label")), "section_id", "left").fillna("", ["_label"]))
+    of = lambda node_type, kind: rows.filter((F.col("node_type") == node_type) & (F.col("_kind") == kind))
+    edge = lambda df, name: df.select("src", "dst").distinct().withColumn("edge_type", F.lit(name)).withColumn("confidence", F.lit(confidence))
+    claims = of("claim", "complaint")
+    breach = breached_by(of("obligation", "contract"), claims.withColumn("claim_text", F.col("node_label")), confidence)
+    present = rows.filter("node_type = 'party'").select("document_id", "section_id", "canonical_id").distinct()
+    argued = of("claim", "brief").filter(F.col("_label").contains("argument")).join(present.select("document_id", "section_id", F.col("canonical_id").alias("_c")), ["document_id", "section_id"])
+    held = of("claim", "court_order").filter(F.col("_label").rlike("holding|order|ruling|finding")).join(present.select("document_id", "section_id", F.col("canonical_id").alias("_c")), ["document_id", "section_id"])
+    challenge = argued.select("case_id", "_c", F.col("node_id").alias("src")).join(held.select("case_id", "_c", F.col("node_id").alias("dst")), ["case_id", "_c"])
+    against = F.coalesce("party", "opponent").alias("_c")
+    reply = of("claim", "answer").filter(F.col("_label").rlike("admission|denial")).select("case_id", against, F.col("node_id").alias("src")).join(claims.select("case_id", against, F.col("node_id").alias("dst")), ["case_id", "_c"])
+    return breach.select("src", "dst", "edge_type", "confidence").unionByName(edge(challenge, "challenges")).unionByName(edge(reply, "responds_to"))
+
+
+EXHIBIT_LABEL = r"(?i)^\s*(?:exhibit|appendix|attachment|schedule)\s+([A-Z0-9](?:[-\u2013]?[A-Z0-9])*)"
+
+
+def exhibit_links(nodes: DataFrame, docs: DataFrame, k: int = 10, least: float = 0.6) -> DataFrame:
+    """Evidence of a case's pleadings to the first ``k`` nodes, parties first, of the exhibit that it names.
+
+    The exhibit is the smallest document of the case whose file name carries the label (0.85), else the one whose type resembles
+    the evidence's label most (ratio ``least``, 0.65); a case's distinct labels meet its distinct types.
+    docs: document_id, case_id, file_name, document_type.
+    """
+    exhibits = docs.filter(F.lower("file_name").contains("_exhibit_")).select("case_id", F.col("document_id").alias("_exhibit"), F.regexp_extract(F.lower("file_name"), r"_exhibit_(.*)$", 1).alias("_tail"), norm_party("document_type").alias("_type"))
+    kinds = docs.select("document_id", "case_id", graph_kind("document_type").alias("_kind")).filter(F.col("_kind").isin("complaint", "brief", "other"))
+    own = nodes.filter("node_type = 'evidence'").join(kinds, "document_id").select("node_id", "case_id", "node_label", F.lower(F.regexp_extract("node_label", EXHIBIT_LABEL, 1)).alias("_label"))
+    ends = F.explode(F.transform(F.sequence(F.lit(1), F.length("_tail")), lambda n: F.substring("_tail", F.lit(1), n)))
+    by_label = own.filter("_label <> ''").join(exhibits.filter("_tail <> ''").select("case_id", "_exhibit", ends.alias("_label")), ["case_id", "_label"]).groupBy("node_id").agg(F.min("_exhibit").alias("_exhibit")).withColumn("confidence", F.lit(0.85))
+    rest = own.join(by_label.select("node_id"), "node_id", "left_anti").withColumn("_norm", norm_party("node_label"))
+    types = exhibits.groupBy("case_id", "_type").agg(F.min("_exhibit").alias("_exhibit"))
+    pairs = rest.select("case_id", "_norm").distinct().join(types, "case_id").withColumn("r", ratio("_norm", "_type", least)).filter(F.col("r") >= least)
+    best = first_seen(pairs, ["case_id", "_norm"], F.col("r").desc(), F.col("_exhibit")).select("case_id", "_norm", "_exhibit")
+    by_type = rest.join(best, ["case_id", "_norm"]).select("node_id", "_exhibit", F.lit(0.65).alias("confidence"))
+    n = F.row_number().over(Window.partitionBy("document_id").orderBy(F.col("node_type") != "party", "node_id"))
+    targets = nodes.filter("node_type IN ('party', 'obligation')").withColumn("n", n).filter(F.col("n") <= k).select(F.col("document_id").alias("_exhibit"), F.col("node_id").alias("dst"))
+    return by_label.unionByName(by_type).join(targets, "_exhibit").select(F.col("node_id").alias("src"), "dst", F.lit("exhibit_of").alias("edge_type"), "confidence")
+
+
 def exhibit_edges(nodes: DataFrame, docs: DataFrame, k: int = 10, kind: str = "evidence") -> DataFrame:
     """Evidence to the parent document's nodes when its exhibit's file name carries the label: parties first, ``k`` each."""
     children = docs.filter("parent_document_id IS NOT NULL AND file_name LIKE '%exhibit%'").select("document_id", "parent_document_id")
@@ -341,6 +450,12 @@ def topo_levels(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     return tasks.join(done, "task", "left").withColumn("level", F.coalesce("level", F.lit(-1)))
 
 
+def task_order(tasks: DataFrame, levels: DataFrame) -> DataFrame:
+    """tasks (task, tier, layer, position) with rank: by level, then tier, layer and position; members of cycles last."""
+    rows = tasks.join(levels.select("task", "level"), "task")
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.col("level") < 0, "level", "tier", "layer", "position")))
+
+
 def detect_addons(docs: DataFrame, rules: DataFrame, claims: DataFrame | None = None) -> DataFrame:
     """Templates that a case's document types call for, or its claims. rules: template, keyword, built, claims: case_id, label, where given."""
     table = rule_array(rules.filter("built").select("template", "keyword"))

@@ -119,12 +119,19 @@ def any_ilike(column: str, parts: list[str]) -> Column:
     return reduce(or_, (ilike_contains(column, p) for p in parts))
 
 
-#: Document types and purposes that qualify a document for structure extraction.
-STRUCTURE_PREFIXES = ("Pleading - Complaint", "Pleading - Answer", "Contract")
-
-
-def qualifies_for_structure(column: str = "document_type") -> Column:
-    return reduce(or_, (F.col(column).startswith(p) for p in STRUCTURE_PREFIXES))
+#: Beginnings of document types, and filing purposes, that qualify a document for structure extraction.
+STRUCTURE_PREFIXES = ("complaint", "brief", "motion", "appeal", "answer", "counterclaim", "pleading")
+STRUCTURE_PURPOSES = ("operative_pleading", "motion", "brief")
+
+
+def qualifies_for_structure(document_type: str = "document_type", purpose: str | None = None) -> Column:
+    """By the type's beginning or the purpose; a historical document also by a qualifying word anywhere in its type."""
+    low = F.lower(F.coalesce(F.col(document_type), F.lit("")))
+    out = reduce(or_, (low.startswith(p) for p in STRUCTURE_PREFIXES))
+    if purpose:
+        use = F.lower(F.coalesce(F.col(purpose), F.lit("")))
+        out = out | use.isin(*STRUCTURE_PURPOSES) | ((use == "historical_context") & reduce(or_, (low.contains(p) for p in STRUCTURE_PREFIXES)))
+    return out
 
 
 def embedding_status(sections: DataFrame, existing: DataFrame, force: bool = False, skip_labels: tuple[str, ...] = ("signature_block",), least: int = 20) -> DataFrame:

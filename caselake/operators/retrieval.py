@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import PandasUDFType
+from pyspark.sql.types import DataType
 
 from caselake.functions.scalar import cosine, set_similarity, trigrams
+from caselake.operators.graph import components, kept
 from caselake.operators.relational import structural_filter
 
 
@@ -76,6 +82,51 @@ def find_sections(sections: DataFrame, text: str | None = None, label: str | Non
     return sections.filter(F.col("start_page").between(*pages)) if pages else sections
 
 
+def near_duplicates(sections: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """(document_id, duplicate_of): documents whose first sections are alike, closed over chains; duplicate_of is the smallest id of the group.
+
+    sections: document_id, section_text (one row per document). Alike: sets of word shingles (the whole text where it has fewer words) with that Jaccard similarity.
+    Exact, by prefix filtering: of a text's n shingles in order of rarity, a partner holds one of the first
+    n - ceil(similarity x n) + 1. Equal sets are one row from the start. Shared prefixes give links to their first text first; only texts that
+    this leaves in several groups are compared pair by pair.
+    """
+    own = sections.filter("section_text IS NOT NULL").select("document_id", F.filter(F.split(F.lower("section_text"), r"\s+"), lambda w: w != "").alias("w")).filter("size(w) > 0")
+    runs = F.expr(f"CASE WHEN size(w) <= {words} THEN array(xxhash64(array_join(w, ' '))) ELSE array_distinct(transform(sequence(1, size(w) - {words - 1}), i -> xxhash64(array_join(slice(w, i, {words}), ' ')))) END")
+    own = own.select("document_id", F.array_sort(runs).alias("s"))
+    reps = kept(own.groupBy("s").agg(F.min("document_id").alias("d")))
+    grams = reps.select("d", F.size("s").alias("n"), F.explode("s").alias("g"))
+    often = grams.groupBy("g").agg(F.count("*").alias("df"))
+    ranked = grams.join(often, "g").withColumn("k", F.row_number().over(Window.partitionBy("d").orderBy("df", "g")))
+    prefix = kept(ranked.filter(F.col("k") <= F.col("n") - F.ceil(F.round(F.col("n") * similarity, 9)) + 1).filter("df > 1").select("g", "d", "n"))
+    sets = reps.select("d", "s")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        fit = F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9
+        pairs = pairs.filter(fit).select("a", "b").distinct().join(sets.select(F.col("d").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("d").alias("b"), F.col("s").alias("y")), "b")
+        both = F.size(F.array_intersect("x", "y"))
+        return kept(pairs.filter(both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b"))
+
+    first = prefix.groupBy("g").agg(F.min(F.struct(F.col("d").alias("b"), F.col("n").alias("m"))).alias("f")).select("g", "f.*")
+    links = confirmed(prefix.join(first, "g").filter("d <> b").select(F.col("d").alias("a"), "b", "n", "m"))
+    roots = components(links)
+    left = kept(prefix.join(roots.withColumnRenamed("node", "d"), "d", "left").withColumn("root", F.coalesce("root", "d")))
+    apart = left.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("g")
+    open_ = left.join(apart, "g", "left_semi")
+    other = open_.select("g", F.col("d").alias("b"), F.col("n").alias("m"), F.col("root").alias("_r"))
+    links = links.unionByName(confirmed(open_.join(other, "g").filter("root <> _r AND d > b").select(F.col("d").alias("a"), "b", "n", "m")))
+    roots = components(links).select(F.col("node").alias("d"), "root")
+    found = reps.join(roots, "d", "left").select("s", F.coalesce("root", "d").alias("duplicate_of"))
+    return own.join(found, "s").select("document_id", "duplicate_of")
+
+
+# -- models ----------------------------------------------------------------------------------
+
+
+def with_model(df: DataFrame, text: str, model: Callable[[Iterator[pd.Series]], Iterator[pd.Series]], returns: DataType, to: str) -> DataFrame:
+    """df with what a model says of a column: a function from an iterator of series to one, so that it is loaded once per task and sees Arrow batches."""
+    return df.withColumn(to, F.pandas_udf(model, returns, PandasUDFType.SCALAR_ITER)(F.col(text)))
+
+
 # -- evidence --------------------------------------------------------------------------------
 
 

@@ -100,6 +100,14 @@ def ratio(a: Column | str, b: Column | str, least: float = 0.0) -> Column:
     return run(a, b)
 
 
+def with_ratio(rows: DataFrame, a: str, b: str, least: float) -> DataFrame:
+    """rows with ``ratio`` of two columns, 0 below ``least``; only distinct pairs of fitting length go to Python."""
+    low, high = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
+    pairs = rows.filter((high > 0) & (low / high >= least / (2 - least))).select(a, b).distinct().withColumn("ratio", ratio(a, b, least)).filter(F.col("ratio") >= least)
+    pairs = pairs.select(F.col(a).alias("_x"), F.col(b).alias("_y"), "ratio")
+    return rows.join(pairs, (rows[a] == pairs["_x"]) & (rows[b] == pairs["_y"]), "left").drop("_x", "_y").withColumn("ratio", F.coalesce("ratio", F.lit(0.0)))
+
+
 def calibrate_offset(entries: DataFrame, page_lines: DataFrame, least: float = 0.72, titles: int = 5, top: int = 20, support: int = 2) -> DataFrame:
     """(document_id, page_offset, support): by how much printed pages differ from counted ones, from the first titles found near the top of pages.
 
@@ -176,12 +184,23 @@ def exhibits_by_scan(lines: DataFrame) -> DataFrame:
     return with_stops(first, lines)
 
 
-def split_exhibits(lines: DataFrame, labels: DataFrame) -> DataFrame:
-    """Exhibits of each document by the first way that finds any: headings, known labels, scan."""
+def split_exhibits(lines: DataFrame, labels: DataFrame, bookmarked: DataFrame | None = None, blob: int = 50_000) -> DataFrame:
+    """Exhibits of each document by the first way that finds any: bookmarks (-1; document_id, label, start, stop), headings (0), known labels (1), scan (2).
+
+    A single exhibit of over ``blob`` characters counts as not split, if a later way finds any.
+    """
     ways = [exhibits_by_heading(lines), exhibits_by_label(lines, labels), exhibits_by_scan(lines)]
     rows = ways[0].withColumn("way", F.lit(0)).unionByName(ways[1].withColumn("way", F.lit(1))).unionByName(ways[2].withColumn("way", F.lit(2)))
-    best = F.min("way").over(Window.partitionBy("document_id"))
-    return rows.withColumn("_b", best).filter("way = _b").drop("_b")
+    if bookmarked is not None:
+        rows = rows.unionByName(bookmarked.select("document_id", "label", "start", "stop").withColumn("way", F.lit(-1)))
+    upto = F.sum(F.length("line") + 1).over(Window.partitionBy("document_id").orderBy("pos"))
+    sizes = lines.select("document_id", (F.col("pos") + 1).alias("stop"), upto.alias("_upto"))
+    one = F.count("*").over(Window.partitionBy("document_id", "way")) == 1
+    rows = rows.withColumn("_one", one).join(sizes, ["document_id", "stop"], "left").join(sizes.select("document_id", F.col("stop").alias("start"), F.col("_upto").alias("_before")), ["document_id", "start"], "left")
+    whole = F.col("_one") & (F.col("_upto") - F.coalesce("_before", F.lit(0)) - 1 > blob) & (F.col("way") >= 0)
+    rows = rows.withColumn("_rank", F.when(whole, F.col("way") + 10).otherwise(F.col("way")))
+    best = F.min("_rank").over(Window.partitionBy("document_id"))
+    return rows.withColumn("_b", best).filter("_rank = _b").select("document_id", "label", "start", "stop", "way")
 
 
 def exhibit_start(page_lines: DataFrame, many: int = 3) -> DataFrame:

@@ -129,3 +129,11 @@ def idle_sessions(events: DataFrame, key: str, ts: str, gap_seconds: int, most:
         rows = rows.withColumn("part", F.floor((n - 1) / most))
         return rows.groupBy(key, "burst", "part").agg(F.count("*").alias("n"))
     return rows.groupBy(key, "burst").agg(F.count("*").alias("n"), F.min("intake_id").alias("first_id"))
+
+
+def notifications(events: DataFrame, n: int = 50) -> DataFrame:
+    """What a tenant is told of: changes of a job's status that end it or ask for an answer, the last ``n`` of each tenant."""
+    before = F.lag("status").over(Window.partitionBy("job_id").orderBy("created_at", "intake_id"))
+    kind = F.when(F.col("status") == "failed", "error").when(F.col("status") == "completed", "done").when(F.col("status") == "pending", "needs_answer")
+    rows = events.withColumn("_before", before).withColumn("kind", kind).filter(F.col("kind").isNotNull() & ~F.col("_before").eqNullSafe(F.col("status"))).drop("_before")
+    return top_k_per(rows, ["firm_id"], n, F.col("created_at").desc(), F.col("intake_id").desc())

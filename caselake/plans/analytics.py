@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from caselake.operators import aggregates as A
+from caselake.operators import windows as W
 from caselake.plans.registry import query
 
 
@@ -120,3 +121,21 @@ def _(v):
 def _(v):
     rows = v("v_responses").filter("role = 'assistant' AND confidence < 0.5").withColumn("confidence", F.col("confidence").cast("double"))
     return A.ranked(rows, [F.col("confidence"), F.col("session_id"), F.col("turn")], 20).select("session_id", "turn", "confidence", "rank")
+
+
+@query("recent_sessions", "SELECT session_id, case_id, row_number() OVER (ORDER BY last_turn DESC, session_id) AS rank FROM (SELECT session_id, case_id, max(turn) AS last_turn FROM v_responses GROUP BY 1, 2) QUALIFY rank <= 20")
+def _(v):
+    s = v("v_responses").groupBy("session_id", "case_id").agg(F.max("turn").alias("last_turn"))
+    return A.ranked(s, [F.col("last_turn").desc(), F.col("session_id")], 20).select("session_id", "case_id", "rank")
+
+
+@query("active_cases", "SELECT case_id, last_at, row_number() OVER (ORDER BY last_at DESC, case_id) AS rank FROM (SELECT case_id, CAST(date_trunc('second', max(created_at)) AS VARCHAR) AS last_at FROM v_docs JOIN v_cases USING (case_id) WHERE deleted_at IS NULL GROUP BY 1) QUALIFY rank <= 10")
+def _(v):
+    live = v("v_cases").filter("deleted_at IS NULL").select("case_id")
+    rows = v("v_docs").join(live, "case_id").groupBy("case_id").agg(F.date_format(F.max("created_at"), "yyyy-MM-dd HH:mm:ss").alias("last_at"))
+    return A.ranked(rows, [F.col("last_at").desc(), F.col("case_id")], 10).select("case_id", "last_at", "rank")
+
+
+@query("notifications", "SELECT intake_id, firm_id, kind, row_number() OVER (PARTITION BY firm_id ORDER BY created_at DESC, intake_id DESC) AS rank FROM (SELECT *, CASE status WHEN 'failed' THEN 'error' WHEN 'completed' THEN 'done' ELSE 'needs_answer' END AS kind FROM (SELECT *, lag(status) OVER (PARTITION BY job_id ORDER BY created_at, intake_id) AS before FROM v_intake)) WHERE status IN ('failed', 'completed', 'pending') AND before IS DISTINCT FROM status QUALIFY rank <= 20")
+def _(v):
+    return W.notifications(v("v_intake"), 20).select("intake_id", "firm_id", "kind", "rank")

@@ -58,12 +58,22 @@ def _(v):
 
 @query("resolve_entities")
 def _(v):
-    return G.resolve_entities(_case_parties(v))
+    return G.resolve_entities(v("v_nodes").join(v("v_docs").select("document_id", "case_id"), "document_id"))
 
 
 @query("fuzzy_dedup")
 def _(v):
-    return G.fuzzy_dedup(_case_parties(v))
+    return G.fuzzy_dedup(v("v_nodes"))
+
+
+_EXACT = "WITH e AS (SELECT n.node_id, d.case_id, lower(trim(n.node_label)) AS l FROM v_nodes n JOIN v_docs d USING (document_id) WHERE node_type IN ('evidence', 'amount') AND d.case_id IS NOT NULL)"
+
+
+@query("merge_log", f"{_EXACT}, f AS (SELECT node_id, first_value(node_id) OVER (PARTITION BY case_id, l ORDER BY node_id) AS a FROM e) SELECT a, node_id AS b, 'exact' AS method FROM f WHERE a <> node_id")
+def _(v):
+    """Exact merges of two kinds over cases; the fuzzy ones are tested against brute force."""
+    n = v("v_nodes").filter("node_type IN ('evidence', 'amount')").join(v("v_docs").select("document_id", "case_id"), "document_id")
+    return G.merge_log(n, "case_id", {"evidence": 1.0, "amount": 1.0}).select("a", "b", "method")
 
 
 @query("match_party")
@@ -221,3 +231,71 @@ def _(v):
     n = v("v_nodes").join(d, "document_id").withColumn("party", F.col("section_id") % 5)
     text = F.when(F.col("node_label").contains("URGENT"), F.concat(F.lit("Breach of "), "node_label")).otherwise(F.col("node_label"))
     return G.breached_by(n.filter("node_type = 'obligation' AND document_type LIKE 'Contract%'"), n.filter("node_type = 'claim' AND document_type = 'Pleading - Complaint'").withColumn("claim_text", text))
+
+
+_KIND = "CASE WHEN starts_with(document_type, 'Contract') THEN 'contract' WHEN contains(document_type, 'Subpoena') THEN 'discovery' ELSE 'suit' END"
+_DE = f"""WITH n AS (SELECT v.*, {_KIND} AS kind FROM v_nodes v JOIN v_docs USING (document_id)),
+ pn AS (SELECT document_id, lower(node_label) AS norm, min(node_id) AS pid FROM n WHERE node_type = 'party' GROUP BY 1, 2),
+ nm AS (SELECT document_id, lower(min(node_label)) AS p, lower(max(node_label)) AS q FROM n WHERE node_type = 'party' GROUP BY 1),
+ pq AS (SELECT nm.document_id, a.pid AS p, b.pid AS q FROM nm JOIN pn a ON a.document_id = nm.document_id AND a.norm = nm.p JOIN pn b ON b.document_id = nm.document_id AND b.norm = nm.q),
+ ev AS (SELECT document_id, min(node_id) AS e FROM n WHERE node_type = 'evidence' AND node_label = (SELECT min(m.node_label) FROM n m WHERE m.document_id = n.document_id AND m.node_type = 'evidence') GROUP BY 1)
+SELECT p AS src, node_id AS dst, 'alleged_by' AS edge_type, 0.8 AS confidence FROM n JOIN pq USING (document_id) WHERE node_type = 'claim' AND kind = 'suit'
+UNION ALL SELECT node_id, q, 'alleged_against', 0.8 FROM n JOIN pq USING (document_id) WHERE node_type = 'claim' AND kind = 'suit'
+UNION ALL SELECT p, node_id, 'obligated_to', 0.8 FROM n JOIN pq USING (document_id) WHERE node_type = 'obligation' AND kind = 'contract'
+UNION ALL SELECT q, node_id, 'beneficiary_of', 0.8 FROM n JOIN pq USING (document_id) WHERE node_type = 'obligation' AND kind = 'contract'
+UNION ALL SELECT node_id, p, 'damages_sought_by', 0.8 FROM n JOIN pq USING (document_id) WHERE node_type = 'amount' AND kind = 'suit'
+UNION ALL SELECT node_id, q, 'damages_from', 0.8 FROM n JOIN pq USING (document_id) WHERE node_type = 'amount' AND kind = 'suit'
+UNION ALL SELECT node_id, e, 'supported_by', 0.75 FROM n JOIN ev USING (document_id) WHERE node_type = 'claim'
+UNION ALL SELECT a.node_id, b.node_id, 'relies_on', 0.75 FROM n a JOIN n b USING (document_id, section_id) WHERE a.node_type = 'claim' AND b.node_type = 'legal_authority'
+UNION ALL SELECT b.node_id, a.node_id, 'conditioned_on', 0.75 FROM n a JOIN n b USING (document_id, section_id) WHERE a.node_type = 'condition' AND b.node_type = 'obligation' AND a.kind = 'contract'
+UNION ALL SELECT b.node_id, a.node_id, 'involved_in', 0.7 FROM n a JOIN n b USING (document_id, section_id) WHERE a.node_type IN ('event', 'procedural_event') AND b.node_type = 'party'
+UNION ALL SELECT a.node_id, b.node_id, 'quantifies', 0.75 FROM n a JOIN n b USING (document_id, section_id) WHERE a.node_type = 'amount' AND b.node_type = 'claim'"""
+
+
+@query("document_edges", _DE)
+def _(v):
+    n = v("v_nodes")
+    two = n.filter("node_type = 'party'").groupBy("document_id").agg(F.min("node_label").alias("_p"), F.max("node_label").alias("_q"))
+    refs = n.filter("node_type = 'evidence'").groupBy("document_id").agg(F.array(F.min("node_label")).alias("evidence_references"))
+    names = {"plaintiff": ("claim", "_p"), "defendant": ("claim", "_q"), "obligated_party": ("obligation", "_p"), "beneficiary_party": ("obligation", "_q"), "payee": ("amount", "_p"), "payer": ("amount", "_q")}
+    n = n.join(two, "document_id", "left").join(refs, "document_id", "left").withColumn("confidence", F.lit(0.8))
+    for name, (kind, source) in names.items():
+        n = n.withColumn(name, F.when(F.col("node_type") == kind, F.col(source)))
+    return G.document_edges(n, v("v_docs"))
+
+
+_CE = """WITH d AS (SELECT document_id, case_id, replace(document_type, 'Pleading - ', '') AS t FROM v_docs WHERE case_id IS NOT NULL),
+ n AS (SELECT v.*, case_id, t, section_id % 5 AS party, CASE section_id % 4 WHEN 0 THEN 'argument' WHEN 1 THEN 'holding' WHEN 2 THEN 'admissions_denials' END AS lab, regexp_extract(node_label, '\\S+$') AS canon FROM v_nodes v JOIN d USING (document_id)),
+ p AS (SELECT DISTINCT document_id, section_id, canon FROM n WHERE node_type = 'party')
+SELECT DISTINCT o.node_id AS src, c.node_id AS dst, 'breached_by' AS edge_type, 0.7 AS confidence FROM n o JOIN n c USING (case_id, party) WHERE o.node_type = 'obligation' AND starts_with(o.t, 'Contract') AND c.node_type = 'claim' AND c.t = 'Complaint' AND contains(c.node_label, 'URGENT')
+UNION ALL SELECT DISTINCT a.node_id, h.node_id, 'challenges', 0.7 FROM n a JOIN p x USING (document_id, section_id) JOIN p y ON x.canon = y.canon JOIN n h ON h.document_id = y.document_id AND h.section_id = y.section_id AND h.case_id = a.case_id WHERE a.node_type = 'claim' AND a.t = 'Motion' AND a.lab = 'argument' AND h.node_type = 'claim' AND h.t = 'Court - Order' AND h.lab = 'holding'
+UNION ALL SELECT DISTINCT a.node_id, c.node_id, 'responds_to', 0.7 FROM n a JOIN n c USING (case_id, party) WHERE a.node_type = 'claim' AND a.t = 'Answer' AND a.lab = 'admissions_denials' AND c.node_type = 'claim' AND c.t = 'Complaint'"""
+
+
+@query("cross_edges", _CE)
+def _(v):
+    n = v("v_nodes").withColumn("party", F.expr("CAST(section_id % 5 AS string)")).withColumn("opponent", F.lit(None).cast("string")).withColumn("canonical_id", F.regexp_extract("node_label", r"\S+$", 0))
+    n = n.withColumn("node_label", F.expr("CASE WHEN node_type = 'claim' AND contains(node_label, 'URGENT') THEN 'Breach ' || node_label ELSE node_label END"))
+    docs = v("v_docs").select("document_id", "case_id", F.expr("replace(document_type, 'Pleading - ', '')").alias("document_type"))
+    labels = n.select("section_id").distinct().withColumn("semantic_label", F.expr("CASE section_id % 4 WHEN 0 THEN 'argument' WHEN 1 THEN 'holding' WHEN 2 THEN 'admissions_denials' END"))
+    return G.cross_edges(n, docs, labels)
+
+
+@query("exhibit_links", "WITH d AS (SELECT document_id, case_id, file_name FROM v_docs), x AS (SELECT case_id, min(document_id) AS x FROM d WHERE contains(file_name, '_exhibit_') AND case_id IS NOT NULL GROUP BY 1), e AS (SELECT n.node_id, d.case_id FROM v_nodes n JOIN v_docs d USING (document_id) WHERE node_type = 'evidence' AND starts_with(d.document_type, 'Pleading') OR node_type = 'evidence' AND contains(d.document_type, 'Subpoena')), t AS (SELECT document_id, node_id AS dst FROM v_nodes WHERE node_type IN ('party', 'obligation') QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY node_type <> 'party', node_id) <= 10) SELECT e.node_id AS src, t.dst, 'exhibit_of' AS edge_type, 0.85 AS confidence FROM e JOIN x USING (case_id) JOIN t ON t.document_id = x.x")
+def _(v):
+    n = v("v_nodes").withColumn("node_label", F.expr("CASE WHEN node_type = 'evidence' THEN 'Exhibit A' ELSE node_label END"))
+    return G.exhibit_links(n, v("v_docs"))
+
+
+@query("task_order", "SELECT p_partkey AS task, row_number() OVER (ORDER BY CASE p_partkey % 7 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 2 WHEN 5 THEN 3 ELSE 3 END, p_partkey % 2, p_partkey % 3, p_partkey) AS rank FROM part")
+def _(v):
+    t = v("part").selectExpr("CAST(p_partkey AS bigint) AS task", "p_partkey % 2 AS tier", "p_partkey % 3 AS layer", "p_partkey AS position")
+    d = t.filter("task % 7 IN (1, 2)").selectExpr("task", "task - task % 7 AS needs").unionByName(t.filter("task % 7 >= 3").selectExpr("task", "task - 2 AS needs"))
+    return G.task_order(t, G.topo_levels(t.select("task"), d)).select("task", "rank")
+
+
+@query("detect_claim_addons", "SELECT DISTINCT d.case_id, template FROM v_nodes n JOIN v_docs d USING (document_id) JOIN (VALUES ('urgent', 'emergency_pack'), ('low', 'routine_pack')) r(keyword, template) ON contains(lower(n.node_label), keyword) WHERE n.node_type = 'claim' AND case_id IS NOT NULL")
+def _(v):
+    rules = v.spark.createDataFrame([("urgent", "emergency_pack", True), ("low", "routine_pack", True)], "keyword string, template string, built boolean")
+    claims = v("v_nodes").filter("node_type = 'claim'").join(v("v_docs").select("document_id", "case_id"), "document_id").select("case_id", F.col("node_label").alias("label"))
+    return G.detect_addons(v("v_docs").withColumn("document_type", F.lit("")), rules, claims)

@@ -112,9 +112,12 @@ def _(v):
     return v("v_intake").filter(~F.col("status").isin("completed", "failed") & (F.col("process_priority") != "manual")).select("intake_id", "status")
 
 
-@query("doc_gate", "SELECT document_id, document_type FROM v_docs WHERE starts_with(document_type, 'Pleading - Complaint') OR starts_with(document_type, 'Pleading - Answer') OR starts_with(document_type, 'Contract')")
+_PURPOSE = "CASE document_id % 5 WHEN 0 THEN 'Motion' WHEN 1 THEN 'historical_context' WHEN 2 THEN 'evidence' END"
+
+
+@query("doc_gate", f"SELECT document_id, document_type FROM (SELECT *, {_PURPOSE} AS purpose FROM v_docs) WHERE starts_with(document_type, 'Pleading') OR purpose = 'Motion' OR (purpose = 'historical_context' AND regexp_matches(document_type, 'Complaint|Motion|Answer|Brief|Appeal'))")
 def _(v):
-    return v("v_docs").filter(R.qualifies_for_structure()).select("document_id", "document_type")
+    return v("v_docs").withColumn("purpose", F.expr(_PURPOSE)).filter(R.qualifies_for_structure(purpose="purpose")).select("document_id", "document_type")
 
 
 _EXISTING = "SELECT section_id, CASE WHEN pos % 6 = 1 THEN 'old' ELSE semantic_label END AS semantic_label, CASE WHEN pos % 8 = 2 THEN 'x' ELSE section_text END AS t FROM v_sections WHERE pos % 3 <> 0"

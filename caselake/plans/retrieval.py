@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from caselake.operators import retrieval as R
 from caselake.plans.registry import query
@@ -59,11 +60,21 @@ def _(v):
     return R.find_sections(v("v_sections"), "license", pages=(1, 4)).select("section_id")
 
 
-@query("near_duplicates", "SELECT first AS a, document_id AS b FROM (SELECT document_id, min(document_id) OVER (PARTITION BY section_text) AS first FROM v_sections WHERE pos = 0 AND length(section_text) > 100) WHERE first < document_id")
+_SHINGLES = "WITH RECURSIVE w AS (SELECT document_id, list_filter(string_split_regex(lower(section_text), '\\s+'), lambda x: x <> '') AS w FROM v_sections WHERE pos = 0), s AS (SELECT document_id, CASE WHEN len(w) <= 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w WHERE len(w) > 0), g AS (SELECT document_id, len(s) AS n, unnest(s) AS g FROM s), e AS (SELECT a.document_id AS a, b.document_id AS b FROM g a JOIN g b ON a.g = b.g GROUP BY 1, 2 HAVING count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9), r(node, root) AS (SELECT document_id, document_id FROM s UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node)"
+
+
+@query("near_duplicates", f"{_SHINGLES} SELECT node AS document_id, min(root) AS duplicate_of FROM r GROUP BY 1")
+def _(v):
+    return R.near_duplicates(v("v_sections").filter("pos = 0").select("document_id", "section_text"))
+
+
+@query("model_labels", "SELECT section_id, CASE WHEN contains(section_text, '!') THEN 'loud' ELSE 'calm' END AS label FROM v_sections")
 def _(v):
-    s = v("v_sections").filter("pos = 0 AND length(section_text) > 100").select("document_id", "section_text")
-    first = s.groupBy("section_text").agg(F.min("document_id").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    return s.join(first, "section_text").filter("a < document_id").select("a", F.col("document_id").alias("b"))
+    def model(batches):
+        for texts in batches:
+            yield texts.str.contains("!", regex=False).map({True: "loud", False: "calm"})
+
+    return R.with_model(v("v_sections"), "section_text", model, StringType(), "label").select("section_id", "label")
 
 
 _ITEMS = "SELECT document_id AS item_id, case_id, CASE WHEN document_id % 3 = 0 THEN 'A' WHEN document_id % 3 = 1 THEN lang ELSE 'zzz' END AS ref FROM v_docs WHERE case_id IS NOT NULL"

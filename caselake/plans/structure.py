@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from caselake.operators import bodies as B
 from caselake.operators import structure as D
 from caselake.plans.registry import query
 
@@ -180,3 +181,34 @@ def _(v):
 @query("html_sections")
 def _(v):
     return D.html_sections(D.html_elements(v("pages")))
+
+
+@query("section_text")
+def _(v):
+    """Bodies of entries titled by the third line of every other page; compared by brute force in the tests."""
+    pl = page_lines(v)
+    entries = pl.filter("line_no = 2 AND page % 2 = 1 AND trim(line) <> ''").select("document_id", "pos", F.col("line").alias("title"), F.col("page").alias("start_page"), (F.col("page") + 1).alias("end_page"))
+    return B.section_text(entries, pl)
+
+
+@query("section_text_by_pos", "WITH t AS (SELECT document_id, string_agg(CASE WHEN pos % 4 = 0 THEN 'Part ' || CAST(pos AS VARCHAR) || '.' ELSE line END, chr(10) ORDER BY pos) AS text FROM v_lines GROUP BY 1), e AS (SELECT document_id, pos, 'PART ' || CAST(pos AS VARCHAR) || '.' AS title FROM v_lines WHERE pos % 4 = 0), a AS (SELECT document_id, pos, text, strpos(lower(text), lower(title)) AS place FROM e JOIN t USING (document_id)), n AS (SELECT *, lead(place) OVER (PARTITION BY document_id ORDER BY pos) AS stop FROM a) SELECT document_id, pos, regexp_replace(CASE WHEN stop IS NULL THEN substring(text, place) ELSE substring(text, place, stop - place) END, '^\\s+|\\s+$', '', 'g') AS section_text FROM n")
+def _(v):
+    docs = D.ordered_text(v("v_lines").withColumn("line", F.expr("CASE WHEN pos % 4 = 0 THEN 'Part ' || CAST(pos AS string) || '.' ELSE line END")), ["document_id"], "pos", "line", "text")
+    entries = v("v_lines").filter("pos % 4 = 0").select("document_id", "pos", F.expr("'PART ' || CAST(pos AS string) || '.'").alias("title"))
+    return B.section_text_by_pos(entries, docs)
+
+
+@query("clean_sections", "WITH s AS (SELECT document_id, pos, row_number() OVER (PARTITION BY document_id ORDER BY pos DESC) AS back, regexp_replace(replace(section_text, chr(10), ' '), '\\s+', ' ', 'g') AS body FROM v_sections WHERE trim(section_text) <> '') SELECT document_id, pos, 'word word' || chr(10) || trim(body) || '.' || chr(10) || 'Item 2.' || CASE WHEN back > 1 THEN chr(10) || 'Exhibit B.' || repeat('x', 600) ELSE '' END AS section_text FROM s")
+def _(v):
+    s = v("v_sections").filter("trim(section_text) <> ''").withColumn("body", F.trim(F.regexp_replace("section_text", r"\s+", " ")))
+    s = s.select("document_id", "pos", F.concat(F.lit("Title of part "), F.col("pos").cast("string")).alias("title"), F.concat(F.lit("TITLE of part "), F.col("pos").cast("string"), F.lit("\nword   word\n  "), F.lit("\n"), "body", F.lit(".\nItem 2.\nExhibit B."), F.lit("x" * 600)).alias("section_text"))
+    out = B.clean_sections(s)
+    return out.select("document_id", "pos", F.regexp_replace("section_text", r"\n\s+\n", "\n").alias("section_text"))
+
+
+@query("exhibits_by_bookmark", f"WITH p AS (SELECT document_id, CAST(floor(pos / 6) AS BIGINT) + 1 AS page, string_agg(line, chr(10) ORDER BY pos) AS body FROM ({_PAGED}) GROUP BY 1, 2), t AS (SELECT b.document_id, b.page, string_agg(p.body, chr(10) ORDER BY p.page) AS text FROM p b JOIN p ON p.document_id = b.document_id AND p.page IN (b.page, b.page + 1) WHERE b.page % 2 = 0 GROUP BY 1, 2) SELECT document_id, CAST(page AS VARCHAR) AS label, page AS start_page, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS n_chars FROM t WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 100")
+def _(v):
+    lines = paged(v)
+    pages = lines.filter("pos % 6 = 0").select("document_id", F.expr("CAST(pos DIV 6 AS int) + 1").alias("page")).filter("page % 2 = 0")
+    marks = pages.select("document_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("ord"), "page").withColumn("title", F.concat(F.when(F.col("ord") == 1, "Exhibit ").otherwise("Later "), F.col("page").cast("string")))
+    return B.exhibits_by_bookmark(lines, marks, D.page_number("line")).select("document_id", "label", F.col("start_page").cast("bigint").alias("start_page"), F.length("text").cast("bigint").alias("n_chars"))

@@ -150,3 +150,19 @@ def _(v):
 def _(v):
     d = v("v_docs").selectExpr("document_id", "file_name || CASE document_id % 4 WHEN 0 THEN '.EML' WHEN 1 THEN '.csv' WHEN 2 THEN '.html' ELSE '.zip' END AS f", "CASE WHEN lang = 'en' THEN array('From', 'Subject') ELSE array('a', 'b') END AS h")
     return d.select("document_id", S.container_kind("f", "h").alias("kind"))
+
+
+@query("search_text", "SELECT section_id, CASE WHEN trim(section_title) = '' THEN section_text ELSE trim(section_title) || chr(10) || section_text END AS search_text FROM v_sections")
+def _(v):
+    return v("v_sections").select("section_id", S.search_text("section_title", "section_text").alias("search_text"))
+
+
+@query("document_kinds", "SELECT document_id, CASE document_id % 6 WHEN 0 THEN 'complaint' WHEN 1 THEN 'contract' WHEN 2 THEN 'appeal' WHEN 3 THEN 'court_order' WHEN 4 THEN 'discovery' ELSE 'complaint' END AS gate, CASE document_id % 6 WHEN 1 THEN 'contract' WHEN 3 THEN 'court_order' WHEN 4 THEN 'other' ELSE 'complaint' END AS graph, CASE document_id % 6 WHEN 2 THEN 'motions' WHEN 4 THEN 'discovery' ELSE 'filing' END AS stage, CASE document_id % 6 WHEN 1 THEN 'contracts' WHEN 3 THEN 'court-orders' WHEN 4 THEN 'discovery' ELSE 'pleadings' END AS folder FROM v_docs")
+def _(v):
+    return v("v_docs").select("document_id", S.gate_kind("document_type").alias("gate"), S.graph_kind("document_type").alias("graph"), S.case_stage("document_type").alias("stage"), S.folder_of("document_type").alias("folder"))
+
+
+@query("exhibit_kinds", "SELECT document_id, CASE WHEN document_id % 3 = 0 THEN 'Declaration' WHEN document_id % 3 = 1 THEN 'Deposition' ELSE 'Subpoena' END AS kind, CASE WHEN document_id % 3 = 0 THEN 'declaration' WHEN document_id % 3 = 1 THEN 'deposition' ELSE 'document' END AS evidence FROM v_docs")
+def _(v):
+    d = v("v_docs").selectExpr("document_id", "CASE document_id % 3 WHEN 0 THEN 'Affidavit, I declare' WHEN 1 THEN 'Deposition of A' ELSE 'Subpoena' END AS title")
+    return d.select("document_id", S.exhibit_kind("title", "''").alias("kind"), S.evidence_kind("title").alias("evidence"))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caselake.functions import scalar as S
+from caselake.operators import bodies as B
 from caselake.operators import graph as G
 from caselake.operators import intake as Q
 from caselake.operators import relational as R
@@ -189,3 +190,169 @@ def test_files_and_reports(spark, tmp_path):
     assert files.read_csv_container(spark, str(tmp_path / "in/c.csv")).first()["h1"] == "é"
     files.write_report(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "out"), "R")
     assert "| 1 |  |" in [r["value"] for r in spark.read.text(str(tmp_path / "out/md/rows")).collect()]
+
+
+def ratio_of(a, b):
+    from difflib import SequenceMatcher
+
+    return SequenceMatcher(None, a, b, autojunk=False).ratio()
+
+
+def test_section_bodies_by_pages(spark):
+    rng = random.Random(4)
+    lines, entries, want = [], [], {}
+    for doc in range(6):
+        flat = []
+        for page in range(1, 6):
+            for k in range(rng.randrange(1, 6)):
+                flat.append((page, k, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(3))))
+        titles = [(p, rng.choice([x for x in flat if x[0] == p])[2]) for p in (1, 3, 4)]
+        titles[1] = (3, titles[1][1].upper() + "!")
+        lines += [(doc, *x) for x in flat]
+        for n, (page, title) in enumerate(titles):
+            stop = titles[n + 1][0] if n < 2 else 5
+            entries.append((doc, n, title, page, stop))
+            block = [x[2] for x in flat if page <= x[0] <= stop]
+            head = next((i for i, x in enumerate(block) if ratio_of(x.lower(), title.lower()) >= 0.65), -1)
+            end = len(block)
+            if n < 2:
+                end = next((i for i in range(head + 1, len(block)) if ratio_of(block[i].lower(), titles[n + 1][1].lower()) >= 0.65), end)
+            want[doc, n] = "\n".join(block[head + 1 : end]).strip()
+    got = B.section_text(spark.createDataFrame(entries, "document_id int, pos int, title string, start_page int, end_page int"), spark.createDataFrame(lines, "document_id int, page int, line_no int, line string"))
+    assert {(r[0], r[1]): r[2] for r in got.collect()} == {k: v for k, v in want.items() if v}
+
+
+def test_section_bodies_by_place(spark):
+    docs = spark.createDataFrame([(1, "intro\nFirst Part\nbody one\nSecnd  Part of it\nbody two\nLast\nend")], "document_id int, text string")
+    entries = spark.createDataFrame([(1, 0, "first part"), (1, 1, "Second Part of it"), (1, 2, "Nowhere at all"), (1, 3, "Last")], "document_id int, pos int, title string")
+    got = {r["pos"]: r["section_text"] for r in B.section_text_by_pos(entries, docs).collect()}
+    assert got == {0: "First Part\nbody one", 1: "Secnd  Part of it\nbody two\nLast\nend", 2: "", 3: "Last\nend"}
+
+
+def test_clean_bodies(spark):
+    rows = [(1, 0, "The Title", "the title!\n\ngoes\non here\nstops.\n  deep\nlast  word"), (1, 1, "Other", "kept\n\nExhibit A\n" + "y" * 600), (2, 0, "T", "ab\nExhibit\n" + "y" * 10)]
+    got = {(r[0], r[1]): r["section_text"] for r in B.clean_sections(spark.createDataFrame(rows, "document_id int, pos int, title string, section_text string")).collect()}
+    assert got[1, 0] == "goes on here\nstops.\n  deep last word"
+    assert got[1, 1] == "kept" and got[2, 0].startswith("ab Exhibit")
+
+
+def test_deep_outlines(spark):
+    levels = list(range(12)) + [3, 11, 0, 9]
+    rows = spark.createDataFrame([(1, k, x, k, k + 1) for k, x in enumerate(levels)], "document_id int, pos int, level int, section_id int, page int")
+    parents = {r["section_id"]: r["parent_section_id"] for r in W.build_parents(rows).collect()}
+    assert parents == {k: max((j for j in range(k) if levels[j] < x), default=None) for k, x in enumerate(levels)}
+    ends = {r["section_id"]: r["end_page"] for r in W.assign_end_pages(rows, F.lit(50)).collect()}
+    assert ends == {k: next((max(k + 1, j) for j in range(k + 1, len(levels)) if levels[j] <= x), 50) for k, x in enumerate(levels)}
+
+
+def test_deep_tasks(spark):
+    tasks = spark.createDataFrame([(k,) for k in range(68)], "task int")
+    deps = spark.createDataFrame([(k, k - 1) for k in range(1, 60)] + [(60, 61), (61, 60), (62, 60), (63, 99)], "task int, needs int")
+    got = {r["task"]: r["level"] for r in G.topo_levels(tasks, deps).collect()}
+    assert got == {k: k for k in range(60)} | {60: -1, 61: -1, 62: -1} | {k: 0 for k in range(63, 68)}
+    ordered = G.task_order(tasks.selectExpr("task", "1 AS tier", "-task AS layer", "0 AS position"), G.topo_levels(tasks, deps)).orderBy("rank").collect()
+    assert [r["task"] for r in ordered][:6] == [67, 66, 65, 64, 63, 0] and {r["task"] for r in ordered[-3:]} == {60, 61, 62}
+
+
+NAMES = ["Acme Holdings", "Acme Holding", "acme holdings, inc", "Zenith Corp", "Zenith Corporation Group", "Zenit Corp", "Blue River LLC", "Blue Rivers", "Green", "Greenfield Partners", "Orion Labs", "Orion Lab", "Orlon Labs"]
+
+
+def test_merges_equal_brute_force(spark):
+    from caselake.operators.graph import components  # noqa: F401
+
+    nodes = [(f"n{k:02d}", "party", n, k % 2, ("plaintiff", "defendant", None)[k % 3]) for k, n in enumerate(NAMES)] + [(f"a{k}", "legal_authority", n, 0, None) for k, n in enumerate(["Roe v. Wade", "Roe v Wade", "Doe v. Bolton"])]
+    df = spark.createDataFrame(nodes, "node_id string, node_type string, node_label string, case_id int, role string")
+    norms = {r["node_id"]: r["x"] for r in df.select("node_id", F.when(F.col("node_type") == "party", S.norm_party("node_label")).otherwise(S.norm_authority("node_label")).alias("x")).collect()}
+    want = set()
+    for a, b in itertools.combinations(nodes, 2):
+        if (a[1], a[3]) != (b[1], b[3]):
+            continue
+        x, y = norms[a[0]], norms[b[0]]
+        alike = ratio_of(min(x, y), max(x, y)) >= (0.85 if a[1] == "party" else 0.8)
+        inside = a[1] == "party" and min(len(x), len(y)) >= 3 and (x in y or y in x) and (None in (a[4], b[4]) or a[4] == b[4])
+        if alike or inside:
+            want.add(frozenset((a[0], b[0])))
+    group = {n[0]: n[0] for n in nodes}
+    for _ in nodes:
+        for x, y in map(sorted, want):
+            group = {k: min(group[x], group[y]) if v in (group[x], group[y]) else v for k, v in group.items()}
+    got = {r["node_id"]: r["canonical_id"] for r in G.resolve_entities(df, G.WITHIN).collect()}
+    labels = {n[0]: n[2] for n in nodes}
+    longest = {root: min((k for k, v in group.items() if v == root), key=lambda k: (-len(labels[k]), k)) for root in set(group.values())}
+    assert got == {k: longest[v] for k, v in group.items()}
+    log = G.merge_log(df, "case_id", G.WITHIN).collect()
+    assert {r["method"] for r in log} <= {"exact", "similarity", "substring"} and all(r["score"] is None or r["score"] >= 0.8 for r in log)
+
+
+def test_match_party_equals_brute_force(spark):
+    parties = [(f"p{k:02d}", k % 2, n) for k, n in enumerate(NAMES)]
+    names = [(f"x{k}", d, n) for k, n in enumerate([*NAMES, "Acme", "Zenith", "Unknown Person", "Greenfeld Partners"]) for d in (0, 1)]
+    pdf = spark.createDataFrame(parties, "node_id string, document_id int, node_label string")
+    ndf = spark.createDataFrame([(f"{a}-{d}", d, n) for a, d, n in names], "name_id string, document_id int, name string")
+    norm = {n: one(spark, n, S.norm_party) for n in {x[2] for x in names} | set(NAMES)}
+    want = {}
+    for a, d, n in names:
+        best = []
+        for i, dd, m in parties:
+            if d == dd:
+                x, y = norm[n], norm[m]
+                inside = min(len(x), len(y)) >= 3 and (x in y or y in x)
+                score = 1.0 if x == y else max(ratio_of(x, y), 0.8 if inside else 0)
+                if score >= 0.8:
+                    best.append((-score, i))
+        if best:
+            want[f"{a}-{d}"] = min(best)[1]
+    assert {r["name_id"]: r["node_id"] for r in G.match_party(ndf, pdf).collect()} == want
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(60)]
+    texts = ["", "one two", "One  two", "one two three"] + [" ".join(base)] * 3
+    for k in range(40):
+        cut = rng.randrange(40, 61)
+        texts.append(" ".join(base[:cut] + [f"x{k}_{j}" for j in range(rng.randrange(0, 8))]))
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({" ".join(w)} if len(w) <= 5 else {" ".join(w[i : i + 5]) for i in range(len(w) - 4)})
+    group = list(range(len(texts)))
+    for _ in texts:
+        for i, j in itertools.combinations(range(1, len(texts)), 2):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                group[i] = group[j] = min(group[i], group[j])
+    got = {r[0]: r[1] for r in L.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "document_id int, section_text string")).collect()}
+    assert got == {k: group[k] for k in range(1, len(texts))}
+
+
+def test_exhibits_a_large_blob_is_split_again(spark):
+    lines = [(1, 0, "## Exhibit A"), (1, 1, "z" * 60), (1, 2, "Exhibit B follows"), (1, 3, "more"), (2, 0, "## Exhibit A"), (2, 1, "short")]
+    df = spark.createDataFrame(lines, "document_id int, pos int, line string")
+    labels = spark.createDataFrame([(1, "A"), (1, "B")], "document_id int, label string")
+    got = sorted(tuple(r) for r in D.split_exhibits(df, labels, blob=50).collect())
+    assert got == [(1, "A", 0, 2, 1), (1, "B", 2, 4, 1), (2, "A", 0, 2, 0)]
+    marks = spark.createDataFrame([(2, "7", 0, 2)], "document_id int, label string, start int, stop int")
+    assert sorted(tuple(r) for r in D.split_exhibits(df, labels, marks, blob=50).collect())[-1] == (2, "7", 0, 2, -1)
+
+
+def test_wrapped_lines_are_merged(spark):
+    lines = [(1, k, x) for k, x in enumerate(["The quick", "brown fox.", "Next one", "goes hy-", "phenated on", "", "new start"])]
+    got = [r["text"] for r in D.merge_lines(spark.createDataFrame(lines, "document_id int, pos int, line string")).orderBy("para").collect()]
+    assert got[0] == "The quick brown fox." and got[1].startswith("Next one goes hyphenated on")
+
+
+def test_offset_of_printed_pages(spark):
+    entries = spark.createDataFrame([(1, k, f"Chapter on subject {c}", p) for k, (c, p) in enumerate([("alpha", 1), ("beta", 4), ("gamma", 7)])], "document_id int, pos int, title string, page int")
+    lines = spark.createDataFrame([(1, p + 2, 0, f"Chapter on subject {c}") for c, p in [("alpha", 1), ("beta", 4), ("gamma", 7)]] + [(1, 3, 1, "nothing like it")], "document_id int, page int, line_no int, line string")
+    assert [(r["document_id"], r["page_offset"], r["support"]) for r in D.calibrate_offset(entries, lines).collect()] == [(1, 2, 3)]
+
+
+def test_theories_by_number_then_label(spark):
+    theories = spark.createDataFrame([("t1", 1, 2, "x"), ("t2", 1, None, "COUNT one"), ("t3", 1, 9, "none")], "theory_id string, document_id int, count_number int, count_label string")
+    counts = spark.createDataFrame([("c1", 1, 1, "Count One"), ("c2", 1, 2, "Count Two")], "count_id string, document_id int, number int, label string")
+    assert {(r[0], r[1]) for r in G.link_theories(theories, counts).collect()} == {("t1", "c2"), ("t2", "c1")}
+
+
+def test_too_many_rules_are_refused(spark):
+    with pytest.raises(ValueError):
+        D.rule_array(spark.range(30).selectExpr("CAST(id AS string) AS pattern"), most=20)
