@@ -225,10 +225,10 @@ def _(v):
     return G.task_context(tasks, deps, results, 10)
 
 
-@query("breached_by", "WITH d AS (SELECT document_id, case_id, document_type FROM v_docs WHERE case_id IS NOT NULL), o AS (SELECT n.node_id AS src, case_id, n.section_id % 5 AS party FROM v_nodes n JOIN d USING (document_id) WHERE node_type = 'obligation' AND starts_with(document_type, 'Contract')), c AS (SELECT n.node_id AS dst, case_id, n.section_id % 5 AS party FROM v_nodes n JOIN d USING (document_id) WHERE node_type = 'claim' AND document_type = 'Pleading - Complaint' AND contains(node_label, 'URGENT')) SELECT DISTINCT src, dst, 'breached_by' AS edge_type, 0.7 AS confidence FROM o JOIN c USING (case_id, party)")
+@query("breached_by", "WITH d AS (SELECT document_id, case_id, document_type FROM v_docs WHERE case_id IS NOT NULL), o AS (SELECT n.node_id AS src, case_id, CAST(floor(n.section_id / 10) AS BIGINT) AS party FROM v_nodes n JOIN d USING (document_id) WHERE node_type = 'obligation' AND starts_with(document_type, 'Contract')), c AS (SELECT n.node_id AS dst, case_id, CAST(floor(n.section_id / 10) AS BIGINT) AS party FROM v_nodes n JOIN d USING (document_id) WHERE node_type = 'claim' AND document_type = 'Pleading - Complaint' AND contains(node_label, 'URGENT')) SELECT DISTINCT src, dst, 'breached_by' AS edge_type, 0.7 AS confidence FROM o JOIN c USING (case_id, party)")
 def _(v):
     d = v("v_docs").filter("case_id IS NOT NULL").select("document_id", "case_id", "document_type")
-    n = v("v_nodes").join(d, "document_id").withColumn("party", F.col("section_id") % 5)
+    n = v("v_nodes").join(d, "document_id").withColumn("party", F.floor(F.col("section_id") / 10))
     text = F.when(F.col("node_label").contains("URGENT"), F.concat(F.lit("Breach of "), "node_label")).otherwise(F.col("node_label"))
     return G.breached_by(n.filter("node_type = 'obligation' AND document_type LIKE 'Contract%'"), n.filter("node_type = 'claim' AND document_type = 'Pleading - Complaint'").withColumn("claim_text", text))
 
@@ -265,7 +265,7 @@ def _(v):
 
 
 _CE = """WITH d AS (SELECT document_id, case_id, replace(document_type, 'Pleading - ', '') AS t FROM v_docs WHERE case_id IS NOT NULL),
- n AS (SELECT v.*, case_id, t, section_id % 5 AS party, CASE section_id % 4 WHEN 0 THEN 'argument' WHEN 1 THEN 'holding' WHEN 2 THEN 'admissions_denials' END AS lab, regexp_extract(node_label, '\\S+$') AS canon FROM v_nodes v JOIN d USING (document_id)),
+ n AS (SELECT v.*, case_id, t, CAST(floor(section_id / 10) AS BIGINT) AS party, CASE section_id % 4 WHEN 0 THEN 'argument' WHEN 1 THEN 'holding' WHEN 2 THEN 'admissions_denials' END AS lab, regexp_extract(node_label, '\\S+$') AS canon FROM v_nodes v JOIN d USING (document_id)),
  p AS (SELECT DISTINCT document_id, section_id, canon FROM n WHERE node_type = 'party')
 SELECT DISTINCT o.node_id AS src, c.node_id AS dst, 'breached_by' AS edge_type, 0.7 AS confidence FROM n o JOIN n c USING (case_id, party) WHERE o.node_type = 'obligation' AND starts_with(o.t, 'Contract') AND c.node_type = 'claim' AND c.t = 'Complaint' AND contains(c.node_label, 'URGENT')
 UNION ALL SELECT DISTINCT a.node_id, h.node_id, 'challenges', 0.7 FROM n a JOIN p x USING (document_id, section_id) JOIN p y ON x.canon = y.canon JOIN n h ON h.document_id = y.document_id AND h.section_id = y.section_id AND h.case_id = a.case_id WHERE a.node_type = 'claim' AND a.t = 'Motion' AND a.lab = 'argument' AND h.node_type = 'claim' AND h.t = 'Court - Order' AND h.lab = 'holding'
@@ -274,7 +274,7 @@ UNION ALL SELECT DISTINCT a.node_id, c.node_id, 'responds_to', 0.7 FROM n a JOIN
 
 @query("cross_edges", _CE)
 def _(v):
-    n = v("v_nodes").withColumn("party", F.expr("CAST(section_id % 5 AS string)")).withColumn("opponent", F.lit(None).cast("string")).withColumn("canonical_id", F.regexp_extract("node_label", r"\S+$", 0))
+    n = v("v_nodes").withColumn("party", F.expr("CAST(CAST(floor(section_id / 10) AS bigint) AS string)")).withColumn("opponent", F.lit(None).cast("string")).withColumn("canonical_id", F.regexp_extract("node_label", r"\S+$", 0))
     n = n.withColumn("node_label", F.expr("CASE WHEN node_type = 'claim' AND contains(node_label, 'URGENT') THEN 'Breach ' || node_label ELSE node_label END"))
     docs = v("v_docs").select("document_id", "case_id", F.expr("replace(document_type, 'Pleading - ', '')").alias("document_type"))
     labels = n.select("section_id").distinct().withColumn("semantic_label", F.expr("CASE section_id % 4 WHEN 0 THEN 'argument' WHEN 1 THEN 'holding' WHEN 2 THEN 'admissions_denials' END"))
