@@ -335,6 +335,8 @@ def portions(texts: list[str]) -> Iterator[list[str]]:
 
 def int_lists(lists: list, kind) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, lists)])
+    if ends[-1] > np.iinfo(np.int32).max:
+        raise OverflowError("more ids than a batch's offsets can count")
     flat = np.concatenate([np.asarray(x, kind) for x in lists]) if len(lists) else np.empty(0, kind)
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(kind)))
 
@@ -382,6 +384,8 @@ def decode_lists(lists: pa.ListArray, path: str) -> pa.Array:
     upto = np.cumsum(n)
     place = np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(start[ids] - (upto - n), n)
     edges = np.concatenate(([0], upto))[np.concatenate(([0], np.cumsum(per_list)))]
+    if edges[-1] > np.iinfo(np.int32).max:
+        raise OverflowError("more bytes than a batch's offsets can count")
     return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data[place])])
 
 
@@ -399,9 +403,16 @@ def decode(df: DataFrame, path: str) -> DataFrame:
     return df.mapInArrow(run, f"{fields}, decoded binary")
 
 
+#: Fixed value: the pattern that the automaton stands for.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 def default_path() -> str:
+    """The 50k vocabulary; a package whose pattern is another one is refused."""
     import public_tokenizers
 
+    if public_tokenizers.PATTERN != PATTERN:
+        raise ValueError("the tokenizers' pattern isn't the one that this module's automaton stands for")
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 

@@ -18,7 +18,7 @@ pair is counted in the first table that its vectors share. A bucket larger than
 Cases: vectors that are null, empty, zero or hold null or non-finite components
 link with nothing and are their own component; equal vectors are compared once
 and count each other as links; vectors of different lengths don't link; a null
-vec_id takes part in no minimum; an empty table gives an empty result; further
+vec_id takes part in no minimum; single-precision columns stay so, others are read in double precision; an empty table gives an empty result; further
 columns are ignored.
 """
 
@@ -94,7 +94,8 @@ def bucketed(reps: DataFrame, bits: int, tables: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables, dtype=np.int32)), pa.array(keys.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("m"), batch.column("raw"), lists], names=["node", "m", "raw", "keys"])
 
-    return spread(reps).mapInArrow(run, "node long, m long, raw array<float>, keys array<long>").selectExpr("node", "m", "raw", "keys", "posexplode(keys) AS (t, key)")
+    kind = reps.schema["raw"].dataType.simpleString()
+    return spread(reps).mapInArrow(run, f"node long, m long, raw {kind}, keys array<long>").selectExpr("node", "m", "raw", "keys", "posexplode(keys) AS (t, key)")
 
 
 def bucket_links(rows: DataFrame, threshold: float) -> DataFrame:
@@ -131,7 +132,7 @@ def bucket_links(rows: DataFrame, threshold: float) -> DataFrame:
                     continue
                 part = tab.slice(s, e - s)
                 node, m = part.column("node").to_numpy(), part.column("m").to_numpy()
-                raw = [np.asarray(x, np.float32) for x in part.column("raw").to_pylist()]
+                raw = [np.asarray(x) for x in part.column("raw").to_pylist()]
                 keys = np.array(part.column("keys").to_pylist(), np.int64)
                 side = part.column("side").to_numpy()
                 i, j = pairs(node, raw, keys, int(part.column("t")[0].as_py()), side if side.max() else None)
@@ -148,7 +149,8 @@ def bucket_links(rows: DataFrame, threshold: float) -> DataFrame:
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, most: int = 4096) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of (vec_id, embedding)."""
     good = "embedding IS NOT NULL AND size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(embedding, x -> x <> 0)"
-    rows = vectors.selectExpr("CAST(vec_id AS long) AS vec_id", "CAST(embedding AS array<float>) AS embedding")
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    rows = vectors.selectExpr("CAST(vec_id AS long) AS vec_id", "embedding" if single else "CAST(embedding AS array<double>) AS embedding")
     rows = rows.selectExpr("vec_id", f"CASE WHEN coalesce({good}, false) THEN embedding END AS raw")
     reps = cut(rows.filter("raw IS NOT NULL").groupBy("raw").agg(F.min("vec_id").alias("node"), F.count("*").alias("m")).filter("node IS NOT NULL").select("node", "m", "raw"))
     bits, tables = plan(reps.count(), threshold)
@@ -164,7 +166,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, most: int = 4096
     roots = components(found.select("a", "b"))
     counts = found.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "node")
     by_raw = reps.join(counts, "node", "left").join(roots, "node", "left").selectExpr("raw", "coalesce(n, 0) + m - 1 AS links", "coalesce(root, node) AS root")
-    out = rows.join(by_raw, "raw", "left").selectExpr("vec_id", "coalesce(links, 0L) AS n_links", "coalesce(root, vec_id) AS component_id")
+    out = rows.filter("raw IS NOT NULL").join(by_raw, "raw", "left").selectExpr("vec_id", "coalesce(links, 0L) AS n_links", "coalesce(root, vec_id) AS component_id")
+    out = out.unionByName(rows.filter("raw IS NULL").selectExpr("vec_id", "0L AS n_links", "vec_id AS component_id"))
     return out.withColumn("kept", F.expr("vec_id = component_id"))
 
 

@@ -13,8 +13,9 @@ an attempt that fails leaves a file that nothing refers to.
 
 Cases: a null payload is empty; an empty payload is a record like any other; a
 null page_id or address is written as an absent header and read back as null; rows
-that repeat the smallest page_id of a payload are all responses; a member that
-is compressed, or a broken archive, raises ValueError; an empty table gives no
+that repeat the smallest page_id of a payload are all responses; line breaks in an address
+are percent-encoded and stay so; an archive without an index, or with several WARC members, is walked
+record by record; a missing or compressed member, a record without its headers, or a broken archive raises ValueError; an empty table gives no
 archive and an empty result; further columns aren't written.
 """
 
@@ -84,11 +85,25 @@ class Writer:
         self.zip.close()
 
 
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The store and the path of an address; one without a scheme is a local path."""
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[5:]
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme of the cluster's own file system where it names none."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def write_archives(records: DataFrame, folder: str, date: str = "2024-01-31T00:00:00Z", roll: int = ROLL_BYTES) -> DataFrame:
     """Write (page_id long, url string, payload binary, refers_to long) and return (uri, bytes, records) of each archive."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, top = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        store, top = opened(folder)
         store.create_dir(top, recursive=True)
         writer = stream = name = None
         done: list[tuple[str, int, int]] = []
@@ -127,7 +142,7 @@ class Range:
         if isinstance(source, bytes):
             self.file = pa.BufferReader(source)
         else:
-            store, path = fs.FileSystem.from_uri(source) if "://" in source or source.startswith("file:") else (fs.LocalFileSystem(), source)
+            store, path = opened(source)
             self.file = store.open_input_file(path)
         self.size = self.file.size()
 
@@ -200,13 +215,38 @@ def data_start(f: Range, member: Member) -> int:
 
 
 def record_ranges(f: Range) -> Iterator[tuple[int, int]]:
-    """(offset in the file, length) of every record, by the index member."""
+    """(offset in the file, length) of every record: by the index member where there is one, else by walking each stored WARC member from header to header."""
     members = {m.name: m for m in directory(f)}
-    data, index = members[WARC_MEMBER], members[INDEX_MEMBER]
-    start = data_start(f, data)
-    for line in f.read(data_start(f, index), index.size).splitlines():
-        entry = json.loads(line)
-        yield start + entry["offset"], entry["length"]
+    archives = [m for name, m in members.items() if name.endswith(".warc")]
+    if not archives:
+        raise ValueError("no WARC member")
+    if INDEX_MEMBER in members and len(archives) == 1:
+        start, index = data_start(f, archives[0]), members[INDEX_MEMBER]
+        for line in f.read(data_start(f, index), index.size).splitlines():
+            entry = json.loads(line)
+            yield start + entry["offset"], entry["length"]
+        return
+    for member in archives:
+        at = data_start(f, member)
+        stop = at + member.size
+        while at < stop:
+            n = walked(f, at, stop)
+            yield at, n
+            at += n
+
+
+def walked(f: Range, at: int, stop: int) -> int:
+    """Length of the record that begins at a place, with the blank line after it."""
+    head, step = b"", 1024
+    while b"\r\n\r\n" not in head:
+        if at + len(head) >= stop:
+            raise ValueError("a record without an end of its header")
+        head += f.read(at + len(head), min(step, stop - at - len(head)))
+    head = head.partition(b"\r\n\r\n")[0]
+    size = next((x.partition(b":")[2] for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
+    if size is None or not head.startswith(b"WARC/"):
+        raise ValueError("not a WARC record")
+    return len(head) + 4 + int(size) + 4
 
 
 class Record(NamedTuple):
@@ -225,7 +265,9 @@ def parse_record(data: bytes) -> Record:
     lines = head.decode("utf-8", "surrogatepass").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
-    field = dict(x.split(": ", 1) for x in lines[1:])
+    field = dict(x.split(": ", 1) for x in lines[1:] if ": " in x)
+    if missing := {"Content-Length", "WARC-Type", "WARC-Payload-Digest"} - field.keys():
+        raise ValueError(f"a record without {', '.join(sorted(missing))}")
     block = rest[: int(field["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     size = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), len(payload))
@@ -284,5 +326,5 @@ def with_revisits(pages: DataFrame, least: int = 0, most_broadcast: int = 200_00
 
 def op5_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").selectExpr("CAST(page_id AS long) AS page_id", "CAST(url AS string) AS url", "CAST(coalesce(html, '') AS binary) AS payload")
-    written = cut(write_archives(with_revisits(pages), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"))
+    written = cut(write_archives(with_revisits(pages), qualified(spark, f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")))
     return read_archives(written, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -156,6 +156,27 @@ def test_op2_targets_and_words_taken(spark):
     assert dict(zip(got.doc_id, got.copies, strict=True)) == dict(zip(again.doc_id, again.copies, strict=True))
 
 
+def test_op2_tilts_equal_bisection(spark):
+    rng = random.Random(9)
+    rows = [(k, " ".join(["w"] * rng.randint(1, 80)), rng.choice("abbbc")) for k in range(400)]
+    sizes = {s: np.array([len(r[1].split()) for r in rows if r[2] == s], float) for s in "abc"}
+    counts = spark.createDataFrame([(s, int(n), int((v == n).sum())) for s, v in sizes.items() for n in np.unique(v)], "source string, size long, n long")
+    goals = spark.createDataFrame([(s, float(v.sum()), float(v.mean()), float(v.sum() * f)) for (s, v), f in zip(sizes.items(), (0.4, 1.1, 1.9), strict=True)], "source string, source_size double, mean_size double, target double")
+    for r in mixing.tilts(counts, goals).collect():
+        v, low, high = sizes[r["source"]], -100.0, 100.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if (v * np.minimum(2, np.exp(np.minimum(mid * v / v.mean(), 700)))).sum() < r["target"] else (low, mid)
+        assert r["lam"] == pytest.approx(low, rel=1e-5, abs=1e-7)
+
+
+def test_op2_repeated_rows_are_weighed_by_their_count(spark):
+    rows = [(1, "w " * 7, "a")] * 50 + [(k, "w " * (k % 5 + 1), "a") for k in range(2, 200)] + [(k, "w w w", "b") for k in range(300, 500)]
+    got = mixing.mix(docs_of(spark, rows).drop("n_chars")).toPandas()
+    for _, part in got.groupby("source"):
+        assert abs((part.copies * part.mix_size).sum() - part.target.iloc[0]) <= 3
+
+
 def test_op2_odd_rows(spark):
     assert mixing.mix(docs_of(spark, ODD, clash=True)).count() == len(ODD)
     assert mixing.mix(docs_of(spark, [])).count() == 0
@@ -323,6 +344,8 @@ def test_op5_round_trip(spark, tmp_path):
         assert r["payload"] == (bytearray(html) if r["page_id"] == first else None)
     for uri in [r["uri"] for r in written.collect()]:
         assert zipfile.ZipFile(uri).testzip() is None
+    joined = warc_zip.with_revisits(raw, most_broadcast=0).collect()
+    assert sorted(map(str, joined)) == sorted(map(str, warc_zip.with_revisits(raw).collect()))
     empty = common.cut(warc_zip.write_archives(warc_zip.with_revisits(raw.limit(0)), str(tmp_path / "none")))
     assert warc_zip.read_archives(empty).count() == 0
 
@@ -341,6 +364,18 @@ def test_op5_zip64_and_broken_archives(monkeypatch):
     assert [f.read(a, n) for a, n in warc_zip.record_ranges(f)] == records
     with pytest.raises(ValueError):
         list(warc_zip.record_ranges(warc_zip.Range(out.getvalue()[:-40])))
+    other = io.BytesIO()
+    with zipfile.ZipFile(other, "w", zipfile.ZIP_STORED) as z:  # two members and no index, as others may write them
+        z.writestr("archive/a.warc", b"".join(records[:20]))
+        z.writestr("archive/b.warc", b"".join(records[20:]))
+    f = warc_zip.Range(other.getvalue())
+    assert [f.read(a, n) for a, n in warc_zip.record_ranges(f)] == records
+    bare = io.BytesIO()
+    with zipfile.ZipFile(bare, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("readme.txt", "nothing")
+    for broken in (lambda: list(warc_zip.record_ranges(warc_zip.Range(bare.getvalue()))), lambda: warc_zip.parse_record(b"WARC/1.1\r\nWARC-Type: response\r\n\r\n")):
+        with pytest.raises(ValueError):
+            broken()
     packed = io.BytesIO()
     with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr(warc_zip.WARC_MEMBER, "x" * 100)
@@ -373,6 +408,20 @@ def test_op7_recall_and_exactness(spark):
     assert rotation_codes.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_op7_recall_just_above_the_threshold_among_many(spark):
+    rng = np.random.default_rng(16)
+    base = rng.normal(size=(8000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.normal(size=base.shape)
+    side -= (side * base).sum(1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cos = rng.uniform(0.9005, 0.92, 8000)[:, None]
+    x = np.concatenate((base, cos * base + np.sqrt(1 - cos**2) * side))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = rotation_codes.near_duplicates(rows).filter("vec_id >= 8000 AND component_id = vec_id - 8000 AND n_links = 1").count()
+    assert found >= 0.9 * 8000
+
+
 def test_op7_bounds_hold():
     rng = np.random.default_rng(7)
     u = rotation_codes.unit(rng.normal(size=(300, 64)))
@@ -477,6 +526,54 @@ def test_op9_large_leaves_give_what_small_ones_give(spark):
         assert got == want and 0 < len(want) < len(rows) - 2, leaf_rows
 
 
+def slow_line_dedup(rows, least_tokens=4, alike=0.8):
+    """(doc_id, pos) to drop, with every pair of lines of a leaf and every pair of documents compared."""
+    lines = [(d, p, tuple(line_dedup.masked_tokens(x))) for d, t in rows for p, x in enumerate((t or "").encode().split(b"\n"))]
+    lines = [x for x in lines if len(x[2]) >= least_tokens]
+    kinds = sorted({x[2] for x in lines})
+    leaf = {}
+    for k, t in enumerate(kinds):
+        leaf.setdefault((len(t), t[:4]), []).append(k)
+    pairs = [(i, j) for own in leaf.values() for i, j in itertools.combinations(own, 2) if np.mean([a == b for a, b in zip(kinds[i], kinds[j], strict=True)]) >= alike]
+    template = dict(zip(kinds, common.unions(len(kinds), *np.array(pairs or np.empty((0, 2), int)).T.astype(int)).tolist(), strict=True))
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({" ".join(w)} if len(w) <= 5 else {" ".join(w[i : i + 5]) for i in range(len(w) - 4)})
+    near = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    group = dict(zip([d for d, _ in rows], common.unions(len(rows), *np.array(near or np.empty((0, 2), int)).T.astype(int)).tolist(), strict=True))
+    where = {}
+    for d, _, t in lines:
+        where.setdefault(template[t], set()).add(d)
+    return {(d, p) for d, p, t in lines if len({group[x] for x in where[template[t]]}) >= 2 and d != min(where[template[t]])}
+
+
+def test_op9_equals_brute_force(spark):
+    rng = random.Random(12)
+    words = [f"k{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(20)]
+    passages = [" ".join(rng.choices(words, k=rng.randrange(5, 60))) for _ in range(12)]
+    rows = []
+    for d in range(60):
+        parts = [" ".join(rng.choices(words, k=rng.randrange(2, 30))) for _ in range(6)]
+        for _ in range(rng.randrange(3)):
+            w = rng.choice(passages).split()
+            if rng.random() < 0.5:
+                w[-1] = rng.choice(["7", "x@y", "other"])
+            parts.insert(rng.randrange(len(parts)), " ".join(w))
+        rows.append((d, "\n".join(parts)))
+    rows += [(60 + k, rows[k][1]) for k in range(6)] + [(70 + k, rows[k][1] + " one more") for k in range(6)]
+    want = slow_line_dedup(rows)
+    assert len(want) > 20
+    for how in ({}, {"most_broadcast": 0, "leaf_rows": 2}):
+        assert {tuple(r) for r in line_dedup.recurring_lines(docs_of(spark, rows), **how).collect()} == want
+
+
+def test_similar_documents_without_broadcast(spark):
+    rows = [(k, " ".join(f"a{j}" for j in range(k // 3, 200 + k // 3 * 50))) for k in range(30)]
+    both = [sorted(tuple(r) for r in simhash.similar_documents(docs_of(spark, rows), most_broadcast=m).collect()) for m in (0, 1000)]
+    assert both[0] == both[1] and both[0][1] == (1, 0)
+
+
 # -- op10 ------------------------------------------------------------------------------------
 
 
