@@ -33,7 +33,7 @@ def run_metrics(results: DataFrame, key: str) -> DataFrame:
     done = F.col("status") == "completed"
     return results.groupBy(key).agg(
         F.count_if(done).alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"),
-        F.count_if(F.col("value") > 80).alias("flagged"), F.round(F.avg(F.when(done, F.col("value"))), 4).alias("mean_value"),
+        F.count_if(F.col("value") > 80).alias("flagged"), F.round(F.avg(F.when(done, F.col("value"))), 9).alias("mean_value"),
         F.when(F.count_if(F.col("status") == "failed") > 0, "partial").otherwise("complete").alias("outcome"),
     )
 

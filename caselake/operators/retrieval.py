@@ -69,7 +69,7 @@ def query_extractions(ext: DataFrame, docs: DataFrame, kind: str | None = None,
     rows = rows.filter(ilike_contains("entity_name", name)) if name else rows
     d = docs.filter(F.col("document_type") == doc_type) if doc_type else docs
     rows = rows.join(d.select("document_id", "document_type", "file_name"), "document_id")
-    return ranked(rows, [F.col("confidence").desc(), F.col("extraction_id")], limit)
+    return ranked(rows, [F.col("confidence").desc(), F.col("extraction_id"), F.col("entity_name")], limit)
 
 
 def find_sections(sections: DataFrame, text: str | None = None, label: str | None = None, pages: tuple[int, int] | None = None) -> DataFrame:

@@ -31,7 +31,7 @@ def _(v):
     return A.session_rollup(v("v_responses"))
 
 
-@query("run_metrics", "SELECT job_id, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (value > 80) AS flagged, round(avg(value) FILTER (status = 'completed'), 4) AS mean_value, CASE WHEN count(*) FILTER (status = 'failed') > 0 THEN 'partial' ELSE 'complete' END AS outcome FROM v_intake GROUP BY 1")
+@query("run_metrics", "SELECT job_id, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (value > 80) AS flagged, round(avg(value) FILTER (status = 'completed'), 9) AS mean_value, CASE WHEN count(*) FILTER (status = 'failed') > 0 THEN 'partial' ELSE 'complete' END AS outcome FROM v_intake GROUP BY 1")
 def _(v):
     return A.run_metrics(v("v_intake"), "job_id")
 

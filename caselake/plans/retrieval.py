@@ -50,7 +50,7 @@ def _(v):
     return R.enrich_hits(hits, v("v_sections"), v("v_docs")).select(F.col("hit").alias("section_id"), "section_title", "file_name", "start_page")
 
 
-@query("query_extractions", "SELECT extraction_id, entity_name, confidence, row_number() OVER (ORDER BY confidence DESC, extraction_id) AS rank FROM v_extractions JOIN v_docs USING (document_id) WHERE extraction_type = 'party' AND entity_name ILIKE '%widget%' AND document_type = 'Contract - NDA' QUALIFY rank <= 50")
+@query("query_extractions", "SELECT extraction_id, entity_name, confidence, row_number() OVER (ORDER BY confidence DESC, extraction_id, entity_name) AS rank FROM v_extractions JOIN v_docs USING (document_id) WHERE extraction_type = 'party' AND entity_name ILIKE '%widget%' AND document_type = 'Contract - NDA' QUALIFY rank <= 50")
 def _(v):
     return R.query_extractions(v("v_extractions"), v("v_docs"), "party", "widget", "Contract - NDA").select("extraction_id", "entity_name", "confidence", "rank")
 
