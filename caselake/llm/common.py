@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
         jvm_dir = sc._jsc.sc().getCheckpointDir()
+        if not jvm_dir.isDefined() and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         there = jvm_dir.get() if jvm_dir.isDefined() else tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(there)
