@@ -291,16 +291,32 @@ VOID = {"br", "hr", "img", "input", "link", "meta", "area", "base", "col", "embe
 BLOCKS = {"p", "div", "li", "tr", "br", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "table", "section", "article", "nav", "title"}
 
 
+#: Words in the attributes of a page's own outline.
+OUTLINE_WORDS = ("toc", "table-of-contents", "tableofcontents", "contents", "index", "navigation", "outline")
+
+
 class _Elements(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.rows: list[tuple[str, str | None, str | None, str]] = []
+        self.rows: list[tuple[str, str | None, str | None, str, int]] = []
         self.tag, self.id, self.href, self.skip, self.text = "", None, None, [], []
+        self.inside: dict[int, tuple[str, int]] = {}  # the open outline container of each kind: its tag, and how many of that tag are open
+        self.met: set[int] = set()
+
+    def container(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        """The first nav element, and the first other block, whose attributes speak of an outline."""
+        for kind, (own, depth) in self.inside.items():
+            self.inside[kind] = (own, depth + (own == tag))
+        told = " ".join(v or "" for k, v in attrs if tag == "nav" or k in ("id", "class")).lower()
+        kind = 1 if tag == "nav" else 2
+        if tag in ("nav", "div", "section", "aside") and kind not in self.met and any(w in told for w in OUTLINE_WORDS):
+            self.met.add(kind)
+            self.inside[kind] = (tag, 1)
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.rows.append((self.tag, self.id, self.href, text))
+            self.rows.append((self.tag, self.id, self.href, text, min(self.inside, default=0)))
         self.text = []
 
     def handle_starttag(self, tag, attrs):
@@ -309,16 +325,18 @@ class _Elements(HTMLParser):
                 self.flush()
                 self.skip.append(tag)
             return
-        if tag in BLOCKS or tag == "a":
+        if tag in BLOCKS or tag in ("a", "aside"):
             self.flush()
+            self.container(tag, attrs)
             got = dict(attrs)
             self.tag, self.id, self.href = tag, got.get("id") or got.get("name"), got.get("href")
 
     def handle_endtag(self, tag):
         if self.skip and tag == self.skip[-1]:
             self.skip.pop()
-        elif tag in BLOCKS or tag == "a":
+        elif tag in BLOCKS or tag in ("a", "aside"):
             self.flush()
+            self.inside = {k: (own, depth - (own == tag)) for k, (own, depth) in self.inside.items() if own != tag or depth > 1}
             self.tag, self.id, self.href = "", None, None
 
     def handle_data(self, data):
@@ -327,7 +345,7 @@ class _Elements(HTMLParser):
 
 
 def html_elements(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, tag, element_id, href, text): the visible text of each block, scripts and styles skipped."""
+    """(page_id, pos, tag, element_id, href, text, container): the visible text of each block, scripts and styles skipped; container is 1 within the page's outline nav, 2 within another outline block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -337,24 +355,36 @@ def html_elements(pages: DataFrame) -> DataFrame:
                 p.feed(html or "")
                 p.flush()
                 out += [(pid, k, *r) for k, r in enumerate(p.rows)]
-            yield pd.DataFrame(out, columns=["page_id", "pos", "tag", "element_id", "href", "text"])
+            yield pd.DataFrame(out, columns=["page_id", "pos", "tag", "element_id", "href", "text", "container"])
 
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, pos int, tag string, element_id string, href string, text string")
+    return pages.select("page_id", "html").mapInPandas(run, "page_id long, pos int, tag string, element_id string, href string, text string, container int")
 
 
 def html_text(elements: DataFrame) -> DataFrame:
     return ordered_text(elements, ["page_id"], "pos", "text", "text")
 
 
-def html_outline(elements: DataFrame) -> DataFrame:
-    """Outline of each page by the first way with two entries or more: links to anchors, else headings."""
-    ids = elements.filter("element_id IS NOT NULL").select("page_id", "element_id").distinct()
-    links = elements.filter(F.col("href").startswith("#")).select("page_id", "pos", F.expr("substring(href, 2)").alias("element_id"), F.col("text").alias("title")).join(ids, ["page_id", "element_id"]).select("page_id", "pos", "title", F.lit(1).alias("level"), F.lit(0).alias("way"))
-    heads = elements.filter(F.col("tag").rlike("^h[1-6]$")).select("page_id", "pos", F.col("text").alias("title"), F.substring("tag", 2, 1).cast("int").alias("level"), F.lit(1).alias("way"))
-    rows = links.unionByName(heads)
+def html_outline(elements: DataFrame, least: float = 0.55) -> DataFrame:
+    """(page_id, pos, title, level, way, element_id): outline of each page by the first way with two entries or more.
+
+    0: links of an outline container; 1: links to anchors, each anchor once; 2: headings; 3: lines that look like outline entries.
+    An entry without an anchor gets the element with an id whose first text resembles its title most, by ratio from ``least`` on.
+    """
+    ids = elements.filter("element_id IS NOT NULL").select("page_id", "element_id", F.col("pos").alias("_at"), F.col("text").alias("_text"))
+    links = elements.filter(F.col("href").startswith("#")).select("page_id", "pos", F.expr("substring(href, 2)").alias("element_id"), F.col("text").alias("title"), F.lit(1).alias("level"), "container")
+    kind = F.min(F.when(F.col("container") > 0, F.col("container"))).over(Window.partitionBy("page_id"))
+    listed = links.withColumn("_kind", kind).filter("container = _kind").drop("container", "_kind").withColumn("way", F.lit(0))
+    anchored = first_seen(links.drop("container").join(ids.select("page_id", "element_id").distinct(), ["page_id", "element_id"]), ["page_id", "element_id"], F.col("pos")).withColumn("way", F.lit(1))
+    heads = elements.filter(F.col("tag").rlike("^h[1-6]$")).select("page_id", "pos", "element_id", F.col("text").alias("title"), F.substring("tag", 2, 1).cast("int").alias("level"), F.lit(2).alias("way"))
+    scanned = elements.filter(F.col("text").rlike(ENTRY)).select("page_id", "pos", F.lit(None).cast("string").alias("element_id"), F.trim(F.regexp_extract("text", ENTRY, 2)).alias("title"), F.lit(1).alias("level"), F.lit(3).alias("way"))
+    rows = listed.unionByName(anchored).unionByName(heads).unionByName(scanned)
     n = F.count("*").over(Window.partitionBy("page_id", "way"))
     rows = rows.withColumn("_n", n).withColumn("_use", F.min(F.when(F.col("_n") >= 2, F.col("way"))).over(Window.partitionBy("page_id")))
-    return rows.filter("way = coalesce(_use, 1)").drop("_n", "_use")
+    rows = rows.filter("way = coalesce(_use, 2)").drop("_n", "_use")
+    open_ = rows.filter("element_id IS NULL AND way = 3").select("page_id", "pos", F.lower("title").alias("_a"))
+    near = open_.join(ids, "page_id").withColumn("_b", F.lower(F.expr("substring(_text, 1, length(_a) + 30)")))
+    best = first_seen(with_ratio(near, "_a", "_b", least).filter(F.col("ratio") >= least), ["page_id", "pos"], F.col("ratio").desc(), F.col("_at")).select("page_id", "pos", F.lit(3).alias("way"), F.col("element_id").alias("_found"))
+    return rows.join(best, ["page_id", "pos", "way"], "left").withColumn("element_id", F.coalesce("element_id", "_found")).select("page_id", "pos", "title", "level", "way", "element_id")
 
 
 def html_sections(elements: DataFrame) -> DataFrame:

@@ -159,6 +159,20 @@ def test_html(spark):
     assert {r["title"]: r["section_text"] for r in D.html_sections(el).collect()} == {"First": "one\ntwo & three", "Second": "end"}
 
 
+def test_html_outline_ways(spark):
+    pages = [
+        (1, "<a href='#z'>out</a><div class='my-toc'><a href='#a'>One</a><div><a href='#b'>Two</a></div></div><a href='#c'>Three</a><h1 id='a'>x</h1><h1 id='c'>y</h1><h1 id='z'>w</h1>"),
+        (2, "<h1>Only</h1><p>text</p><h3>Two</h3>"),
+        (3, "<p>First chapter ..... 3</p><p>Second chapter .... 9</p><p id='s2'>Second Chapter begins here</p><p id='q'>nothing alike at all</p>"),
+        (4, "<p>nothing</p>"),
+        (5, "<nav id='navigation'><a href='#a'>N1</a><a href='#b'>N2</a></nav><div id='toc'><a href='#c'>D</a></div>"),
+    ]
+    got = D.html_outline(D.html_elements(spark.createDataFrame(pages, "page_id long, html string"))).orderBy("page_id", "pos").collect()
+    assert [(r["page_id"], r["way"], r["title"], r["element_id"]) for r in got] == [
+        (1, 0, "One", "a"), (1, 0, "Two", "b"), (2, 2, "Only", None), (2, 2, "Two", None), (3, 3, "First chapter", None), (3, 3, "Second chapter", "s2"), (5, 0, "N1", "a"), (5, 0, "N2", "b"),
+    ]
+
+
 def test_anchors(spark):
     text = "a" * 400 + "ANCHOR ONE here" + "b" * 400 + "ANCHOR TWO is longer than the text" + "c" * 10
     s = spark.createDataFrame([(1, 0, text)], "section_id long, level long, section_text string")
