@@ -6,6 +6,7 @@ import itertools
 import random
 import struct
 import zipfile
+import zlib
 
 import numpy as np
 import pytest
