@@ -27,7 +27,7 @@ def slugify(c: str | Column) -> Column:
 
 
 #: Company endings that don't tell parties apart.
-SUFFIXES = r",?\s+(incorporated|inc|llc|llp|corporation|corp|company|co|ltd|limited|lp|plc|pllc|pc)\.?$"
+SUFFIXES = r",?\s+(inc\.|llc|corp\.|ltd\.|l\.p\.|llp|p\.c\.|n\.a\.|co\.|corporation|incorporated|limited)\.?$"
 
 
 def norm_party(c: str | Column) -> Column:
@@ -36,7 +36,7 @@ def norm_party(c: str | Column) -> Column:
 
 def norm_authority(c: str | Column) -> Column:
     """The name of an authority without the reporter citation at its end."""
-    return F.trim(clean(F.lower(col(c)), (r",?\s+\d+\s+[a-z.0-9 ]+\s+\d+.*$", ""), (r"\s+", " ")))
+    return F.trim(clean(F.lower(col(c)), (r",?\s+\d+\s+\S+\s+\d+.*$", ""), (r"\s+", " ")))
 
 
 def is_substring(a: str, b: str, least: int = 3) -> Column:
@@ -171,10 +171,17 @@ def date_sort_key(c: str | Column) -> Column:
     )
 
 
-def event_type(name: str, kind: str) -> Column:
-    """Procedural or plain event; null for dates that only describe the file."""
-    generic = F.lower(F.trim(name)).isin("date", "today", "filed", "dated") | F.trim(name).rlike(r"^\d{4}-\d{2}-\d{2}$")
-    return F.when(generic, None).when(F.lower(kind).rlike("fil|serv|hearing|order|motion"), "procedural_event").otherwise("event")
+#: Names of dates that only describe the file; types of dates that are noise; types that make an event procedural.
+DATE_NAMES = ("date", "filing date", "effective date", "execution date", "contract date", "agreement date", "document date", "signing date", "service date")
+NOISE_DATES = ("publication_date", "access_date", "data_period", "citation_date")
+PROCEDURAL_DATES = ("filing", "hearing", "ruling", "motion", "order", "deadline", "service")
+
+
+def event_type(name: str | Column, kind: str | Column) -> Column:
+    """Procedural or plain event; null for dates that only describe the file, bare ISO dates, nameless dates and those of noise types."""
+    n, k = F.trim(F.coalesce(col(name), F.lit(""))), F.lower(F.coalesce(col(kind), F.lit("")))
+    none = (n == "") | F.lower(n).isin(*DATE_NAMES) | n.rlike(r"^\d{4}-\d{2}-\d{2}$") | k.isin(*NOISE_DATES)
+    return F.when(none, None).when(k.isin(*PROCEDURAL_DATES), "procedural_event").otherwise("event")
 
 
 def estimate_pages(position: str, length: str, first: str, last: str) -> Column:

@@ -21,7 +21,18 @@ def kept(df: DataFrame) -> DataFrame:
     """df computed once and read back, so that loops don't grow a lineage or estimates: in the cluster's shared checkpoint folder."""
     path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._kept_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of tables from ``kept`` that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "_kept_path", None):
+            sc = t.sparkSession.sparkContext
+            where = sc._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -103,18 +114,6 @@ def demote_factual(claims: DataFrame, factual: DataFrame) -> tuple[DataFrame, Da
     return claims.join(factual, "section_id", "left_anti"), claims.join(factual, "section_id", "left_semi").withColumnRenamed("label", "allegation")
 
 
-#: Extraction type to node type.
-NODE_TYPES = {"party": "party", "judge": "party", "court": "legal_authority", "date": "event"}
-
-
-def build_nodes(extractions: DataFrame) -> DataFrame:
-    """Nodes of the graph, with an id made from document, type and label."""
-    kind = F.coalesce(*[F.when(F.col("extraction_type") == k, F.lit(t)) for k, t in NODE_TYPES.items()])
-    label = F.when(F.length("entity_name") > 120, F.concat(F.substring("entity_name", 1, 117), F.lit("…"))).otherwise(F.col("entity_name"))
-    rows = extractions.select("document_id", "section_id", kind.alias("node_type"), label.alias("node_label"), F.get_json_object("properties", "$.role_in_document").alias("role"), "confidence")
-    return rows.filter("node_type IS NOT NULL").withColumn("node_id", F.sha2(F.concat_ws("|", F.col("document_id").cast("string"), "node_type", F.lower(F.trim("node_label"))), 256))
-
-
 def dedup_nodes(nodes: DataFrame) -> DataFrame:
     """One node per document, type and normalised label: the first by id, with how many it stands for."""
     return nodes.groupBy("document_id", "node_type", F.lower(F.trim("node_label")).alias("norm")).agg(F.min("node_id").alias("node_id"), F.count("*").alias("merged"), F.array_join(F.array_sort(F.collect_set(F.col("section_id").cast("string"))), ",").alias("sections"))
@@ -188,8 +187,10 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
         jump = moved.select(F.col("node").alias("root"), F.col("root").alias("_r2"))
         nxt = kept(moved.join(jump, "root", "left").select("node", F.least("root", F.coalesce("_r2", "root")).alias("root")))
         changed = nxt.join(labels.withColumnRenamed("root", "_was"), "node").filter("root <> _was").limit(1).count()
+        forget(labels)
         labels = nxt
         if not changed:
+            forget(edges)
             return labels
     raise RuntimeError("links did not settle")
 
@@ -242,9 +243,53 @@ def merge_log(nodes: DataFrame, scope: str, thresholds: dict[str, float]) -> Dat
     return reduce(DataFrame.unionByName, logs)
 
 
-def follow_canonical(pointers: DataFrame, most_rounds: int = 30) -> DataFrame:
-    """(node, root): pointers followed to their end; a cycle ends at its smallest node."""
-    return components(pointers.select(F.col("node").alias("a"), F.col("target").alias("b"))) if most_rounds else pointers
+def chase(pointers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, root, ended) after following pointers (node, at; one per node) by doubling, and the nodes on cycles.
+
+    Each round doubles the steps taken, so a chain takes the logarithm of its length. A node of some distance to its end implies
+    nodes of all smaller distances, so rounds stop when none ended in the last one: what is open then leads
+    into a cycle. From there on doubling shrinks the set of places reached to just the cycles.
+    """
+    cur, before = kept(pointers.selectExpr("node", "at", "node = at AS ended")), None
+    while True:
+        ahead = cur.selectExpr("node AS at", "at AS _at", "ended AS _ended")
+        now = kept(cur.join(ahead, "at", "left").selectExpr("node", "coalesce(_at, at) AS at", "ended OR _at IS NULL OR _ended AS ended"))
+        forget(cur)
+        left = now.filter("NOT ended").count()
+        cur = now
+        if not left or left == before:
+            break
+        before = left
+    if not left:
+        return cur, cur.limit(0).select("node")
+    open_, places = kept(cur.filter("NOT ended").select("node", "at")), None
+    while True:
+        reached = open_.select("at").distinct().count()
+        if reached == places:
+            return cur, open_.selectExpr("at AS node").distinct()
+        places = reached
+        now = kept(open_.join(open_.selectExpr("node AS at", "at AS _at"), "at").selectExpr("node", "_at AS at"))
+        forget(open_)
+        open_ = now
+
+
+def follow_canonical(pointers: DataFrame) -> DataFrame:
+    """(node, root): each node's pointer (node, target) followed to its end, a node that has no pointer or points at itself.
+
+    A node on a cycle is its own root, one that leads into a cycle has the cycle's first node that it meets. Of several pointers of a node the smallest
+    target counts; null nodes and targets are no pointers. A target that many nodes point at is one row on the joins' other side, so a
+    popular root splits like any skewed join key.
+    """
+    one = kept(pointers.filter("node IS NOT NULL AND target IS NOT NULL").groupBy("node").agg(F.min("target").alias("at")))
+    found, cycles = chase(one)
+    if cycles.isEmpty():
+        forget(one)
+        return found.selectExpr("node", "at AS root")
+    stops = kept(cycles)
+    again = one.join(found.filter("NOT ended").select("node"), "node", "left_semi").join(stops.withColumn("_on", F.lit(True)), "node", "left").selectExpr("node", "IF(_on, node, at) AS at")
+    into, _ = chase(again)
+    forget(one)
+    return found.filter("ended").selectExpr("node", "at AS root").unionByName(into.selectExpr("node", "at AS root"))
 
 
 # -- edges -----------------------------------------------------------------------------------

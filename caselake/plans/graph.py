@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from caselake.functions.scalar import DATE_NAMES, NOISE_DATES, PROCEDURAL_DATES, SUFFIXES
 from caselake.operators import graph as G
+from caselake.operators import nodes as N
 from caselake.plans.registry import query
 
 
@@ -95,11 +97,14 @@ def _(v):
     return k.join(c, "g").filter("node_id <> canon").select(F.col("node_id").alias("src"), F.col("canon").alias("dst"), F.lit("same_as").alias("edge_type"), F.lit(0.8).alias("confidence"))
 
 
-@query("follow_canonical", "SELECT part.p_partkey AS node, CASE WHEN p_partkey % 2 = 0 THEN p_partkey - p_partkey % 16 + CASE WHEN p_partkey - p_partkey % 16 = 0 THEN 0 ELSE 0 END ELSE p_partkey - p_partkey % 16 END AS root FROM part WHERE p_partkey >= 16")
+#: Chains of customers up and down, popular roots, roots without a pointer of their own, cycles of three and tails that lead into them.
+_POINTERS = "SELECT c_custkey AS node, CASE WHEN c_custkey % 10 = 9 THEN NULL WHEN c_custkey % 30 = 3 THEN c_custkey + 2 WHEN c_custkey % 30 IN (4, 5) THEN c_custkey - 1 WHEN c_custkey % 30 = 6 THEN c_custkey - 2 WHEN c_custkey % 30 = 7 THEN c_custkey - 1 WHEN c_custkey % 10 = 8 THEN c_custkey WHEN c_custkey % 7 = 0 THEN 88 WHEN c_custkey % 2 = 0 THEN c_custkey + 1 ELSE c_custkey + 2 END AS target FROM customer"
+
+
+@query("follow_canonical", f"WITH RECURSIVE p AS (SELECT * FROM ({_POINTERS}) WHERE target IS NOT NULL), r(node, cur, path, stop) AS (SELECT node, target, [node], target = node FROM p UNION ALL SELECT r.node, p.target, list_append(path, cur), list_contains(list_append(path, cur), p.target) FROM r JOIN p ON p.node = r.cur WHERE NOT stop) SELECT node, cur AS root FROM r WHERE stop OR NOT EXISTS (SELECT 1 FROM p WHERE p.node = r.cur)")
 def _(v):
-    p = v("part").filter("p_partkey >= 16").select(F.col("p_partkey").cast("bigint").alias("node"))
-    own = p.withColumn("target", F.expr("CASE WHEN node % 16 = 0 THEN node ELSE node - 1 END"))
-    return G.follow_canonical(own)
+    v("customer").createOrReplaceTempView("customer")
+    return G.follow_canonical(v.spark.sql(_POINTERS))
 
 
 @query("challenges_edges", "SELECT a.document_id AS src, b.document_id AS dst, 'challenges' AS edge_type FROM v_docs a JOIN v_docs b ON a.case_id = b.case_id AND a.document_type = 'Pleading - Motion' AND b.document_type = 'Pleading - Complaint' WHERE EXISTS (SELECT 1 FROM v_nodes x JOIN v_nodes y ON x.node_type = 'party' AND y.node_type = 'party' AND x.document_id = a.document_id AND y.document_id = b.document_id AND regexp_extract(x.node_label, '\\S+$') = regexp_extract(y.node_label, '\\S+$'))")
@@ -114,9 +119,62 @@ def _(v):
     return G.exhibit_edges(v("v_nodes"), v("v_docs"), kind="obligation")
 
 
-@query("build_nodes", "SELECT CASE extraction_type WHEN 'court' THEN 'legal_authority' WHEN 'date' THEN 'event' ELSE 'party' END AS node_type, sha256(CAST(document_id AS VARCHAR) || '|' || CASE extraction_type WHEN 'court' THEN 'legal_authority' WHEN 'date' THEN 'event' ELSE 'party' END || '|' || lower(trim(entity_name))) AS node_id, json_extract_string(properties, '$.role_in_document') AS role, count(*) AS n FROM v_extractions GROUP BY 1, 2, 3")
+def found(v):
+    """The extractions as a table, as a pipeline would have them: inlined, the view's long expressions would be repeated in each of the operator's."""
+    return G.kept(v("v_found"))
+
+
+_NORM = "CASE node_type WHEN 'party' THEN trim(regexp_replace(regexp_replace(lower(node_label), '" + SUFFIXES + "', ''), '\\s+', ' ', 'g')) ELSE regexp_replace(lower(node_label), '\\s+', ' ', 'g') END"
+_TYPED_SQL = f"""WITH x AS (SELECT *, try_cast(properties AS JSON) AS p FROM v_found),
+y AS (SELECT *, lower(coalesce(p->>'$.date_type', '')) AS dt, trim(coalesce(entity_name, '')) AS n0 FROM x),
+z AS (SELECT *, CASE WHEN n0 = '' AND extraction_type = 'case_citation' THEN trim(coalesce(nullif(p->>'$.case_name', ''), p->>'$.citation', '')) ELSE n0 END AS n FROM y),
+t AS (SELECT *, CASE WHEN extraction_type = 'date' THEN
+  CASE WHEN lower(n) IN {DATE_NAMES} OR regexp_matches(n, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') OR dt IN {NOISE_DATES} THEN NULL WHEN dt IN {PROCEDURAL_DATES} THEN 'procedural_event' ELSE 'event' END
+  WHEN extraction_type IN ('party', 'claim', 'obligation', 'amount', 'condition') THEN extraction_type WHEN extraction_type = 'cause_of_action' THEN 'claim'
+  WHEN extraction_type = 'evidence_ref' THEN 'evidence' WHEN extraction_type = 'case_citation' THEN 'legal_authority' END AS node_type FROM z WHERE n <> ''),
+l AS (SELECT *, CASE WHEN node_type IN ('claim', 'obligation') AND length(n) > 120 THEN substring(n, 1, 117) || '…' ELSE n END AS node_label FROM t WHERE node_type IS NOT NULL),
+k AS (SELECT *, row_number() OVER w AS nth, count(DISTINCT extraction_id) OVER (PARTITION BY document_id, node_type, {_NORM}) AS n_sources FROM l WINDOW w AS (PARTITION BY document_id, node_type, {_NORM} ORDER BY extraction_id, node_label))"""
+#: The properties that the comparison looks at: a column each, null for the types that don't have it.
+_ASKED = ("role", "entity_type", "jurisdiction", "claim_type", "plaintiff", "defendant", "action", "obligated_party", "amount", "date_value", "date_type", "is_relative", "reference_label", "citation", "court", "year", "currency", "payer", "payee", "is_calculated", "condition_type", "trigger_event")
+_FROM_VALUE = {"entity_type": "party", "claim_type": "claim", "action": "obligation", "date_value": "event", "value": "amount", "condition_type": "condition"}
+_OF = {"role": "party", "jurisdiction": "party", "plaintiff": "claim", "defendant": "claim", "obligated_party": "obligation", "amount": "obligation", "court": "legal_authority", "year": "legal_authority", "payer": "amount", "payee": "amount", "trigger_event": "condition"}
+
+
+def _asked_sql(key: str) -> str:
+    if key in _FROM_VALUE:
+        kind = _FROM_VALUE[key]
+        return f"CASE WHEN node_type IN ('{kind}', '{'procedural_event' if kind == 'event' else kind}') THEN entity_value END AS {key}"
+    own = f"p->>'$.{key}'"
+    by_type = {
+        "date_type": "CASE WHEN node_type IN ('event', 'procedural_event') THEN dt END", "is_relative": f"CASE WHEN node_type IN ('event', 'procedural_event') THEN coalesce({own}, 'false') END",
+        "reference_label": "CASE WHEN node_type = 'evidence' THEN n END", "citation": f"CASE WHEN node_type = 'legal_authority' THEN coalesce(nullif({own}, ''), entity_value) END",
+        "currency": f"CASE WHEN node_type = 'amount' THEN coalesce({own}, 'USD') END", "is_calculated": f"CASE WHEN node_type = 'amount' THEN coalesce({own}, 'false') END",
+    }
+    return f"{by_type.get(key) or f"CASE WHEN node_type = '{_OF[key]}' THEN {own} END"} AS {key}"
+
+
+@query("build_nodes", f"{_TYPED_SQL} SELECT k.document_id, d.case_id, node_type, node_label, k.section_id, extraction_id, n_sources, {', '.join(map(_asked_sql, _ASKED))}, CASE WHEN node_type = 'claim' THEN coalesce(array_to_string(CAST(p->'$.evidence_references' AS VARCHAR[]), ';'), '') END AS refs, CASE WHEN coalesce(confidence, 0) = 0 THEN 0.8 ELSE confidence END AS sure, coalesce(s.semantic_label, '') AS semantic_label, coalesce(d.document_type, '') AS document_type FROM k LEFT JOIN v_docs d ON d.document_id = k.document_id LEFT JOIN v_sections s ON s.section_id = k.section_id WHERE nth = 1")
+def _(v):
+    nodes = N.build_nodes(found(v), v("v_docs"), v("v_sections"))
+    get = lambda k, kind="string": F.try_variant_get("properties", f"$.{k}", kind)
+    refs = F.array_join(get("evidence_references", "array<string>"), ";").alias("refs")
+    more = [get(k).alias(k) for k in _ASKED]
+    about = [get("confidence", "double").alias("sure"), get("source_semantic_label").alias("semantic_label"), get("source_document_type").alias("document_type")]
+    return nodes.select("document_id", "case_id", "node_type", "node_label", F.col("source_section_id").alias("section_id"), F.col("source_extraction_id").alias("extraction_id"), F.size("source_extraction_ids").cast("bigint").alias("n_sources"), *more, refs, *about)
+
+
+@query("extraction_nodes", f"{_TYPED_SQL} SELECT extraction_id, first_value(extraction_id) OVER (PARTITION BY document_id, node_type, {_NORM} ORDER BY extraction_id) AS node_of FROM k")
+def _(v):
+    """Which node each extraction became, shown by the node's first extraction."""
+    rows = N.extraction_nodes(found(v)).select("extraction_id", "node_id")
+    return rows.join(rows.groupBy("node_id").agg(F.min("extraction_id").alias("node_of")), "node_id").select("extraction_id", "node_of")
+
+
+@query("extracted_edges")
 def _(v):
-    return G.build_nodes(v("v_extractions")).groupBy("node_type", "node_id", "role").agg(F.count("*").alias("n"))
+    """Extractions to typed nodes to the edges that follow from a document's own nodes; in pytest against hand-made rows."""
+    nodes = G.kept(N.edge_columns(N.build_nodes(found(v), v("v_docs"))))
+    return G.document_edges(nodes, v("v_docs"))
 
 
 @query("dedup_nodes", "SELECT document_id, node_type, lower(trim(node_label)) AS norm, min(node_id) AS node_id, count(*) AS merged, array_to_string(list_sort(list(DISTINCT CAST(section_id AS VARCHAR))), ',') AS sections FROM v_nodes GROUP BY 1, 2, 3")

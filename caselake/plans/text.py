@@ -120,10 +120,10 @@ def _(v):
     return v("v_nodes").select("node_id", F.coalesce(S.date_sort_key("date_value"), F.lit("9999-99-99")).alias("k"))
 
 
-@query("event_type", "SELECT extraction_id, CASE WHEN extraction_id % 5 = 0 THEN NULL WHEN regexp_matches(lower(entity_value), 'fil|serv|hearing|order|motion|plated') AND contains(lower(entity_value), 'order') THEN 'procedural_event' ELSE 'event' END AS kind FROM v_extractions")
+@query("event_type", f"SELECT extraction_id, CASE WHEN trim(coalesce(entity_name, '')) = '' OR lower(trim(entity_name)) IN {S.DATE_NAMES} OR regexp_matches(trim(entity_name), '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') OR k IN {S.NOISE_DATES} THEN NULL WHEN k IN {S.PROCEDURAL_DATES} THEN 'procedural_event' ELSE 'event' END AS kind FROM (SELECT *, lower(CASE WHEN extraction_type = 'date' THEN json_extract_string(properties, '$.date_type') ELSE '' END) AS k FROM v_found)")
 def _(v):
-    e = v("v_extractions").withColumn("n", F.expr("CASE WHEN extraction_id % 5 = 0 THEN 'Date' ELSE entity_name END")).withColumn("k", F.expr("CASE WHEN contains(lower(entity_value), 'order') THEN 'order' ELSE 'x' END"))
-    return e.select("extraction_id", S.event_type("n", "k").alias("kind"))
+    e = v("v_found").withColumn("k", F.expr("CASE WHEN extraction_type = 'date' THEN get_json_object(properties, '$.date_type') ELSE '' END"))
+    return e.select("extraction_id", S.event_type("entity_name", "k").alias("kind"))
 
 
 @query("estimate_pages", "SELECT section_id, CAST(round_even(1 + 4 * pos / nullif(n, 0), 0) AS BIGINT) AS page FROM (SELECT section_id, CAST(pos AS DOUBLE) AS pos, count(*) OVER (PARTITION BY document_id) AS n FROM v_sections)")

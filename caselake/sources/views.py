@@ -58,6 +58,27 @@ SELECT l_orderkey * 10 + l_linenumber AS extraction_id, l_orderkey % {DOCS} AS d
        p_name AS entity_name, p_type AS entity_value, l_discount * 10 AS confidence,
        '{{"role_in_document":"' || CASE l_returnflag WHEN 'A' THEN 'plaintiff' WHEN 'R' THEN 'defendant' ELSE 'mentioned' END || '"}}' AS properties
 FROM lineitem JOIN part ON p_partkey = l_partkey""",
+    "v_found": f"""
+SELECT extraction_id, document_id, section_id, extraction_type, entity_value, confidence,
+       CASE WHEN extraction_type = 'case_citation' AND extraction_id % 5 < 3 THEN CASE WHEN extraction_id % 5 = 0 THEN CAST(NULL AS STRING) ELSE ' ' END
+            WHEN extraction_type = 'date' AND extraction_id % 4 = 0 THEN '2020-01-01' WHEN extraction_type = 'date' AND extraction_id % 9 = 0 THEN 'Filing Date'
+            WHEN extraction_type IN ('claim', 'condition') AND extraction_id % 3 = 0 THEN repeat(name || ' ', 6)
+            WHEN extraction_type = 'party' THEN 'Supplier ' || CAST(supp % 20 AS STRING) || CASE extraction_id % 4 WHEN 0 THEN ', Inc.' WHEN 1 THEN '  L.P.' WHEN 2 THEN ' ' ELSE ' Company' END
+            ELSE name END AS entity_name,
+       CASE extraction_type
+            WHEN 'party' THEN '{{"role":"' || flag || '","jurisdiction":null}}'
+            WHEN 'claim' THEN '{{"plaintiff":"Supplier ' || CAST(supp % 20 AS STRING) || '","defendant":"Supplier ' || CAST(supp % 7 AS STRING) || '","evidence_references":["Exhibit A","' || mode || '"]}}'
+            WHEN 'obligation' THEN '{{"obligated_party":"Supplier ' || CAST(supp % 20 AS STRING) || '","amount":12.5}}'
+            WHEN 'date' THEN '{{"date_type":"' || CASE extraction_id % 7 WHEN 0 THEN 'Filing' WHEN 1 THEN 'publication_date' WHEN 2 THEN 'hearing' WHEN 3 THEN 'order of magnitude' ELSE 'meeting' END || '","is_relative":true}}'
+            WHEN 'case_citation' THEN CASE extraction_id % 3 WHEN 0 THEN '{{"case_name":"' || mode || ' v. ' || flag || '","year":1998}}' WHEN 1 THEN '{{"citation":"12 F.3d ' || CAST(supp AS STRING) || '"}}' ELSE '{{"court":"High"}}' END
+            WHEN 'amount' THEN CASE WHEN extraction_id % 2 = 0 THEN '{{"currency":"EUR","payer":"Supplier 3"}}' ELSE '{{"payee":"Supplier 4"}}' END
+            WHEN 'condition' THEN '{{"trigger_event":"' || mode || '"}}'
+            WHEN 'evidence_ref' THEN 'not json' ELSE '{{}}' END AS properties
+FROM (SELECT (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS extraction_id, l_orderkey % {DOCS} AS document_id, l_orderkey % {DOCS} * 100000 + l_linenumber AS section_id,
+             CASE (l_orderkey * 10 + l_linenumber) % 12 WHEN 0 THEN 'court' WHEN 1 THEN 'party' WHEN 2 THEN 'judge' WHEN 3 THEN 'date' WHEN 4 THEN 'claim' WHEN 5 THEN 'cause_of_action'
+                  WHEN 6 THEN 'obligation' WHEN 7 THEN 'evidence_ref' WHEN 8 THEN 'case_citation' WHEN 9 THEN 'amount' WHEN 10 THEN 'condition' ELSE 'date' END AS extraction_type,
+             p_name AS name, p_type AS entity_value, min(l_discount) * 10 AS confidence, min(l_suppkey) AS supp, min(l_returnflag) AS flag, p_brand AS mode
+      FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey, l_linenumber, l_partkey, p_name, p_type, p_brand) AS raw""",
     "v_nodes": f"""
 SELECT 'p' || CAST(p_partkey AS STRING) AS node_id, 'party' AS node_type, p_name || ' ' || p_brand AS node_label,
        p_partkey % {DOCS} AS document_id, p_partkey % 50 AS section_id, CAST(NULL AS STRING) AS date_value FROM part

@@ -11,6 +11,7 @@ from caselake.functions import scalar as S
 from caselake.operators import bodies as B
 from caselake.operators import graph as G
 from caselake.operators import intake as Q
+from caselake.operators import nodes as N
 from caselake.operators import relational as R
 from caselake.operators import retrieval as L
 from caselake.operators import structure as D
@@ -28,7 +29,7 @@ def test_slugs(spark):
     assert one(spark, "", S.slugify) == ""
 
 
-@pytest.mark.parametrize(("name", "want"), [("Apple Inc.", "apple"), ("Apple, Inc.", "apple"), ("Apple", "apple"), ("Acme  Holdings LLC", "acme holdings"), ("Inc", "inc")])
+@pytest.mark.parametrize(("name", "want"), [("Apple Inc.", "apple"), ("Apple, Inc.", "apple"), ("Apple", "apple"), ("Acme  Holdings LLC", "acme holdings"), ("Inc", "inc"), ("Acme L.P.", "acme"), ("First Bank, N.A.", "first bank"), ("Doe P.C.", "doe"), ("Acme Company", "acme company"), ("Acme plc", "acme plc"), ("Acme Inc", "acme inc")])
 def test_party_names(spark, name, want):
     assert one(spark, name, S.norm_party) == want
 
@@ -370,3 +371,75 @@ def test_theories_by_number_then_label(spark):
 def test_too_many_rules_are_refused(spark):
     with pytest.raises(ValueError):
         D.rule_array(spark.range(30).selectExpr("CAST(id AS string) AS pattern"), most=20)
+
+
+def end_of(node, to):
+    """The end of a chain of pointers; on a cycle the first place met again."""
+    seen = set()
+    while node in to and node not in seen:
+        seen.add(node)
+        node = to[node]
+    return node
+
+
+def test_canonical_pointers(spark):
+    rng = random.Random(11)
+    to = {7: 1, 1: 5, 5: 5, 20: 21, 21: 22, 22: 20, 23: 22, 24: 23, 30: 31, 40: 40}
+    to |= {k: k - 1 for k in range(101, 400)} | {k: rng.randrange(1000, 1300) for k in range(1000, 1250)} | {k: 7 for k in range(2000, 2400)}
+    rows = [*to.items(), (50, None), (None, 5), (7, 3000)]
+    got = {r["node"]: r["root"] for r in G.follow_canonical(spark.createDataFrame(rows, "node long, target long")).collect()}
+    assert got == {k: end_of(k, to) for k in to}
+    assert got[7] == got[1] == 5 and got[24] == 22 and got[30] == 31 and got[399] == 100
+    assert G.follow_canonical(spark.createDataFrame([], "node string, target string")).count() == 0
+
+
+FOUND = "extraction_id long, document_id long, section_id long, extraction_type string, entity_name string, entity_value string, confidence double, properties string"
+
+
+def test_nodes_and_edges_from_extractions(spark):
+    rows = [
+        (1, 1, 10, "party", "Acme, Inc.", "company", 0.9, '{"role": "plaintiff", "jurisdiction": null}'),
+        (2, 1, 11, "party", " acme  inc. ", "person", 0.7, '{"role": "defendant"}'),
+        (3, 1, 10, "party", "Zenith LLC", None, None, None),
+        (4, 1, 10, "claim", "Fraud " + "x" * 200, "fraud", 0.0, '{"plaintiff": "Acme", "defendant": "Zenith", "evidence_references": ["Exhibit A"], "other": 1}'),
+        (5, 1, 10, "cause_of_action", "Breach", "contract", 0.8, "[1, 2]"),
+        (6, 1, 10, "evidence_ref", "Exhibit A", "x", 0.8, '{"description": "Letter"}'),
+        (7, 1, 10, "case_citation", None, "1 U.S. 1", 0.8, '{"case_name": "Roe v. Wade", "year": 1973, "court": ""}'),
+        (8, 1, 10, "case_citation", " ", None, 0.8, '{"citation": "2 F.3d 4"}'),
+        (9, 1, 10, "case_citation", "", None, 0.8, "{}"),
+        (10, 1, 10, "date", "2020-01-01", "2020-01-01", 0.8, '{"date_type": "filing"}'),
+        (11, 1, 10, "date", "Effective Date", "2020", 0.8, "{}"),
+        (12, 1, 10, "date", "Trial opens", "2021-02-03", 0.8, '{"date_type": "HEARING"}'),
+        (13, 1, 10, "date", "Meeting", "2021", 0.8, "{}"),
+        (14, 1, 10, "date", "Report", "2021", 0.8, '{"date_type": "access_date"}'),
+        (15, 1, 10, "judge", "Judge Judy", None, 0.8, "{}"),
+        (16, 1, 10, "court", "High Court", None, 0.8, "{}"),
+        (17, 1, 10, "amount", "Damages", "1000", 0.8, '{"payee": "Acme"}'),
+        (18, 1, 10, "condition", "Notice", "precedent", 0.8, '{"consequence": "none"}'),
+        (19, 2, 12, "party", "Acme", None, 0.8, "{}"),
+        (None, None, None, None, None, None, None, None),
+    ]
+    found = spark.createDataFrame(rows, FOUND)
+    docs = spark.createDataFrame([(1, 5, "Pleading - Complaint"), (2, None, None)], "document_id long, case_id long, document_type string")
+    nodes = N.build_nodes(found, docs, spark.createDataFrame([(10, "facts")], "section_id long, semantic_label string"))
+    got = {(r["document_id"], r["node_type"], r["node_label"]): (json.loads(r["p"]), r["source_extraction_ids"]) for r in nodes.withColumn("p", F.to_json("properties")).collect()}
+    common = {"source_document_type": "Pleading - Complaint", "source_semantic_label": "facts", "confidence": 0.8}
+    assert set(got) == {
+        (1, "party", "Acme, Inc."), (1, "party", "Zenith LLC"), (1, "claim", "Fraud " + "x" * 111 + "\u2026"), (1, "claim", "Breach"), (1, "evidence", "Exhibit A"), (1, "legal_authority", "Roe v. Wade"), (1, "legal_authority", "2 F.3d 4"),
+        (1, "procedural_event", "Trial opens"), (1, "event", "Meeting"), (1, "amount", "Damages"), (1, "condition", "Notice"), (2, "party", "Acme"),
+    }
+    assert got[1, "party", "Acme, Inc."] == ({"role": "plaintiff", "entity_type": "company", "source_extraction_ids": [1, 2]} | common | {"confidence": 0.9}, [1, 2])
+    assert got[1, "party", "Zenith LLC"][0] == {"source_extraction_ids": [3]} | common
+    assert got[1, "claim", "Breach"][0] == {"claim_type": "contract", "alleged_facts": [], "evidence_references": [], "source_extraction_ids": [5]} | common
+    assert got[1, "claim", "Fraud " + "x" * 111 + "\u2026"][0] == {"claim_type": "fraud", "plaintiff": "Acme", "defendant": "Zenith", "alleged_facts": [], "evidence_references": ["Exhibit A"], "source_extraction_ids": [4]} | common
+    assert got[1, "legal_authority", "Roe v. Wade"][0] == {"citation": "1 U.S. 1", "year": 1973, "court": "", "source_extraction_ids": [7]} | common
+    assert got[1, "legal_authority", "2 F.3d 4"][0] == {"citation": "2 F.3d 4", "source_extraction_ids": [8]} | common
+    assert got[1, "procedural_event", "Trial opens"][0] == {"date_value": "2021-02-03", "date_type": "hearing", "is_relative": False, "source_extraction_ids": [12]} | common
+    assert got[1, "event", "Meeting"][0]["date_type"] == ""
+    assert got[1, "amount", "Damages"][0] == {"value": "1000", "currency": "USD", "payee": "Acme", "is_calculated": False, "source_extraction_ids": [17]} | common
+    assert got[2, "party", "Acme"][0]["source_document_type"] == ""
+    flat = N.edge_columns(nodes)
+    labels = {r["node_id"]: r["node_label"][:6].strip() for r in flat.collect()}
+    edges = {(labels[r["src"]], labels[r["dst"]], r["edge_type"], r["confidence"]) for r in G.document_edges(flat, docs).collect()}
+    assert {("Acme,", "Fraud", "alleged_by", 0.8), ("Fraud", "Zenith", "alleged_against", 0.8), ("Fraud", "Exhibi", "supported_by", 0.75), ("Damage", "Acme,", "damages_sought_by", 0.8)} <= edges
+    assert N.build_nodes(spark.createDataFrame([], FOUND)).count() == 0
