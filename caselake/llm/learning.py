@@ -6,26 +6,41 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, forget
+
 
 def fold(column: str, of: int) -> str:
     """SQL: crc32 of an id's decimal text, modulo ``of``."""
     return f"crc32(CAST({column} AS string)) % {of}"
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, used: str, per_class: int, most_chars: int, more: str = "CAST(NULL AS string)") -> tuple[list[tuple[str, int, str | None]], dict[int, float]]:
-    """At most ``per_class`` labelled rows of each class whose text has at most ``most_chars`` characters, and the weight of each class.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, used: str, per_class: int, chars_per_class: int, more: str = "CAST(NULL AS string)") -> tuple[list[tuple[str, int, str | None]], dict[int, float]]:
+    """At most ``per_class`` labelled rows of each class, whole texts of any length, and the weight of each class.
 
-    Rows are taken in the order of a hash of their id, from those for which the
-    SQL condition ``used`` holds. The weights undo the equal shares of the sample.
+    Rows are drawn in the order of a hash of their id, from those for which the
+    SQL condition ``used`` holds. What the driver holds is bounded by ``chars_per_class``: of the drawn rows
+    those are kept, in the same order, whose texts fit into what is left of it; where none fits, the shortest.
+    The weights undo the equal shares of the sample.
     """
     rated = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).filter(used).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     counts = {int(r["y"]): int(r["count"]) for r in rated.groupBy("y").count().collect()}
-    ids = {r["doc_id"]: r["y"] for y in (0, 1) for r in rated.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()}
-    if not ids:
+    drawn = {y: [r["doc_id"] for r in rated.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()] for y in (0, 1)}
+    if not any(drawn.values()):
         return [], {}
-    rows = docs.filter(F.col("doc_id").isin(list(ids))).filter(F.col("text").isNotNull() & (F.length("text") <= most_chars)).selectExpr("doc_id", "CAST(text AS string) AS text", f"{more} AS more")
-    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "more")).alias("r")).select("doc_id", "r.*").collect()  # one row per id
-    got = [(r["text"], ids[r["doc_id"]], r["more"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
+    rows = docs.filter(F.col("doc_id").isin(drawn[0] + drawn[1])).filter(F.col("text").isNotNull()).selectExpr("doc_id", "CAST(text AS string) AS text", f"{more} AS more")
+    rows = cut(rows.groupBy("doc_id").agg(F.min(F.struct("text", "more")).alias("r")).select("doc_id", "r.*"))  # one row per id
+    size = {r["doc_id"]: r["n"] for r in rows.select("doc_id", F.length("text").alias("n")).collect()}
+    kept: dict[int, int] = {}
+    for y, ids in drawn.items():
+        left, there = chars_per_class, [i for i in ids if i in size]
+        for i in there:
+            if size[i] <= left:
+                kept[i] = y
+                left -= size[i]
+        if there and left == chars_per_class and y not in kept.values():
+            kept[min(there, key=size.get)] = y
+    got = [(r["text"], kept[r["doc_id"]], r["more"]) for r in rows.filter(F.col("doc_id").isin(list(kept))).orderBy("doc_id").collect()]
+    forget(rows)
     share = {y: sum(g[1] == y for g in got) for y in (0, 1)}
     total = sum(counts.values())
     return got, {y: counts[y] / total * len(got) / share[y] for y in (0, 1) if share[y]}

@@ -7,11 +7,11 @@ good; the marginals' mean, weighted by the lines' lengths, becomes the score
 after calibration. Labels exist for documents, so each line of a labelled
 document takes its label in training.
 
-The sample that the driver trains on is bounded by ``per_class`` rows of at
-most ``most_chars`` characters; everything else covers all rows.
+The sample that the driver trains on is bounded by ``per_class`` rows and
+``chars_per_class`` characters in all, whatever the length of a text; everything else covers all rows.
 
 Cases: a null text or one without a non-blank line has the mean 0.5 before
-calibration; blank lines aren't lines; a very long text is one chain of
+calibration; a null doc_id isn't held out; blank lines aren't lines; a very long text is one chain of
 linear cost; repeated rows get equal scores; without labels of both classes
 every score is the share of label 1 (0.5 without any); empty tables give
 empty results; further columns aren't read.
@@ -61,6 +61,10 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.array(rows, np.float32).reshape(-1, len(NAMES)), np.array(sizes, np.float64)
 
 
+#: Lines of a chain in training.
+PER_CHAIN = 512
+
+
 class Chain:
     def __init__(self) -> None:
         self.edges = np.zeros((len(NAMES), BINS - 1), np.float32)
@@ -130,16 +134,19 @@ class Chain:
         return sigmoid(self.slope * self.means(texts) + self.shift)
 
     def train(self, texts: list[str], y: np.ndarray, rounds: int = 120, ridge: float = 3.0) -> None:
-        parts = [line_features(t) for t in texts]
-        keep = [k for k, p in enumerate(parts) if len(p[1])]
-        lengths = np.array([len(parts[k][1]) for k in keep], np.int64)
-        features = np.concatenate([parts[k][0] for k in keep])
+        """Every line counts; chains of over ``PER_CHAIN`` lines are trained in pieces, since a step costs as much as the longest chain."""
+        whole = [line_features(t) for t in texts]
+        cuts = [(k, at) for k, p in enumerate(whole) for at in range(0, len(p[1]), PER_CHAIN)]
+        keep = [k for k, _ in cuts]
+        parts = [whole[k][0][at : at + PER_CHAIN] for k, at in cuts]
+        lengths = np.array([len(p) for p in parts], np.int64)
+        features = np.concatenate(parts)
         for f in range(len(NAMES)):
             self.edges[f] = np.quantile(features[:, f], np.linspace(0, 1, BINS + 1)[1:-1])
         starts = np.cumsum(lengths) - lengths
         x = self.indicators(features, starts, starts + lengths - 1)
         label = np.repeat(y[keep], lengths)
-        per_line = np.repeat(1 / np.sqrt(lengths), lengths)  # long documents don't outweigh the rest
+        per_line = np.repeat([1 / np.sqrt(len(whole[k][1])) for k in keep], lengths)  # long documents don't outweigh the rest
         seen = np.zeros((2, 2))
         inner = np.ones(len(label), bool)
         inner[starts] = False
@@ -151,9 +158,9 @@ class Chain:
             adam.down(g, (joint - seen) * 0.2 + 5 * ridge * self.ties)
 
 
-def train(docs: DataFrame, labels: DataFrame, used: str, per_class: int = 900, most_chars: int = 20_000) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, used: str, per_class: int = 900, chars_per_class: int = 4_000_000) -> Chain:
     """Train on a bounded sample of the labelled rows for which ``used`` holds; a third of it calibrates."""
-    sample, share = labelled_sample(docs, labels, "quality", used, per_class, most_chars)
+    sample, share = labelled_sample(docs, labels, "quality", used, per_class, chars_per_class)
     chain = Chain()
     y = np.array([s[1] for s in sample], float)
     apart = np.random.default_rng(4).permutation(len(sample)) % 3 == 0
@@ -187,4 +194,4 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = fold("doc_id", 5) + " = 0"
     chain = train(docs, labels, f"NOT ({held})")
     scored = score(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), chain)
-    return scored.select("doc_id", F.expr(held).alias("held_out"), "score", F.expr("CAST(score >= 0.3 AS int)").alias("predicted"))
+    return scored.select("doc_id", F.expr(f"coalesce({held}, false)").alias("held_out"), "score", F.expr("CAST(score >= 0.3 AS int)").alias("predicted"))
