@@ -45,7 +45,7 @@ def test_long_texts_train_and_separate(spark, module, label):
 def test_sample_is_bounded_in_rows_and_characters(spark):
     rows = [(i, "x" * 10 * (i + 1)) for i in range(40)] + [(100, None)] + [(3, "y" * 500)]
     docs = docs_of(spark, rows)
-    labels = spark.createDataFrame([(i, i % 2, 0) for i in [*range(40), 100, 777, None]] + [(5, None, 0), (6, 7, 0)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, (i or 0) % 2, 0) for i in [*range(40), 100, 777, None]] + [(5, None, 0), (6, 7, 0)], "doc_id long, quality int, toxic int")
     got, share = learning.labelled_sample(docs, labels, "quality", "true", 15, 1500)
     for y in (0, 1):
         own = [t for t, c, _ in got if c == y]
