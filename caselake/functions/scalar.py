@@ -56,8 +56,13 @@ def set_similarity(a: Column, b: Column) -> Column:
     return F.when(F.size(a) + F.size(b) == 0, 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
+def bound(f, *args: Column) -> Column:
+    """f of the arguments, each evaluated once however often f uses it."""
+    return F.transform(F.array(F.struct(*[x.alias(f"x{k}") for k, x in enumerate(args)])), lambda t: f(*[t[f"x{k}"] for k in range(len(args))]))[0]
+
+
 def trgm_similarity(a: str | Column, b: str | Column) -> Column:
-    return set_similarity(trigrams(a), trigrams(b))
+    return bound(set_similarity, trigrams(a), trigrams(b))
 
 
 def cosine(a: str | Column, b: str | Column) -> Column:

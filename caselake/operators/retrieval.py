@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import PandasUDFType
 from pyspark.sql.types import DataType
 
-from caselake.functions.scalar import cosine, set_similarity, trigrams
+from caselake.functions.scalar import bound, cosine, set_similarity, trigrams
 from caselake.operators.graph import components, kept
 from caselake.operators.relational import structural_filter
 
@@ -33,7 +33,9 @@ def hybrid_search(emb: DataFrame, qvec: list[float], qtext: str, limit: int = 10
     rows = structural_filter(emb, **filters)
     sem = vector_search(rows, qvec, 3 * limit, threshold).select("section_id", "semantic_score")
     q = trigrams(F.lit(qtext))
-    kw = rows.withColumn("keyword_score", set_similarity(trigrams("search_text"), q)).filter("keyword_score >= 0.3")
+    # scored and filtered inside one generator, so that no row's trigrams are made twice
+    scored = F.array(bound(lambda t: set_similarity(t, q), trigrams("search_text")))
+    kw = rows.select("section_id", F.explode(F.filter(scored, lambda x: x >= 0.3)).alias("keyword_score"))
     kw = kw.orderBy(F.col("keyword_score").desc(), "section_id").limit(3 * limit).select("section_id", "keyword_score")
     hits = sem.join(kw, "section_id", "full" if mode == "union" else "left")
     score = weight * F.coalesce("semantic_score", F.lit(0.0)) + (1 - weight) * F.coalesce("keyword_score", F.lit(0.0))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from caselake.functions.scalar import heading_level, page_number
+from caselake.operators.labels import first_rules
 from caselake.operators.windows import fill_forward, first_seen, largest_block, levels_of
 
 
@@ -70,6 +71,33 @@ def toc_pages(pages: DataFrame, least: int = 3) -> DataFrame:
 ENTRY = r"^(\s*)(.*?)\s*\.{2,}\s*(\d+)\s*$"
 
 
+#: A line that heads an outline, and lines that are entries of one: dot leaders, or a number after blanks.
+OUTLINE_HEAD = r"(?i)^\s*(table\s+of\s+contents?|contents?|index)\s*$"
+OUTLINE_LINE = r"(\.{3,}\s*|\s{3,})\d+\s*$"
+
+
+def toc_region(lines: DataFrame, blanks: int = 3) -> DataFrame:
+    """(document_id, region): the outline of a document without page markers: its heading, what stands before the first entry, and entries until they stop.
+
+    Entries stop at a line that is neither blank nor an entry, or at more than ``blanks`` blank lines since the last entry. Documents without a
+    heading, or without an entry after it, have no row. lines: document_id, pos, line. One window by document, sums and minima only.
+    """
+    doc = Window.partitionBy("document_id")
+    upto = doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    t = F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))
+    rows = lines.select("document_id", "pos", t.alias("_t"), F.col("line").rlike(OUTLINE_HEAD).alias("_h"), t.rlike(OUTLINE_LINE).alias("_e"))
+    rows = rows.withColumn("_head", F.min(F.when(F.col("_h"), F.col("pos"))).over(doc)).filter("pos >= _head")
+    rows = rows.withColumn("_first", F.min(F.when(F.col("_e") & (F.col("pos") > F.col("_head")), F.col("pos"))).over(doc)).filter("_first IS NOT NULL")
+    rows = rows.withColumn("_blank", F.sum(F.when(F.col("_t") == "", 1).otherwise(0)).over(upto))
+    # the number of blank lines doesn't fall, so its greatest value at an entry is that at the last one
+    since = F.col("_blank") - F.max(F.when(F.col("_e"), F.col("_blank"))).over(upto)
+    ends = (F.col("pos") > F.col("_first")) & ~F.col("_e") & ((F.col("_t") != "") | (since > blanks))
+    rows = rows.withColumn("_ends", ends).withColumn("_stop", F.min(F.when(F.col("_ends"), F.col("pos"))).over(doc))
+    before = (F.col("pos") < F.col("_first")) & (F.col("_t") != "")
+    entry = F.col("_e") & (F.col("pos") >= F.col("_first")) & (F.col("_stop").isNull() | (F.col("pos") < F.col("_stop")))
+    return ordered_text(rows.filter((F.col("pos") == F.col("_head")) | before | entry), ["document_id"], "pos", "_t", "region")
+
+
 def parse_toc(lines: DataFrame) -> DataFrame:
     """Level (two spaces each), title and page of outline lines; entries merged into one line are parted."""
     parts = F.split(F.regexp_replace("line", r"(\.{2,}\s*\d+)\s+-\s+(?=\S)", "$1\u0001"), "\u0001")
@@ -225,16 +253,20 @@ def merge_lines(lines: DataFrame) -> DataFrame:
     return glued.select("document_id", F.col("_g").alias("para"), F.regexp_replace(F.regexp_replace("_t", r"-\n", ""), r"\n", " ").alias("text"))
 
 
-def label_sections(sections: DataFrame, rules: DataFrame) -> DataFrame:
+def label_sections(sections: DataFrame, rules: DataFrame, few: int = 64) -> DataFrame:
     """Label by the first title rule (1.0), else the first body rule within 500 characters (0.9), else unrecognised.
 
-    rules: place ('title' or 'body'), pattern, label, rank. They become one array that every row is tested against where it lies, without a join.
+    rules: place ('title' or 'body'), pattern, label, rank, any number of them. Up to ``few`` become one array that every row is tested
+    against in generated code; more become an automaton that finds all patterns of a text in one pass. Neither needs a join.
     """
-    table = rule_array(rules.select((F.col("place") != "title").alias("late"), "rank", "label", "pattern").orderBy("late", "rank", "label"))
     s = sections.select("section_id", F.lower("section_title").alias("_t"), F.lower(F.substring("section_text", 1, 500)).alias("_b"))
-    hit = F.filter(table, lambda r: F.when(r["late"], F.col("_b")).otherwise(F.col("_t")).contains(r["pattern"]))
-    s = s.withColumn("m", F.get(hit, F.lit(0)))
-    return s.select("section_id", F.coalesce("m.label", F.lit("unrecognized")).alias("label"), F.when(F.col("m").isNull(), 0.0).when(F.col("m.late"), 0.9).otherwise(1.0).alias("label_confidence"))
+    if rules.limit(few + 1).count() <= few:
+        table = rule_array(rules.select((F.col("place") != "title").alias("late"), "rank", "label", "pattern").orderBy("late", "rank", "label"), few)
+        hit = F.filter(table, lambda r: F.when(r["late"], F.col("_b")).otherwise(F.col("_t")).contains(r["pattern"]))
+        s = s.withColumn("m", F.get(hit, F.lit(0)))
+    else:
+        s = first_rules(s, rules)
+    return s.select("section_id", F.coalesce("m.label", F.lit("unrecognized")).alias("label"), F.when(F.col("m.late").isNull(), 0.0).when(F.col("m.late"), 0.9).otherwise(1.0).alias("label_confidence"))
 
 
 def rule_array(rules: DataFrame, most: int = 5000) -> Column:
@@ -298,7 +330,9 @@ OUTLINE_WORDS = ("toc", "table-of-contents", "tableofcontents", "contents", "ind
 class _Elements(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.rows: list[tuple[str, str | None, str | None, str, int]] = []
+        self.rows: list[tuple[str, str | None, str | None, str, int, int | None, int | None, int | None]] = []
+        self.tables: list[list[int]] = []  # the open tables, innermost last: number on the page, row, cell (both from 1, 0 before the first)
+        self.n_tables = 0
         self.tag, self.id, self.href, self.skip, self.text = "", None, None, [], []
         self.inside: dict[int, tuple[str, int]] = {}  # the open outline container of each kind: its tag, and how many of that tag are open
         self.met: set[int] = set()
@@ -316,9 +350,21 @@ class _Elements(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.rows.append((self.tag, self.id, self.href, text, min(self.inside, default=0)))
+            where = self.tables[-1] if self.tables and self.tables[-1][2] else (None, None, None)
+            self.rows.append((self.tag, self.id, self.href, text, min(self.inside, default=0), *where))
         self.text = []
 
+    def grid(self, tag: str) -> None:
+        """Where a cell stands: a stack of open tables, so that a table within a cell has rows of its own."""
+        if tag == "table":
+            self.n_tables += 1
+            self.tables.append([self.n_tables, 0, 0])
+        elif self.tables and tag == "tr":
+            self.tables[-1][1:] = [self.tables[-1][1] + 1, 0]
+        elif self.tables and tag in ("td", "th"):
+            self.tables[-1][1] = max(1, self.tables[-1][1])
+            self.tables[-1][2] += 1
+
     def handle_starttag(self, tag, attrs):
         if tag in SKIPPED:
             if tag not in VOID:
@@ -328,6 +374,7 @@ class _Elements(HTMLParser):
         if tag in BLOCKS or tag in ("a", "aside"):
             self.flush()
             self.container(tag, attrs)
+            self.grid(tag)
             got = dict(attrs)
             self.tag, self.id, self.href = tag, got.get("id") or got.get("name"), got.get("href")
 
@@ -336,6 +383,8 @@ class _Elements(HTMLParser):
             self.skip.pop()
         elif tag in BLOCKS or tag in ("a", "aside"):
             self.flush()
+            if tag == "table" and self.tables:
+                self.tables.pop()
             self.inside = {k: (own, depth - (own == tag)) for k, (own, depth) in self.inside.items() if own != tag or depth > 1}
             self.tag, self.id, self.href = "", None, None
 
@@ -345,7 +394,11 @@ class _Elements(HTMLParser):
 
 
 def html_elements(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, tag, element_id, href, text, container): the visible text of each block, scripts and styles skipped; container is 1 within the page's outline nav, 2 within another outline block."""
+    """(page_id, pos, tag, element_id, href, text, container, table_no, row_no, cell_no): the visible text of each block, scripts and styles skipped.
+
+    container is 1 within the page's outline nav, 2 within another outline block. A block in a table's cell has the numbers of the innermost
+    open table (in the order in which tables open), its row and its cell, all from 1.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -355,13 +408,27 @@ def html_elements(pages: DataFrame) -> DataFrame:
                 p.feed(html or "")
                 p.flush()
                 out += [(pid, k, *r) for k, r in enumerate(p.rows)]
-            yield pd.DataFrame(out, columns=["page_id", "pos", "tag", "element_id", "href", "text", "container"])
+            yield pd.DataFrame(out, columns=["page_id", "pos", "tag", "element_id", "href", "text", "container", "table_no", "row_no", "cell_no"]).astype({k: "Int32" for k in ("table_no", "row_no", "cell_no")})
+
+    return pages.select("page_id", "html").mapInPandas(run, "page_id long, pos int, tag string, element_id string, href string, text string, container int, table_no int, row_no int, cell_no int")
+
+
+def html_tables(elements: DataFrame) -> DataFrame:
+    """(page_id, table_no, row_no, pos, cells): the rows of each table, their cells in order; cells without text between others are empty."""
+    cells = elements.filter("cell_no IS NOT NULL").groupBy("page_id", "table_no", "row_no", "cell_no").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("_t"))
+    cells = cells.select("page_id", "table_no", "row_no", "cell_no", F.col("_t")[0]["pos"].alias("pos"), F.expr("array_join(transform(_t, x -> x.text), ' ')").alias("text"))
+    rows = cells.groupBy("page_id", "table_no", "row_no").agg(F.min("pos").alias("pos"), F.map_from_entries(F.collect_list(F.struct("cell_no", "text"))).alias("_c"))
+    return rows.select("page_id", "table_no", "row_no", "pos", F.expr("transform(sequence(1, array_max(map_keys(_c))), k -> coalesce(_c[k], ''))").alias("cells"))
 
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, pos int, tag string, element_id string, href string, text string, container int")
+
+def html_lines(elements: DataFrame) -> DataFrame:
+    """(page_id, pos, line): the page's lines, a table's row as one line of cells between bars at the place of its first cell."""
+    rows = html_tables(elements).select("page_id", "pos", F.concat(F.lit("| "), F.array_join("cells", " | "), F.lit(" |")).alias("line"))
+    return elements.filter("cell_no IS NULL").select("page_id", "pos", F.col("text").alias("line")).unionByName(rows)
 
 
 def html_text(elements: DataFrame) -> DataFrame:
-    return ordered_text(elements, ["page_id"], "pos", "text", "text")
+    return ordered_text(html_lines(elements), ["page_id"], "pos", "line", "text")
 
 
 def html_outline(elements: DataFrame, least: float = 0.55) -> DataFrame:
@@ -387,11 +454,22 @@ def html_outline(elements: DataFrame, least: float = 0.55) -> DataFrame:
     return rows.join(best, ["page_id", "pos", "way"], "left").withColumn("element_id", F.coalesce("element_id", "_found")).select("page_id", "pos", "title", "level", "way", "element_id")
 
 
-def html_sections(elements: DataFrame) -> DataFrame:
-    """Text from each heading up to the next."""
+def html_sections(elements: DataFrame, outline: DataFrame | None = None) -> DataFrame:
+    """(page_id, pos, title, level, start, section_text): text from each outline entry's anchor up to the next entry's.
+
+    outline: as ``html_outline`` gives it (the default). Entries are ordered by where their anchors stand, not by where the outline
+    lists them; of entries that share an anchor the last listed has the text, the others an empty one, like an entry whose anchor isn't on the page.
+    A heading with an anchor of its own opens its section.
+    """
+    entries = html_outline(elements) if outline is None else outline
+    ids = elements.filter("element_id IS NOT NULL").groupBy("page_id", "element_id").agg(F.max("pos").alias("_at"))
+    # an outline of headings points at the headings themselves
+    at = F.when(F.col("way") == 2, F.col("pos")).otherwise(F.col("_at"))
+    placed = entries.join(ids, ["page_id", "element_id"], "left").withColumn("start", at).drop("_at")
     w = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    head = F.col("tag").rlike("^h[1-6]$")
-    rows = elements.withColumn("start", F.last(F.when(head, F.col("pos")), ignorenulls=True).over(w)).withColumn("_h", head)
-    titles = rows.filter("_h").select("page_id", "start", F.col("text").alias("title"))
-    body = ordered_text(rows.filter("NOT _h AND start IS NOT NULL"), ["page_id", "start"], "pos", "text", "section_text")
-    return titles.join(body, ["page_id", "start"], "left")
+    starts = placed.filter("start IS NOT NULL").select("page_id", F.col("start").alias("pos")).distinct().withColumn("_start", F.col("pos"))
+    lines = elements.select("page_id", "pos", "cell_no", "table_no", "row_no", "text").join(starts, ["page_id", "pos"], "left").withColumn("start", F.last("_start", ignorenulls=True).over(w)).filter("start IS NOT NULL")
+    body = ordered_text(lines, ["page_id", "start"], "pos", "text", "section_text")
+    last = F.max("pos").over(Window.partitionBy("page_id", "start"))
+    placed = placed.withColumn("_last", F.col("start").isNotNull() & (F.col("pos") == last))
+    return placed.join(body, ["page_id", "start"], "left").select("page_id", "pos", "title", "level", "start", F.when(F.col("_last"), F.col("section_text")).otherwise("").alias("section_text"))

@@ -123,3 +123,18 @@ def _(v):
 def _(v):
     m = v("conversations").selectExpr("conv_id AS session_id", "turn", "role", "turn - turn % 2 AS call_id", "text")
     return R.tool_log(m)
+
+
+@query("approx_topk")
+def _(v):
+    """Nearest sections by the stored buckets of an index that is built first; recall is measured in the tests."""
+    import uuid
+
+    from caselake.operators import vector_index
+    from caselake.operators.graph import shared_folder
+
+    path = f"{shared_folder(v.spark)}/vectors-{uuid.uuid4().hex}"
+    vector_index.build_index(v("v_embeddings").select("section_id", "document_type", "embedding"), path, 64)
+    q = v("embeddings").filter("vec_id = 0").first()["embedding"]
+    hits = vector_index.approx_search(v.spark, path, q, 10, 0.1, document_types=["Contract - NDA"])
+    return hits.select("section_id", F.round("semantic_score", 4).alias("score"))

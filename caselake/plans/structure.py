@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from caselake.operators import bodies as B
+from caselake.operators import graph as G
 from caselake.operators import structure as D
 from caselake.plans.registry import query
 
@@ -180,7 +181,25 @@ def _(v):
 
 @query("html_sections")
 def _(v):
-    return D.html_sections(D.html_elements(v("pages")))
+    return D.html_sections(G.kept(D.html_elements(v("pages"))))
+
+
+@query("html_tables", "WITH c AS (SELECT page_id, k, unnest(range(1, 4)) AS row_no FROM (SELECT page_id, length(html) AS k FROM pages)) SELECT page_id, 1::BIGINT AS table_no, row_no, CASE row_no WHEN 1 THEN 'name|size' WHEN 2 THEN 'page ' || CAST(page_id AS VARCHAR) || '||' || CAST(k AS VARCHAR) ELSE 'a b' END AS line FROM c")
+def _(v):
+    """A table of each page beside what the page holds: heads, a row with an empty cell, and a cell of two blocks."""
+    made = F.concat(F.lit("<table><thead><tr><th>name<th>size</tr></thead><tr><td>page "), F.col("page_id").cast("string"), F.lit("</td><td></td><td>"), F.length("html").cast("string"), F.lit("</td></tr><tr><td><p>a<p>b</table>"))
+    pages = v("pages").select("page_id", F.concat(made, F.regexp_replace("html", "(?i)<(/?)(table|td|th|tr)\\b", "<$1div")).alias("html"))
+    return D.html_tables(D.html_elements(pages)).select("page_id", F.col("table_no").cast("bigint").alias("table_no"), F.col("row_no").cast("bigint").alias("row_no"), F.array_join("cells", "|").alias("line"))
+
+
+#: Lines with an outline at the front of two documents in three: a heading, a column's name, entries among blanks and other lines.
+_OUTLINED = "SELECT document_id, pos, CASE WHEN pos = 1 AND document_id % 3 <> 0 THEN '  Table of Contents ' WHEN pos = 2 THEN 'Page' WHEN pos BETWEEN 3 AND 40 AND (pos * 7 + document_id) % 11 < 4 THEN substring(line, 1, 20) || CASE WHEN pos % 2 = 0 THEN ' .... ' ELSE '    ' END || CAST(pos AS STRING) WHEN pos BETWEEN 3 AND 40 AND (pos * 5 + document_id) % 23 <> 0 THEN CASE WHEN pos % 3 = 0 THEN '  ' ELSE '' END ELSE line END AS line FROM v_lines"
+
+
+@query("toc_region", f"WITH l AS (SELECT document_id, pos, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS t, regexp_matches(line, '{D.OUTLINE_HEAD}') AS h FROM ({_OUTLINED})), e AS (SELECT *, regexp_matches(t, '{D.OUTLINE_LINE}') AS e, min(CASE WHEN h THEN pos END) OVER (PARTITION BY document_id) AS head FROM l), f AS (SELECT *, min(CASE WHEN e AND pos > head THEN pos END) OVER (PARTITION BY document_id) AS first FROM e WHERE pos >= head), s AS (SELECT a.document_id, min(a.pos) AS stop FROM f a WHERE a.pos > a.first AND NOT a.e AND (a.t <> '' OR a.pos - (SELECT max(b.pos) FROM f b WHERE b.document_id = a.document_id AND b.e AND b.pos < a.pos) > 3) GROUP BY 1) SELECT document_id, string_agg(t, chr(10) ORDER BY pos) AS region FROM f LEFT JOIN s USING (document_id) WHERE first IS NOT NULL AND (pos = head OR pos < first AND t <> '' OR e AND pos >= first AND (stop IS NULL OR pos < stop)) GROUP BY 1")
+def _(v):
+    v("v_lines").createOrReplaceTempView("v_lines")
+    return D.toc_region(v.spark.sql(_OUTLINED))
 
 
 @query("section_text")

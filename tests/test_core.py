@@ -157,7 +157,7 @@ def test_html(spark):
     el = D.html_elements(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string"))
     assert [r["text"] for r in el.orderBy("pos").collect()] == ["First", "Second", "First", "one", "two & three", "Second", "end"]
     assert [(r["title"], r["level"]) for r in D.html_outline(el).orderBy("pos").collect()] == [("First", 1), ("Second", 1)]
-    assert {r["title"]: r["section_text"] for r in D.html_sections(el).collect()} == {"First": "one\ntwo & three", "Second": "end"}
+    assert {r["title"]: r["section_text"] for r in D.html_sections(el).collect()} == {"First": "First\none\ntwo & three", "Second": "Second\nend"}
 
 
 def test_html_outline_ways(spark):
