@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from caselake.operators.graph import kept
+
 
 def count_by(df: DataFrame, *columns: str) -> DataFrame:
     return df.groupBy(*columns).agg(F.count("*").alias("n"))
@@ -61,9 +63,20 @@ def case_dashboard(docs: DataFrame, extractions: DataFrame, nodes: DataFrame) ->
 
 
 def paged(df: DataFrame, order: list[Column], offset: int, n: int) -> DataFrame:
-    """One page of rows in order, each with the number of all rows."""
-    total = df.count()
-    return df.orderBy(*order).offset(offset).limit(n).withColumn("total", F.lit(total).cast("bigint"))
+    """One page of rows in order, each with the number of all rows, which is observed while the page is made: df runs once."""
+    seen = Observation()
+    page = kept(df.observe(seen, F.count(F.lit(1)).alias("total")).orderBy(*order).offset(offset).limit(n))
+    return page.orderBy(*order).withColumn("total", F.lit(seen.get["total"]).cast("bigint"))
+
+
+def vocab_sketches(df: DataFrame, by: list[str], column: str, lg_k: int = 14) -> DataFrame:
+    """A mergeable sketch of the distinct values of ``column`` for each group, to be stored; new days or cases are added as rows. Standard error about 1.04 / 2^(lg_k / 2)."""
+    return df.groupBy(*by).agg(F.hll_sketch_agg(column, F.lit(lg_k)).alias("sketch"))
+
+
+def vocab_total(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """Distinct values over stored sketches, of any groups of them together."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n"))
 
 
 def tree_stats(sections: DataFrame) -> DataFrame:

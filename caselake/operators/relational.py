@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 # -- sources and sinks -----------------------------------------------------------------------
@@ -84,11 +84,20 @@ def exhibits_to_documents(exhibits: DataFrame, parents: DataFrame) -> tuple[Data
     return children, sections
 
 
-def backfill_tenant(docs: DataFrame, cases: DataFrame, corpora: DataFrame) -> DataFrame:
-    """docs with firm_id filled from the case, else from the corpus."""
-    c = cases.select("case_id", F.col("firm_id").alias("_case_firm"))
-    k = corpora.select("corpus_id", F.col("firm_id").alias("_corpus_firm"))
-    return docs.join(c, "case_id", "left").join(k, "corpus_id", "left").withColumn("firm_id", F.coalesce("_case_firm", "_corpus_firm"))
+def backfill_tenant(docs: DataFrame, cases: DataFrame, corpora: DataFrame, checks: Observation | None = None) -> DataFrame:
+    """docs with firm_id filled from the case, else from the corpus.
+
+    checks: an observation that holds, once the result has been written, what a validation would count in a second pass: rows, those without a firm,
+    those whose case or corpus doesn't exist, and those whose case and corpus belong to different firms.
+    """
+    c = cases.select("case_id", F.col("firm_id").alias("_case_firm"), F.lit(True).alias("_case"))
+    k = corpora.select("corpus_id", F.col("firm_id").alias("_corpus_firm"), F.lit(True).alias("_corpus"))
+    out = docs.join(c, "case_id", "left").join(k, "corpus_id", "left").withColumn("firm_id", F.coalesce("_case_firm", "_corpus_firm"))
+    if checks is not None:
+        lost = (F.col("case_id").isNotNull() & F.col("_case").isNull()) | (F.col("corpus_id").isNotNull() & F.col("_corpus").isNull())
+        torn = F.col("_case_firm") != F.col("_corpus_firm")
+        out = out.observe(checks, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("firm_id").isNull()).alias("no_firm"), F.count_if(lost).alias("lost"), F.count_if(F.coalesce(torn, F.lit(False))).alias("torn"))
+    return out.drop("_case", "_corpus")
 
 
 # -- predicates ------------------------------------------------------------------------------

@@ -131,9 +131,18 @@ def idle_sessions(events: DataFrame, key: str, ts: str, gap_seconds: int, most:
     return rows.groupBy(key, "burst").agg(F.count("*").alias("n"), F.min("intake_id").alias("first_id"))
 
 
-def notifications(events: DataFrame, n: int = 50) -> DataFrame:
-    """What a tenant is told of: changes of a job's status that end it or ask for an answer, the last ``n`` of each tenant."""
+def notified(status: Column) -> Column:
+    """What a status is told as: changes that end a job or ask for an answer; null for others."""
+    return F.when(status == "failed", "error").when(status == "completed", "done").when(status == "pending", "needs_answer")
+
+
+def status_changes(events: DataFrame) -> DataFrame:
+    """Events that change their job's status to one that is told, with ``kind``: the batch twin of ``notification_stream``."""
     before = F.lag("status").over(Window.partitionBy("job_id").orderBy("created_at", "intake_id"))
-    kind = F.when(F.col("status") == "failed", "error").when(F.col("status") == "completed", "done").when(F.col("status") == "pending", "needs_answer")
-    rows = events.withColumn("_before", before).withColumn("kind", kind).filter(F.col("kind").isNotNull() & ~F.col("_before").eqNullSafe(F.col("status"))).drop("_before")
-    return top_k_per(rows, ["firm_id"], n, F.col("created_at").desc(), F.col("intake_id").desc())
+    rows = events.withColumn("_before", before).withColumn("kind", notified(F.col("status")))
+    return rows.filter(F.col("kind").isNotNull() & ~F.col("_before").eqNullSafe(F.col("status"))).drop("_before")
+
+
+def notifications(events: DataFrame, n: int = 50) -> DataFrame:
+    """What a tenant is told of: the last ``n`` changes of each tenant."""
+    return top_k_per(status_changes(events), ["firm_id"], n, F.col("created_at").desc(), F.col("intake_id").desc())

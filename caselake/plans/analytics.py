@@ -64,6 +64,12 @@ def _(v):
     return A.case_dashboard(v("v_docs"), v("v_extractions"), v("v_nodes"))
 
 
+@query("vocab_union")
+def _(v):
+    """Distinct labels of all cases from the stored sketches of each: tested against the exact count."""
+    return A.vocab_total(A.vocab_sketches(v("v_nodes"), ["document_id", "node_type"], "node_label"), ["node_type"])
+
+
 @query("paged_total", "SELECT intake_id, status, (SELECT count(*) FROM v_intake) AS total, row_number() OVER (ORDER BY created_at DESC, intake_id DESC) AS rank FROM (SELECT * FROM v_intake ORDER BY created_at DESC, intake_id DESC LIMIT 25 OFFSET 50)")
 def _(v):
     order = [F.col("created_at").desc(), F.col("intake_id").desc()]

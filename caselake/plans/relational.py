@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from caselake.operators import relational as R
@@ -82,6 +83,15 @@ def _(v):
     return R.backfill_tenant(v("v_docs"), v("v_cases"), v("v_corpora")).groupBy("firm_id").agg(F.count("*").alias("n"), F.count_if(F.col("case_id").isNull()).alias("no_case"))
 
 
+@query("backfill_checks", "SELECT count(*) AS rows, count(*) FILTER (coalesce(c.firm_id, k.firm_id) IS NULL) AS no_firm, count(*) FILTER ((d.case_id IS NOT NULL AND c.case_id IS NULL) OR (d.corpus_id IS NOT NULL AND k.corpus_id IS NULL)) AS lost, count(*) FILTER (c.firm_id <> k.firm_id) AS torn FROM v_docs d LEFT JOIN (SELECT * FROM v_cases WHERE case_id % 7 <> 0) c ON c.case_id = d.case_id LEFT JOIN (SELECT * FROM v_corpora WHERE corpus_id % 10 <> 0) k ON k.corpus_id = d.corpus_id")
+def _(v):
+    """The counts that the backfill observes while it is written; a case in seven and a corpus in five are missing, so that they aren't zero."""
+    checks = Observation()
+    out = R.backfill_tenant(v("v_docs"), v("v_cases").filter("case_id % 7 <> 0"), v("v_corpora").filter("corpus_id % 10 <> 0"), checks)
+    out.select("document_id", "firm_id").write.format("noop").mode("overwrite").save()
+    return v.spark.createDataFrame([tuple(checks.get[k] for k in ("rows", "no_firm", "lost", "torn"))], "rows long, no_firm long, lost long, torn long")
+
+
 @query("structural_filter", "SELECT section_id, document_id, semantic_label FROM v_embeddings WHERE document_type IN ('Contract - NDA', 'Evidence - Exhibit') AND level BETWEEN 1 AND 2 AND case_id = 4")
 def _(v):
     return R.structural_filter(v("v_embeddings"), document_types=["Contract - NDA", "Evidence - Exhibit"], levels=(1, 2), case_id=4).select("section_id", "document_id", "semantic_label")

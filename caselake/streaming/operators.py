@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
+from caselake.operators.windows import notified
+
 LATE = "10 minutes"
 
 
@@ -30,9 +32,13 @@ def file_stream(spark: SparkSession, path: str, schema: StructType | None = None
 
 
 def dedup_stream(df: DataFrame, keys: list[str], within: str = "1 day", ts: str = "created_at") -> DataFrame:
-    """First row of each key within a time span."""
+    """First row of each key within a time span. A stream forgets a key that long after its first row; in a batch a row counts as new when the key's row before it is further away than that."""
     df = df.withColumn(ts, F.col(ts).cast("timestamp"))
-    return df.withWatermark(ts, within).dropDuplicatesWithinWatermark(keys) if df.isStreaming else df.dropDuplicates(keys)
+    if df.isStreaming:
+        return df.withWatermark(ts, within).dropDuplicatesWithinWatermark(keys)
+    w = Window.partitionBy(*keys).orderBy(ts, F.xxhash64(*df.columns))
+    before = F.lag(ts).over(w)
+    return df.withColumn("_new", before.isNull() | (F.col(ts) > before + F.expr(f"INTERVAL {within}"))).filter("_new").drop("_new")
 
 
 def nightly_summary(events: DataFrame) -> DataFrame:
@@ -85,6 +91,53 @@ def job_state_stream(events: DataFrame, retries: int = 3) -> DataFrame:
     return rows.groupBy("job_id").transformWithStateInPandas(JobStates(retries), out, "Update", "None")
 
 
+class StatusChanges(StatefulProcessor):
+    """Keeps a job's last status and where it stands in time, until event time has passed it by ``ttl_ms``; gives the events that change it, none that repeat it."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        kind = StructType([StructField("status", StringType()), StructField("at", LongType()), StructField("id", LongType())])
+        self.handle, self.held = handle, handle.getValueState("last", kind)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        part = pd.concat(list(rows))
+        part = part.assign(_at=part["created_at"].astype("datetime64[us]").astype("int64")).sort_values(["_at", "intake_id"])
+        before, at, ident = self.held.get() if self.held.exists() else (None, -(2**62), -1)
+        part = part[(part["_at"] > at) | ((part["_at"] == at) & (part["intake_id"] > ident))]  # later than what was told already
+        if part.empty:
+            return
+        last = part.iloc[-1]
+        self.held.update((last["status"], int(last["_at"]), int(last["intake_id"])))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+        self.handle.registerTimer(int(last["_at"]) // 1000 + self.ttl_ms)
+        previous = part["status"].shift(fill_value=before)
+        told = part[(part["status"] != previous) & part["kind"].notna()]
+        if not told.empty:
+            yield told[["intake_id", "job_id", "firm_id", "status", "created_at", "kind"]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.held.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def notification_stream(events: DataFrame, ttl_days: int = 90) -> DataFrame:
+    """Notifications as they happen: (intake_id, job_id, firm_id, status, created_at, kind), each change of a job once, across restarts.
+
+    A window's lag can't run on a stream: the last status is state, kept until the watermark is ``ttl_days`` past a job's last event
+    (timers on event time: a time to live in wall-clock time would keep an available-now query from ending). An event
+    that is older than one already seen of its job, or than the watermark, changes nothing. ``status_changes`` gives the same rows of a batch in order.
+    """
+    out = StructType([StructField("intake_id", LongType()), StructField("job_id", LongType()), StructField("firm_id", LongType()), StructField("status", StringType()), StructField("created_at", TimestampType()), StructField("kind", StringType())])
+    rows = timed(events).select("intake_id", "job_id", "firm_id", "status", "created_at", notified(F.col("status")).alias("kind"))
+    return rows.groupBy("job_id").transformWithStateInPandas(StatusChanges(ttl_days * 86_400_000), out, "Append", "EventTime")
+
+
 class MessageBuffer(StatefulProcessor):
     """Flushes a conversation's messages at ``n`` of them, or when none came for ``gap`` seconds of event time."""
 
