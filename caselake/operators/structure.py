@@ -47,10 +47,24 @@ def repeated_lines(page_lines: DataFrame, share: float = 0.8, most: int = 150, l
 
 
 def remove_repeated_lines(page_lines: DataFrame, **how) -> DataFrame:
-    """page_lines without running headers, footers and bare page numbers."""
+    """page_lines (document_id, page, pos, line) without running headers, footers and bare page numbers: by what the lines say, then by where they stand."""
     rep = repeated_lines(page_lines, **how).select("document_id", "norm")
     rows = page_lines.withColumn("norm", normal_line("line")).filter(~F.trim("line").rlike(r"^-?\s*\d{1,4}\s*-?$"))
-    return rows.join(rep, ["document_id", "norm"], "left_anti").drop("norm")
+    return remove_by_place(rows.join(rep, ["document_id", "norm"], "left_anti").drop("norm"), page_lines)
+
+
+def remove_by_place(rows: DataFrame, page_lines: DataFrame, share: float = 0.8, least: int = 3, places: int = 2) -> DataFrame:
+    """rows without lines of any length that stand at the same one of the first ``places`` of their pages on ``share`` of the document's pages, ``least`` at least.
+
+    Places count from a page's first line that isn't empty. Pages are those of ``page_lines``, also where no row is left of them.
+    """
+    total = page_lines.groupBy("document_id").agg(F.countDistinct("page").alias("_total"))
+    page = Window.partitionBy("document_id", "page")
+    rows = rows.withColumn("_first", F.min(F.when(F.col("line") != "", F.col("pos"))).over(page))
+    rows = rows.withColumn("_k", F.sum(F.when(F.col("pos") >= F.col("_first"), 1).otherwise(0)).over(page.orderBy("pos"))).withColumn("_t", F.trim("line"))
+    seen = rows.filter((F.col("_k").between(1, places)) & (F.col("_t") != "")).groupBy("document_id", "_k", "_t").agg(F.countDistinct("page").alias("_pages"))
+    often = seen.join(total, "document_id").filter(F.col("_pages") >= F.greatest(F.lit(least), F.ceil(F.col("_total") * share))).select("document_id", "_k", "_t")
+    return rows.join(often, ["document_id", "_k", "_t"], "left_anti").drop("_first", "_k", "_t")
 
 
 DOT_LEADER, SPACED_NUMBER = r"(?m)\.{4,}\s*\d+\s*$", r"(?m)\S {4,}\d{1,3}\s*$"

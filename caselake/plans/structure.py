@@ -37,11 +37,29 @@ def _(v):
     return D.repeated_lines(page_lines(v))
 
 
-@query("remove_repeated", f"{_REP} SELECT document_id, pos, page, line FROM pl WHERE NOT regexp_matches(trim(line), '^-?\\s*\\d{{1,4}}\\s*-?$') AND NOT EXISTS (SELECT 1 FROM rep r WHERE r.document_id = pl.document_id AND r.norm = {_NORM})")
+def _without(lines: str) -> str:
+    """SQL: lines without what repeats by text, then by place."""
+    rep = _REP.replace(_PL, lines)
+    one = f"SELECT document_id, pos, page, line FROM pl WHERE NOT regexp_matches(trim(line), '^-?\\s*\\d{{1,4}}\\s*-?$') AND NOT EXISTS (SELECT 1 FROM rep r WHERE r.document_id = pl.document_id AND r.norm = {_NORM})"
+    first = "SELECT *, min(CASE WHEN line <> '' THEN pos END) OVER (PARTITION BY document_id, page) AS first FROM one"
+    return f"{rep}, one AS ({one}), two AS (SELECT *, sum(CASE WHEN pos >= first THEN 1 ELSE 0 END) OVER (PARTITION BY document_id, page ORDER BY pos) AS k, trim(line) AS t FROM ({first})), pages AS (SELECT document_id, count(DISTINCT page) AS total FROM pl GROUP BY 1), often AS (SELECT document_id, k, t FROM two JOIN pages USING (document_id) WHERE k IN (1, 2) AND t <> '' GROUP BY 1, 2, 3, total HAVING count(DISTINCT page) >= greatest(3, ceil(total * 0.8))) SELECT document_id, pos, page, line FROM two WHERE NOT EXISTS (SELECT 1 FROM often o WHERE o.document_id = two.document_id AND o.k = two.k AND o.t = two.t)"
+
+
+@query("remove_repeated", _without(_PL))
 def _(v):
     return D.remove_repeated_lines(page_lines(v)).select("document_id", "pos", "page", "line")
 
 
+#: Pages with a head too long to be sought by its text, and a second line that stands on most pages of some documents; a page in five starts with an empty line.
+_HEADED = "SELECT document_id, pos, CAST(floor(pos / 5) AS BIGINT) AS page, CASE WHEN pos % 5 = 0 AND floor(pos / 5) % 5 = 4 THEN '' WHEN pos % 5 = 0 OR pos % 5 = 1 AND floor(pos / 5) % 5 = 4 THEN repeat('Running title of ' || CAST(document_id AS STRING) || ', ', 9) WHEN pos % 5 = 1 AND (document_id % 2 = 0 OR floor(pos / 5) % 2 = 0) THEN repeat(' Confidential ', 12) ELSE line END AS line FROM v_lines"
+
+
+@query("remove_by_place", _without(_HEADED))
+def _(v):
+    v("v_lines").createOrReplaceTempView("v_lines")
+    return D.remove_repeated_lines(v.spark.sql(_HEADED)).select("document_id", "pos", "page", "line")
+
+
 _TOC = "SELECT document_id, CASE WHEN document_id % 3 = 0 THEN 'Table of Contents' || chr(10) || 'One ..... 3' || chr(10) || 'Two      7' || chr(10) || text WHEN document_id % 3 = 1 THEN 'a ..... 1' || chr(10) || text ELSE text END AS text FROM v_docs"
 
 

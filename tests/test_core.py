@@ -443,3 +443,12 @@ def test_nodes_and_edges_from_extractions(spark):
     edges = {(labels[r["src"]], labels[r["dst"]], r["edge_type"], r["confidence"]) for r in G.document_edges(flat, docs).collect()}
     assert {("Acme,", "Fraud", "alleged_by", 0.8), ("Fraud", "Zenith", "alleged_against", 0.8), ("Fraud", "Exhibi", "supported_by", 0.75), ("Damage", "Acme,", "damages_sought_by", 0.8)} <= edges
     assert N.build_nodes(spark.createDataFrame([], FOUND)).count() == 0
+
+
+def test_running_heads_go_by_place(spark):
+    long_ = "Head " * 32
+    pages = {k: [long_, f"text {k}", long_] for k in range(1, 6)} | {6: ["", "", long_, "other"], 7: ["x y"], 8: [long_]}
+    rows = [(1, p, 100 * p + n, t) for p, lines in pages.items() for n, t in enumerate(lines)] + [(2, p, 100 * p, long_) for p in (1, 2)] + [(3, p, 100 * p + n, t) for p in (1, 2, 3) for n, t in enumerate(["a" + "b" * p, "second " * 30])]
+    got = {(r["document_id"], r["pos"]) for r in D.remove_repeated_lines(spark.createDataFrame(rows, "document_id int, page int, pos int, line string")).collect()}
+    gone = {(1, 100 * p) for p in (1, 2, 3, 4, 5, 8)} | {(1, 602)} | {(3, 100 * p + 1) for p in (1, 2, 3)}
+    assert got == {(d, pos) for d, _, pos, _ in rows} - gone
