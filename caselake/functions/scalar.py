@@ -93,6 +93,27 @@ def strip_quoted(c: str | Column) -> Column:
     return out
 
 
+#: How texts cite exhibits, and how an evidence node names one.
+CITED_EXHIBITS = (
+    r"[Ee]xhibit\s+([A-Z0-9]+(?:\s*[-–]\s*[A-Z0-9]+)?)",
+    r"[Ee]xh?\.?\s+([A-Z0-9]+)",
+    r"[Ee]xhibits?\s+([A-Z0-9]+(?:\s*,\s*[A-Z0-9]+)*(?:\s*(?:and|&)\s*[A-Z0-9]+)?)",
+)
+EXHIBIT_LABEL = r"(?i)^(?:exhibit|appendix|attachment|schedule)\s+([A-Z0-9](?:[-\u2013]?[A-Z0-9])*)"
+
+
+def cited_exhibits(c: str | Column) -> Column:
+    """Sorted distinct labels that a text cites, lists of them taken apart: A of "Ex. A", A and B-1 of "Exhibits A and B-1"; a null text cites none."""
+    found = F.flatten(F.array(*[F.regexp_extract_all(col(c), F.lit(p), 1) for p in CITED_EXHIBITS]))
+    parts = F.flatten(F.transform(found, lambda m: F.split(m, r"\s*[,&]\s*|\s+and\s+")))
+    return F.coalesce(F.array_sort(F.array_distinct(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != ""))), F.array().cast("array<string>"))
+
+
+def exhibit_label(c: str | Column) -> Column:
+    """Label of an evidence node: A of "Exhibit A - letter", in upper case; null where it names no exhibit."""
+    return F.nullif(F.upper(F.regexp_extract(F.trim(col(c)), EXHIBIT_LABEL, 1)), F.lit(""))
+
+
 def exhibit_refs(c: str | Column) -> Column:
     """Sorted distinct labels that a text cites: Exhibit A, Ex. 12."""
     found = F.regexp_extract_all(col(c), F.lit(r"(?i)\bex(?:hibit|\.)\s+([a-z]{1,2}|\d{1,3})\b"), F.lit(1))
@@ -212,6 +233,34 @@ def heading_level(c: str | Column) -> Column:
     return reduce(lambda out, s: F.when(t.rlike(s[0]), s[1]).otherwise(out), reversed(styles), F.lit(None).cast("int"))
 
 
+#: Styles of headings by name, each with its pattern and level.
+HEADING_STYLES = {
+    "I.": (r"^[IVX]+\.\s+[A-Z]", 1),
+    "1.": (r"^\d{1,3}\.\s+[A-Z]", 1),
+    "A.": (r"^[A-Z]\.\s+[A-Z]", 2),
+    "a.": (r"^[a-z]\.\s+[A-Za-z]", 3),
+    "1)": (r"^\d+\)\s+[A-Za-z]", 2),
+    "a)": (r"^[a-z]\)\s+[A-Za-z]", 3),
+    "A)": (r"^[A-Z]\)\s+[A-Za-z]", 2),
+    "(a)": (r"^\([a-z]\)\s+[A-Za-z]", 3),
+    "(A)": (r"^\([A-Z]\)\s+[A-Za-z]", 2),
+    "(i)": (r"^\([ivx]+\)\s+[A-Za-z]", 3),
+    "1.1": (r"^\d+\.\d+[\s\.\:]", 2),
+    "1.1.1": (r"^\d+\.\d+\.\d+[\s\.\:]", 3),
+    "Article": (r"^Article\s+[IVX\d]", 1),
+    "Chapter": (r"^Chapter\s+[IVX\d]", 1),
+    "Section": (r"^Section\s+\d+(?!\.\d)", 1),
+    "Part": (r"^Part\s+[IVX\d]", 1),
+}
+
+
+def heading_level_by(c: str | Column, styles: str | Column) -> Column:
+    """Level of a line by the first of its document's styles (an array of names) that it has; unknown names fit nothing."""
+    t = F.regexp_replace(col(c), r"\A\s+|\s+\z", "")
+    level = lambda name: reduce(lambda out, s: F.when((name == s[0]) & t.rlike(s[1][0]), s[1][1]).otherwise(out), HEADING_STYLES.items(), F.lit(None).cast("int"))
+    return F.get(F.filter(F.transform(styles, level), lambda x: x.isNotNull()), F.lit(0))
+
+
 def search_text(title: str, text: str) -> Column:
     """What keyword search reads of a section: its title and its text."""
     return F.concat_ws("\n", F.nullif(F.trim(title), F.lit("")), F.col(text))

@@ -51,15 +51,30 @@ def embedding_coverage(sections: DataFrame, embedded: DataFrame) -> DataFrame:
     return sections.join(e, "section_id", "left").groupBy("file_name").agg(F.count("*").alias("sections"), F.count("_e").alias("embedded"))
 
 
-def case_dashboard(docs: DataFrame, extractions: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One row per case: each table is reduced to its documents, then to cases, before it is joined."""
+def case_dashboard(docs: DataFrame, extractions: DataFrame, nodes: DataFrame, edges: DataFrame | None = None, waiting: DataFrame | None = None) -> DataFrame:
+    """One row per case: each table is reduced to its documents, then to cases, before it is joined.
+
+    edges (src, dst) count for the case of their source node; waiting (document_id) are the documents that aren't processed yet.
+    """
     own = docs.filter("case_id IS NOT NULL").select("document_id", "case_id", "document_type")
-    d = own.groupBy("case_id").agg(F.count("*").alias("documents"), F.count_if(F.col("document_type").startswith("Pleading")).alias("pleadings"))
+    kind = lambda k: F.count_if(F.col("document_type").startswith(k))
+    d = own.groupBy("case_id").agg(F.count("*").alias("documents"), kind("Pleading").alias("pleadings"), kind("Contract").alias("contracts"))
     x = extractions.groupBy("document_id").agg(F.count("*").alias("n"), F.sum("confidence").alias("s"), F.count_if(F.col("confidence") < 0.7).alias("low"))
     x = own.join(x, "document_id").groupBy("case_id").agg(F.sum("n").alias("extractions"), F.round(F.sum("s") / F.sum("n"), 4).alias("mean_confidence"), F.sum("low").alias("low_confidence"))
-    n = nodes.groupBy("document_id").agg(F.count("*").alias("n"))
-    n = own.join(n, "document_id").groupBy("case_id").agg(F.sum("n").alias("nodes"))
-    return d.join(x, "case_id", "left").join(n, "case_id", "left").na.fill(0, ["extractions", "low_confidence", "nodes"])
+    n = nodes.groupBy("document_id").agg(F.count("*").alias("n"), F.count_if(F.col("node_type") == "claim").alias("c"))
+    n = own.join(n, "document_id").groupBy("case_id").agg(F.sum("n").alias("nodes"), F.sum("c").alias("claims"))
+    out = d.join(x, "case_id", "left").join(n, "case_id", "left")
+    filled = ["extractions", "low_confidence", "nodes", "claims"]
+    if edges is not None:
+        e = edges.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("n")).join(nodes.select("node_id", "document_id"), "node_id")
+        e = e.groupBy("document_id").agg(F.sum("n").alias("n"))
+        out = out.join(own.join(e, "document_id").groupBy("case_id").agg(F.sum("n").alias("edges")), "case_id", "left")
+        filled.append("edges")
+    if waiting is not None:
+        w = own.join(waiting.select("document_id"), "document_id", "left_semi").groupBy("case_id").agg(F.count("*").alias("pending"))
+        out = out.join(w, "case_id", "left")
+        filled.append("pending")
+    return out.na.fill(0, filled)
 
 
 def paged(df: DataFrame, order: list[Column], offset: int, n: int) -> DataFrame:
@@ -87,6 +102,16 @@ def collect_aliases(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("canonical_id").agg(F.array_join(F.array_sort(F.collect_set("node_label")), "|").alias("aliases"))
 
 
+def merge_aliases(nodes: DataFrame, existing: DataFrame) -> DataFrame:
+    """(canonical_id, aliases): the distinct labels that other nodes give their canonical one, and those it has already, sorted.
+
+    nodes: node_id, canonical_id, node_label; existing: canonical_id, aliases (an array, null for none). Canonical nodes with neither have no row.
+    """
+    new = nodes.filter("node_id <> canonical_id AND node_label IS NOT NULL").select("canonical_id", F.col("node_label").alias("alias"))
+    old = existing.select("canonical_id", F.explode("aliases").alias("alias")).filter("alias IS NOT NULL")
+    return new.unionByName(old).groupBy("canonical_id").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+
+
 def slowest_step(steps: DataFrame) -> DataFrame:
     return steps.groupBy("document_id").agg(F.round(F.sum("seconds"), 4).alias("total"), F.expr("max_by(step, struct(seconds, step))").alias("slowest"))
 

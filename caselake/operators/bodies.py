@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType
 
 from caselake.operators.graph import kept
 from caselake.operators.relational import section_pages
-from caselake.operators.structure import ordered_text, ratio, with_ratio
+from caselake.operators.structure import exhibit_start, ordered_text, ratio, split_at_anchors, with_ratio
 from caselake.operators.windows import first_seen
 
 
@@ -119,3 +119,39 @@ def exhibits_by_bookmark(lines: DataFrame, bookmarks: DataFrame, marker: Column,
     inside = inside.withColumn("start", F.last("_s", ignorenulls=True).over(Window.partitionBy("document_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))).filter("start IS NOT NULL")
     text = ordered_text(inside, ["document_id", "start"], "pos", "line", "text").withColumn("text", strip("text"))
     return marks.join(text, ["document_id", "start"]).filter(F.length("text") >= least).select("document_id", "label", "title", "start_page", "end_page", "start", "stop", "text")
+
+
+def refine_sections(sections: DataFrame, anchors: DataFrame, least: int = 300, most: int = 15) -> DataFrame:
+    """sections with the pieces of those that were split, which keep a note instead of their text: all columns of sections, and ``part`` (null for sections that were there).
+
+    Pieces have the section's id, their title, level, pages and text, and null in further columns but document_id. Splitting again finds nothing, as the note holds no anchor.
+    """
+    pieces = kept(split_at_anchors(sections, anchors, least, most))
+    split = pieces.groupBy("section_id").agg(F.count("*").alias("_pieces"))
+    note = F.format_string("[Split into %d sub-sections]", "_pieces")
+    old = sections.join(split, "section_id", "left").withColumn("section_text", F.when(F.col("_pieces").isNotNull(), note).otherwise(F.col("section_text")))
+    old = old.select(*sections.columns, F.lit(None).cast("int").alias("part"))
+    new = pieces.withColumnsRenamed({"title": "section_title", "text": "section_text"}).join(sections.select("section_id", "document_id"), "section_id")
+    return old.unionByName(new.select("part", *[c for c in new.columns if c in sections.columns]), allowMissingColumns=True)
+
+
+def split_off_exhibits(sections: DataFrame, page_lines: DataFrame, many: int = 3) -> tuple[DataFrame, DataFrame]:
+    """sections ending before the exhibits of their document, and (document_id, exhibit_page, exhibit_text).
+
+    sections: document_id, pos, section_title, section_text, start_page, end_page and others. The last section that has a first page is cut
+    to the pages before the exhibits, or goes where it begins with them; a text that is cut is made from its pages again.
+    """
+    starts = kept(exhibit_start(page_lines, sections.select("document_id", "section_title", "section_text"), many))
+    late = page_lines.join(starts, "document_id").filter("page >= exhibit_page")
+    pages = ordered_text(late, ["document_id", "exhibit_page", "page"], "line_no", "line", "text")
+    texts = ordered_text(pages, ["document_id", "exhibit_page"], "page", "text", "exhibit_text", "\\n\\n")
+    texts = kept(texts.withColumn("exhibit_text", strip("exhibit_text")).filter("exhibit_text <> ''"))
+    last = F.max(F.when(F.col("start_page").isNotNull(), F.col("pos"))).over(Window.partitionBy("document_id"))
+    rows = sections.withColumn("_last", F.col("pos") == last).join(texts.select("document_id", "exhibit_page"), "document_id", "left")
+    cut = F.coalesce(F.col("_last") & (F.col("end_page") >= F.col("exhibit_page")), F.lit(False))
+    rows = rows.withColumn("_cut", cut).filter("NOT _cut OR start_page < exhibit_page")
+    rows = rows.withColumn("end_page", F.when(F.col("_cut"), F.col("exhibit_page") - 1).otherwise(F.col("end_page")).cast(sections.schema["end_page"].dataType))
+    again = section_text(rows.filter("_cut").select("document_id", "pos", F.col("section_title").alias("title"), "start_page", "end_page"), page_lines)
+    rows = rows.join(again.withColumnRenamed("section_text", "_text"), ["document_id", "pos"], "left")
+    text = F.when(F.col("_cut"), F.coalesce("_text", F.lit(""))).otherwise(F.col("section_text"))
+    return rows.withColumn("section_text", text).select(*sections.columns), texts

@@ -7,6 +7,8 @@ import uuid
 from functools import reduce
 from itertools import count
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -466,7 +468,8 @@ def evidence_paths(nodes: DataFrame, edges: DataFrame, max_hops: int = 3, least:
         nxt = front.join(step, "u").filter(~F.array_contains("path", F.col("v"))).select("claim", F.col("v").alias("u"), F.concat("path", F.array("v")).alias("path"), F.least("confidence", "c").alias("confidence"), "vt")
         done = nxt.filter(F.col("vt").isin(list(TERMINALS))).select("claim", F.col("u").alias("target"), F.array_join("path", ">").alias("path"), "confidence", F.lit(hop).alias("hops"))
         out = done if out is None else out.unionByName(done)
-        front = nxt.filter(~F.col("vt").isin(list(TERMINALS))).drop("vt")
+        if hop < max_hops:  # written once, so that later hops don't repeat earlier ones
+            front = kept(nxt.filter(~F.col("vt").isin(list(TERMINALS))).drop("vt"))
     return out
 
 
@@ -475,30 +478,77 @@ def claim_bundles(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     return nodes.filter("node_type = 'claim'").select("node_id").join(sums, "node_id", "left").withColumn("paths", F.coalesce("paths", F.lit(0))).withColumn("unsupported", F.col("paths") == 0)
 
 
-def topo_levels(tasks: DataFrame, deps: DataFrame) -> DataFrame:
+def topo_levels(tasks: DataFrame, deps: DataFrame, most: int = 100_000) -> DataFrame:
     """Level of each task: 0 without prerequisites, else one more than the deepest of them; members of cycles, and what needs them, get -1. deps: task, needs.
 
-    A round settles one level and hands on only what still waits; each level is written to the shared folder. Rounds go on until nothing new is ready.
+    Tasks that hang together and have at most ``most`` links are settled in one task of Spark, such groups side by side; larger groups by rounds
+    over the cluster, one a level. Links to unknown or null tasks count nothing, a null task has level 0.
     """
-    open_ = kept(tasks.select("task").distinct())
-    waits = kept(deps.join(open_.withColumnRenamed("task", "needs"), "needs", "left_semi").join(open_, "task", "left_semi").select("task", "needs"))
-    folder = f"{shared_folder(tasks.sparkSession)}/levels-{uuid.uuid4().hex}"
+    own = tasks.select("task").distinct()
+    waits = kept(deps.select("task", "needs").distinct().join(own.withColumnRenamed("task", "needs"), "needs", "left_semi").join(own, "task", "left_semi").select("task", "needs"))
+    groups = components(waits.select(F.col("task").alias("a"), F.col("needs").alias("b"))).withColumnRenamed("node", "task")
+    links = waits.join(groups, "task")
+    large = kept(links.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("root"))
+    schema = StructType([StructField("task", waits.schema["task"].dataType), StructField("level", IntegerType())])
+    done = links.join(large, "root", "left_anti").groupBy("root").applyInPandas(levels_within, schema)
+    if not large.isEmpty():
+        done = done.unionByName(levels_by_rounds(links.join(large, "root", "left_semi").select("task", "needs")))
+    return tasks.join(done, "task", "left").withColumn("level", F.coalesce("level", F.lit(0)))
+
+
+def levels_within(links: pd.DataFrame) -> pd.DataFrame:
+    """Levels of the tasks of one group of links (task, needs): those that nothing holds back are settled and release what waits for them."""
+    codes, names = pd.factorize(pd.concat([links["task"], links["needs"]], ignore_index=True))
+    after, before = codes[: len(links)], codes[len(links) :]
+    waiting = np.bincount(after, minlength=len(names))
+    order = np.argsort(before, kind="stable")
+    first = np.searchsorted(before[order], np.arange(len(names) + 1))
+    level = np.full(len(names), -1, dtype=np.int32)
+    ready = np.flatnonzero(waiting == 0)
+    for depth in count():
+        if not len(ready):
+            break
+        level[ready] = depth
+        freed = np.concatenate([after[order[first[k] : first[k + 1]]] for k in ready])
+        np.subtract.at(waiting, freed, 1)
+        freed = np.unique(freed)
+        ready = freed[waiting[freed] == 0]
+    return pd.DataFrame({"task": names, "level": level})
+
+
+def levels_by_rounds(waits: DataFrame) -> DataFrame:
+    """(task, level) of all tasks of the links (task, needs): a round settles one level and hands on only what still waits; each is written to the shared folder."""
+    spark = waits.sparkSession
+    everyone = kept(waits.select("task").unionByName(waits.select(F.col("needs").alias("task"))).distinct())
+    open_, waits = everyone, kept(waits)
+    folder = f"{shared_folder(spark)}/levels-{uuid.uuid4().hex}"
     for level in count():
         ready = open_.join(waits.select("task").distinct(), "task", "left_anti")
         ready.write.parquet(f"{folder}/level={level}")
-        ready = tasks.sparkSession.read.schema(open_.schema).parquet(f"{folder}/level={level}")
+        ready = spark.read.schema(open_.schema).parquet(f"{folder}/level={level}")
         if ready.isEmpty():
             break
+        before = (open_, waits)
         open_ = kept(open_.join(ready, "task", "left_anti"))
         waits = kept(waits.join(ready.withColumnRenamed("task", "needs"), "needs", "left_anti"))
-    done = tasks.sparkSession.read.schema(StructType([*open_.schema, StructField("level", IntegerType())])).parquet(folder)
-    return tasks.join(done, "task", "left").withColumn("level", F.coalesce("level", F.lit(-1)))
+        forget(*(t for t in before if t is not everyone))
+    done = spark.read.schema(StructType([*everyone.schema, StructField("level", IntegerType())])).parquet(folder)
+    return everyone.join(done, "task", "left").withColumn("level", F.coalesce("level", F.lit(-1)))
+
+
+def numbered(df: DataFrame, *order: Column | str, to: str = "rank") -> DataFrame:
+    """df with each row's number in a total order: ranges of the order are numbered side by side, each from the counts of those before it."""
+    parts = kept(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", before.alias("_before"))  # a row for each range
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return parts.withColumn("_own", own).join(starts, "_p").withColumn(to, F.col("_before") + F.col("_own")).select(*df.columns, to)
 
 
 def task_order(tasks: DataFrame, levels: DataFrame) -> DataFrame:
-    """tasks (task, tier, layer, position) with rank: by level, then tier, layer and position; members of cycles last."""
-    rows = tasks.join(levels.select("task", "level"), "task")
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.col("level") < 0, "level", "tier", "layer", "position")))
+    """tasks (task, tier, layer, position) with rank: by level, then tier, layer and position, ties by task; members of cycles last."""
+    rows = tasks.join(levels.select("task", "level"), "task").withColumn("_cycle", F.col("level") < 0)
+    return numbered(rows, "_cycle", "level", "tier", "layer", "position", "task").drop("_cycle")
 
 
 def detect_addons(docs: DataFrame, rules: DataFrame, claims: DataFrame | None = None) -> DataFrame:

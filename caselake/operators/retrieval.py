@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import PandasUDFType
 from pyspark.sql.types import DataType
 
-from caselake.functions.scalar import bound, cosine, set_similarity, trigrams
+from caselake.functions.scalar import bound, cited_exhibits, cosine, set_similarity, trigrams
 from caselake.operators.graph import components, kept
-from caselake.operators.relational import structural_filter
+from caselake.operators.relational import evidence_gaps, structural_filter
 
 
 def _literal(vector: list[float]) -> Column:
@@ -189,3 +189,58 @@ def tool_log(messages: DataFrame) -> DataFrame:
     rows = calls.join(results, ["session_id", "call_id"], "left")
     step = F.concat_ws(" => ", F.substring("call", 1, 40), F.substring("summary", 1, 40))
     return rows.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("turn", step.alias("step")))).alias("l")).select("session_id", F.expr("array_join(transform(l, x -> x.step), '\\n')").alias("steps"))
+
+
+def response_rows(answers: DataFrame, messages: DataFrame, longest: int = 2000) -> DataFrame:
+    """Answers as they are stored, each with the calls made for it, in order, and the first 300 characters of their results.
+
+    answers: case_id, session_id, query, agent_name, answer, confidence, needs_review; messages: session_id, turn, kind ('call' or 'result'), call_id, tool_name, args, text.
+    Answers without a case or a text aren't stored. A null session is 'unknown' and has no calls; queries are cut at ``longest`` characters.
+    """
+    rows = answers.filter("case_id IS NOT NULL AND answer <> ''")
+    calls = messages.filter("kind = 'call'").select("session_id", "call_id", "turn", "tool_name", "args")
+    results = messages.filter("kind = 'result'").groupBy("session_id", "call_id").agg(F.max(F.struct("turn", F.substring("text", 1, 300).alias("text")))["text"].alias("result_summary"))
+    steps = calls.join(results, ["session_id", "call_id"], "left").withColumn("result_summary", F.coalesce("result_summary", F.lit("")))
+    made = F.transform(F.array_sort(F.collect_list(F.struct("turn", "call_id", "tool_name", "args", "result_summary"))), lambda c: F.struct(c["tool_name"].alias("tool_name"), c["args"].alias("args"), c["result_summary"].alias("result_summary")))
+    steps = steps.groupBy("session_id").agg(made.alias("tool_calls_made"))
+    out = rows.join(steps, "session_id", "left")
+    none = F.array().cast(steps.schema["tool_calls_made"].dataType)
+    return out.select("case_id", F.coalesce("session_id", F.lit("unknown")).alias("session_id"), F.substring("query", 1, longest).alias("query"), "agent_name", "answer", F.round(F.col("confidence").cast("double"), 4).alias("confidence"), "needs_review", F.coalesce("tool_calls_made", none).alias("tool_calls_made"))
+
+
+# -- tools -----------------------------------------------------------------------------------
+
+
+def query_kg(nodes: DataFrame, edges: DataFrame, node_type: str | None = None, edge_type: str | None = None, label: str | None = None) -> DataFrame:
+    """(src_label, edge_type, dst_label, confidence): edges that leave the nodes asked for, equal ones once with their greatest confidence.
+
+    nodes: node_id, node_type, node_label, those of the case; a target that isn't among the nodes asked for is named by the first 8 characters of its id.
+    """
+    found = nodes.select("node_id", "node_type", "node_label")
+    if node_type:
+        found = found.filter(F.col("node_type") == node_type)
+    if label:
+        found = found.filter(F.contains(F.lower("node_label"), F.lit(label.lower())))
+    e = edges.filter(F.col("edge_type") == edge_type) if edge_type else edges
+    src = found.select(F.col("node_id").alias("src"), F.col("node_label").alias("src_label"))
+    dst = found.select(F.col("node_id").alias("dst"), F.col("node_label").alias("_dst"))
+    rows = e.join(src, "src").join(dst, "dst", "left")
+    return rows.groupBy("src_label", "edge_type", F.coalesce("_dst", F.substring("dst", 1, 8)).alias("dst_label")).agg(F.max("confidence").alias("confidence"))
+
+
+def match_evidence(items: DataFrame, docs: DataFrame, emb: DataFrame, k: int = 2, least: float = 0.4) -> DataFrame:
+    """Evidence for texts: documents they cite (0.95), then the ``k`` most alike that they don't cite.
+
+    items: item_id, case_id, text, qvec (null where there is none). One row per link: item_id, document_id, link_type, reference, confidence.
+    Cited labels that no document of the case bears give no row; texts of 20 characters or fewer aren't compared.
+    """
+    refs = items.select("item_id", "case_id", F.explode(cited_exhibits("text")).alias("ref"))
+    cited = explicit_links(refs, docs).filter("document_id IS NOT NULL")
+    explicit = cited.select("item_id", "document_id", F.lit("explicit_citation").alias("link_type"), F.col("ref").alias("reference"), "confidence").distinct()
+    alike = implicit_links(items.filter("length(text) > 20 AND qvec IS NOT NULL").select(F.col("item_id").alias("query_id"), "case_id", "qvec"), emb, cited, k, least)
+    return explicit.unionByName(alike.select("item_id", "document_id", F.lit("agent_discovered").alias("link_type"), F.lit(None).cast("string").alias("reference"), F.col("score").alias("confidence")))
+
+
+def link_evidence(items: DataFrame, docs: DataFrame, emb: DataFrame, links: DataFrame, k: int = 2, least: float = 0.4) -> DataFrame:
+    """``match_evidence`` for all items that no link with a document names yet (links: item_id, document_id)."""
+    return match_evidence(evidence_gaps(items, links, "item_id"), docs, emb, k, least)

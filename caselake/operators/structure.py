@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from caselake.functions.scalar import heading_level, page_number
+from caselake.functions.scalar import heading_level, heading_level_by, page_number
 from caselake.operators.labels import first_rules
 from caselake.operators.windows import fill_forward, first_seen, largest_block, levels_of
 
@@ -150,19 +150,27 @@ def with_ratio(rows: DataFrame, a: str, b: str, least: float) -> DataFrame:
     return rows.join(pairs, (rows[a] == pairs["_x"]) & (rows[b] == pairs["_y"]), "left").drop("_x", "_y").withColumn("ratio", F.coalesce("ratio", F.lit(0.0)))
 
 
-def calibrate_offset(entries: DataFrame, page_lines: DataFrame, least: float = 0.72, titles: int = 5, top: int = 20, support: int = 2) -> DataFrame:
-    """(document_id, page_offset, support): by how much printed pages differ from counted ones, from the first titles found near the top of pages.
+def calibrate_offset(entries: DataFrame, page_lines: DataFrame, outlines: DataFrame | None = None, least: float = 0.72, titles: int = 5, top: int = 20, support: int = 2) -> DataFrame:
+    """(document_id, page_offset, support): by how much printed pages differ from counted ones, one row for each document of ``page_lines``.
 
-    Only lines that share the title's first letter and are of fitting length are compared, within their document.
+    Each of the first titles of four characters or more votes by the first line that resembles it near the top of a page behind the outline.
+    The offset with most votes counts, on ties that of the earlier title; with fewer than ``support`` of them it is the outline's last page
+    (outlines: document_id, last_page), or 0 without one, and the row's support is 0.
+    Only lines of fitting length are compared, within their document.
     """
-    e = entries.withColumn("_k", F.row_number().over(Window.partitionBy("document_id").orderBy("pos"))).filter(F.col("_k") <= titles)
-    e = e.select("document_id", "_k", F.lower(F.trim("title")).alias("title"), F.col("page").alias("printed"))
-    p = page_lines.filter((F.col("line_no") < top) & (F.trim("line") != "")).select("document_id", F.col("page").alias("counted"), F.lower(F.trim("line")).alias("line"))
+    docs = page_lines.select("document_id").distinct()
+    docs = docs.withColumn("last_page", F.lit(0)) if outlines is None else docs.join(outlines.groupBy("document_id").agg(F.max("last_page").alias("last_page")), "document_id", "left").na.fill(0, ["last_page"])
+    e = entries.filter("length(trim(title)) >= 4 AND page IS NOT NULL").withColumn("_k", F.row_number().over(Window.partitionBy("document_id").orderBy("pos"))).filter(F.col("_k") <= titles)
+    e = e.select("document_id", "_k", F.substring(F.lower(F.trim("title")), 1, 60).alias("title"), F.col("page").alias("printed"))
+    p = page_lines.filter((F.col("line_no") < top) & (F.trim("line") != "")).select("document_id", F.col("page").alias("counted"), "line_no", F.substring(F.lower(F.trim("line")), 1, 80).alias("line"))
+    p = p.join(docs, "document_id").filter("counted > last_page").drop("last_page")
     fit = F.least(F.length("title"), F.length("line")) / F.greatest(F.length("title"), F.length("line")) >= least / (2 - least)
     pairs = e.join(p, "document_id").filter(fit).withColumn("r", ratio("title", "line", least)).filter(F.col("r") >= least)
-    best = first_seen(pairs, ["document_id", "_k"], F.col("r").desc(), F.col("counted"))
-    votes = best.groupBy("document_id", (F.col("counted") - F.col("printed")).alias("page_offset")).agg(F.count("*").alias("support")).filter(F.col("support") >= support)
-    return first_seen(votes, ["document_id"], F.col("support").desc(), F.col("page_offset"))
+    seen = first_seen(pairs, ["document_id", "_k"], F.col("counted"), F.col("line_no"))
+    votes = seen.groupBy("document_id", (F.col("counted") - F.col("printed")).alias("page_offset")).agg(F.count("*").alias("support"), F.min("_k").alias("_k")).filter(F.col("support") >= support)
+    won = first_seen(votes, ["document_id"], F.col("support").desc(), F.col("_k"))
+    rows = docs.join(won, "document_id", "left")
+    return rows.select("document_id", F.coalesce("page_offset", "last_page").alias("page_offset"), F.coalesce("support", F.lit(0)).alias("support"))
 
 
 def renumber(pages: DataFrame, offsets: DataFrame) -> DataFrame:
@@ -170,8 +178,13 @@ def renumber(pages: DataFrame, offsets: DataFrame) -> DataFrame:
     return pages.join(offsets.select("document_id", "page_offset"), "document_id").withColumn("page", F.col("page") - F.col("page_offset")).filter("page >= 1").drop("page_offset")
 
 
-def scan_headings(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("level", heading_level("line")).filter("level IS NOT NULL").select("document_id", "pos", "level", F.trim("line").alias("title"))
+def scan_headings(lines: DataFrame, styles: DataFrame | None = None) -> DataFrame:
+    """Heading lines with their level: by the usual styles, or by those given for each document, of which the first that fits counts (styles: document_id, styles, an array of names)."""
+    if styles is None:
+        level = heading_level("line")
+    else:
+        lines, level = lines.join(styles.select("document_id", F.col("styles").alias("_s")), "document_id"), heading_level_by("line", "_s")
+    return lines.withColumn("level", level).filter("level IS NOT NULL").select("document_id", "pos", "level", F.trim("line").alias("title"))
 
 
 def build_sections(headings: DataFrame, lines: DataFrame) -> DataFrame:
@@ -245,9 +258,25 @@ def split_exhibits(lines: DataFrame, labels: DataFrame, bookmarked: DataFrame |
     return rows.withColumn("_b", best).filter("_rank = _b").select("document_id", "label", "start", "stop", "way")
 
 
-def exhibit_start(page_lines: DataFrame, many: int = 3) -> DataFrame:
-    """First page on which exhibits start; pages with ``many`` starts or more are lists of exhibits."""
-    starts = page_lines.groupBy("document_id", "page").agg(F.count_if(F.col("line").rlike(EXHIBIT_START)).alias("n")).filter((F.col("n") > 0) & (F.col("n") < many))
+#: What begins an exhibit on a page, and what names one in an outline.
+EXHIBIT_HEAD = r"(?imd)^(?:exhibit|attachment|schedule|appendix)\s*[A-Z0-9]"
+EXHIBIT_NAMED = r"(?i)\b(?:exhibit|ex\s*[-]?\s*\d+|ex\d+)\b"
+
+
+def exhibit_start(page_lines: DataFrame, outline: DataFrame | None = None, many: int = 3) -> DataFrame:
+    """(document_id, exhibit_page): first page on which exhibits start; pages with ``many`` starts or more are lists of exhibits.
+
+    outline: document_id, section_title, section_text. Where a title names an exhibit, or the text of the entry "TOC" does, all pages are
+    scanned; else those from the middle of the document on. Without an outline all pages of all documents are.
+    """
+    total = page_lines.groupBy("document_id").agg(F.max("page").alias("_total"))
+    first = F.lit(1)
+    if outline is not None:
+        says = F.col("section_title").rlike(EXHIBIT_NAMED) | ((F.col("section_title") == "TOC") & F.col("section_text").rlike(EXHIBIT_NAMED))
+        total = total.join(outline.filter(says).select("document_id").distinct().withColumn("_named", F.lit(True)), "document_id", "left")
+        first = F.when(F.col("_named"), 1).otherwise(F.greatest(F.lit(1), F.floor(F.col("_total") / 2)))
+    texts = ordered_text(page_lines, ["document_id", "page"], "line_no", "line", "text")
+    starts = texts.withColumn("n", F.regexp_count("text", F.lit(EXHIBIT_HEAD))).filter((F.col("n") > 0) & (F.col("n") < many)).join(total, "document_id").filter(F.col("page") >= first)
     return starts.groupBy("document_id").agg(F.min("page").alias("exhibit_page"))
 
 
@@ -305,29 +334,47 @@ def drop_subtrees(entries: DataFrame, pattern: str = "(?i)^exhibit") -> DataFram
     return rows.withColumn("_in", inside).filter(~F.col("_in") & ~F.col("_hit")).drop("_in", "_hit")
 
 
+def find_from(text: str, anchor: Column, at: Column) -> Column:
+    """Place (from 0) of an anchor in a text from ``at`` on: whole, else by its first 70 characters or fewer, five fewer each time down to 20; null if it isn't there."""
+    place = lambda what: F.nullif(F.position(what, F.col(text), (at + 1).cast("int")), F.lit(0)) - 1
+    strip = lambda c: F.regexp_replace(c, r"\A\s+|\s+\z", "")
+    sizes = F.sequence(F.greatest(F.least(F.length(anchor), F.lit(70)), F.lit(20)), F.lit(20), F.lit(-5))
+    parts = F.transform(sizes, lambda n: F.nullif(strip(F.substring(anchor, F.lit(1), n)), F.lit("")))
+    begun = F.when(F.length(anchor) >= 20, F.get(F.filter(F.transform(parts, place), lambda p: p.isNotNull()), F.lit(0)))
+    return F.when(anchor != "", F.coalesce(place(anchor), begun))
+
+
 def split_at_anchors(sections: DataFrame, anchors: DataFrame, least: int = 300, most: int = 15) -> DataFrame:
-    """Long sections cut where their anchors occur, in order. anchors: section_id, ord, anchor.
+    """Pieces of sections cut at their anchors, in order: (section_id, part, title, level, start, stop, start_page, end_page, text).
 
-    An anchor is found whole or by its first 70, 50, 35 or 20 characters, after the one before it; pieces are at least ``least`` long.
+    sections: section_id, level, section_text, and start_page and end_page if pages are to be estimated; anchors: section_id, ord, anchor, and
+    title if pieces are to have one, of which the first ``most`` of a section count. An anchor is sought behind the one before it and stands
+    where that search began if it isn't found. Pages are estimated by the share of the text, a hundredth further for each piece. Pieces of under ``least`` characters are left out; ``part`` counts those that stay.
     """
-    packed = anchors.groupBy("section_id").agg(F.array_sort(F.collect_list(F.struct("ord", "anchor"))).alias("a"))
-    rows = sections.select("section_id", "level", "section_text").join(packed, "section_id")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for sid, level, text, found in zip(pdf.section_id, pdf.level, pdf.section_text, pdf.a, strict=True):
-                cuts, at = [], 0
-                for anchor in [x["anchor"] for x in found][:most]:
-                    place = next((p for n in (len(anchor), 70, 50, 35, 20) if n <= len(anchor) and n and (p := text.find(anchor[:n], at)) >= 0), -1)
-                    if place >= 0 and (not cuts or place - cuts[-1] >= least):
-                        cuts.append(place)
-                        at = place + 1
-                for k, (s, e) in enumerate(zip(cuts, [*cuts[1:], len(text)], strict=True)):
-                    out.append((sid, k, level + 1, s, text[s:e]))
-            yield pd.DataFrame(out, columns=["section_id", "part", "level", "start", "text"])
-
-    return rows.mapInPandas(run, "section_id long, part int, level long, start long, text string")
+    title = F.col("title") if "title" in anchors.columns else F.lit(None).cast("string")
+    packed = anchors.groupBy("section_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("ord", F.coalesce("anchor", F.lit("")).alias("anchor"), title.alias("title")))), 1, most).alias("_a"))
+    paged = {"start_page", "end_page"} <= set(sections.columns)
+    pages = [F.col(c) if paged else F.lit(None).cast("int").alias(c) for c in ("start_page", "end_page")]
+    rows = sections.filter("section_text IS NOT NULL").select("section_id", "level", "section_text", *pages).join(packed, "section_id")
+    none = F.lit(None).cast("array<int>")
+    cuts = F.aggregate("_a", F.coalesce(none, F.array().cast("array<int>")), lambda done, a: F.concat(done, F.array(one_cut(done, a))))
+    rows = rows.withColumn("_cuts", cuts).withColumn("_n", F.length("section_text"))
+    stops = F.concat(F.slice("_cuts", F.lit(2), F.size("_cuts")), F.array("_n"))
+    rows = rows.select("*", F.posexplode(F.arrays_zip(F.col("_cuts").alias("start"), stops.alias("stop"), F.col("_a.title").alias("title"))).alias("_i", "_c"))
+    text = F.regexp_replace(F.substring("section_text", F.col("_c.start") + 1, F.greatest(F.col("_c.stop") - F.col("_c.start"), F.lit(0))), r"\A\s+|\s+\z", "")
+    rows = rows.select("section_id", "_i", F.col("_c.title").alias("title"), (F.col("level") + 1).alias("level"), F.col("_c.start").alias("start"), F.col("_c.stop").alias("stop"), "_n", "start_page", "end_page", text.alias("text"))
+    rows = rows.filter(F.length("text") >= least).withColumn("part", F.row_number().over(Window.partitionBy("section_id").orderBy("_i")) - 1)
+    page = lambda c: F.bround(F.col("start_page") + F.col(c) / F.col("_n") * (F.col("end_page") - F.col("start_page")) + F.col("part") * 0.01, 0).cast("int")
+    known = F.col("start_page").isNotNull() & F.col("end_page").isNotNull()
+    one = F.col("start_page") == F.col("end_page")
+    first = F.when(known & ~one, page("start")).otherwise(F.col("start_page"))
+    last = F.when(known & ~one, page("stop")).otherwise(F.col("end_page"))
+    return rows.select("section_id", "part", "title", "level", "start", "stop", first.cast("int").alias("start_page"), last.cast("int").alias("end_page"), "text")
+
+
+def one_cut(done: Column, anchor: Column) -> Column:
+    at = F.coalesce(F.try_element_at(done, F.lit(-1)) + 1, F.lit(0))
+    return F.coalesce(find_from("section_text", anchor["anchor"], at), at).cast("int")
 
 
 # -- HTML ------------------------------------------------------------------------------------

@@ -55,13 +55,16 @@ def _(v):
 @query(
     "case_dashboard",
     """WITH own AS (SELECT document_id, case_id, document_type FROM v_docs WHERE case_id IS NOT NULL),
- d AS (SELECT case_id, count(*) AS documents, count(*) FILTER (starts_with(document_type, 'Pleading')) AS pleadings FROM own GROUP BY 1),
+ d AS (SELECT case_id, count(*) AS documents, count(*) FILTER (starts_with(document_type, 'Pleading')) AS pleadings, count(*) FILTER (starts_with(document_type, 'Contract')) AS contracts FROM own GROUP BY 1),
  x AS (SELECT case_id, count(*) AS extractions, round(avg(confidence), 4) AS mean_confidence, count(*) FILTER (confidence < 0.7) AS low_confidence FROM own JOIN v_extractions USING (document_id) GROUP BY 1),
- n AS (SELECT case_id, count(*) AS nodes FROM own JOIN v_nodes USING (document_id) GROUP BY 1)
- SELECT case_id, documents, pleadings, coalesce(extractions, 0) AS extractions, mean_confidence, coalesce(low_confidence, 0) AS low_confidence, coalesce(nodes, 0) AS nodes FROM d LEFT JOIN x USING (case_id) LEFT JOIN n USING (case_id)""",
+ n AS (SELECT case_id, count(*) AS nodes, count(*) FILTER (node_type = 'claim') AS claims FROM own JOIN v_nodes USING (document_id) GROUP BY 1),
+ e AS (SELECT case_id, count(*) AS edges FROM own JOIN v_nodes USING (document_id) JOIN v_edges ON src = node_id GROUP BY 1),
+ w AS (SELECT case_id, count(*) AS pending FROM own WHERE document_id IN (SELECT intake_id FROM v_intake WHERE status IN ('pending', 'processing')) GROUP BY 1)
+ SELECT case_id, documents, pleadings, contracts, coalesce(extractions, 0) AS extractions, mean_confidence, coalesce(low_confidence, 0) AS low_confidence, coalesce(nodes, 0) AS nodes, coalesce(claims, 0) AS claims, coalesce(edges, 0) AS edges, coalesce(pending, 0) AS pending FROM d LEFT JOIN x USING (case_id) LEFT JOIN n USING (case_id) LEFT JOIN e USING (case_id) LEFT JOIN w USING (case_id)""",
 )
 def _(v):
-    return A.case_dashboard(v("v_docs"), v("v_extractions"), v("v_nodes"))
+    waiting = v("v_intake").filter("status IN ('pending', 'processing')").select(F.col("intake_id").alias("document_id"))
+    return A.case_dashboard(v("v_docs"), v("v_extractions"), v("v_nodes"), v("v_edges"), waiting)
 
 
 @query("vocab_union")
@@ -86,6 +89,17 @@ def _(v):
     return A.collect_aliases(v("v_nodes").withColumn("canonical_id", F.expr("node_type || '-' || CAST(document_id AS string)")))
 
 
+_CANON = "SELECT node_id, node_label, document_id, min(node_id) OVER (PARTITION BY node_type, document_id) AS canonical_id FROM v_nodes"
+
+
+@query("alias_merge", f"WITH n AS ({_CANON}), a AS (SELECT canonical_id, node_label AS alias FROM n WHERE node_id <> canonical_id UNION SELECT canonical_id, unnest(['Known as', node_label]) FROM n WHERE node_id = canonical_id AND document_id % 3 = 0) SELECT canonical_id, string_agg(alias, '|' ORDER BY alias) AS aliases FROM a GROUP BY 1")
+def _(v):
+    v("v_nodes").createOrReplaceTempView("v_nodes")
+    n = v.spark.sql(_CANON)
+    known = n.filter("node_id = canonical_id").selectExpr("canonical_id", "CASE WHEN document_id % 3 = 0 THEN array('Known as', node_label, NULL) END AS aliases")
+    return A.merge_aliases(n, known).select("canonical_id", F.array_join("aliases", "|").alias("aliases"))
+
+
 @query("slowest_step", "SELECT job_id AS document_id, round(sum(value), 4) AS total, arg_max(status, row(value, status)) AS slowest FROM v_intake GROUP BY 1")
 def _(v):
     return A.slowest_step(v("v_intake").select(F.col("job_id").alias("document_id"), F.col("status").alias("step"), F.col("value").alias("seconds")))

@@ -125,6 +125,51 @@ def _(v):
     return R.tool_log(m)
 
 
+_CALLED = "SELECT conv_id, turn, 'search' AS tool_name, substring(text, 1, 20) AS args, turn - turn % 2 AS call_id, role, text FROM conversations"
+
+
+@query("response_rows", f"WITH c AS ({_CALLED}), r AS (SELECT conv_id, call_id, max(row(turn, substring(text, 1, 300))) AS m FROM c WHERE role = 'assistant' GROUP BY 1, 2), s AS (SELECT conv_id AS session_id, string_agg(tool_name || '(' || args || '): ' || coalesce(struct_extract_at(m, 2), ''), chr(10) ORDER BY turn, call_id, args, coalesce(struct_extract_at(m, 2), '')) AS calls FROM c LEFT JOIN r USING (conv_id, call_id) WHERE role = 'user' GROUP BY 1), a AS (SELECT case_id, CASE WHEN turn % 3 = 0 THEN NULL ELSE session_id END AS session_id, repeat('why ', 600) AS query, text AS answer, confidence, turn FROM v_responses WHERE role = 'assistant') SELECT case_id, coalesce(a.session_id::VARCHAR, 'unknown') AS session_id, substring(query, 1, 2000) AS query, 'analyst' AS agent_name, answer, round(confidence, 4) AS confidence, turn % 2 = 0 AS needs_review, coalesce(calls, '') AS tool_calls_made FROM a LEFT JOIN s ON s.session_id = a.session_id WHERE case_id IS NOT NULL AND answer <> ''")
+def _(v):
+    m = v("conversations").selectExpr("CAST(conv_id AS string) AS session_id", "turn", "CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' END AS kind", "turn - turn % 2 AS call_id", "'search' AS tool_name", "substring(text, 1, 20) AS args", "text")
+    a = v("v_responses").filter("role = 'assistant'").selectExpr("case_id", "CASE WHEN turn % 3 = 0 THEN NULL ELSE CAST(session_id AS string) END AS session_id", "repeat('why ', 600) AS query", "'analyst' AS agent_name", "text AS answer", "confidence", "turn % 2 = 0 AS needs_review")
+    calls = F.expr("array_join(transform(tool_calls_made, c -> c.tool_name || '(' || c.args || '): ' || c.result_summary), '\n')")
+    return R.response_rows(a, m).withColumn("tool_calls_made", calls)
+
+
+@query("query_kg", "WITH n AS (SELECT node_id, node_label FROM v_nodes WHERE node_type = 'obligation' AND contains(lower(node_label), 'item 1')) SELECT n.node_label AS src_label, edge_type, coalesce(t.node_label, substring(dst, 1, 8)) AS dst_label, max(confidence) AS confidence FROM v_edges JOIN n ON n.node_id = src LEFT JOIN n t ON t.node_id = dst WHERE edge_type = 'breached_by' GROUP BY 1, 2, 3")
+def _(v):
+    return R.query_kg(v("v_nodes"), v("v_edges"), "obligation", "breached_by", "ITEM 1")
+
+
+_LINKED = """WITH i AS (SELECT section_id AS item_id, case_id, embedding AS qvec, CASE section_id % 60 WHEN 0 THEN 'See Exhibits A and ZZ9 of the complaint' WHEN 20 THEN 'a short one' ELSE 'a text of more than twenty characters' END AS text FROM v_embeddings WHERE section_id % 20 = 0 AND section_id % 7 <> 0),
+ f AS (SELECT item_id, case_id, unnest(['A', 'ZZ9']) AS ref FROM i WHERE item_id % 60 = 0),
+ m AS (SELECT item_id, ref, min(row(CASE WHEN ends_with(lower(d.file_name), 'exhibit_' || lower(ref)) THEN 1 ELSE 2 END, d.document_id)) AS m FROM f JOIN v_docs d USING (case_id) WHERE contains(lower(d.file_name), lower(ref)) GROUP BY 1, 2),
+ x AS (SELECT item_id, struct_extract_at(m, 2) AS document_id, ref FROM m),
+ p AS (SELECT item_id, e.document_id, round(list_cosine_similarity(e.embedding::DOUBLE[], qvec::DOUBLE[]), 4) AS s FROM v_embeddings e JOIN i USING (case_id) WHERE length(text) > 20 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], qvec::DOUBLE[]) DESC, section_id) <= 8),
+ d AS (SELECT item_id, document_id, max(s) AS score FROM p WHERE s >= 0.05 AND NOT EXISTS (SELECT 1 FROM x WHERE x.item_id = p.item_id AND x.document_id = p.document_id) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY max(s) DESC, document_id) <= 2)
+ SELECT item_id, document_id, 'explicit_citation' AS link_type, ref AS reference, 0.95 AS confidence FROM x UNION ALL SELECT item_id, document_id, 'agent_discovered', NULL, score FROM d"""
+
+
+@query("link_evidence", _LINKED)
+def _(v):
+    e = v("v_embeddings")
+    text = "CASE section_id % 60 WHEN 0 THEN 'See Exhibits A and ZZ9 of the complaint' WHEN 20 THEN 'a short one' ELSE 'a text of more than twenty characters' END AS text"
+    items = e.filter("section_id % 20 = 0").selectExpr("section_id AS item_id", "case_id", text, "embedding AS qvec")
+    links = e.filter("section_id % 20 = 0 AND section_id % 7 = 0").selectExpr("section_id AS item_id", "document_id")
+    return R.link_evidence(items, v("v_docs"), e.select("section_id", "case_id", "embedding", "document_id"), links, 2, 0.05)
+
+
+@query("hybrid_search_sql", _HYBRID)
+def _(v):
+    """The search called from SQL, as a table function."""
+    from caselake.operators.search_function import register_search
+
+    v("v_embeddings").createOrReplaceTempView("v_embeddings")
+    register_search(v.spark, "v_embeddings")
+    vector = ", ".join(f"{float(x)!r}D" for x in _vector(v))
+    return v.spark.sql(f"SELECT * FROM hybrid_search(array({vector}), '{QTEXT}', threshold => 0.05D)")
+
+
 @query("approx_topk")
 def _(v):
     """Nearest sections by the stored buckets of an index that is built first; recall is measured in the tests."""

@@ -85,7 +85,8 @@ def _(v):
 def _(v):
     pl = page_lines(v)
     entries = pl.filter("line_no = 2 AND length(line) > 10").select("document_id", "pos", F.col("line").alias("title"), (F.col("page") - F.col("document_id") % 3).alias("page"))
-    return D.calibrate_offset(entries, pl)
+    outlines = pl.filter("document_id % 5 = 0").select("document_id").distinct().withColumn("last_page", F.lit(2))
+    return D.calibrate_offset(entries, pl, outlines)
 
 
 _HEADS = "SELECT document_id, pos, CASE pos % 9 WHEN 0 THEN 'ARTICLE IV' WHEN 2 THEN 'A. Facts' WHEN 4 THEN '1.2 Terms' WHEN 6 THEN '(a) item' ELSE 'x ' || line END AS line FROM v_lines"
@@ -142,9 +143,37 @@ def _(v):
     return D.exhibits_by_scan(v.spark.sql(_SCAN))
 
 
-@query("exhibit_start", f"SELECT document_id, min(page) AS exhibit_page FROM ({_PL}) WHERE pos % 18 = 3 GROUP BY 1")
+#: Pages with an exhibit's start on every third, a list of schedules on the fourth of some documents, and sections of which the last one runs to the end.
+_XP = f"SELECT document_id, pos, page, line_no, CASE WHEN page = 4 AND document_id % 4 = 1 THEN 'Schedule ' || CAST(pos AS STRING) ELSE line END AS line FROM ({_PL})"
+_XS = f"""SELECT document_id, pos, CASE pos WHEN 2 THEN 'TOC' ELSE repeat('@', 20) END AS section_title, CASE WHEN pos < 2 THEN 'as it was' WHEN document_id % 2 = 0 THEN 'Intro, Exhibit A' ELSE 'Intro' END AS section_text,
+ CASE pos WHEN 0 THEN CAST(1 AS BIGINT) WHEN 1 THEN least(CAST(2 AS BIGINT), total) END AS start_page, CASE pos WHEN 0 THEN CAST(1 AS BIGINT) WHEN 1 THEN total END AS end_page
+ FROM (SELECT document_id, max(page) AS total FROM ({_XP}) GROUP BY document_id) JOIN (VALUES (0), (1), (2)) p(pos) ON true"""
+_XT = f"""WITH pl AS ({_XP}), t AS (SELECT document_id, page, string_agg(line, chr(10) ORDER BY line_no) AS text FROM pl GROUP BY 1, 2), tot AS (SELECT document_id, max(page) AS total FROM pl GROUP BY 1),
+ st AS (SELECT t.document_id, min(page) AS exhibit_page FROM t JOIN tot USING (document_id) WHERE len(regexp_extract_all(text, '(?im)^(?:exhibit|attachment|schedule|appendix)\\s*[A-Z0-9]')) BETWEEN 1 AND 2 AND page >= CASE WHEN document_id % 2 = 0 THEN 1 ELSE greatest(1, total // 2) END GROUP BY 1),
+ x AS (SELECT document_id, exhibit_page, regexp_replace(string_agg(text, chr(10) || chr(10) ORDER BY page), '\\A\\s+|\\s+\\z', '', 'g') AS exhibit_text FROM t JOIN st USING (document_id) WHERE page >= exhibit_page GROUP BY 1, 2)"""
+
+
+def _exhibit_pages(v):
+    v("v_lines").createOrReplaceTempView("v_lines")
+    return v.spark.sql(_XS), v.spark.sql(_XP)
+
+
+@query("exhibit_start", f"{_XT} SELECT * FROM st")
+def _(v):
+    sections, lines = _exhibit_pages(v)
+    return D.exhibit_start(lines, sections)
+
+
+@query("exhibit_pages", f"{_XT} SELECT * FROM x WHERE exhibit_text <> ''")
+def _(v):
+    return B.split_off_exhibits(*_exhibit_pages(v))[1]
+
+
+@query("trim_last_section", f"""{_XT}, s AS ({_XS}), c AS (SELECT s.*, exhibit_page, coalesce(s.pos = 1 AND end_page >= exhibit_page, false) AS cut FROM s LEFT JOIN x USING (document_id)),
+ b AS (SELECT c.document_id, regexp_replace(string_agg(line, chr(10) ORDER BY pl.page, line_no), '\\A\\s+|\\s+\\z', '', 'g') AS body FROM c JOIN pl ON pl.document_id = c.document_id AND pl.page BETWEEN c.start_page AND exhibit_page - 1 WHERE cut GROUP BY 1)
+ SELECT document_id, pos, section_title, CASE WHEN cut THEN coalesce(body, '') ELSE section_text END AS section_text, start_page, CASE WHEN cut THEN exhibit_page - 1 ELSE end_page END AS end_page FROM c LEFT JOIN b USING (document_id) WHERE NOT cut OR start_page < exhibit_page""")
 def _(v):
-    return D.exhibit_start(page_lines(v))
+    return B.split_off_exhibits(*_exhibit_pages(v))[0]
 
 
 @query("render_document", "SELECT document_id, string_agg(repeat('  ', CAST(level AS INTEGER)) || section_title || ': ' || substring(section_text, 1, 30), chr(10) ORDER BY pos) AS rendered FROM v_sections GROUP BY 1")
@@ -175,11 +204,52 @@ def _(v):
     return D.drop_subtrees(e)
 
 
-@query("split_at_anchors")
+_ANCHORS = "SELECT document_id AS section_id, n AS ord, 'Part ' || CAST(n AS STRING) AS title, CASE n % 4 WHEN 0 THEN substring(text, CAST(floor(length(text) * n / 20) AS INT) + 1, 90) WHEN 1 THEN substring(text, CAST(floor(length(text) * n / 20) AS INT) + 1, 42) || '#####' WHEN 2 THEN 'an anchor that stands nowhere' ELSE substring(text, CAST(floor(length(text) * n / 20) AS INT) + 1, 12) END AS anchor FROM v_docs JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12), (13), (14), (15), (16), (17)) k(n) ON true WHERE text IS NOT NULL"
+_STRIP = "regexp_replace({x}, '\\A\\s+|\\s+\\z', '', 'g')"
+_PREFIX = _STRIP.format(x="substring(anchor, 1, n)")
+_CUT = f"""WITH RECURSIVE a AS ({_ANCHORS}), d AS (SELECT document_id AS section_id, text FROM v_docs WHERE text IS NOT NULL),
+ r(section_id, ord, cut) AS (SELECT section_id, -1, -1 FROM d UNION ALL
+  SELECT r.section_id, a.ord, CAST(coalesce(CASE WHEN anchor <> '' THEN nullif(strpos(substring(text, cut + 2), anchor), 0) + cut END,
+   CASE WHEN length(anchor) >= 20 THEN list_filter(list_transform(range(least(length(anchor), 70), 19, -5), lambda n: CASE WHEN {_PREFIX} <> '' THEN strpos(substring(text, cut + 2), {_PREFIX}) ELSE 0 END), lambda p: p > 0)[1] + cut END, cut + 1) AS INTEGER)
+  FROM r JOIN a ON a.section_id = r.section_id AND a.ord = r.ord + 1 JOIN d ON d.section_id = r.section_id WHERE a.ord < 15),
+ c AS (SELECT section_id, ord, cut AS start, coalesce(lead(cut) OVER (PARTITION BY section_id ORDER BY ord), length(text)) AS stop, text FROM r JOIN d USING (section_id) WHERE ord >= 0),
+ s AS (SELECT section_id, ord, start, stop, length(text) AS n, {_STRIP.format(x="substring(text, start + 1, greatest(stop - start, 0))")} AS piece FROM c),
+ p AS (SELECT *, row_number() OVER (PARTITION BY section_id ORDER BY ord) - 1 AS part FROM s WHERE length(piece) >= 300),
+ q AS (SELECT section_id, part, 'Part ' || CAST(ord AS VARCHAR) AS title, start, stop, CAST(round_even(1 + start / n * 8 + part * 0.01::DOUBLE, 0) AS INTEGER) AS start_page, CAST(round_even(1 + stop / n * 8 + part * 0.01::DOUBLE, 0) AS INTEGER) AS end_page, piece FROM p)"""
+
+
+def _anchored(v):
+    v("v_docs").createOrReplaceTempView("v_docs")
+    sections = v("v_docs").selectExpr("document_id", "document_id AS section_id", "'Whole' AS section_title", "text AS section_text", "0 AS level", "1 AS start_page", "9 AS end_page")
+    return sections, v.spark.sql(_ANCHORS)
+
+
+@query("split_at_anchors", f"{_CUT} SELECT section_id, part, title, 1 AS level, start, stop, start_page, end_page, piece AS text FROM q")
+def _(v):
+    return D.split_at_anchors(*_anchored(v))
+
+
+@query("refine_sections", f"{_CUT}, n AS (SELECT section_id, count(*) AS pieces FROM q GROUP BY 1) SELECT document_id, document_id AS section_id, 'Whole' AS section_title, CASE WHEN pieces IS NULL THEN text ELSE '[Split into ' || CAST(pieces AS VARCHAR) || ' sub-sections]' END AS section_text, 0 AS level, 1 AS start_page, 9 AS end_page, NULL::INTEGER AS part FROM v_docs LEFT JOIN n ON section_id = document_id UNION ALL SELECT section_id, section_id, title, piece, 1, start_page, end_page, part FROM q")
+def _(v):
+    return B.refine_sections(*_anchored(v))
+
+
+#: Lines of all styles, each with its level by three lists of styles.
+_STYLES = (("I.", "A.", "1."), ("(a)", "(i)", "1.1", "1.1.1", "Section", "Part", "Article", "Chapter"), ("1)", "a)", "A)", "(A)", "a.", "A.", "(i)", "unknown"))
+_STYLED = (
+    ("II. Facts", 1, None, None), ("I. Facts", 1, None, 2), ("12. Terms", 1, None, None), ("b. more", None, None, 3), ("3) next", None, None, 2), ("b) next", None, None, 3),
+    ("B) Next", None, None, 2), ("(i) next", None, 3, 3), ("(iv) next", None, 3, 3), ("(B) next", None, None, 2), ("1.2 Terms", None, 2, None), ("1.2.3 Terms", None, 2, None),
+    ("Section 4 Terms", None, 1, None), ("Section 4.2 Terms", None, None, None), ("Part IV", None, 1, None), ("Article 2", None, 1, None), ("Chapter X", None, 1, None), ("A. Facts", 2, None, 2),
+)
+_LEVELS = " ".join(f"WHEN {k * 3 + j} THEN {x[j + 1]}" for k, x in enumerate(_STYLED) for j in range(3) if x[j + 1] is not None)
+_TITLES = " ".join(f"WHEN {k} THEN '{x[0]}'" for k, x in enumerate(_STYLED))
+
+
+@query("heading_styles", f"SELECT document_id, pos, CAST(CASE (pos % 20) * 3 + document_id % 3 {_LEVELS} END AS INTEGER) AS level, CASE pos % 20 {_TITLES} END AS title FROM v_lines WHERE CASE (pos % 20) * 3 + document_id % 3 {_LEVELS} END IS NOT NULL")
 def _(v):
-    s = v("v_sections").filter("length(section_text) > 700")
-    anchors = s.select("section_id", F.posexplode(F.array(F.substring("section_text", 1, 40), F.substring("section_text", 400, 30))).alias("ord", "anchor"))
-    return D.split_at_anchors(s, anchors)
+    lines = v("v_lines").withColumn("line", F.expr(f"CASE pos % 20 {_TITLES} ELSE 'x ' || line END"))
+    lists = F.array(*[F.array(*map(F.lit, s)) for s in _STYLES])
+    return D.scan_headings(lines, lines.select("document_id").distinct().withColumn("styles", F.get(lists, (F.col("document_id") % 3).cast("int"))))
 
 
 @query("scan_pages", "SELECT page_id, url, length(html) AS n FROM pages WHERE contains(html, '<h1')")

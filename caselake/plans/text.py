@@ -166,3 +166,19 @@ def _(v):
 def _(v):
     d = v("v_docs").selectExpr("document_id", "CASE document_id % 3 WHEN 0 THEN 'Affidavit, I declare' WHEN 1 THEN 'Deposition of A' ELSE 'Subpoena' END AS title")
     return d.select("document_id", S.exhibit_kind("title", "''").alias("kind"), S.evidence_kind("title").alias("evidence"))
+
+
+_CITING = "SELECT document_id, CASE document_id % 5 WHEN 0 THEN 'see Exhibits A, B and C-1; ' WHEN 1 THEN 'Exh. 12 & Ex. D, [Exhibit B-2 attached] ' WHEN 2 THEN 'exhibit A – 3, Exhibit  A' WHEN 3 THEN '' ELSE 'exhibits 7 & 8' END || chr(10) || text AS text FROM v_docs"
+_FOUND = ", ".join(f"regexp_extract_all(text, '{p}', 1)" for p in S.CITED_EXHIBITS)
+
+
+@query("cited_exhibits", f"SELECT document_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(flatten(list_transform(flatten([{_FOUND}]), lambda m: string_split_regex(m, '\\s*[,&]\\s*|\\s+and\\s+'))), lambda p: trim(p)), lambda p: p <> ''))), '|') AS labels FROM ({_CITING})")
+def _(v):
+    v("v_docs").createOrReplaceTempView("v_docs")
+    return v.spark.sql(_CITING).select("document_id", F.array_join(S.cited_exhibits("text"), "|").alias("labels"))
+
+
+@query("exhibit_labels", "SELECT node_id, CASE substring(node_id, length(node_id), 1) WHEN '1' THEN 'B-7' WHEN '2' THEN 'AB' WHEN '3' THEN 'C' WHEN '4' THEN '9' END AS label FROM v_nodes")
+def _(v):
+    made = F.expr("CASE substring(node_id, length(node_id), 1) WHEN '1' THEN ' Exhibit b-7, letter' WHEN '2' THEN 'SCHEDULE Ab ' WHEN '3' THEN 'Appendix C- d' WHEN '4' THEN 'attachment 9 of 10' WHEN '5' THEN 'See Exhibit A' WHEN '6' THEN 'Exhibit' ELSE node_label END")
+    return v("v_nodes").select("node_id", S.exhibit_label(made).alias("label"))

@@ -174,14 +174,6 @@ def test_html_outline_ways(spark):
     ]
 
 
-def test_anchors(spark):
-    text = "a" * 400 + "ANCHOR ONE here" + "b" * 400 + "ANCHOR TWO is longer than the text" + "c" * 10
-    s = spark.createDataFrame([(1, 0, text)], "section_id long, level long, section_text string")
-    a = spark.createDataFrame([(1, 0, "ANCHOR ONE here"), (1, 1, "ANCHOR TWO is longer than what was found"), (1, 2, "missing")], "section_id long, ord int, anchor string")
-    got = D.split_at_anchors(s, a).orderBy("part").collect()
-    assert [(r["start"], r["level"]) for r in got] == [(400, 1), (815, 1)] and got[0]["text"].startswith("ANCHOR ONE")
-
-
 def test_parse_hits(spark):
     text = "[1] a.pdf - Title - one (score 0.71)\nline one\nline two\n[2] b.pdf - T2 (score 0.5)"
     got = L.parse_hits(spark.createDataFrame([(1, text)], "answer_id int, text string")).orderBy("block").collect()
@@ -356,10 +348,13 @@ def test_wrapped_lines_are_merged(spark):
     assert got[0] == "The quick brown fox." and got[1].startswith("Next one goes hyphenated on")
 
 
-def test_offset_of_printed_pages(spark):
-    entries = spark.createDataFrame([(1, k, f"Chapter on subject {c}", p) for k, (c, p) in enumerate([("alpha", 1), ("beta", 4), ("gamma", 7)])], "document_id int, pos int, title string, page int")
-    lines = spark.createDataFrame([(1, p + 2, 0, f"Chapter on subject {c}") for c, p in [("alpha", 1), ("beta", 4), ("gamma", 7)]] + [(1, 3, 1, "nothing like it")], "document_id int, page int, line_no int, line string")
-    assert [(r["document_id"], r["page_offset"], r["support"]) for r in D.calibrate_offset(entries, lines).collect()] == [(1, 2, 3)]
+@pytest.mark.parametrize("names,want", [(("Chapter on subject alpha", "Of damages sought", "Relief and standing"), (2, 3)), (("Chapter on subject alpha", "Chapter on subject beta", "Chapter on subject gamma"), (0, 0))])
+def test_offset_of_printed_pages(spark, names, want):
+    """A title votes by the first line that resembles it, so that titles alike among each other all vote by the first of them and don't agree."""
+    at = list(zip(names, (1, 4, 7), strict=True))
+    entries = spark.createDataFrame([(1, k, t, p) for k, (t, p) in enumerate(at)], "document_id int, pos int, title string, page int")
+    lines = spark.createDataFrame([(1, p + 2, 0, t) for t, p in at] + [(1, 3, 1, "nothing like it")], "document_id int, page int, line_no int, line string")
+    assert [(r["document_id"], r["page_offset"], r["support"]) for r in D.calibrate_offset(entries, lines).collect()] == [(1, *want)]
 
 
 def test_theories_by_number_then_label(spark):
