@@ -81,6 +81,29 @@ def clean_line(c: str | Column) -> Column:
     return F.trim(clean(c, (r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), (r"[–—]", "-"), (r"-{3,}", "--"), (r"[ \t]+", " ")))
 
 
+#: Lines that stay as they are, lines of a screen's controls, characters without a sign, telephone numbers, and check boxes.
+KEPT_LINE = r"^\s*(#{1,6}\s|\[(Context|Page)\b|(---|\*\*\*)\s*$|\|.*\|\s*$)"
+SCREEN_LABEL = r"(?i)^@?\s*(Feedback|Downloads|Forums|App Store Connect|Customer Support|©|®|™)\s*$"
+NO_SIGN = r"[\x00-\x08\x0b\x0c\x0e-\x1f\u200b\u200c\u200d\ufeff]"
+PHONE = r"(?<!\d)(?:(1)[.\-\s]?|(?!\d{10})[.\-\s]?)(\d{3})[.\-\s]?(\d{3})[.\-\s]?(\d{4})(?!\d)"
+CHECK_BOX = r"[\u2610\u2611\u2612\u2713\u2714\u2717\u2718]"
+
+
+def body_line(c: str | Column) -> Column:
+    """A line of text with plain quotes and dashes, single blanks and telephone numbers in one form; null for a line that holds a screen's label or an icon only.
+
+    Headings, page marks, rules and table rows stay as they are, but for characters without a sign; a null line is the empty one.
+    """
+    whole = F.regexp_replace(F.coalesce(col(c), F.lit("")), NO_SIGN, "")
+    line = F.regexp_replace(whole, r"\A\s+|\s+\z", "")
+    icon = (line != "") & (line.isin("|", ">") | ((F.length(line) <= 3) & ~line.rlike("[A-Za-z0-9]")))
+    plain = F.translate(line, "“”‘’", "\"\"''")
+    plain = clean(plain, (r"(?<=\S)[\u2013\u2014](?=\S)", "--"), (r"[\u2013\u2014]", "-"), (r"^[|>]\s+(?=[A-Za-z])", ""), (r"[ \t]+", " "), (r"\A\s+|\s+\z", ""))
+    # a mark, which no line holds any more, parts the leading 1 from the rest
+    plain = clean(plain, (PHONE, "$1\x01$2-$3-$4"), ("1\x01", "1-"), ("\x01", ""))
+    return F.when(whole.rlike(KEPT_LINE), whole).when(~(line.rlike(SCREEN_LABEL) | icon), plain)
+
+
 #: Where quoted mail begins, in the order in which they are tried.
 QUOTES = (r"(?m)^-+ ?Original Message ?-+", r"(?m)^On .{1,200} wrote:", r"(?m)^_{10,}", r"(?m)^From: ")
 

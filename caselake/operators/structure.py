@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from caselake.functions.scalar import heading_level, heading_level_by, page_number
+from caselake.functions.scalar import CHECK_BOX, heading_level, heading_level_by, page_number
 from caselake.operators.labels import first_rules
 from caselake.operators.windows import fill_forward, first_seen, largest_block, levels_of
 
@@ -70,10 +70,32 @@ def remove_by_place(rows: DataFrame, page_lines: DataFrame, share: float = 0.8,
 DOT_LEADER, SPACED_NUMBER = r"(?m)\.{4,}\s*\d+\s*$", r"(?m)\S {4,}\d{1,3}\s*$"
 
 
+#: An outline's heading, and lines of outlines by dots, by blanks (not of tables of amounts) and by legal numbering.
+TOC_HEADING = r"(?imd)^#{0,4}\s*(table\s+of\s+contents|contents|index)\s*$"
+DOTTED_ENTRY = r"(?md)^.{5,120}?(?:\.{3,})\s*\d{1,4}\s*$"
+SPACED_ENTRY = r"(?md)^(?!\s*[\d\.]+\s*$)(?!.*[$%]).{5,100}?\s{3,}\d{1,4}\s*$"
+LEGAL_ENTRY = r"(?imd)^(?:article|section|clause|exhibit|\d+\.\d+|[IVX]+\.?)\s+.{5,100}?\s+\d{1,4}\s*$"
+
+
 def detect_toc(docs: DataFrame) -> DataFrame:
-    """Signals of an outline and whether they suffice."""
-    out = docs.select("document_id", F.regexp_count("text", F.lit(DOT_LEADER)).alias("leaders"), F.regexp_count("text", F.lit(SPACED_NUMBER)).alias("spaced"), F.lower("text").rlike(r"(?m)^\s*#*\s*table of contents").alias("header"))
-    return out.withColumn("has_toc", (F.col("header") & (F.col("leaders") + F.col("spaced") >= 2)) | (F.col("leaders") >= 5))
+    """(document_id, header, leaders, spaced, numbered, has_toc): signals of an outline and whether they suffice: its heading alone, or 4 entries by dots, 5 by blanks or 4 by legal numbering. A null text has none."""
+    n = lambda p: F.regexp_count("_t", F.lit(p))
+    rows = docs.select("document_id", F.coalesce("text", F.lit("")).alias("_t"))
+    out = rows.select("document_id", F.col("_t").rlike(TOC_HEADING).alias("header"), n(DOTTED_ENTRY).alias("leaders"), n(SPACED_ENTRY).alias("spaced"), n(LEGAL_ENTRY).alias("numbered"))
+    return out.withColumn("has_toc", F.col("header") | (F.col("leaders") >= 4) | (F.col("spaced") >= 5) | (F.col("numbered") >= 4))
+
+
+def form_signals(page_lines: DataFrame, pages: int = 10, share: float = 0.55) -> DataFrame:
+    """(document_id, has_boxes, short_share, form_like) of each document's first pages: whether they hold a check box, and whether most lines have under 40 characters. page_lines: document_id, page, line.
+
+    The first pages are the feature: a form shows on them. Empty lines don't count; without any line the share is 0.
+    """
+    line = F.regexp_replace("line", r"\A\s+|\s+\z", "")
+    rows = page_lines.filter(F.col("page") <= pages).select("document_id", line.alias("_l"))
+    full = F.count_if(F.col("_l") != "")
+    short = F.count_if((F.col("_l") != "") & (F.length("_l") < 40))
+    out = rows.groupBy("document_id").agg(F.coalesce(F.max(F.col("_l").rlike(CHECK_BOX)), F.lit(False)).alias("has_boxes"), F.coalesce(short / F.nullif(full, F.lit(0)), F.lit(0.0)).alias("short_share"))
+    return out.withColumn("form_like", F.col("short_share") >= share)
 
 
 def toc_pages(pages: DataFrame, least: int = 3) -> DataFrame:

@@ -60,13 +60,23 @@ def _(v):
     return D.remove_repeated_lines(v.spark.sql(_HEADED)).select("document_id", "pos", "page", "line")
 
 
-_TOC = "SELECT document_id, CASE WHEN document_id % 3 = 0 THEN 'Table of Contents' || chr(10) || 'One ..... 3' || chr(10) || 'Two      7' || chr(10) || text WHEN document_id % 3 = 1 THEN 'a ..... 1' || chr(10) || text ELSE text END AS text FROM v_docs"
+#: Texts behind outlines of four kinds, or behind none.
+_TOC = "SELECT document_id, CASE document_id % 6 WHEN 0 THEN '## Table of  Contents' || chr(10) WHEN 1 THEN repeat('Chapter of it ..... 12' || chr(10), 4) WHEN 2 THEN repeat('Chapter of it      12' || chr(10), 5) WHEN 3 THEN repeat('Section 1.1 Scope of it 6' || chr(10), 4) WHEN 4 THEN repeat('Chapter of it ..... 12' || chr(10), 3) || repeat('Total sum of $     12' || chr(10), 9) || repeat('IV. Of the scope 7' || chr(10), 3) ELSE '' END || text AS text FROM v_docs WHERE text IS NOT NULL"
 
 
-@query("detect_toc", f"SELECT document_id, CASE WHEN document_id % 3 < 2 THEN 1 ELSE 0 END AS leaders, CASE WHEN document_id % 3 = 0 THEN 1 ELSE 0 END AS spaced, document_id % 3 = 0 AS header, document_id % 3 = 0 AS has_toc FROM ({_TOC})")
+@query("detect_toc", f"WITH t AS ({_TOC}), l AS (SELECT document_id, count(*) FILTER (regexp_matches(line, '^.{{5,100}}?\\s{{3,}}\\d{{1,4}}\\s*$') AND NOT regexp_matches(line, '^\\s*[\\d.]+\\s*$') AND NOT regexp_matches(line, '[$%]')) AS spaced FROM (SELECT document_id, unnest(string_split(text, chr(10))) AS line FROM t) GROUP BY 1), s AS (SELECT document_id, regexp_matches(text, '(?im)^#{{0,4}}\\s*(table\\s+of\\s+contents|contents|index)\\s*$') AS header, len(regexp_extract_all(text, '(?m)^.{{5,120}}?(?:\\.{{3,}})\\s*\\d{{1,4}}\\s*$')) AS leaders, len(regexp_extract_all(text, '(?im)^(?:article|section|clause|exhibit|\\d+\\.\\d+|[IVX]+\\.?)\\s+.{{5,100}}?\\s+\\d{{1,4}}\\s*$')) AS numbered FROM t) SELECT document_id, header, leaders, spaced, numbered, header OR leaders >= 4 OR spaced >= 5 OR numbered >= 4 AS has_toc FROM s JOIN l USING (document_id)")
 def _(v):
-    d = v("v_docs").selectExpr("document_id", "CASE WHEN document_id % 3 = 0 THEN 'Table of Contents\\nOne ..... 3\\nTwo      7\\n' || text WHEN document_id % 3 = 1 THEN 'a ..... 1\\n' || text ELSE text END AS text")
-    return D.detect_toc(d)
+    v("v_docs").createOrReplaceTempView("v_docs")
+    return D.detect_toc(v.spark.sql(_TOC))
+
+
+_FORMS = f"SELECT document_id, page, CASE WHEN document_id % 7 = 0 AND page = 2 AND line_no = 3 THEN '  ' || chr(9746) || ' yes' WHEN document_id % 7 = 1 AND page = 11 THEN chr(9744) WHEN document_id % 3 = 0 AND line_no > 0 THEN '' ELSE line END AS line FROM ({_PL})"
+
+
+@query("form_pages", f"SELECT document_id, has_boxes, coalesce(short / nullif(n, 0), 0.0) AS short_share, coalesce(short / nullif(n, 0), 0.0) >= 0.55 AS form_like FROM (SELECT document_id, bool_or(contains(line, chr(9746)) OR contains(line, chr(9744))) AS has_boxes, count(*) FILTER (l <> '') AS n, count(*) FILTER (l <> '' AND length(l) < 40) AS short FROM (SELECT *, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS l FROM ({_FORMS})) WHERE page <= 10 GROUP BY 1)")
+def _(v):
+    v("v_lines").createOrReplaceTempView("v_lines")
+    return D.form_signals(v.spark.sql(_FORMS.replace("chr(9746)", "'\u2612'").replace("chr(9744)", "'\u2610'")))
 
 
 @query("parse_toc", "SELECT document_id, pos, CAST(0 AS INTEGER) AS part, CAST(pos % 3 AS INTEGER) AS level, trim(line) AS title, CAST(pos + 1 AS INTEGER) AS page FROM v_lines WHERE NOT contains(line, '..') AND trim(line) <> '' UNION ALL SELECT document_id, pos, 1, 0, 'Next', 9 FROM v_lines WHERE pos % 4 = 0 AND NOT contains(line, '..') AND trim(line) <> ''")

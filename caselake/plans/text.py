@@ -182,3 +182,19 @@ def _(v):
 def _(v):
     made = F.expr("CASE substring(node_id, length(node_id), 1) WHEN '1' THEN ' Exhibit b-7, letter' WHEN '2' THEN 'SCHEDULE Ab ' WHEN '3' THEN 'Appendix C- d' WHEN '4' THEN 'attachment 9 of 10' WHEN '5' THEN 'See Exhibit A' WHEN '6' THEN 'Exhibit' ELSE node_label END")
     return v("v_nodes").select("node_id", S.exhibit_label(made).alias("label"))
+
+
+#: Lines as they come, and as they are to be; a line of letters only stays but for its blanks. A sign or blank before a telephone number belongs to it.
+_BODY = (
+    ("##  Head — of it", "##  Head — of it"), ("|  a — b |", "|  a — b |"), ("[Page 4]  x", "[Page 4]  x"), (" Feedback ", None), ("@ ™", None), (" >", None), ("•••", None), ("•  of note", "• of note"),
+    ("“a”  ‘b’", "\"a\" ''b''"), ("1999–2001 — end", "1999--2001 - end"), ("> quoted  text", "quoted text"), ("call (1 555.123 4567)", "call (1-555-123-4567)"), ("no 5551234567 it is", "no555-123-4567 it is"),
+    ("(5551234567)", "(5551234567)"), ("555.123.4567, 555-1234567", "555-123-4567,555-123-4567"), ("id 12345678901", "id 1-234-567-8901"), ("   ", ""),
+)
+_IN = " ".join(f"WHEN {k} THEN '{x[0]}'" for k, x in enumerate(_BODY))
+_OUT = " ".join(f"WHEN {k} THEN " + ("NULL" if x[1] is None else f"'{x[1]}'") for k, x in enumerate(_BODY))
+
+
+@query("body_lines", f"SELECT document_id, pos, CASE pos % 20 {_OUT} ELSE 'ab ' || trim(regexp_replace(regexp_replace(line, '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g')) END AS line FROM v_lines WHERE length(regexp_replace(line, '[^A-Za-z]', '', 'g')) > 0")
+def _(v):
+    lines = v("v_lines").filter("length(regexp_replace(line, '[^A-Za-z]', '')) > 0")
+    return lines.select("document_id", "pos", S.body_line(F.expr(f"CASE pos % 20 {_IN} ELSE 'ab  ' || regexp_replace(line, '[^A-Za-z ]', '') || ' ' END")).alias("line"))

@@ -1,6 +1,7 @@
 """Splitting, offsets, exhibits' pages, task levels, tools: against slow versions."""
 
 import random
+import re
 from difflib import SequenceMatcher
 
 import pytest
@@ -174,3 +175,27 @@ def test_search_from_sql_equals_the_function(spark):
     assert [tuple(r[c] for c in order) for r in got] == want and len(got) == 7 and any(r["keyword_score"] > 0 for r in got)
     assert spark.sql(f"SELECT count(*) FROM {call} WHERE score > 0.5").first()[0] == sum(r[3] > 0.5 for r in want)
     assert spark.sql("SELECT * FROM find_sections_like(NULL, 'x')").count() == 0
+
+
+def test_telephone_numbers_equal_a_slow_version(spark):
+    rng = random.Random(2)
+    number = re.compile(r"(?<!\d)(1)?[.\-\s]?(\d{3})[.\-\s]?(\d{3})[.\-\s]?(\d{4})(?!\d)")
+
+    def told(m):
+        digits = re.sub(r"\D", "", m[0])
+        if len(digits) == 11:
+            return f"1-{m[2]}-{m[3]}-{m[4]}"
+        return f"{m[2]}-{m[3]}-{m[4]}" if digits != m[0] else m[0]
+
+    lines = ["x" + "".join(rng.choice(["1", "5", "55", "555", "5555", "-", ".", " ", "555 123 4567", "1-555.1234567", "a"]) for _ in range(rng.randrange(1, 9))) + "x" for _ in range(3000)]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(lines)), "n int, line string").orderBy("n").select(S.body_line("line")).collect()]
+    assert got == [number.sub(told, re.sub(r"[ \t]+", " ", x)) for x in lines] and sum(a != b for a, b in zip(got, lines, strict=True)) > 300
+    odd = spark.createDataFrame([(None,), ("",), ("  ",), ("y" * 100_000,)], "line string").select(S.body_line("line")).collect()
+    assert [r[0] for r in odd] == ["", "", "", "y" * 100_000]
+
+
+def test_forms_and_outlines_of_odd_documents(spark):
+    lines = spark.createDataFrame([(1, 1, ""), (1, 2, None), (2, 11, "☐"), (3, 1, "☑ yes"), (3, 1, "z" * 40)], "document_id int, page int, line string")
+    assert {tuple(r) for r in D.form_signals(lines).collect()} == {(1, False, 0.0, False), (3, True, 0.5, False)}
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "a\n# Contents\nb"), (4, "the contents are here")], "document_id int, text string")
+    assert {r["document_id"]: r["has_toc"] for r in D.detect_toc(docs).collect()} == {1: False, 2: False, 3: True, 4: False}
