@@ -133,6 +133,22 @@ def test_similar_pairs_equal_all_pairs(spark):
     assert {(r["a"], r["b"]) for r in got.collect()} == want
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_are_not_sent_through_the_driver(spark):
+    labels = spark.createDataFrame([(1, "party", "alpha"), (1, "party", "alpha beta")], "case_id int, node_type string, norm string")
+    assert "Broadcast" not in plan_of(G.similar_pairs(labels))
+    names = spark.createDataFrame([("x", 1, "Alpha")], "name_id string, document_id int, name string")
+    parties = spark.createDataFrame([("p", 1, "Alpha Beta")], "node_id string, document_id int, node_label string")
+    assert "Broadcast" not in plan_of(G.match_party(names, parties))
+    refs = spark.createDataFrame([("r", 1, "Exhibit A")], "ref_id string, document_id int, ref string")
+    assert "Broadcast" not in plan_of(R.match_evidence_ref(refs, parties))
+    nodes = parties.selectExpr("*", "'party' AS node_type", "1 AS case_id")
+    assert "Broadcast" not in plan_of(G.merge_log(nodes, "case_id", {"party": 0.85}))
+
+
 def test_components_and_cycles(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x"), ("q", "q")], "a string, b string")
     assert {r["node"]: r["root"] for r in G.components(links).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x", "q": "q"}
