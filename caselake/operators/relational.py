@@ -302,15 +302,41 @@ def match_evidence_ref(refs: DataFrame, evidence: DataFrame) -> DataFrame:
     return latest(by_ref.select(cols).unionByName(by_label.select(cols)), ["ref_id"], F.col("evidence_id")).select(cols)
 
 
+def text_keys(c: str) -> Column:
+    """Of a text of words: all that a text within another can be sought by, whole words (w) and substrings of one to three characters (g)."""
+    words = F.transform(F.split(c, " "), lambda w: F.concat(F.lit("w"), w))
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.concat(F.lit("g"), F.substring(F.col(c), i, F.lit(n))))
+    return F.array_distinct(F.concat(words, *[F.when(F.length(c) >= n, grams(n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]))
+
+
+def texts_within(short: DataFrame, long_: DataFrame) -> DataFrame:
+    """(s, l): each text s that lies in a text l. An empty text lies in none.
+
+    All words of s but its first and last are words of l, and all its trigrams are in l: s is sought by the one that the fewest l have.
+    """
+    words = F.split("s", " ")
+    inner = F.transform(F.slice(words, F.lit(2), F.size(words) - 2), lambda w: F.concat(F.lit("w"), w))
+    n = F.least(F.length("s"), F.lit(3))
+    grams = F.transform(F.sequence(F.lit(0), F.length("s") - n), lambda i: F.concat(F.lit("g"), F.substring(F.col("s"), i + 1, n)))
+    keys = short.filter("s <> ''").distinct().select("s", F.explode(F.array_distinct(F.when(F.size(words) > 2, inner).otherwise(grams))).alias("key"))
+    held = long_.filter("l <> ''").distinct().select("l", F.explode(text_keys("l")).alias("key")).join(shuffled(keys.select("key").distinct()), "key", "left_semi")
+    often = held.groupBy("key").agg(F.count("*").alias("n"))
+    rarest = keys.join(shuffled(often), "key", "left").groupBy("s").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("k")).filter("k.n > 0")
+    return rarest.select("s", "k.key").join(shuffled(held), "key").filter(F.col("l").contains(F.col("s"))).select("s", "l")
+
+
 def resolve_case(folders: DataFrame, cases: DataFrame) -> DataFrame:
-    """Case of each folder by the best rule: exact name, normalised name, containment."""
+    """Case of each folder by the best rule: exact name, normalised name, containment; of several cases the smallest."""
     norm = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
-    c = cases.select("case_id", "case_name", norm("case_name").alias("_n"))
-    f = folders.withColumn("_f", norm("folder"))
+    c = cases.groupBy("case_name", norm("case_name").alias("_n")).agg(F.min("case_id").alias("case_id"))
+    by_norm = c.groupBy("_n").agg(F.min("case_id").alias("case_id"))
+    f = folders.select("folder", norm("folder").alias("_f")).distinct()
     exact = f.join(c, f["folder"] == c["case_name"]).withColumn("rule", F.lit(1))
-    normal = f.join(c, f["_f"] == c["_n"]).withColumn("rule", F.lit(2))
-    words = f.withColumn("_w", F.explode(F.array_distinct(F.split("_f", " "))))
-    inside = words.join(c.withColumn("_w", F.explode(F.array_distinct(F.split("_n", " ")))), "_w").filter(F.col("_n").contains(F.col("_f")) | F.col("_f").contains(F.col("_n"))).drop("_w").distinct().withColumn("rule", F.lit(3))
+    normal = f.join(by_norm, f["_f"] == by_norm["_n"]).withColumn("rule", F.lit(2))
+    fs, ns = f.select(F.col("_f").alias("s")), by_norm.select(F.col("_n").alias("s"))
+    pairs = texts_within(fs, ns.withColumnRenamed("s", "l")).toDF("_f", "_n").unionByName(texts_within(ns, fs.withColumnRenamed("s", "l")).toDF("_n", "_f"))
+    least = pairs.join(by_norm, "_n").groupBy("_f").agg(F.min("case_id").alias("case_id"))
+    inside = f.join(least, "_f").withColumn("rule", F.lit(3))
     cols = ["folder", "case_id", "rule"]
     return latest(exact.select(cols).unionByName(normal.select(cols)).unionByName(inside.select(cols)), ["folder"], F.col("rule"), F.col("case_id"))
 

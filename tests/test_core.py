@@ -149,6 +149,21 @@ def test_pairs_are_not_sent_through_the_driver(spark):
     assert "Broadcast" not in plan_of(G.merge_log(nodes, "case_id", {"party": 0.85}))
 
 
+def test_resolve_case_equals_all_pairs(spark):
+    rng = random.Random(4)
+    words = ["a", "ab", "abc", "v", "supplier", "007", "1007", "upp", "lier"]
+    names = sorted({" ".join(rng.choices(words, k=rng.randint(1, 4))) for _ in range(60)})
+    folders = sorted({" ".join(rng.choices(words, k=rng.randint(1, 5))) for _ in range(60)} | {"supplier 1", "pplie", "b", "ab"})
+    cases = [(k, n) for k, n in enumerate(names)] + [(k + 100, n) for k, n in enumerate(names[:9])]
+    want = {}
+    for f in folders:
+        found = [(1 if f == n else 3, k) for k, n in cases if n in f or f in n]
+        if found:
+            want[f] = min(found)
+    got = R.resolve_case(spark.createDataFrame([(f,) for f in folders], "folder string"), spark.createDataFrame(cases, "case_id int, case_name string"))
+    assert {r["folder"]: (r["rule"], r["case_id"]) for r in got.collect()} == want
+
+
 def test_components_and_cycles(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x"), ("q", "q")], "a string, b string")
     assert {r["node"]: r["root"] for r in G.components(links).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x", "q": "q"}
