@@ -164,6 +164,12 @@ def test_resolve_case_equals_all_pairs(spark):
     assert {r["folder"]: (r["rule"], r["case_id"]) for r in got.collect()} == want
 
 
+def test_extractions_are_parsed_once(spark):
+    rows = spark.createDataFrame([(1, 1, 1, "date", "Hearing", "x", 0.5, '{"date_type":"hearing"}')], "extraction_id long, document_id long, section_id long, extraction_type string, entity_name string, entity_value string, confidence double, properties string")
+    plan = N.extraction_nodes(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parse_json") <= 1 and N.extraction_nodes(rows).first()["node_type"] == "procedural_event"
+
+
 def test_components_and_cycles(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x"), ("q", "q")], "a string, b string")
     assert {r["node"]: r["root"] for r in G.components(links).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x", "q": "q"}
