@@ -76,3 +76,20 @@ def calibrate(logit: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[flo
         h = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(2)
         w = w - np.clip(np.linalg.solve(h, g), -2, 2)
     return max(float(w[0]), 0.05) / scale, float(w[1])
+
+
+def calibrate_rows(rows: DataFrame) -> tuple[float, float]:
+    """``calibrate`` over a table (logit, y, n rows alike): each Newton step is one sum over the cluster, until it moves no further. Rounded, as the order of sums isn't fixed."""
+    scale = max(1e-6, float(rows.select(F.sum(F.abs("logit") * F.col("n")) / F.sum("n")).first()[0] or 0.0))
+    w = np.array([1.0, 0.0])
+    for _ in range(40):
+        x = F.col("logit") / scale
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), x * float(w[0]) + float(w[1])))))
+        d, v = (p - F.col("y")) * F.col("n"), p * (1 - p) * F.col("n")
+        gx, g1, hxx, hx, h1 = (float(s or 0.0) for s in rows.select(*[F.sum(c) for c in (x * d, d, x * x * v, x * v, v)]).first())
+        g = np.array([gx, g1]) + 0.05 * (w - [1.0, 0.0])
+        step = np.clip(np.linalg.solve(np.array([[hxx, hx], [hx, h1]]) + 0.05 * np.eye(2), g), -2, 2)
+        w = w - step
+        if np.abs(step).max() < 1e-7:
+            break
+    return float(f"{max(float(w[0]), 0.05) / scale:.9g}"), float(f"{w[1]:.9g}")

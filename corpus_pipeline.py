@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselake.llm import byte_bpe, line_dedup, mixing, simhash, toxicity
-from caselake.llm.common import cut, ship, table
+from caselake.llm.common import cut, forget, ship, table
 
 
 def packed(docs: DataFrame, *needed: str) -> DataFrame:
@@ -23,9 +23,13 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     It learns from all labelled rows of ``documents``; a null text isn't rejected.
     """
-    net = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "true")
-    scored = toxicity.score(packed(docs), net, "_row.text")
-    return scored.filter(~F.coalesce(toxicity.flagged(net, "_row.lang"), F.lit(False)) | F.col("_row.text").isNull()).select("_row.*")
+    labels = table(spark, sf_dir, "labels")
+    net = toxicity.train_filters(table(spark, sf_dir, "documents"), labels, "true")
+    outputs = cut(toxicity.logits(packed(docs), net, "_row.text"))  # the texts go through the classifier once
+    rated = toxicity.rate(outputs, net, labels, "true", "_row.doc_id", "_row.lang")
+    out = rated.filter(~F.coalesce("flagged", F.lit(False)) | F.col("_row.text").isNull()).select("_row.*")
+    out._read = [outputs]
+    return out
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +76,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), docs)
+        out = stage(spark, docs, sf_dir)
+        docs = cut(out, docs)
+        forget(*getattr(out, "_read", []))  # what the stage had stored for its rows
     return docs
 
 

@@ -100,3 +100,27 @@ def test_quality_score_equals_a_slow_version(spark):
             mean = float(np.clip(sum(g * s for g, s in zip(good, size, strict=True)) / sum(size), 1e-9, 1 - 1e-9))
         want = learning.sigmoid(np.array(chain.slope * np.log(mean / (1 - mean)) + chain.shift))
         assert abs(got[i] - want) < 1e-6, i
+
+
+def test_thresholds_and_calibration_come_from_all_rated_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, ("en", "fr", None)[i % 3], float(rng.normal() + (2 if i % 4 == 0 else 0) + (3 if i % 3 == 1 else 0))) for i in range(3000)]
+    outputs = spark.createDataFrame(rows, "doc_id long, lang string, logit double").repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(3000)], "doc_id long, toxic int")
+    net = toxicity.Net()
+    net.fitted = [0, 1]
+    got = toxicity.rate(outputs, net, labels, "true").toPandas().set_index("doc_id")
+    x, y = np.array([r[2] for r in rows[2:]]), np.array([i % 4 == 0 for i in range(2, 3000)], float)
+    assert np.allclose((net.slope, net.shift), learning.calibrate(x, y, np.ones(len(y))), rtol=1e-6)
+
+    def f1(flag, y):
+        return 2 * (flag & y).sum() / (flag.sum() + y.sum())
+
+    hit, s = np.arange(3000) % 4 == 0, got.score.sort_index().to_numpy()
+    flag = got.flagged.sort_index().to_numpy()
+    for k in (0, 1):
+        own = np.arange(3000) % 3 == k
+        assert f1(flag[own], hit[own]) == max(f1(s[own] >= t, hit[own]) for t in s[own])
+    best = max(s, key=lambda t: f1(s >= t, hit))
+    own = np.arange(3000) % 3 == 2
+    assert (flag[own] == (s[own] >= best)).all()
