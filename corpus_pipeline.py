@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselake.llm import byte_bpe, line_dedup, mixing, simhash, toxicity
-from caselake.llm.common import cut, forget, ship, table
+from caselake.llm.common import components, cut, forget, ship, table
 
 
 def packed(docs: DataFrame, *needed: str) -> DataFrame:
@@ -44,9 +44,15 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of smallest doc_id; a null doc_id is kept."""
-    groups = simhash.similar_documents(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(groups, docs["doc_id"] == groups["_doc"], "left_anti")
+    """One document of each group of near-duplicates: the one of smallest doc_id; a null doc_id is kept.
+
+    Documents are linked by fingerprints that differ in two bits or fewer, sought in BK-trees over shards (as in op1), and
+    by the Jaccard similarity of their shingles, which no radius covers; groups are closed over links of both kinds.
+    """
+    near, alike = simhash.near_duplicates(docs), simhash.similar_documents(docs)
+    links = near.select("doc_id", "component_id").unionByName(alike).filter("doc_id <> component_id").selectExpr("doc_id AS a", "component_id AS b")
+    gone = components(links).select(F.col("node").alias("_doc"))
+    return docs.join(gone, docs["doc_id"] == gone["_doc"], "left_anti")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -648,3 +648,18 @@ def test_pipeline_stages(spark):
             texts = [r["text"] for r in seen.select("text").collect()]
             assert len(texts) == len(set(texts)) < before.count()
     assert seen.filter("NOT exact").count() == 0 and seen.count() > 0
+
+
+def test_pipeline_near_dedup_goes_by_fingerprints_and_by_sets(spark):
+    import corpus_pipeline as P
+
+    base = " ".join(f"b{k}" for k in range(11))
+    by_print = [(10 + k, " ".join([base] * 60 + [f"t{k}x{j}" for j in range(40)])) for k in range(2)]  # repeats outweigh unlike ends
+    words = [f"w{j}" for j in range(300)]
+    by_set = [(20, " ".join(words)), (21, " ".join(words[:255]))]
+    apart = [(30 + k, " ".join(f"q{k}y{j}" for j in range(50))) for k in range(2)]
+    docs = docs_of(spark, by_print + by_set + apart)
+    assert len({r["component_id"] for r in simhash.similar_documents(docs).collect()}) == 5
+    assert len({r["component_id"] for r in simhash.near_duplicates(docs).collect()}) == 5
+    left = P.near_dedup_stage(spark, docs, "/root/testdata/sf0.001")
+    assert sorted(r["doc_id"] for r in left.collect()) == [10, 20, 30, 31]
