@@ -26,11 +26,15 @@ def section_text(entries: DataFrame, page_lines: DataFrame, least: float = 0.65)
     """
     own = entries.withColumn("next_title", F.lead("title").over(Window.partitionBy("document_id").orderBy("pos")))
     rows = section_pages(own.select("document_id", "pos", "title", "next_title", "start_page", "end_page"), page_lines.select("document_id", "page", "line_no", "line"))
-    rows = kept(rows.withColumn("n", F.row_number().over(Window.partitionBy("document_id", "pos").orderBy("page", "line_no"))))
     key = ["document_id", "pos"]
-    head = matching_lines(rows, "title", least).groupBy(*key).agg(F.min("n").alias("_from"))
-    after = matching_lines(rows.filter("next_title IS NOT NULL"), "next_title", least).join(head, key, "left").filter("n > coalesce(_from, 0)").groupBy(*key).agg(F.min("n").alias("_to"))
-    inside = rows.join(head, key, "left").join(after, key, "left").filter("n > coalesce(_from, 0) AND (_to IS NULL OR n < _to)")
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("page", "line_no")))
+    same = lambda title: F.min(F.when((F.lower(F.trim("line")) == F.lower(F.trim(title))) & (F.trim("line") != ""), F.col("n"))).over(Window.partitionBy(*key))
+    rows = kept(rows.withColumn("_same", same("title")))
+    # a line equal to the title resembles it, so that only lines before it can be the first one that does
+    head = matching_lines(rows.filter("_same IS NULL OR n <= _same"), "title", least).groupBy(*key).agg(F.min("n").alias("_from"))
+    rows = kept(rows.join(head, key, "left").filter("n > coalesce(_from, 0)"))
+    after = matching_lines(rows.filter("next_title IS NOT NULL"), "next_title", least).groupBy(*key).agg(F.min("n").alias("_to"))
+    inside = rows.join(after, key, "left").filter("_to IS NULL OR n < _to")
     text = ordered_text(inside, key, "n", "line", "section_text")
     return text.withColumn("section_text", strip("section_text"))
 

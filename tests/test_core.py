@@ -484,3 +484,57 @@ def test_running_heads_go_by_place(spark):
     got = {(r["document_id"], r["pos"]) for r in D.remove_repeated_lines(spark.createDataFrame(rows, "document_id int, page int, pos int, line string")).collect()}
     gone = {(1, 100 * p) for p in (1, 2, 3, 4, 5, 8)} | {(1, 602)} | {(3, 100 * p + 1) for p in (1, 2, 3)}
     assert got == {(d, pos) for d, _, pos, _ in rows} - gone
+
+
+def test_common_subsequence_bounds_the_ratio():
+    import random
+    from difflib import SequenceMatcher
+
+    from caselake.operators.structure import common, places
+
+    rng = random.Random(4)
+    assert common("abcde", places("xaxcxe"), 6) == 3 and common("", places("a"), 1) == 0 and common("a", {}, 0) == 0
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abcd é") for _ in range(rng.randrange(1, 90))) for _ in range(2))
+        blocks = SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
+        table = [0] * (len(b) + 1)
+        for c in a:
+            before = table
+            table = [0]
+            for j, d in enumerate(b):
+                table.append(before[j] + 1 if c == d else max(before[j + 1], table[j]))
+        assert sum(m.size for m in blocks) <= common(a, places(b), len(b)) == table[-1]
+
+
+def test_ratio_of_rows_needs_no_shuffle(spark):
+    from caselake.operators.structure import with_ratio
+
+    rows = spark.createDataFrame([("abc", "abc"), ("abcd", "abcx"), ("abc", "zzz"), ("", ""), (None, "a"), ("a", "a" * 50)], "a string, b string")
+    out = with_ratio(rows, "a", "b", 0.6)
+    assert [r["ratio"] for r in out.collect()] == [1.0, 0.75, 0.0, 0.0, 0.0, 0.0]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    """What a Python worker gets at once doesn't depend on how long texts are."""
+    from caselake import catalog
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    for name in ("html_text", "model_labels"):
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 4 << 20
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
+def test_stored_once(spark, monkeypatch):
+    """Steps of paths and parsed results are stored, not made again for each hop or table."""
+    made = []
+    monkeypatch.setattr(G, "kept", lambda df, kept=G.kept: made.append(df.columns) or kept(df))
+    nodes = spark.createDataFrame([("c1", "claim"), ("o1", "obligation"), ("s1", "evidence")], "node_id string, node_type string")
+    edges = spark.createDataFrame([("o1", "c1", "breached_by", 0.9), ("o1", "s1", "references", 0.8)], "src string, dst string, edge_type string, confidence double")
+    got = G.evidence_paths(nodes, edges, 2, 0.0, ("breached_by", "references")).collect()
+    assert [(r["path"], r["confidence"], r["hops"]) for r in got] == [("c1>o1>s1", 0.8, 2)]
+    assert any({"u", "v", "c", "vt"} == set(c) for c in made)
+    made.clear()
+    t = G.flatten_structure(spark.createDataFrame([(1, '{"claims": [{"label": "x", "counts": [{"number": 1, "label": "n"}]}]}')], "document_id long, json string"))
+    assert t["counts"].count() == 1 and made == [["document_id", "r"]]
