@@ -532,3 +532,19 @@ def test_stored_once(spark, monkeypatch):
     monkeypatch.setattr(G, "kept", lambda df, kept=G.kept: made.append(df.columns) or kept(df))
     t = G.flatten_structure(spark.createDataFrame([(1, '{"claims": [{"label": "x", "counts": [{"number": 1, "label": "n"}]}]}')], "document_id long, json string"))
     assert t["counts"].count() == 1 and made == [["document_id", "r"]]
+
+
+def test_best_match_sorts_once(spark, tmp_path):
+    """Edges meet by src alone: no exchange and no hash table to take out repeats, which change nothing."""
+    from caselake import catalog
+
+    line = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_discount double, l_returnflag string"
+    rows = [(1, 1, 9, 1, 0.05, "N"), (1, 1, 10, 2, 0.05, "N"), (1, 1, 3, 3, 0.07, "N"), (2, 1, 9, 1, 0.08, "N"), (3, 2, 9, 1, 0.02, "R"), (3, 2, 9, 1, 0.02, "R"), (3, 2, 9, 1, 0.06, "R")]
+    spark.createDataFrame(rows, line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(9, 4)], "s_suppkey long, s_nationkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    out = catalog.QUERIES["best_match"](spark, str(tmp_path))
+    assert sorted(map(tuple, out.collect())) == [("c1", "s10", 0.95), ("c3", "s9", 0.98), ("o3-1", "c3", 0.95)]
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "HashAggregate" not in plan
+    executed = out._jdf.queryExecution().toString().split("== Initial Plan ==")[-1]
+    assert executed.count("Exchange hashpartitioning") == 1
