@@ -358,7 +358,10 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     few = wanted.limit(most_broadcast + 1).count() <= most_broadcast
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = own.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("node"), "left_semi")
-    sets = cut(sketches(own, shingle, sets=True).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node"))
+    sets = sketches(own, shingle, sets=True)
+    if not rows.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():  # sets are large: they travel for repeated ids only
+        sets = sets.dropDuplicates(["doc_id"])
+    sets = cut(sets.withColumnRenamed("doc_id", "node"))
     roots = linked(light.join(sets, "node"), alike(similarity), most)
     forget(light, wanted, sets)
     by_same = reps.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("component_id"))

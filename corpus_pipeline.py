@@ -33,8 +33,11 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that recur across documents; n_chars follows the text."""
-    gone = line_dedup.dropped_lines(docs)
+    """Documents without the lines that recur across documents; n_chars follows the text.
+
+    The list of dropped lines grows with the documents, so they meet by shuffle at any size: Spark's own choice would broadcast a small list.
+    """
+    gone = line_dedup.dropped_lines(docs).hint("merge")
     out = packed(docs).join(gone, F.col("_row.doc_id").cast("long") == gone["_doc"], "left")
     text = line_dedup.without("_row.text")
     changed = F.col("_row").withField("text", text)

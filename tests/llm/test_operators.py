@@ -663,3 +663,19 @@ def test_pipeline_near_dedup_goes_by_fingerprints_and_by_sets(spark):
     assert len({r["component_id"] for r in simhash.near_duplicates(docs).collect()}) == 5
     left = P.near_dedup_stage(spark, docs, "/root/testdata/sf0.001")
     assert sorted(r["doc_id"] for r in left.collect()) == [10, 20, 30, 31]
+
+
+def test_pipeline_moves_the_same_at_any_size(spark, monkeypatch):
+    """Documents meet their dropped lines by shuffle however few these are; sets of shingles move for repeated ids only, with equal groups."""
+    import corpus_pipeline as P
+
+    docs = common.table(spark, SF, "documents")
+    plan = P.line_dedup_stage(spark, docs, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    cuts = []
+    monkeypatch.setattr(simhash, "cut", lambda df, *a, cut=simhash.cut: cuts.append((df.columns, df._jdf.queryExecution().executedPlan().toString())) or cut(df, *a))
+    once = docs.limit(100).selectExpr("doc_id", "text")
+    groups = [sorted({tuple(r) for r in simhash.similar_documents(d).collect()}) for d in (once, once.unionAll(once))]
+    assert groups[0] == groups[1] and any(a != b for a, b in groups[0])
+    moved = [plan.count("Exchange hashpartitioning") for columns, plan in cuts if "shingles" in columns]
+    assert moved == [0, 1]
