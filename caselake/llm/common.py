@@ -10,7 +10,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What counts as a word everywhere in this package: a run of bytes that are not ASCII white space.
@@ -48,7 +48,7 @@ def cut(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     return out
 
 
-def forget(*tables: DataFrame) -> None:
+def forget(*tables: DataFrame | None) -> None:
     """Delete the folders of tables from ``cut`` that nothing reads any more: all that was made from them has been written."""
     for t in tables:
         if path := getattr(t, "_cut_path", None):
@@ -150,48 +150,62 @@ def unions(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = nxt
 
 
+def most_alone(rows: DataFrame, total: int) -> int:
+    """How many of the ``total`` rows one key may bring to a task: a quarter of a partition's mean, 256 at least."""
+    return max(256, total // (4 * many(rows)))
+
+
 def join_counted(rows: DataFrame, counted: DataFrame, key: str, total: int) -> DataFrame:
-    """rows joined with ``counted``, which has one row per key and in ``n`` how many of the ``total`` rows (or more) bear it.
+    """rows joined with ``counted``, a stored table that has one row per key and in ``n`` how many of the ``total`` rows (or more) bear it.
 
-    A key with over total / (4 x partitions) rows isn't dealt to one task: there are at most
+    A key with over ``most_alone`` rows isn't dealt to one task: there are at most
     4 x partitions of them, so that they are broadcast and their rows stay where they are.
+    Where there is none, the plan is one join.
     """
-    most = total // (4 * many(rows))
+    most = most_alone(rows, total)
+    if counted.filter(F.col("n") > most).isEmpty():
+        return rows.join(counted.drop("n"), key)
     hot = F.broadcast(counted.filter(F.col("n") > most).drop("n"))
     rest = counted.filter(F.col("n") <= most).drop("n")
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
 
 
-def beside_least(rows: DataFrame, total: int) -> DataFrame:
-    """rows (a, b) with m, the least of a and of all b that rows hold for that a."""
-    return join_counted(rows, rows.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), "a", total)
+def beside_least(rows: DataFrame, total: int, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """rows (a, b) with m, the least of a and of all b that rows hold for that a; ``most``: rows of the most frequent a.
+
+    Usually one exchange and a window. With keys too frequent for a task it is a join with the stored minima, which are returned to be deleted then.
+    """
+    if most <= most_alone(rows, total):
+        return rows.withColumn("m", F.least(F.min("b").over(Window.partitionBy("a")), F.col("a"))), None
+    least = cut(rows.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")))
+    return join_counted(rows, least, "a", total), least
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the undirected links (a, b); root is the smallest node reachable.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014),
-    each a group minimum and an equi-join. A round's links are written to the shared folder.
+    each a group minimum beside the group's rows. A round's links are written to the shared folder.
     Rounds are logarithmic in the number of nodes, and links never leave the
-    cluster: the driver sees a count and a checksum.
+    cluster: the driver sees counts and a checksum.
     """
     edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    sign = ("count(*) AS n", "bit_xor(xxhash64(a, b)) AS s")
-    was = edges.selectExpr(*sign).first()
-    if not was["n"]:
-        return edges.selectExpr("a AS node", "b AS root")
-    large = None
+    was = large = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.selectExpr("b AS a", "a AS b"))
-        large = cut(beside_least(both, 2 * was["n"]).filter("b > a").selectExpr("b AS a", "m AS b").distinct(), large)
-        found = beside_least(large, was["n"])
-        small = found.filter("b <> m").selectExpr("b AS a", "m AS b").unionByName(found.selectExpr("a", "m AS b"))
-        edges = cut(small.filter("a <> b").distinct(), edges)
-        now = edges.selectExpr(*sign).first()
-        if now == was:
+        now = both.groupBy("a").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("s")).agg(F.sum("n").alias("n"), F.expr("bit_xor(s)").alias("s"), F.max("n").alias("most")).first()
+        if not now["n"] or now == was:
             forget(large)
             return edges.selectExpr("a AS node", "b AS root")
         was = now
+        found, least = beside_least(both, now["n"], now["most"])
+        large = cut(found.filter("b > a").selectExpr("b AS a", "m AS b").distinct(), large)
+        forget(least)
+        there = large.groupBy("a").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
+        found, least = beside_least(large, there["n"], there["most"])
+        small = found.selectExpr("inline(array(named_struct('a', b, 'b', m), named_struct('a', a, 'b', m)))")
+        edges = cut(small.filter("a <> b").distinct(), edges)
+        forget(least)
     raise RuntimeError("links did not settle")
 
 

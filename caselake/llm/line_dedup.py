@@ -175,13 +175,14 @@ def recurring_lines(docs: DataFrame, least_documents: int = 2, least_tokens: int
     total = placed.count()
     forget(lines, several, distinct, joined)
     often = placed.groupBy("t").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max(F.col("doc_id").isNull()).alias("none"), F.count("*").alias("n"))
-    hits = cut(join_counted(placed, often.filter("low < high OR none").select("t", "low", "n"), "t", total))
-    classes = copy_classes(docs)
+    often = cut(often.filter("low < high OR none").select("t", "low", "n"))
+    hits = cut(join_counted(placed, often, "t", total), placed)
+    classes = cut(copy_classes(docs))
     classed = hits.select("t", "doc_id").distinct().join(classes, "doc_id", "left").selectExpr("t", "coalesce(class, doc_id, -9223372036854775808L) AS class").distinct()
     recurs = classed.groupBy("t").agg(F.count("*").alias("c")).filter(F.col("c") >= least_documents).select("t")
-    counts = hits.groupBy("t").agg(F.count("*").alias("n"))
-    out = cut(join_counted(hits, recurs.join(counts, "t"), "t", total).filter("doc_id <> low").select("doc_id", "pos").distinct())
-    forget(placed, hits)
+    recurs = cut(recurs.join(often.select("t", "n"), "t"))
+    out = cut(join_counted(hits, recurs, "t", total).filter("doc_id <> low").select("doc_id", "pos").distinct())
+    forget(often, hits, classes, recurs)
     return out
 
 

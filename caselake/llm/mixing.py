@@ -54,11 +54,15 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total: f
     return rows.select("source", "source_size", "mean_size", share.alias("target"))
 
 
-def with_source(rows: DataFrame, state: DataFrame, most_sources: int = 20_000) -> DataFrame:
-    """rows joined with the table of sources, null being a source like any other."""
+def few(sources: DataFrame, most_sources: int = 20_000) -> bool:
+    """Whether a table of sources, and so each that has a row of some of them, may be broadcast."""
+    return sources.limit(most_sources + 1).count() <= most_sources
+
+
+def with_source(rows: DataFrame, state: DataFrame, few_sources: bool) -> DataFrame:
+    """rows joined with the table of sources, null being a source like any other; few_sources: whether ``few`` says so."""
     own = state.withColumnRenamed("source", "mix_source")
-    small = own.limit(most_sources + 1).count() <= most_sources
-    return rows.join(F.broadcast(own) if small else own, rows["source"].eqNullSafe(own["mix_source"]), "inner").drop("mix_source")
+    return rows.join(F.broadcast(own) if few_sources else own, rows["source"].eqNullSafe(own["mix_source"]), "inner").drop("mix_source")
 
 
 RATE = "CASE WHEN target >= 2 * source_size THEN 2D ELSE least(2D, exp(least(lam * size / mean_size, 700D))) END"
@@ -70,10 +74,11 @@ def tilts(counts: DataFrame, goals: DataFrame, rounds: int = 400) -> DataFrame:
     A bracket that halves settles in far fewer rounds than ``rounds``; one that hasn't is an error.
     """
     state = cut(goals.selectExpr("*", "0D AS lam", "-1e6D AS low", "1e6D AS high", "target <= 0 OR target >= 2 * source_size AS done"))
+    few_sources = few(state)
     for _ in range(rounds):
         if state.filter("NOT done").isEmpty():
             break
-        rated = with_source(counts.filter("size > 0"), state.filter("NOT done")).selectExpr("source", "size", "n", "mean_size", f"{RATE} AS rate")
+        rated = with_source(counts.filter("size > 0"), state.filter("NOT done"), few_sources).selectExpr("source", "size", "n", "mean_size", f"{RATE} AS rate")
         sums = rated.groupBy("source").agg(F.expr("sum(n * size * rate) AS mass"), F.expr("sum(CASE WHEN rate < 2 THEN n * size * rate * size / mean_size ELSE 0 END) AS slope"))
         sums = sums.withColumnRenamed("source", "mix_source")
         moved = state.join(sums, state["source"].eqNullSafe(sums["mix_source"]), "left").drop("mix_source")
@@ -87,25 +92,25 @@ def tilts(counts: DataFrame, goals: DataFrame, rounds: int = 400) -> DataFrame:
     return state.select("source", "source_size", "mean_size", "target", "lam")
 
 
-def rated(rows: DataFrame, state: DataFrame) -> DataFrame:
+def rated(rows: DataFrame, state: DataFrame, few_sources: bool) -> DataFrame:
     """rows with mix_base (copies for certain) and mix_v (the place at which one more is decided; null: never)."""
-    out = with_source(rows, state).withColumn("mix_rate", F.expr(RATE.replace("lam * size", "lam * mix_size")))
+    out = with_source(rows, state, few_sources).withColumn("mix_rate", F.expr(RATE.replace("lam * size", "lam * mix_size")))
     out = out.withColumn("mix_base", F.expr("CASE WHEN mix_size = 0 THEN 1 ELSE CAST(floor(mix_rate) AS int) END"))
     return out.withColumn("mix_v", F.expr("CASE WHEN mix_size > 0 AND mix_rate < 2 AND mix_rate > 0 THEN mix_u - (mix_rate - mix_base) END"))
 
 
-def cuts(small: DataFrame, state: DataFrame) -> DataFrame:
+def cuts(small: DataFrame, state: DataFrame, few_sources: bool) -> DataFrame:
     """state with ``edge``: documents with mix_v below it get one more copy."""
-    rows = rated(small, state).select("source", "mix_size", "mix_base", "n")
+    rows = rated(small, state, few_sources).select("source", "mix_size", "mix_base", "n")
     sure = rows.groupBy("source").agg(F.sum(F.col("mix_base") * F.col("mix_size") * F.col("n")).alias("sure")).withColumnRenamed("source", "mix_source")
     state = state.join(sure, state["source"].eqNullSafe(sure["mix_source"]), "left").drop("mix_source")
     state = cut(state.selectExpr("source", "source_size", "mean_size", "target", "lam", "-1D AS edge", "2D AS wide", "target - sure AS want"))
     for turn in range(3):
-        near = rated(small, state).filter(f"mix_v >= edge AND mix_v < edge + wide").selectExpr("source", "mix_size * n AS words", f"least({BINS - 1}, CAST(floor((mix_v - edge) / wide * {BINS}) AS int)) AS bin")
+        near = rated(small, state, few_sources).filter(f"mix_v >= edge AND mix_v < edge + wide").selectExpr("source", "mix_size * n AS words", f"least({BINS - 1}, CAST(floor((mix_v - edge) / wide * {BINS}) AS int)) AS bin")
         sums = near.groupBy("source", "bin").agg(F.sum("words").alias("s"))
         upto = Window.partitionBy("source").orderBy("bin")
         sums = sums.withColumn("through", F.sum("s").over(upto)).withColumnRenamed("source", "mix_source")
-        found = with_source(sums.withColumnRenamed("mix_source", "source"), state.select("source", "want"))
+        found = with_source(sums.withColumnRenamed("mix_source", "source"), state.select("source", "want"), few_sources)
         found = found.filter("through >= want").groupBy("source").agg(F.min_by(F.struct("bin", "s", "through"), "bin").alias("hit")).withColumnRenamed("source", "mix_source")
         last = turn == 2
         state = state.join(found, state["source"].eqNullSafe(found["mix_source"]), "left").drop("mix_source")
@@ -118,13 +123,13 @@ def cuts(small: DataFrame, state: DataFrame) -> DataFrame:
 COPIES = "(mix_base + CASE WHEN mix_v < edge THEN 1 ELSE 0 END + coalesce(aggregate(filter(flips, f -> f.u = mix_u AND f.size = mix_size), 0, (a, f) -> a + f.delta), 0))"
 
 
-def flips(small: DataFrame, state: DataFrame, rounds: int = 4) -> DataFrame:
+def flips(small: DataFrame, state: DataFrame, few_sources: bool, rounds: int = 4) -> DataFrame:
     """state with ``flips``: in each round the one document per source, all its repeats with it, that, taken once more or once less, brings its source nearest to the target."""
     state = state.withColumn("flips", F.expr("CAST(array() AS array<struct<u: double, size: bigint, delta: int>>)"))
     for _ in range(rounds):
-        rows = rated(small, state).selectExpr("source", "target", "mix_size", "mix_u", "n", f"{COPIES} AS c")
+        rows = rated(small, state, few_sources).selectExpr("source", "target", "mix_size", "mix_u", "n", f"{COPIES} AS c")
         taken = rows.groupBy("source").agg(F.expr("first(target) - sum(c * mix_size * n) AS want"))
-        options = with_source(rows.filter("mix_size > 0").selectExpr("source", "mix_u", "mix_size", "n", "explode(filter(array(1, -1), d -> c + d BETWEEN 0 AND 2)) AS delta"), taken)
+        options = with_source(rows.filter("mix_size > 0").selectExpr("source", "mix_u", "mix_size", "n", "explode(filter(array(1, -1), d -> c + d BETWEEN 0 AND 2)) AS delta"), taken, few_sources)
         best = options.groupBy("source").agg(F.expr("min(struct(abs(want - delta * mix_size * n) AS off, mix_u AS u, mix_size AS size, delta, abs(want) AS was)) AS b")).filter("b.off < b.was").withColumnRenamed("source", "mix_source")
         joined = state.join(best, state["source"].eqNullSafe(best["mix_source"]), "left").drop("mix_source")
         state = cut(joined.withColumn("flips", F.expr("CASE WHEN b IS NULL THEN flips ELSE concat(flips, array(named_struct('u', b.u, 'size', b.size, 'delta', b.delta))) END")).drop("b"))
@@ -136,9 +141,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total: float =
     small = cut(sized(docs).groupBy("source", "mix_size", "mix_u").agg(F.count("*").alias("n")))
     counts = cut(small.groupBy("source", F.col("mix_size").alias("size")).agg(F.sum("n").alias("n")))
     sources = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.expr("coalesce(sum(size * n) / sum(CASE WHEN size > 0 THEN n END), 1D) AS mean_size"))
-    state = flips(small, cuts(small, tilts(counts, targets(sources, weights, total))))
+    state = tilts(counts, targets(sources, weights, total))
+    few_sources = few(state)  # their number stays from here on
+    state = flips(small, cuts(small, state, few_sources), few_sources)
     forget(small, counts)
-    out = rated(sized(docs.drop("source_size", "target", "mean_size", "lam", "edge", "wide", "want", "flips", "copies", "mix_source")), state)
+    out = rated(sized(docs.drop("source_size", "target", "mean_size", "lam", "edge", "wide", "want", "flips", "copies", "mix_source")), state, few_sources)
     return out.withColumn("copies", F.expr(COPIES)).drop("mean_size", "lam", "edge", "wide", "want", "flips", "mix_u", "mix_v", "mix_base", "mix_rate")
 
 

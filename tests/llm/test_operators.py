@@ -679,3 +679,26 @@ def test_pipeline_moves_the_same_at_any_size(spark, monkeypatch):
     assert groups[0] == groups[1] and any(a != b for a, b in groups[0])
     moved = [plan.count("Exchange hashpartitioning") for columns, plan in cuts if "shingles" in columns]
     assert moved == [0, 1]
+
+
+def test_components_plans_stay_small(spark, monkeypatch):
+    """The driver's memory goes with plans: a round is one exchange and a window unless a node has too many links for a task."""
+    cut, plans = common.cut, []
+    monkeypatch.setattr(common, "cut", lambda df, *more: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df, *more))
+    chain = [(k, k + 1) for k in range(300, 340)]
+    for hub, joined in ((60, False), (2000, True)):
+        links = [(7, k + 1000) for k in range(hub)] + [(1000 + hub + k, 1000 + k) for k in range(hub)] + chain
+        got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(links, "a long, b long").repartition(4)).collect()}
+        assert got == {k + 1000: 7 for k in range(2 * hub)} | {k: 300 for k in range(301, 341)}
+        assert any("Join" in p for p in plans) == joined
+        plans.clear()
+
+
+def test_join_counted_with_and_without_frequent_keys(spark):
+    for most in (5, 3000):
+        rows = spark.createDataFrame([(k % 7, k) for k in range(200)] + [(1, k) for k in range(most)], "t long, x long")
+        counted = common.cut(rows.filter("t < 5").groupBy("t").agg(F.min("x").alias("low"), F.count("*").alias("n")))
+        got = common.join_counted(rows, counted, "t", 200 + most)
+        assert ("Union" in got._jdf.queryExecution().analyzed().toString()) == (most == 3000)
+        want = rows.join(counted.drop("n"), "t")
+        assert sorted(map(tuple, got.select("t", "x", "low").collect())) == sorted(map(tuple, want.select("t", "x", "low").collect()))
