@@ -477,6 +477,18 @@ def test_nodes_and_edges_from_extractions(spark):
     assert N.build_nodes(spark.createDataFrame([], FOUND)).count() == 0
 
 
+def test_extractions_meet_before_their_properties_are_made(spark):
+    """Ids and typed properties are made for one row a node, not for each extraction; only dates and nameless citations are parsed before."""
+    rows = [(k, 1, 10, "claim", "Fraud", "x", 0.5, '{"plaintiff": "A"}') for k in range(9, 0, -1)] + [(20, 1, 10, "claim", "fraud", "y", 0.5, "broken")]
+    nodes = N.build_nodes(spark.createDataFrame(rows, FOUND))
+    below = nodes._jdf.queryExecution().optimizedPlan().toString().split("Aggregate [", 1)[1].lower()
+    assert "sha2" not in below and "to_json" not in below and "structstojson" not in below
+    (node,) = nodes.withColumn("p", F.to_json("properties")).collect()
+    assert (node["node_label"], node["source_extraction_id"], node["source_extraction_ids"]) == ("Fraud", 1, [*range(1, 10), 20])
+    assert json.loads(node["p"])["plaintiff"] == "A" and json.loads(node["p"])["claim_type"] == "x"
+    assert node["node_id"] == N.extraction_nodes(spark.createDataFrame(rows[-1:], FOUND)).first()["node_id"]
+
+
 def test_running_heads_go_by_place(spark):
     long_ = "Head " * 32
     pages = {k: [long_, f"text {k}", long_] for k in range(1, 6)} | {6: ["", "", long_, "other"], 7: ["x y"], 8: [long_]}
