@@ -489,6 +489,27 @@ def test_extractions_meet_before_their_properties_are_made(spark):
     assert node["node_id"] == N.extraction_nodes(spark.createDataFrame(rows[-1:], FOUND)).first()["node_id"]
 
 
+def test_match_party_compares_across_sides_once(spark, monkeypatch):
+    """A document's parties aren't compared with one another, nor its names; a pair of texts is scored in one Python pass, however many names have it."""
+    made = []
+    monkeypatch.setattr(G, "ratio", lambda *a, ratio=G.ratio: made.append(a) or ratio(*a))
+    names = spark.createDataFrame([(k, 1, "Acme Holdngs") for k in range(3)] + [(3, 1, "acme"), (4, 1, "Zenith"), (5, 2, "Acme Holding")], "name_id int, document_id int, name string")
+    parties = spark.createDataFrame([("p1", 1, "Acme Holdings"), ("p2", 1, "Acme Holding"), ("p3", 1, "Acme Holdin"), ("p4", 3, "Acme Holding")], "node_id string, document_id int, node_label string")
+    got = {r["name_id"]: (r["node_id"], round(r["score"], 2)) for r in G.match_party(names, parties).collect()}
+    assert got == {0: ("p1", 0.96), 1: ("p1", 0.96), 2: ("p1", 0.96), 3: ("p1", 0.8)} and len(made) == 1
+    pairs = G.similar_to(names.selectExpr("document_id", "lower(name) AS x"), parties.selectExpr("document_id", "lower(node_label) AS y"), 0.8, ("document_id",))
+    assert {r["x"] for r in pairs.collect()} == {"acme holdngs", "acme"} and pairs.count() == 6
+
+
+def test_ratio_over_batches(spark):
+    """Pairs recur over many batches of Arrow, nulls among them."""
+    words = ["acme", "acme inc", "zenith", "", None, "acne"]
+    rows = [(k, words[k % 6], words[k // 6 % 6]) for k in range(5000)]
+    got = {r["k"]: r["r"] for r in spark.createDataFrame(rows, "k int, a string, b string").withColumn("r", D.ratio("a", "b", 0.5)).collect()}
+    want = {k: None if a is None or b is None else ratio_of(a, b) for k, a, b in rows}
+    assert all(got[k] == (w if w is None or w >= 0.5 else 0.0) for k, w in want.items())
+
+
 def test_running_heads_go_by_place(spark):
     long_ = "Head " * 32
     pages = {k: [long_, f"text {k}", long_] for k in range(1, 6)} | {6: ["", "", long_, "other"], 7: ["x y"], 8: [long_]}
