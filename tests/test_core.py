@@ -510,6 +510,29 @@ def test_ratio_over_batches(spark):
     assert all(got[k] == (w if w is None or w >= 0.5 else 0.0) for k, w in want.items())
 
 
+def test_steps_of_paths_are_stored_once(spark, monkeypatch):
+    """Steps and what hops reach are stored, no step leaves a terminal node against its edge, and the result joins nothing again when no path is open."""
+    stored = []
+    monkeypatch.setattr(G, "kept", lambda df, kept=G.kept: stored.append(kept(df)) or stored[-1])
+    nodes = spark.createDataFrame([("c", "claim"), ("d", "claim"), ("e", "evidence"), ("o", "obligation"), ("o", "obligation"), ("l", "legal_authority"), ("x", None)], "node_id string, node_type string")
+    edges = spark.createDataFrame([("c", "e", "references", 0.9), ("d", "e", "references", 0.8), ("o", "c", "references", 0.7), ("o", "l", "references", 0.6), ("c", "x", "references", 1.0), ("c", "gone", "references", 1.0), (None, "c", "references", 1.0)], "src string, dst string, edge_type string, confidence double")
+    monkeypatch.setattr(G, "forget", lambda *tables: None)
+    paths = G.evidence_paths(nodes, edges, 4)
+    assert sorted((r["claim"], r["target"], r["path"], r["confidence"], r["hops"]) for r in paths.collect()) == [("c", "e", "c>e", 0.9, 1), ("c", "l", "c>o>l", 0.6, 2), ("c", "l", "c>o>l", 0.6, 2), ("d", "e", "d>e", 0.8, 1)]
+    assert sorted((r["u"], r["v"]) for r in stored[1].collect()) == [("c", "e"), ("c", "o"), ("c", "o"), ("d", "e"), ("o", "c"), ("o", "l")]
+    assert len(stored) == 4 and "Join" not in paths._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stored_results_leave_no_shuffle_files(spark):
+    """A stored table's shuffles are deleted when it has been written, and the session's setting is as before."""
+    before = spark.conf.get(G.SHUFFLE_CLEANUP)
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    held = lambda: tracker.shuffleStatuses().size()
+    n = held()
+    t = G.kept(spark.range(1000).withColumn("k", F.col("id") % 7).groupBy("k").count())
+    assert held() <= n and t.count() == 7 and spark.conf.get(G.SHUFFLE_CLEANUP) == before
+
+
 def test_running_heads_go_by_place(spark):
     long_ = "Head " * 32
     pages = {k: [long_, f"text {k}", long_] for k in range(1, 6)} | {6: ["", "", long_, "other"], 7: ["x y"], 8: [long_]}
